@@ -77,3 +77,197 @@ ORACLE["train_eval_split"] = with_(*DATASET) + (
 
 ORACLE["split_sizes"] = with_(*DATASET) + (
     "SELECT variant, split, count(*) AS n FROM split GROUP BY variant, split")
+
+
+# --- loading and text ------------------------------------------------------
+
+def _first_words(col: str, n: int) -> str:
+    return f"array_to_string(list_slice(string_split({col}, ' '), 1, {n}), ' ')"
+
+
+FAULTY = """faulty AS (
+  SELECT post_id,
+         CASE WHEN post_id % 50 = 21 THEN NULL ELSE posts END AS posts,
+         CASE WHEN post_id % 50 = 7 THEN 'XXXX' WHEN post_id % 50 = 13 THEN lower(type)
+              ELSE type END AS type
+  FROM posts)"""
+LABELLED = """labelled AS (
+  SELECT f.post_id, f.posts, upper(trim(f.type)) AS type, c.idx AS target,
+         CASE WHEN f.posts IS NULL THEN 'null_post'
+              WHEN c.idx IS NULL THEN 'unknown_type' END AS reason
+  FROM faulty f LEFT JOIN classes c ON upper(c.name) = upper(trim(f.type)))"""
+ORACLE["load_posts"] = with_(*BASE, FAULTY, LABELLED) + (
+    "SELECT post_id, posts, type, target FROM labelled WHERE reason IS NULL")
+ORACLE["rejects"] = with_(*BASE, FAULTY, LABELLED) + (
+    "SELECT post_id, posts, type, reason FROM labelled WHERE reason IS NOT NULL")
+
+RAW_SPLIT = """rsplit AS (
+  SELECT post_id, posts, type, split_key,
+         CASE WHEN rn <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'eval' END AS split
+  FROM (SELECT *, md5(CAST(post_id AS VARCHAR) || ':split:2') AS split_key,
+               row_number() OVER (ORDER BY md5(CAST(post_id AS VARCHAR) || ':split:2'), post_id) AS rn,
+               count(*) OVER () AS n
+        FROM posts))"""
+ORACLE["label_encode"] = with_(*BASE, RAW_SPLIT) + """
+SELECT s.post_id, s.split, lower(s.type) AS mbti, c.idx AS target,
+       CASE WHEN s.split = 'eval' THEN lower(s.type) END AS gold
+FROM rsplit s LEFT JOIN classes c ON upper(c.name) = upper(trim(s.type))"""
+
+for _n in (502, 256, 300):
+    ORACLE[f"truncate_words_{_n}"] = with_(*BASE) + (
+        f"SELECT post_id, {_first_words('posts', _n)} AS words FROM posts")
+
+
+def _prompt(col: str, n: int, indent: int) -> str:
+    return (f"{_sql_str(dims.instruction(indent))} || {_first_words(col, n)} || "
+            f"{_sql_str(chr(10) + dims.ANSWER_MARK + chr(10))}")
+
+
+ORACLE["prompt_build"] = with_(*BASE) + (
+    f"SELECT post_id, {_prompt('posts', 256, 12)} AS prompt FROM posts")
+ORACLE["generation_examples"] = with_(*BASE, RAW_SPLIT) + f"""
+SELECT post_id, split,
+       CASE WHEN split = 'train' THEN {_prompt('posts', 300, 8)} || lower(type)
+            ELSE {_prompt('posts', 300, 8)} END AS example
+FROM rsplit"""
+ORACLE["preview"] = with_(*BASE, RAW_SPLIT) + f"""
+SELECT post_id, {_first_words('posts', 502)} AS model_input, lower(type) AS mbti
+FROM rsplit WHERE split = 'train' ORDER BY split_key, post_id LIMIT 1"""
+ORACLE["basic_tokens"] = r"""
+SELECT lower(t) AS token, count(*) AS n
+FROM (SELECT unnest(regexp_extract_all(text, '\w+|\S')) AS t FROM documents WHERE lang = 'en')
+GROUP BY lower(t)"""
+
+# --- scores ------------------------------------------------------------------
+
+SCORES = """z AS (
+  SELECT p.post_id, lower(p.type) AS gold, c.idx, c.name,
+         CAST((p.post_id * (31 + 17 * c.idx) + 7 * c.idx * c.idx) % 101 AS DOUBLE) / 10 AS z
+  FROM posts p CROSS JOIN classes c),
+zm AS (SELECT *, exp(z - max(z) OVER (PARTITION BY post_id)) AS e FROM z),
+sm AS (SELECT post_id, gold, idx, name, z, e / sum(e) OVER (PARTITION BY post_id) AS p FROM zm),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY z DESC, idx) AS rk FROM sm),
+preds AS (
+  SELECT r.post_id, r.gold, r.idx AS answer_idx, r.name AS answer, r.p AS confidence,
+         g.rk AS gold_rank
+  FROM ranked r JOIN ranked g ON g.post_id = r.post_id AND g.name = r.gold
+  WHERE r.rk = 1)"""
+
+
+def _matches(a: str, g: str) -> str:
+    s = " + ".join(f"CAST(substr({a}, {i}, 1) = substr({g}, {i}, 1) AS INTEGER)" for i in (1, 2, 3, 4))
+    return f"CASE WHEN length({a}) = length({g}) THEN {s} END"
+
+
+def _pct(cond: str) -> str:
+    return f"round(count_if({cond}) / count(*) * 100, 6)"
+
+
+def _cls_metrics(a: str, g: str, hits: bool) -> str:
+    m = _matches(a, g)
+    cols = [f"count(*) AS n", f"count_if({a} = {g}) AS correct",
+            f"{_pct(f'{a} = {g}')} AS accuracy",
+            f"round(sum(coalesce(CAST({m} AS DOUBLE) / 4, CAST(0 AS DOUBLE))) / count(*) * 100, 6)"
+            f" AS mean_match"]
+    for i in range(4):
+        cols.append(f"{_pct(f'length({a}) = length({g}) AND substr({a}, {i+1}, 1) = substr({g}, {i+1}, 1)')}"
+                    f" AS letter_{i}")
+    if hits:
+        cols += [f"{_pct(f'gold_rank <= {k}')} AS hit_{k}" for k in (3, 5, 10)]
+    return ", ".join(cols)
+
+
+SC = BASE + [SCORES]
+ORACLE["softmax"] = with_(*SC) + "SELECT post_id, idx, round(p, 9) AS p FROM sm"
+ORACLE["class_ranking"] = with_(*SC) + "SELECT post_id, rk, name FROM ranked"
+ORACLE["predictions"] = with_(*SC) + (
+    "SELECT post_id, gold, answer_idx, answer, round(confidence, 9) AS confidence, gold_rank "
+    "FROM preds")
+ORACLE["top5"] = with_(*SC) + "SELECT post_id, rk, name, round(p, 9) AS p FROM ranked WHERE rk <= 5"
+ORACLE["top10_string"] = with_(*SC) + (
+    "SELECT post_id, string_agg(name, ' ' ORDER BY rk) AS top10 FROM ranked WHERE rk <= 10 "
+    "GROUP BY post_id")
+ORACLE["hit_at_k"] = with_(*SC) + (
+    "SELECT count(*) AS n, " + ", ".join(f"{_pct(f'gold_rank <= {k}')} AS hit_{k}" for k in (3, 5, 10))
+    + " FROM preds")
+ORACLE["metrics_16way"] = with_(*SC) + f"SELECT {_cls_metrics('answer', 'gold', True)} FROM preds"
+ORACLE["match_histogram"] = with_(*SC) + f"""
+SELECT k.k, count_if(m.m = k.k) AS exactly_k_correct,
+       round(count_if(m.m = k.k) / max(t.n) * 100, 6) AS rate
+FROM (VALUES (0), (1), (2), (3), (4)) k(k)
+CROSS JOIN (SELECT {_matches('answer', 'gold')} AS m FROM preds) m
+CROSS JOIN (SELECT count(*) AS n FROM preds) t
+GROUP BY k.k"""
+ORACLE["ce_double_softmax"] = with_(*SC) + """
+SELECT count(*) AS n, round(avg(ce), 9) AS ce FROM (
+  SELECT post_id, ln(sum(exp(p))) - max(CASE WHEN name = gold THEN p END) AS ce
+  FROM sm GROUP BY post_id)"""
+ORACLE["ce_plain"] = with_(*SC) + """
+SELECT count(*) AS n, round(avg(-ln(p)), 9) AS ce FROM sm WHERE name = gold"""
+
+AXES = """ax AS (
+  SELECT p.post_id, lower(p.type) AS gold, a.i,
+         CAST((p.post_id * (13 + 5 * a.i) + 3 * a.i) % 97 AS DOUBLE) / 96 AS p1
+  FROM posts p CROSS JOIN (VALUES (0), (1), (2), (3)) a(i)),
+comp AS (
+  SELECT post_id, gold, CAST(sum(CASE WHEN p1 > 1 - p1 THEN 1 ELSE 0 END * CAST(pow(2, 3 - i) AS INTEGER)) AS INTEGER) AS answer_idx
+  FROM ax GROUP BY post_id, gold),
+composed AS (
+  SELECT comp.post_id, comp.gold, comp.answer_idx, c.name AS answer,
+         lpad(bin(comp.answer_idx), 4, '0') AS bits
+  FROM comp JOIN classes c ON c.idx = comp.answer_idx)"""
+AX = BASE + [AXES]
+ORACLE["axis_bits"] = with_(*BASE) + """
+SELECT p.post_id, c.idx AS target, lpad(bin(c.idx), 4, '0') AS bits, c.idx AS idx_back
+FROM posts p JOIN classes c ON upper(c.name) = p.type"""
+ORACLE["axis_compose"] = with_(*AX) + "SELECT post_id, gold, bits, answer_idx, answer FROM composed"
+ORACLE["metrics_axes"] = with_(*AX) + f"SELECT {_cls_metrics('answer', 'gold', False)} FROM composed"
+ORACLE["ce_axes"] = with_(*AX) + """
+SELECT count(*) AS n, round(avg(ln(exp(1 - ax.p1) + exp(ax.p1))
+       - CASE WHEN (c.idx >> (3 - ax.i)) & 1 = 1 THEN ax.p1 ELSE 1 - ax.p1 END), 9) AS ce
+FROM ax JOIN classes c ON c.name = ax.gold"""
+ORACLE["linear_head"] = """
+WITH w AS (
+  SELECT c.idx, j.j, CAST(((c.idx * 13 + j.j * 7) % 11) - 5 AS DOUBLE) / 10 AS w
+  FROM range(16) c(idx) CROSS JOIN range(64) j(j)),
+e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS j FROM embeddings),
+lg AS (SELECT e.vec_id, w.idx, sum(CAST(e.x AS DOUBLE) * w.w) AS logit
+       FROM e JOIN w ON w.j = e.j GROUP BY e.vec_id, w.idx),
+ex AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS ex FROM lg)
+SELECT vec_id, idx, round(logit, 6) AS logit,
+       round(ex / sum(ex) OVER (PARTITION BY vec_id), 9) AS p FROM ex"""
+
+# --- generation output -------------------------------------------------------
+
+GENS = f"""gens AS (
+  SELECT p.post_id, lower(p.type) AS gold,
+         CASE p.post_id % 4
+           WHEN 0 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name || '<|endoftext|>'
+           WHEN 1 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name
+           WHEN 2 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name || ' <|endoftext|>'
+           ELSE '[Text]' || chr(10) || a.name || '<|endoftext|>' END AS g,
+         CASE WHEN p.post_id % 5 = 0 THEN substr(nv.name, 1, 2) ELSE nv.name END AS naive
+  FROM posts p
+  JOIN classes a ON a.idx = (p.post_id * 5 + 3) % 16
+  JOIN classes nv ON nv.idx = (p.post_id * 11) % 16),
+parsed AS (
+  SELECT *, CASE WHEN contains(g, '[MBTI]') AND contains(g, '<|endoftext|>') THEN
+              split_part(regexp_replace(string_split(g, '[MBTI]')[-1], '^\\s+|\\s+$', '', 'g'),
+                         '<|endoftext|>', 1) END AS answer
+  FROM gens)"""
+GEN = BASE + [GENS]
+
+
+def _gen_mm(a: str) -> str:
+    m = _matches(a, "gold")
+    return (f"round(sum(coalesce(CASE WHEN length({a}) = length(gold) THEN CAST({m} AS DOUBLE) "
+            f"/ CAST(length(gold) AS DOUBLE) END, CAST(0 AS DOUBLE))) / count(*) * 100, 6)")
+
+
+ORACLE["parse_generation"] = with_(*GEN) + "SELECT post_id, gold, answer FROM parsed"
+ORACLE["metrics_generation"] = with_(*GEN) + f"""
+SELECT count(*) AS n, {_pct('answer = gold')} AS accuracy, {_gen_mm('answer')} AS mean_match,
+       {_pct('naive = gold')} AS naive_accuracy, {_gen_mm('naive')} AS naive_mean_match
+FROM parsed"""
+ORACLE["generation_log"] = with_(*GEN) + (
+    "SELECT post_id, g || chr(10) || 'Gold Answer: ' || gold AS log FROM gens")

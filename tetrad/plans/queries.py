@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tetrad import dims
-from tetrad.operators import sampling
+from tetrad.functions import arrays as A
+from tetrad.functions import text as T
+from tetrad.operators import metrics, sampling, scoring
 from tetrad.plans import fixtures as fx
+from tetrad.sources import posts as posts_src
+from tetrad.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -67,3 +71,221 @@ def q_train_eval_split(spark, base):
 def q_split_sizes(spark, base):
     v = sampling.dataset_variants(spark, fx.post_types(spark, base))
     return v.groupBy("variant", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- loading and text (S1, P1-P11, F1-F3) -----------------------------------
+
+def _faulty_posts(spark, base):
+    """``posts`` with load faults spread over the whole table: every 50th
+    post (offset 21) lost its text, offset 7 has an unknown type, offset 13
+    a lower-case type (accepted after normalization)."""
+    p = fx.posts(spark, base)
+    r = F.col("post_id") % 50
+    return p.select(
+        "post_id",
+        F.when(r == 21, F.lit(None).cast("string")).otherwise(F.col("posts")).alias("posts"),
+        F.when(r == 7, F.lit("XXXX")).when(r == 13, F.lower("type")).otherwise(F.col("type"))
+        .alias("type"))
+
+
+@query("load_posts")
+def q_load_posts(spark, base):
+    valid, _ = posts_src.validate(_faulty_posts(spark, base), spark)
+    return valid.select("post_id", "posts", "type", "target")
+
+
+@query("rejects")
+def q_rejects(spark, base):
+    _, rej = posts_src.validate(_faulty_posts(spark, base), spark)
+    return rej
+
+
+def _raw_split(spark, base, with_text=True):
+    p = fx.posts(spark, base) if with_text else fx.post_types(spark, base)
+    return sampling.train_eval_split(p)
+
+
+@query("label_encode")
+def q_label_encode(spark, base):
+    s = posts_src.with_label(_raw_split(spark, base, with_text=False), spark)
+    mbti = T.normalize_label("type")
+    return s.select("post_id", "split", mbti.alias("mbti"), "target",
+                    F.when(F.col("split") == "eval", mbti).alias("gold"))
+
+
+def _truncate(n):
+    def q(spark, base):
+        return fx.posts(spark, base).select("post_id", T.first_words("posts", n).alias("words"))
+    return q
+
+
+for _n in (502, 256, 300):
+    QUERIES[f"truncate_words_{_n}"] = _truncate(_n)
+
+
+@query("prompt_build")
+def q_prompt_build(spark, base):
+    return fx.posts(spark, base).select(
+        "post_id", T.prompt("posts", dims.MAX_LENGTH // 2, indent=12).alias("prompt"))
+
+
+@query("generation_examples")
+def q_generation_examples(spark, base):
+    s = _raw_split(spark, base)
+    pr = T.prompt("posts", 300, indent=8)
+    return s.select("post_id", "split",
+                    T.training_text(pr, T.normalize_label("type"), "split").alias("example"))
+
+
+@query("preview")
+def q_preview(spark, base):
+    """First training example in loader order (P11, T5): top-1 by the
+    stored order key, a bounded TakeOrderedAndProject."""
+    s = _raw_split(spark, base).where(F.col("split") == "train")
+    return (s.orderBy("split_key", "post_id").limit(1)
+            .select("post_id", T.plain_input("posts").alias("model_input"),
+                    T.normalize_label("type").alias("mbti")))
+
+
+@query("basic_tokens")
+def q_basic_tokens(spark, base):
+    """Token frequencies of the English documents."""
+    d = read_table(spark, base, "documents").where(F.col("lang") == "en")
+    return (d.select(F.explode(T.basic_tokens("text")).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- scores, ranking, metrics (F11, W2, T1, T3, T4, A5-A13, M4, M5) --------
+
+def _probs(spark, base):
+    return scoring.with_probs(fx.scores(spark, base))
+
+
+def _preds(spark, base):
+    return scoring.predictions(_probs(spark, base))
+
+
+@query("softmax")
+def q_softmax(spark, base):
+    lp = scoring.long_probs(_probs(spark, base))
+    return lp.select("post_id", "idx", F.round("p", 9).alias("p"))
+
+
+@query("class_ranking")
+def q_class_ranking(spark, base):
+    return scoring.ranked_long(_probs(spark, base)).select("post_id", "rk", "name")
+
+
+@query("predictions")
+def q_predictions(spark, base):
+    return _preds(spark, base).select("post_id", "gold", "answer_idx", "answer",
+                                      F.round("confidence", 9).alias("confidence"), "gold_rank")
+
+
+@query("top5")
+def q_top5(spark, base):
+    t = scoring.ranked_long(_probs(spark, base), k=5)
+    return t.select("post_id", "rk", "name", F.round("p", 9).alias("p"))
+
+
+@query("top10_string")
+def q_top10_string(spark, base):
+    return _preds(spark, base).select("post_id", scoring.top_k_string("ranking", 10).alias("top10"))
+
+
+@query("hit_at_k")
+def q_hit_at_k(spark, base):
+    m = metrics.classification_metrics(_preds(spark, base))
+    return m.select("n", "hit_3", "hit_5", "hit_10")
+
+
+@query("metrics_16way")
+def q_metrics_16way(spark, base):
+    return metrics.classification_metrics(_preds(spark, base))
+
+
+@query("match_histogram")
+def q_match_histogram(spark, base):
+    return metrics.match_histogram(_preds(spark, base))
+
+
+@query("ce_double_softmax")
+def q_ce_double_softmax(spark, base):
+    p = _probs(spark, base).withColumn("_t", (F.array_position(dims.class_name_array(),
+                                                               F.col("gold")) - 1).cast("int"))
+    return p.agg(F.count(F.lit(1)).alias("n"),
+                 F.round(F.avg(A.double_softmax_ce("p", F.col("_t"))), 9).alias("ce"))
+
+
+@query("ce_plain")
+def q_ce_plain(spark, base):
+    p = _probs(spark, base).withColumn("_t", (F.array_position(dims.class_name_array(),
+                                                               F.col("gold")) - 1).cast("int"))
+    return p.agg(F.count(F.lit(1)).alias("n"),
+                 F.round(F.avg(A.plain_ce("p", F.col("_t"))), 9).alias("ce"))
+
+
+@query("axis_bits")
+def q_axis_bits(spark, base):
+    p = posts_src.with_label(fx.post_types(spark, base), spark)
+    bits = A.idx_to_bits("target")
+    back = A.bits_to_idx(*[F.substring(bits, i + 1, 1).cast("int") for i in range(4)])
+    return p.select("post_id", "target", bits.alias("bits"), back.alias("idx_back"))
+
+
+@query("axis_compose")
+def q_axis_compose(spark, base):
+    c = scoring.compose_axes(fx.axis_scores(spark, base))
+    return c.select("post_id", "gold", "bits", "answer_idx", "answer")
+
+
+@query("metrics_axes")
+def q_metrics_axes(spark, base):
+    c = scoring.compose_axes(fx.axis_scores(spark, base))
+    return metrics.classification_metrics(c, gold_rank=None)
+
+
+@query("ce_axes")
+def q_ce_axes(spark, base):
+    """Axis loss (A13): 4 two-class rows per post, softmax applied twice."""
+    a = fx.axis_scores(spark, base)
+    gidx = (F.array_position(dims.class_name_array(), F.col("gold")) - 1).cast("int")
+    rows = a.select(F.posexplode("p1").alias("i", "p1"), gidx.alias("_g"))
+    tgt = F.expr("shiftright(_g, 3 - i) & 1")
+    pt = F.when(tgt == 1, F.col("p1")).otherwise(1.0 - F.col("p1"))
+    ce = F.log(F.exp(1.0 - F.col("p1")) + F.exp(F.col("p1"))) - pt
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ce), 9).alias("ce"))
+
+
+def head_matrix():
+    """The fixed 16 x 64 linear head of :func:`fixtures.head_weights`."""
+    return [[(((i * 13 + j * 7) % 11) - 5) / 10 for j in range(64)] for i in range(16)]
+
+
+@query("linear_head")
+def q_linear_head(spark, base):
+    e = read_table(spark, base, "embeddings").select("vec_id", "embedding")
+    s = scoring.with_probs(scoring.linear_head(e, head_matrix()), "logits", "p")
+    return s.select("vec_id", F.posexplode(F.arrays_zip("logits", "p")).alias("idx", "lp")) \
+        .select("vec_id", "idx", F.round("lp.logits", 6).alias("logit"),
+                F.round("lp.p", 9).alias("p"))
+
+
+# --- generation output (F14, F15, A11) -------------------------------------
+
+@query("parse_generation")
+def q_parse_generation(spark, base):
+    g = fx.generations(spark, base)
+    return g.select("post_id", "gold", T.parse_answer("g").alias("answer"))
+
+
+@query("metrics_generation")
+def q_metrics_generation(spark, base):
+    g = fx.generations(spark, base).withColumn("answer", T.parse_answer("g"))
+    return metrics.generation_metrics(g)
+
+
+@query("generation_log")
+def q_generation_log(spark, base):
+    g = fx.generations(spark, base)
+    return g.select("post_id", T.with_gold("g", "gold").alias("log"))
