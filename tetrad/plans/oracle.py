@@ -271,3 +271,167 @@ SELECT count(*) AS n, {_pct('answer = gold')} AS accuracy, {_gen_mm('answer')} A
 FROM parsed"""
 ORACLE["generation_log"] = with_(*GEN) + (
     "SELECT post_id, g || chr(10) || 'Gold Answer: ' || gold AS log FROM gens")
+
+# --- vocabulary and wordpiece -------------------------------------------------
+
+VOCAB = r"""tok AS (
+  SELECT lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS t FROM documents WHERE lang = 'en'),
+tcounts AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+chars AS (SELECT DISTINCT piece FROM (SELECT unnest(string_split(t, '')) AS piece FROM tcounts)
+          WHERE length(piece) = 1),
+vwords AS (SELECT t AS piece FROM tcounts WHERE length(t) > 1 ORDER BY n DESC, t LIMIT 400),
+vends AS (SELECT '##' || e AS piece FROM (
+            SELECT right(t, 2) AS e, sum(n) AS n FROM tcounts WHERE length(t) > 2
+            GROUP BY right(t, 2) ORDER BY n DESC, e LIMIT 60)),
+allp AS (
+  SELECT 0 AS kind, k, piece FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[CLS]'), (3, '[SEP]')) s(k, piece)
+  UNION ALL SELECT 1, 0, piece FROM chars
+  UNION ALL SELECT 2, 0, '##' || piece FROM chars
+  UNION ALL SELECT 3, 0, piece FROM vwords
+  UNION ALL SELECT 4, 0, piece FROM vends),
+vocab AS (SELECT piece, CAST(row_number() OVER (ORDER BY kind, k, piece) - 1 AS INTEGER) AS id FROM allp)"""
+
+
+def wordpiece_ctes(words_cte: str) -> str:
+    """Greedy longest-match WordPiece of the words in ``words_cte(w)`` as a
+    recursive CTE -> ``wp(w, ids INTEGER[], unk BOOLEAN)``."""
+    return f"""wstart AS (SELECT w, unnest(range(0, length(w))) AS s FROM {words_cte} WHERE length(w) <= 100),
+wcand AS (SELECT w, s, unnest(range(1, length(w) - s + 1)) AS l FROM wstart),
+wbest AS (
+  SELECT c.w, c.s, max(c.l) AS l, arg_max(v.id, c.l) AS id
+  FROM wcand c JOIN vocab v
+    ON v.piece = CASE WHEN c.s = 0 THEN substr(c.w, 1, c.l) ELSE '##' || substr(c.w, c.s + 1, c.l) END
+  GROUP BY c.w, c.s),
+chain(w, pos, ids) AS (
+  SELECT w, 0, CAST([] AS INTEGER[]) FROM {words_cte} WHERE length(w) <= 100
+  UNION ALL
+  SELECT c.w, c.pos + b.l, list_append(c.ids, b.id)
+  FROM chain c JOIN wbest b ON b.w = c.w AND b.s = c.pos
+  WHERE c.pos < length(c.w)),
+wdone AS (SELECT w, arg_max(ids, pos) AS ids, max(pos) AS pos FROM chain GROUP BY w),
+wp AS (
+  SELECT x.w,
+         CASE WHEN d.pos = length(x.w) THEN d.ids ELSE [1] END AS ids,
+         NOT coalesce(d.pos = length(x.w), false) AS unk
+  FROM {words_cte} x LEFT JOIN wdone d ON d.w = x.w)"""
+
+
+ORACLE["vocab_lookup"] = "WITH " + VOCAB + "\nSELECT piece, id FROM vocab"
+ORACLE["wordpiece_ids"] = "WITH RECURSIVE " + VOCAB + r""",
+wl AS (SELECT DISTINCT t AS w FROM tok),
+""" + wordpiece_ctes("wl") + "\nSELECT w, array_to_string(ids, ' ') AS ids FROM wp"
+ORACLE["encode_capped"] = ("WITH RECURSIVE " + ",\n".join([CLASSES, POSTS, VOCAB]) + r""",
+ptok AS (
+  SELECT post_id, unnest(tl) AS w, unnest(range(1, len(tl) + 1)) AS pos
+  FROM (SELECT post_id, list_slice(list_transform(regexp_extract_all(posts, '\w+|\S'), lambda x: lower(x)), 1, 510) AS tl
+        FROM posts)),
+pl AS (SELECT DISTINCT w FROM ptok),
+""" + wordpiece_ctes("pl") + r""",
+enc AS (
+  SELECT t.post_id, flatten(list(wp.ids ORDER BY t.pos)) AS ids
+  FROM ptok t JOIN wp ON wp.w = t.w GROUP BY t.post_id),
+capped AS (
+  SELECT p.post_id, list_concat([2], list_slice(coalesce(e.ids, CAST([] AS INTEGER[])), 1, 510), [3]) AS ids
+  FROM posts p LEFT JOIN enc e ON e.post_id = p.post_id)
+SELECT post_id, len(ids) AS n_ids, array_to_string(ids, ' ') AS ids FROM capped""")
+ORACLE["unk_rate"] = "WITH RECURSIVE " + VOCAB + r""",
+dtok AS (SELECT lang, lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS w FROM documents),
+dwc AS (SELECT lang, w, count(*) AS n FROM dtok GROUP BY lang, w),
+dl AS (SELECT DISTINCT w FROM dwc),
+""" + wordpiece_ctes("dl") + """
+SELECT c.lang, sum(c.n) AS n_words, sum(CASE WHEN wp.unk THEN c.n ELSE 0 END) AS n_unk,
+       sum(c.n * len(wp.ids)) AS n_ids,
+       round(sum(CASE WHEN wp.unk THEN c.n ELSE 0 END) / sum(c.n), 9) AS unk_rate
+FROM dwc c JOIN wp ON wp.w = c.w GROUP BY c.lang"""
+
+# --- variants on disk, batches, epochs, sessions ----------------------------------
+
+ORACLE["variant_slice"] = with_(*DATASET) + (
+    "SELECT post_id, posts, type FROM split WHERE variant = 'bal' AND split = 'train'")
+ORACLE["split_anti"] = with_(*BASE, RAW_SPLIT) + "SELECT post_id, type FROM rsplit WHERE split = 'eval'"
+
+_VSC = """vz AS (
+  SELECT s.variant, s.post_id, lower(s.type) AS gold, c.idx, c.name,
+         CAST((s.post_id * (31 + 17 * c.idx) + 7 * c.idx * c.idx) % 101 AS DOUBLE) / 10 AS z
+  FROM split s CROSS JOIN classes c WHERE s.split = 'eval'),
+vr AS (SELECT *, row_number() OVER (PARTITION BY variant, post_id ORDER BY z DESC, idx) AS rk FROM vz),
+vpred AS (
+  SELECT r.variant, r.gold, r.name AS answer, g.rk AS gold_rank
+  FROM vr r JOIN vr g ON g.variant = r.variant AND g.post_id = r.post_id AND g.name = r.gold
+  WHERE r.rk = 1),
+vax AS (
+  SELECT s.variant, s.post_id, lower(s.type) AS gold,
+         CAST(sum(CASE WHEN CAST((s.post_id * (13 + 5 * a.i) + 3 * a.i) % 97 AS DOUBLE) / 96
+                       > 1 - CAST((s.post_id * (13 + 5 * a.i) + 3 * a.i) % 97 AS DOUBLE) / 96
+                  THEN 1 ELSE 0 END * CAST(pow(2, 3 - a.i) AS INTEGER)) AS INTEGER) AS idx
+  FROM split s CROSS JOIN (VALUES (0), (1), (2), (3)) a(i) WHERE s.split = 'eval'
+  GROUP BY s.variant, s.post_id, s.type),
+vcomp AS (SELECT x.variant, x.gold, c.name AS answer FROM vax x JOIN classes c ON c.idx = x.idx)"""
+ORACLE["metrics_by_variant"] = with_(*DATASET, _VSC) + f"""
+SELECT variant, '16way' AS task, {_cls_metrics('answer', 'gold', True)} FROM vpred GROUP BY variant
+UNION ALL
+SELECT variant, 'axes' AS task, {_cls_metrics('answer', 'gold', False)},
+       CAST(NULL AS DOUBLE) AS hit_3, CAST(NULL AS DOUBLE) AS hit_5, CAST(NULL AS DOUBLE) AS hit_10
+FROM vcomp GROUP BY variant"""
+
+RAW_RANK = """rr AS (
+  SELECT post_id, posts, type, rn, floor(floor(n * CAST(0.9 AS DOUBLE)) / 64) * 64 AS full_rows
+  FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(post_id AS VARCHAR) || ':split:2'), post_id) AS rn,
+               count(*) OVER () AS n FROM posts)),
+bt AS (SELECT post_id, posts, type, CAST((rn - 1) // 64 AS BIGINT) AS batch_id,
+              CAST((rn - 1) % 64 AS INTEGER) AS pos
+       FROM rr WHERE rn <= full_rows)"""
+ORACLE["batches"] = with_(*BASE, RAW_RANK) + "SELECT post_id, batch_id, pos FROM bt"
+TOKROWS = """tr AS (
+  SELECT post_id, type, list_transform(list_slice(string_split(posts, ' '), 1, 64),
+                                       lambda w: CAST(length(w) + 1 AS BIGINT)) AS ids
+  FROM posts)"""
+ORACLE["padded_batches"] = with_(*BASE, RAW_RANK, TOKROWS) + """,
+pb AS (SELECT bt.post_id, bt.batch_id, tr.ids, max(len(tr.ids)) OVER (PARTITION BY bt.batch_id) AS mx
+       FROM bt JOIN tr ON tr.post_id = bt.post_id),
+pd AS (SELECT post_id, batch_id,
+              list_concat(ids, list_transform(range(mx - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded
+       FROM pb)
+SELECT post_id, batch_id, array_to_string(padded, ' ') AS ids,
+       array_to_string(list_transform(padded, lambda x: x != 0), ' ') AS mask FROM pd"""
+ORACLE["padded_batches"] = ORACLE["padded_batches"].replace("FROM posts)),\nbt", "FROM posts)),\nbt")
+ORACLE["token_labels"] = with_(*BASE, TOKROWS) + """,
+ti AS (SELECT tr.post_id, len(tr.ids) AS plen,
+              list_concat(tr.ids, [CAST(c.idx + 1000 AS BIGINT)]) AS input_ids
+       FROM tr JOIN classes c ON upper(c.name) = tr.type),
+tl AS (SELECT post_id, input_ids,
+              list_transform(input_ids, lambda x, i: CASE WHEN i <= plen THEN CAST(-100 AS BIGINT) ELSE x END) AS labels
+       FROM ti)
+SELECT post_id, array_to_string(labels, ' ') AS labels,
+       len(list_filter(input_ids, lambda x: x != 0)) AS n_nonpad,
+       array_to_string(labels[2:], ' ') AS shifted,
+       len(list_filter(labels, lambda x: x != -100)) AS n_supervised
+FROM tl"""
+EPOCH = """ez AS (
+  SELECT bt.post_id, bt.batch_id, e.epoch, c.idx, lower(bt.type) = c.name AS is_gold,
+         CAST((bt.post_id * (31 + 17 * c.idx) + 7 * c.idx * c.idx) % 101 AS DOUBLE) / 10
+           + CASE WHEN lower(bt.type) = c.name THEN CAST(e.epoch AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z
+  FROM bt CROSS JOIN classes c CROSS JOIN (VALUES (1), (2), (3)) e(epoch)),
+em AS (SELECT *, exp(z - max(z) OVER (PARTITION BY post_id, epoch)) AS ex FROM ez),
+ep AS (SELECT *, ex / sum(ex) OVER (PARTITION BY post_id, epoch) AS p FROM em),
+rowloss AS (SELECT epoch, batch_id, post_id,
+                   ln(sum(exp(p))) - max(CASE WHEN is_gold THEN p END) AS ce
+            FROM ep GROUP BY epoch, batch_id, post_id),
+bl AS (SELECT epoch, batch_id, avg(ce) AS loss FROM rowloss GROUP BY epoch, batch_id),
+el AS (SELECT epoch, round(avg(loss), 9) AS loss, round(exp(avg(loss)), 9) AS perplexity
+       FROM bl GROUP BY epoch)"""
+ORACLE["epoch_perplexity"] = with_(*BASE, RAW_RANK, EPOCH) + "SELECT epoch, loss, perplexity FROM el"
+ORACLE["run_summary"] = with_(*BASE, RAW_RANK, EPOCH) + """
+SELECT round(avg(perplexity), 9) AS avg_train_prep, round(avg(loss), 9) AS avg_train_loss,
+       count(*) AS epochs FROM el"""
+ORACLE["running_transcript"] = """
+SELECT conv_id AS session_id, turn,
+       array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS transcript
+FROM conversations"""
+ORACLE["marker_sessions"] = """
+SELECT user_id, event_id,
+       CAST(coalesce(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts, event_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_no
+FROM events"""

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from tetrad import dims
 from tetrad.functions import arrays as A
 from tetrad.functions import text as T
-from tetrad.operators import metrics, sampling, scoring
+from tetrad.operators import batching, metrics, sampling, scoring, sessions
+from tetrad.operators import wordpiece as wp
 from tetrad.plans import fixtures as fx
+from tetrad.sources import datasets as ds_src
 from tetrad.sources import posts as posts_src
+from tetrad.session import scratch_path
+from tetrad.sources import vocab as vocab_src
 from tetrad.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +293,164 @@ def q_metrics_generation(spark, base):
 def q_generation_log(spark, base):
     g = fx.generations(spark, base)
     return g.select("post_id", T.with_gold("g", "gold").alias("log"))
+
+
+# --- vocabulary and tokens (S4, S5, F4, F5, T6) -----------------------------
+
+def en_docs(spark, base):
+    return read_table(spark, base, "documents").where(F.col("lang") == "en")
+
+
+def vocab_table(spark, base):
+    """The fixture vocabulary, built from the English documents and
+    checkpointed (small; read several times by the token jobs)."""
+    return vocab_src.build_vocab(en_docs(spark, base)).checkpoint()
+
+
+@query("vocab_lookup")
+def q_vocab_lookup(spark, base):
+    """Build, export as vocab.txt (S5), load back by line number."""
+    path = scratch_path(spark, f"vocab-{abs(hash(base))}")
+    vocab_src.export_vocab_text(vocab_table(spark, base), path)
+    return vocab_src.load_vocab_text(spark, path)
+
+
+@query("wordpiece_ids")
+def q_wordpiece_ids(spark, base):
+    v = vocab_table(spark, base)
+    words = wp.word_counts(en_docs(spark, base)).select("w")
+    t = wp.tokenize_words(words, v)
+    return t.select("w", A.join_ints("ids").alias("ids"))
+
+
+@query("encode_capped")
+def q_encode_capped(spark, base):
+    v = vocab_table(spark, base)
+    e = wp.encode_posts(fx.posts(spark, base), v)
+    return e.select("post_id", "n_ids", A.join_ints("ids").alias("ids"))
+
+
+@query("unk_rate")
+def q_unk_rate(spark, base):
+    v = vocab_table(spark, base)
+    docs = read_table(spark, base, "documents")
+    return wp.unk_rate(docs, v)
+
+
+# --- dataset variants on disk (S2, S3, J3, U2, A17) --------------------------
+
+@query("variant_slice")
+def q_variant_slice(spark, base):
+    """Write all variants partitioned by (variant, split) into the shared
+    folder (S2), read one back with partition pruning (S3)."""
+    path = scratch_path(spark, f"variants-{abs(hash(base))}")
+    ds_src.write_variants(sampling.dataset_variants(spark, fx.posts(spark, base)), path)
+    return ds_src.read_variant(spark, path, "bal", "train").select("post_id", "posts", "type")
+
+
+@query("split_anti")
+def q_split_anti(spark, base):
+    """Eval = all rows minus the training rows (J3/U2 as an anti join)."""
+    p = fx.post_types(spark, base)
+    train = _raw_split(spark, base, with_text=False).where(F.col("split") == "train").select("post_id")
+    return p.join(train, "post_id", "left_anti")
+
+
+@query("metrics_by_variant")
+def q_metrics_by_variant(spark, base):
+    """16-way and axis metrics of every dataset variant's eval split in one
+    aggregation per task (A17, M7)."""
+    v = sampling.dataset_variants(spark, fx.post_types(spark, base)).where(F.col("split") == "eval")
+    v = v.select("variant", "post_id", F.lower("type").alias("gold"))
+    probs = scoring.with_probs(v.withColumn("z", fx.score_logits(F.col("post_id"))))
+    rk = A.ranking_idx("p")
+    names = F.transform(rk, A.idx_to_name)
+    pred = probs.select("variant", "gold", A.idx_to_name(F.element_at(rk, 1)).alias("answer"),
+                        F.array_position(names, F.col("gold")).alias("gold_rank"))
+    m16 = metrics.classification_metrics(pred, groups=["variant"]).withColumn("task", F.lit("16way"))
+    ax = scoring.compose_axes(v.withColumn("p1", fx.axis_probs(F.col("post_id"))))
+    max_ = metrics.classification_metrics(ax, groups=["variant"], gold_rank=None) \
+        .withColumn("task", F.lit("axes"))
+    for k in metrics.HIT_KS:
+        max_ = max_.withColumn(f"hit_{k}", F.lit(None).cast("double"))
+    return m16.unionByName(max_)
+
+
+# --- batches, padding, labels, epoch loss (W3, W4, F6-F8, A14, A15) ----------
+
+BATCH = 64
+
+
+def _train_batches(df, spark, base, batch_size=BATCH):
+    """Batches over the training rows of the raw split: training rows are
+    the first floor(n * 0.9) in split-key order, so the batch ranks are the
+    split ranks themselves."""
+    keyed = df.withColumn("split_key", sampling.split_key())
+    n_train = keyed.agg(F.floor(F.count(F.lit(1)) * F.lit(sampling.TRAIN_RATIO)).alias("n"))
+    return batching.batches(keyed, "split_key", "post_id", batch_size, limit=n_train)
+
+
+@query("batches")
+def q_batches(spark, base):
+    b = _train_batches(fx.post_types(spark, base), spark, base)
+    return b.select("post_id", "batch_id", "pos")
+
+
+@query("padded_batches")
+def q_padded_batches(spark, base):
+    b = _train_batches(fx.token_rows(spark, base), spark, base)
+    p = batching.pad_batches(b)
+    return p.select("post_id", "batch_id", A.join_ints("padded").alias("ids"),
+                    A.join_ints("mask").alias("mask"))
+
+
+@query("token_labels")
+def q_token_labels(spark, base):
+    t = fx.token_rows(spark, base).join(
+        posts_src.with_label(fx.post_types(spark, base), spark).select("post_id", "target"), "post_id")
+    t = t.withColumn("tgt", F.array((F.col("target") + 1000).cast("bigint")))
+    out = batching.token_labels(t, "ids", "tgt")
+    return out.select("post_id", A.join_ints("labels").alias("labels"), "n_nonpad",
+                      A.join_ints("shifted").alias("shifted"), "n_supervised")
+
+
+EPOCHS = 3
+
+
+def _epoch_table(spark, base):
+    """Per-epoch batch losses of a synthetic training run: epoch e adds e to
+    the gold logit of the scores fixture; loss is the reference's
+    double-softmax cross-entropy; batches of 64, last partial one dropped."""
+    b = _train_batches(fx.post_types(spark, base), spark, base)
+    gidx = (F.array_position(dims.class_name_array(), F.lower("type")) - 1).cast("int")
+    rows = b.select("batch_id", gidx.alias("_g"), fx.score_logits(F.col("post_id")).alias("z"),
+                    F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
+    ze = F.transform("z", lambda x, i: x + F.when(i == F.col("_g"), F.col("epoch").cast("double"))
+                     .otherwise(F.lit(0.0)))
+    rows = rows.withColumn("p", A.softmax(ze))
+    per_batch = rows.groupBy("epoch", "batch_id").agg(
+        F.avg(A.double_softmax_ce("p", F.col("_g"))).alias("loss"))
+    return metrics.epoch_loss(per_batch)
+
+
+@query("epoch_perplexity")
+def q_epoch_perplexity(spark, base):
+    return _epoch_table(spark, base)
+
+
+@query("run_summary")
+def q_run_summary(spark, base):
+    return metrics.run_summary(_epoch_table(spark, base))
+
+
+# --- transcript and sessions (W5, W6) ---------------------------------------
+
+@query("running_transcript")
+def q_running_transcript(spark, base):
+    return sessions.running_transcript(fx.utterances(spark, base))
+
+
+@query("marker_sessions")
+def q_marker_sessions(spark, base):
+    m = sessions.marker_sessions(fx.marked_events(spark, base))
+    return m.select("user_id", "event_id", "session_no")
