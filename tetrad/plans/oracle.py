@@ -435,3 +435,4 @@ SELECT user_id, event_id,
             OVER (PARTITION BY user_id ORDER BY ts, event_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_no
 FROM events"""
+ORACLE["stream_transcript"] = ORACLE["running_transcript"]

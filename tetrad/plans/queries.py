@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tetrad import dims
 from tetrad.functions import arrays as A
 from tetrad.functions import text as T
-from tetrad.operators import batching, metrics, sampling, scoring, sessions
+from tetrad.operators import batching, metrics, model, sampling, scoring, sessions
 from tetrad.operators import wordpiece as wp
 from tetrad.plans import fixtures as fx
 from tetrad.sources import datasets as ds_src
@@ -21,6 +21,7 @@ from tetrad.sources import posts as posts_src
 from tetrad.session import scratch_path
 from tetrad.sources import vocab as vocab_src
 from tetrad.sources.tables import read_table
+from tetrad.streaming import transcript
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -454,3 +455,86 @@ def q_running_transcript(spark, base):
 def q_marker_sessions(spark, base):
     m = sessions.marker_sessions(fx.marked_events(spark, base))
     return m.select("user_id", "event_id", "session_no")
+
+
+# --- models (M1-M3, M6, M7, S6) ------------------------------------------------
+
+def _labelled_split(spark, base):
+    s = sampling.train_eval_split(posts_src.with_label(fx.posts(spark, base), spark))
+    return model.with_model_input(s).withColumn("gold", T.normalize_label("type"))
+
+
+@query("train_score_16way")
+def q_train_score_16way(spark, base):
+    """Fit on the training split, score the eval split (M1, M3), rank."""
+    s = _labelled_split(spark, base)
+    m = model.fit_16way(s.where(F.col("split") == "train"))
+    scored = model.score_16way(m, s.where(F.col("split") == "eval"))
+    return scoring.predictions(scored).select("post_id", "gold", "answer", "confidence")
+
+
+@query("train_score_axes")
+def q_train_score_axes(spark, base):
+    """Four per-letter models over shared features (M2), composed (M4)."""
+    s = _labelled_split(spark, base)
+    feats, models = model.fit_axes(s.where(F.col("split") == "train"))
+    scored = model.score_axes(feats, models, s.where(F.col("split") == "eval"))
+    return scoring.compose_axes(scored).select("post_id", "gold", "bits", "answer")
+
+
+@query("train_log")
+def q_train_log(spark, base):
+    """Objective per iteration of the 16-way fit (M6), with loss and
+    perplexity per iteration (A14)."""
+    s = _labelled_split(spark, base)
+    m = model.fit_16way(s.where(F.col("split") == "train"))
+    return metrics.epoch_loss(model.log_frame(spark, model.training_log(m)))
+
+
+# --- streaming (R1-R4) -----------------------------------------------------------
+
+def _stage_utterances(spark, base, src):
+    """Drop the conversations into a source folder as three files (turn
+    ranges, oldest first) so the stream sees them in three triggers."""
+    u = fx.utterances(spark, base)
+    for lo, hi in ((0, 1), (2, 3), (4, 1 << 30)):
+        (u.where((F.col("turn") >= lo) & (F.col("turn") <= hi)).coalesce(1)
+         .write.mode("append").parquet(src))
+
+
+def _run_stream(spark, base, sink_fn):
+    import uuid
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    _stage_utterances(spark, base, f"{root}/src")
+    stream = transcript.running_transcript_stream(
+        transcript.read_utterances(spark, f"{root}/src"))
+    with transcript.bounded_run(spark):
+        q = sink_fn(stream.writeStream.option("checkpointLocation", f"{root}/ckpt"), f"{root}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_transcript")
+def q_stream_transcript(spark, base):
+    """The streaming running transcript (R1); equals ``running_transcript``."""
+    out = _run_stream(spark, base, lambda w, path: w.format("parquet").trigger(availableNow=True)
+                      .start(path))
+    return out.select("session_id", "turn", "transcript")
+
+
+@query("stream_top5")
+def q_stream_top5(spark, base):
+    """Re-score the transcript after every utterance and keep the best five
+    classes (R2, T3), per micro-batch with ``foreachBatch``."""
+    s = _labelled_split(spark, base)
+    m = model.fit_16way(s.where(F.col("split") == "train"))
+
+    def sink(w, path):
+        def score(batch, epoch_id):
+            inp = batch.withColumn("model_input", T.plain_input("transcript"))
+            p = model.score_16way(m, inp, keep=("session_id", "turn"))
+            top = scoring.ranked_long(p, id_col="session_id", k=5)
+            top.write.mode("append").parquet(path)
+        return w.foreachBatch(score).trigger(availableNow=True).start()
+
+    return _run_stream(spark, base, sink)
