@@ -21,10 +21,20 @@ def array_sum(a: Column) -> Column:
 
 
 def softmax(z: str | Column) -> Column:
-    """exp(z - max) / sum(exp(z - max)) over one array."""
+    """exp(z - max) / sum(exp(z - max)) over one array.
+
+    Written as nested ``aggregate`` calls so the max and the sum are
+    computed once per row (an outer helper column referenced inside a
+    lambda would be re-evaluated for every element)."""
     z = _c(z)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / array_sum(e))
+    neg_inf = F.lit(float("-inf")).cast("double")
+
+    def with_max(m):
+        e = F.transform(z, lambda x: F.exp(x - m))
+        return F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x,
+                           lambda s: F.transform(z, lambda x: F.exp(x - m) / s))
+
+    return F.aggregate(z, neg_inf, lambda a, x: F.greatest(a, x), with_max)
 
 
 def ranking_idx(p: str | Column) -> Column:
@@ -81,11 +91,7 @@ def pad_to(ids: str | Column, length: Column, pad_id: int = 0) -> Column:
     """Right-pad an id array to ``length``."""
     ids = _c(ids)
     n = F.greatest(length - F.size(ids), F.lit(0))
-    return F.concat(ids, F.array_repeat(F.lit(pad_id).cast(ids_type(ids)), n))
-
-
-def ids_type(ids: Column) -> str:
-    return "bigint"
+    return F.concat(ids, F.array_repeat(F.lit(pad_id).cast("bigint"), n))
 
 
 def attention_mask(padded: str | Column, pad_id: int = 0) -> Column:

@@ -15,21 +15,18 @@ from tetrad.functions import arrays as A
 from tetrad.operators.rank import exact_rank
 
 
-def batches(df: DataFrame, key: str, tie: str, batch_size: int, limit: DataFrame | None = None,
+def batches(df: DataFrame, key: str, tie: str, batch_size: int, ratio: float = 1.0,
             digits: int = 3) -> DataFrame:
-    """Add ``batch_id`` and ``pos`` (0-based within the batch); keep only full
-    batches (drop_last). ``limit`` is an optional one-row frame with column
-    ``n`` = rows eligible for batching (default: all rows of ``df``)."""
-    ranked = exact_rank(df, key, tie, digits=digits, rank_col="_rank")
-    if limit is None:
-        limit = df.agg(F.count(F.lit(1)).alias("n"))
-    full = limit.select(((F.col("n") / batch_size).cast("long") * batch_size).alias("_full"),
-                        F.lit(0).alias("_g"))
-    out = (ranked.withColumn("_g", F.lit(0)).join(F.broadcast(full), "_g")
-           .where(F.col("_rank") <= F.col("_full")))
+    """Add ``batch_id`` and ``pos`` (0-based within the batch) over the first
+    floor(n * ratio) rows in (key, tie) order, keeping only full batches
+    (drop_last). The row count comes from the rank's own bucket table."""
+    ranked = exact_rank(df, key, tie, digits=digits, rank_col="_rank", total_col="_n")
+    eligible = F.floor(F.col("_n").cast("double") * F.lit(float(ratio)))
+    full = (eligible / batch_size).cast("long") * batch_size
+    out = ranked.where(F.col("_rank") <= full)
     return (out.withColumn("batch_id", ((F.col("_rank") - 1) / batch_size).cast("long"))
             .withColumn("pos", ((F.col("_rank") - 1) % batch_size).cast("int"))
-            .drop("_g", "_full", "_rank"))
+            .drop("_n", "_rank"))
 
 
 def pad_batches(df: DataFrame, ids: str = "ids", batch: str = "batch_id",

@@ -60,33 +60,50 @@ def bucket_offsets(keys: DataFrame, key: str, groups: Sequence[str], digits: int
 
 
 def exact_rank(df: DataFrame, key: str, tie: str, groups: Sequence[str] = (),
-               digits: int = 3, rank_col: str = "rank") -> DataFrame:
+               digits: int = 3, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in (key, tie) order
-    within ``groups``. ``key`` must be a hex string column (see
-    :func:`hash_key`); ``groups`` must be a bounded dimension."""
-    offsets = bucket_offsets(df.select(*groups, key), key, groups, digits).drop("_n")
+    within ``groups`` (and, with ``total_col``, the group's row count).
+    ``key`` must be a hex string column (see :func:`hash_key`); ``groups``
+    must be a bounded dimension. The bucket table is checkpointed (tiny)."""
+    groups = list(groups)
+    offsets = bucket_offsets(df.select(*groups, key), key, groups, digits)
+    offsets = offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))) \
+        .drop("_n").checkpoint()
     w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
-    return (df.withColumn(BUCKET, bucket_of(key, digits))
-            .join(F.broadcast(offsets), [*groups, BUCKET])
-            .withColumn(rank_col, F.col("_before") + F.row_number().over(w))
-            .drop(BUCKET, "_before"))
+    out = (df.withColumn(BUCKET, bucket_of(key, digits))
+           .join(F.broadcast(offsets), [*groups, BUCKET])
+           .withColumn(rank_col, F.col("_before") + F.row_number().over(w)))
+    if total_col:
+        out = out.withColumnRenamed("_total", total_col)
+    return out.drop(BUCKET, "_before", "_total")
 
 
-def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame,
+def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
                  groups: Sequence[str], digits: int = 3) -> DataFrame:
     """Decision table for keeping the first ``cut`` rows per group.
 
-    ``keys`` holds the groups, key and tie columns (ids only); ``cut`` one
-    row per group with a ``cut`` column. Returns ``(groups, _bkt, _state,
-    _thr_key, _thr_tie)`` with ``_state`` in all / edge (buckets wholly
-    above the cut are left out); at most one edge row per group.
+    ``keys`` holds the groups, key and tie columns (ids only). ``cut`` is
+    either a small frame with one row per group (groups + ``cut``) or a
+    ratio: cut = floor(rows in the group * ratio). Returns ``(groups, _bkt,
+    _state, _thr_key, _thr_tie)`` with ``_state`` in all / edge (buckets
+    wholly above the cut are left out); at most one edge row per group.
+
+    The table is tiny (< groups x 16**digits rows) and is checkpointed to
+    the shared checkpoint folder: computed once, read by a broadcast.
     """
-    offsets = bucket_offsets(keys, key, groups, digits).join(F.broadcast(cut), list(groups))
+    groups = list(groups)
+    offsets = bucket_offsets(keys, key, groups, digits)
+    if isinstance(cut, DataFrame):
+        offsets = offsets.join(F.broadcast(cut), groups)
+    else:
+        total = F.sum("_n").over(Window.partitionBy(*groups))
+        offsets = offsets.withColumn("cut", F.floor(total.cast("double") * F.lit(float(cut)))
+                                     .cast("long"))
     state = (F.when(F.col("_before") + F.col("_n") <= F.col("cut"), F.lit("all"))
              .when(F.col("_before") >= F.col("cut"), F.lit("none"))
              .otherwise(F.lit("edge")))
-    offsets = offsets.select(*groups, BUCKET, "_before", "cut", state.alias("_state")) \
-        .where(F.col("_state") != "none")
+    offsets = (offsets.select(*groups, BUCKET, "_before", "cut", state.alias("_state"))
+               .where(F.col("_state") != "none")).checkpoint()
     edge = offsets.where(F.col("_state") == "edge")
     w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
     thr = (keys.withColumn(BUCKET, bucket_of(key, digits))
@@ -94,7 +111,8 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame,
            .withColumn("_rn", F.row_number().over(w))
            .where(F.col("_rn") == F.col("cut") - F.col("_before"))
            .select(*groups, BUCKET, F.col(key).alias("_thr_key"), F.col(tie).alias("_thr_tie")))
-    return offsets.select(*groups, BUCKET, "_state").join(thr, [*groups, BUCKET], "left")
+    return (offsets.select(*groups, BUCKET, "_state")
+            .join(F.broadcast(thr), [*groups, BUCKET], "left")).checkpoint()
 
 
 def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,
@@ -102,8 +120,12 @@ def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,
     """Keep (or, with ``flag_col``, flag) the rows selected by a
     :func:`cut_decision`. One broadcast join; no shuffle of ``df``."""
     how = "left" if flag_col else "inner"
-    j = df.withColumn(BUCKET, bucket_of(key, digits)).join(
-        F.broadcast(decision), [*groups, BUCKET], how)
+    bkt = bucket_of(key, digits)
+    if not groups:
+        # a single global group: the decision is keyed by bucket only
+        j = df.withColumn(BUCKET, bkt).join(F.broadcast(decision), [BUCKET], how)
+    else:
+        j = df.withColumn(BUCKET, bkt).join(F.broadcast(decision), [*groups, BUCKET], how)
     keep = ((F.col("_state") == "all")
             | ((F.col("_state") == "edge")
                & ((F.col(key) < F.col("_thr_key"))
@@ -115,21 +137,17 @@ def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,
     return j.drop(BUCKET, "_state", "_thr_key", "_thr_tie")
 
 
-def first_n(df: DataFrame, key: str, tie: str, cut: DataFrame, groups: Sequence[str] = (),
+def first_n(df: DataFrame, key: str, tie: str, cut: DataFrame | float, groups: Sequence[str] = (),
             digits: int = 3, flag_col: str | None = None,
             keys: DataFrame | None = None) -> DataFrame:
-    """Keep (or flag) the first ``cut`` rows per group in (key, tie) order.
+    """Keep (or flag) the first ``cut`` rows per group in (key, tie) order;
+    ``cut`` is a per-group frame or a ratio of each group's size.
 
     ``keys`` may give a narrow (ids-only) version of ``df`` to plan on;
     by default the needed columns of ``df`` are used, which column pruning
     turns into a narrow scan.
     """
     groups = list(groups)
-    if not groups:  # one global group: a constant key instead of a cross join
-        df, cut, groups = df.withColumn("_g", F.lit(0)), cut.withColumn("_g", F.lit(0)), ["_g"]
-        if keys is not None:
-            keys = keys.withColumn("_g", F.lit(0))
     k = (keys if keys is not None else df).select(*groups, key, tie)
     decision = cut_decision(k, key, tie, cut, groups, digits)
-    out = apply_cut(df, key, tie, decision, groups, digits, flag_col)
-    return out.drop("_g") if "_g" in out.columns else out
+    return apply_cut(df, key, tie, decision, groups, digits, flag_col)

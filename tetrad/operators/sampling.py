@@ -18,7 +18,7 @@ broadcast; rows are never sorted whole (see :mod:`tetrad.operators.rank`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad import dims
@@ -47,11 +47,10 @@ def resample_plan(posts: DataFrame, prior: DataFrame) -> DataFrame:
         F.col("real_frac").isNull(),
         F.raise_error(F.concat(F.lit("no prior for type "), F.col("type")))
     ).otherwise(F.col("real_frac")).cast("double"))
-    # one-row scalar, joined on a constant key (the plan is 16 rows)
-    mx = (j.agg(F.floor(F.min(F.col("posts").cast("double") / F.col("real_frac")))
-                .cast("long").alias("maximal_count"))
-          .withColumn("_g", F.lit(0)))
-    return (j.withColumn("_g", F.lit(0)).join(F.broadcast(mx), "_g").drop("_g")
+    # the plan has one row per class (16): a window over all of it is cheap
+    mx = F.floor(F.min(F.col("posts").cast("double") / F.col("real_frac"))
+                 .over(Window.partitionBy())).cast("long")
+    return (j.withColumn("maximal_count", mx)
             .withColumn("sample_cnt",
                         F.floor(F.col("real_frac") * F.col("maximal_count").cast("double"))
                         .cast("long")))
@@ -79,10 +78,7 @@ def train_eval_split(df: DataFrame, ratio: float = TRAIN_RATIO, seed: int = DEFA
     of each group (smallest ``md5('<id>:split:<seed>')``), else 'eval'.
     Adds ``split_key``. Not ``randomSplit`` (inexact, partition dependent)."""
     keyed = df.withColumn("split_key", split_key(id_col, seed))
-    n = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    cut = n.select(*groups, F.floor(F.col("_n").cast("double") * F.lit(float(ratio)))
-                   .cast("long").alias("cut"))
-    out = first_n(keyed, "split_key", id_col, cut, groups=list(groups), digits=digits,
+    out = first_n(keyed, "split_key", id_col, float(ratio), groups=list(groups), digits=digits,
                   flag_col="_train")
     return (out.withColumn("split", F.when(F.col("_train"), F.lit("train"))
                            .otherwise(F.lit("eval"))).drop("_train"))

@@ -387,8 +387,7 @@ def _train_batches(df, spark, base, batch_size=BATCH):
     the first floor(n * 0.9) in split-key order, so the batch ranks are the
     split ranks themselves."""
     keyed = df.withColumn("split_key", sampling.split_key())
-    n_train = keyed.agg(F.floor(F.count(F.lit(1)) * F.lit(sampling.TRAIN_RATIO)).alias("n"))
-    return batching.batches(keyed, "split_key", "post_id", batch_size, limit=n_train)
+    return batching.batches(keyed, "split_key", "post_id", batch_size, ratio=sampling.TRAIN_RATIO)
 
 
 @query("batches")
@@ -426,9 +425,9 @@ def _epoch_table(spark, base):
     gidx = (F.array_position(dims.class_name_array(), F.lower("type")) - 1).cast("int")
     rows = b.select("batch_id", gidx.alias("_g"), fx.score_logits(F.col("post_id")).alias("z"),
                     F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
-    ze = F.transform("z", lambda x, i: x + F.when(i == F.col("_g"), F.col("epoch").cast("double"))
-                     .otherwise(F.lit(0.0)))
-    rows = rows.withColumn("p", A.softmax(ze))
+    rows = rows.withColumn("ze", F.transform("z", lambda x, i: x + F.when(
+        i == F.col("_g"), F.col("epoch").cast("double")).otherwise(F.lit(0.0))))
+    rows = rows.withColumn("p", A.softmax("ze"))
     per_batch = rows.groupBy("epoch", "batch_id").agg(
         F.avg(A.double_softmax_ce("p", F.col("_g"))).alias("loss"))
     return metrics.epoch_loss(per_batch)

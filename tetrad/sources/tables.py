@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, base: str, name: str, spread: bool = True) -> DataFrame:
     """One Parquet table ``<base>/<name>.parquet``. Column pruning and
-    predicate pushdown are left to the optimizer: select only what you use."""
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    predicate pushdown are left to the optimizer: select only what you use.
+
+    A file with fewer splits (row groups) than the cluster has cores would
+    run all per-row work (regex tokenization, hashing) in a few tasks. Only
+    then the rows are spread round-robin over ``defaultParallelism`` tasks;
+    filters and column pruning still reach the scan. A large input already
+    has more splits than cores and is read as is, with no extra shuffle.
+    """
+    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
+    return df
