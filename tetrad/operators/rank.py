@@ -45,6 +45,14 @@ def hash_key(id_col: str | Column, seed: int | str, salt: str = "") -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(f":{salt}{seed}")))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Cache a table that is small by construction (bucket counts,
+    decisions: at most groups x 16**digits rows) so that every plan that
+    refers to it reads it once computed; a lost block is recomputed from its
+    short lineage."""
+    return df.cache()
+
+
 def bucket_of(key: str, digits: int) -> Column:
     return F.substring(F.col(key), 1, digits)
 
@@ -64,11 +72,11 @@ def exact_rank(df: DataFrame, key: str, tie: str, groups: Sequence[str] = (),
     """Add ``rank_col`` = 1-based position of each row in (key, tie) order
     within ``groups`` (and, with ``total_col``, the group's row count).
     ``key`` must be a hex string column (see :func:`hash_key`); ``groups``
-    must be a bounded dimension. The bucket table is checkpointed (tiny)."""
+    must be a bounded dimension."""
     groups = list(groups)
     offsets = bucket_offsets(df.select(*groups, key), key, groups, digits)
-    offsets = offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))) \
-        .drop("_n").checkpoint()
+    offsets = small(offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
+                    .drop("_n"))
     w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
     out = (df.withColumn(BUCKET, bucket_of(key, digits))
            .join(F.broadcast(offsets), [*groups, BUCKET])
@@ -88,8 +96,8 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
     _state, _thr_key, _thr_tie)`` with ``_state`` in all / edge (buckets
     wholly above the cut are left out); at most one edge row per group.
 
-    The table is tiny (< groups x 16**digits rows) and is checkpointed to
-    the shared checkpoint folder: computed once, read by a broadcast.
+    The table is tiny (< groups x 16**digits rows), cached and broadcast:
+    however often a plan refers to it, the ids are aggregated once.
     """
     groups = list(groups)
     offsets = bucket_offsets(keys, key, groups, digits)
@@ -102,8 +110,8 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
     state = (F.when(F.col("_before") + F.col("_n") <= F.col("cut"), F.lit("all"))
              .when(F.col("_before") >= F.col("cut"), F.lit("none"))
              .otherwise(F.lit("edge")))
-    offsets = (offsets.select(*groups, BUCKET, "_before", "cut", state.alias("_state"))
-               .where(F.col("_state") != "none")).checkpoint()
+    offsets = small(offsets.select(*groups, BUCKET, "_before", "cut", state.alias("_state"))
+                    .where(F.col("_state") != "none"))
     edge = offsets.where(F.col("_state") == "edge")
     w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
     thr = (keys.withColumn(BUCKET, bucket_of(key, digits))
@@ -111,8 +119,8 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
            .withColumn("_rn", F.row_number().over(w))
            .where(F.col("_rn") == F.col("cut") - F.col("_before"))
            .select(*groups, BUCKET, F.col(key).alias("_thr_key"), F.col(tie).alias("_thr_tie")))
-    return (offsets.select(*groups, BUCKET, "_state")
-            .join(F.broadcast(thr), [*groups, BUCKET], "left")).checkpoint()
+    return small(offsets.select(*groups, BUCKET, "_state")
+                 .join(F.broadcast(thr), [*groups, BUCKET], "left"))
 
 
 def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,

@@ -50,19 +50,29 @@ def word_counts(docs: DataFrame, text_col: str = "text", groups: tuple = ()) ->
 
 
 def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
-                   max_chars: int = MAX_CHARS, ids: dict | None = None) -> DataFrame:
-    """``(w, ids ARRAY<INT>, unk BOOLEAN)`` for distinct words.
+                   max_chars: int = MAX_CHARS, ids: dict | None = None,
+                   carry: tuple = ()) -> DataFrame:
+    """``(w, carry..., ids ARRAY<INT>, unk BOOLEAN)`` for distinct words
+    (distinct on ``(w, carry...)``; ``carry`` columns such as a count ride
+    along, so no join back is needed).
 
     One broadcast join and one aggregation by word; the chain is a single
     ``aggregate`` over the word's matches sorted by (start, -length), so the
     first match at a start is the longest one."""
     ids = ids or vocab_ids(vocab)
     maxlen, unk = int(ids["maxlen"]), int(ids["unk"])
-    base = words.select(F.col(word_col).alias("w")).where(F.col("w").isNotNull())
+    base = words.select(F.col(word_col).alias("w"), *carry).where(F.col("w").isNotNull())
+    # the candidates below are ~50x the words: spread the words by hash before
+    # exploding (AQE would coalesce a small word table into very few tasks);
+    # the aggregation by word then reuses this partitioning - no extra shuffle
+    spark = words.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    base = base.repartition(parts, "w")
     n = F.length("w")
     starts = F.when(n <= max_chars, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    cand = (base.select("w", F.explode_outer(starts).alias("s"))
-            .select("w", "s", F.explode_outer(F.sequence(
+    cand = (base.select("w", *carry, F.explode_outer(starts).alias("s"))
+            .select("w", *carry, "s", F.explode_outer(F.sequence(
                 F.lit(1), F.least(F.length("w") - F.col("s"), F.lit(maxlen)))).alias("l")))
     piece = F.when(F.col("s") == 0, F.expr("substring(w, 1, l)")) \
         .otherwise(F.concat(F.lit("##"), F.expr("substring(w, s + 1, l)")))
@@ -70,7 +80,7 @@ def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
     hits = cand.withColumn("piece", piece).join(v, "piece", "left")
     entry = F.when(F.col("id").isNotNull(),
                    F.struct(F.col("s"), (-F.col("l")).alias("nl"), F.col("id")))
-    per_word = hits.groupBy("w").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    per_word = hits.groupBy("w", *carry).agg(F.array_sort(F.collect_list(entry)).alias("m"))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("ids"),
                     F.lit(True).alias("ok"))
 
@@ -86,8 +96,9 @@ def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
         good = acc["ok"] & (acc["pos"] == F.length("w"))
         return F.when(good, acc["ids"]).otherwise(F.array(F.lit(unk)))
 
-    out = per_word.select("w", F.aggregate("m", init, step, finish).alias("ids"))
-    return out.select("w", "ids", ((F.size("ids") == 1) & (F.element_at("ids", 1) == unk)).alias("unk"))
+    out = per_word.select("w", *carry, F.aggregate("m", init, step, finish).alias("ids"))
+    return out.select("w", *carry, "ids",
+                      ((F.size("ids") == 1) & (F.element_at("ids", 1) == unk)).alias("unk"))
 
 
 def attach_ids(tokens: DataFrame, word_ids: DataFrame, counts: DataFrame,
@@ -121,8 +132,10 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
         toks = F.slice(toks, 1, limit)
     exploded = posts.select(id_col, F.posexplode(toks).alias("pos", "w"))
     counts = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    words = tokenize_words(counts.select("w"), vocab, ids=ids)
-    joined = attach_ids(exploded, words, counts, hot)
+    # the tokenized dictionary feeds both the hot (broadcast) and the cold
+    # (shuffle) join; both share its aggregation shuffle
+    words = tokenize_words(counts, vocab, ids=ids, carry=("n",))
+    joined = attach_ids(exploded, words.drop("n"), words.select("w", "n"), hot)
     per_post = joined.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
     flat = F.flatten(F.transform("_p", lambda x: x["ids"]))
@@ -138,10 +151,9 @@ def unk_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
              groups: tuple = ("lang",)) -> DataFrame:
     """Share of words that become [UNK], per group (F5 re-aimed). Token
     counts are aggregated per (group, word) first, so hot words collapse to
-    one row each before any join."""
+    one row each before tokenization; counts ride along, no join back."""
     wc = word_counts(docs, text_col, groups)
-    words = tokenize_words(wc.select("w").distinct(), vocab)
-    j = wc.join(words, "w")
+    j = tokenize_words(wc, vocab, carry=(*groups, "n"))
     return j.groupBy(*groups).agg(
         F.sum("n").alias("n_words"),
         F.sum(F.when(F.col("unk"), F.col("n")).otherwise(0)).alias("n_unk"),

@@ -303,9 +303,10 @@ def en_docs(spark, base):
 
 
 def vocab_table(spark, base):
-    """The fixture vocabulary, built from the English documents and
-    checkpointed (small; read several times by the token jobs)."""
-    return vocab_src.build_vocab(en_docs(spark, base)).checkpoint()
+    """The fixture vocabulary, built from the English documents. Small by
+    nature and read by several jobs (special ids, the broadcast join), so it
+    is cached; a lost block is rebuilt from its lineage."""
+    return vocab_src.build_vocab(en_docs(spark, base)).cache()
 
 
 @query("vocab_lookup")

@@ -66,3 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/tables/{name}"
+
+
+def materialize(df, name: str = "t"):
+    """Write ``df`` once as Parquet into the shared checkpoint folder and
+    read it back: cuts the lineage (survives executor loss, unlike a cache)
+    and computes the plan once - ``DataFrame.checkpoint()`` runs it twice
+    unless persisted first. The read-back table has exact size statistics,
+    so the planner can decide broadcasts on real sizes."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

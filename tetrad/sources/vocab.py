@@ -46,8 +46,8 @@ def build_vocab(docs: DataFrame, text_col: str = "text", n_words: int = 400,
     TakeOrderedAndProject steps.
     """
     tok = docs.select(F.explode(T.basic_tokens(text_col)).alias("t"))
-    # read by five branches below: written once to the checkpoint folder
-    counts = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    # read by five branches below; they share one aggregation shuffle
+    counts = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     chars = (counts.select(F.explode(F.split("t", "")).alias("piece")).distinct()
              .where(F.length("piece") == 1))
     words = (counts.where(F.length("t") > 1).orderBy(F.desc("n"), "t").limit(n_words)
