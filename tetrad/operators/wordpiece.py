@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tetrad import dims
 from tetrad.functions import text as T
+from tetrad.session import materialize
 
 MAX_CHARS = 100
 HOT_WORDS = 20000
@@ -132,9 +133,9 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
         toks = F.slice(toks, 1, limit)
     exploded = posts.select(id_col, F.posexplode(toks).alias("pos", "w"))
     counts = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # the tokenized dictionary feeds both the hot (broadcast) and the cold
-    # (shuffle) join; both share its aggregation shuffle
-    words = tokenize_words(counts, vocab, ids=ids, carry=("n",))
+    # the tokenized dictionary feeds the hot list, the hot (broadcast) and the
+    # cold (shuffle) join: written once to the shared checkpoint folder
+    words = materialize(tokenize_words(counts, vocab, ids=ids, carry=("n",)), "words")
     joined = attach_ids(exploded, words.drop("n"), words.select("w", "n"), hot)
     per_post = joined.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
