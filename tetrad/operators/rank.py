@@ -86,13 +86,14 @@ def exact_rank(df: DataFrame, key: str, tie: str, groups: Sequence[str] = (),
     return out.drop(BUCKET, "_before", "_total")
 
 
-def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
+def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | int | float,
                  groups: Sequence[str], digits: int = 3) -> DataFrame:
     """Decision table for keeping the first ``cut`` rows per group.
 
-    ``keys`` holds the groups, key and tie columns (ids only). ``cut`` is
-    either a small frame with one row per group (groups + ``cut``) or a
-    ratio: cut = floor(rows in the group * ratio). Returns ``(groups, _bkt,
+    ``keys`` holds the groups, key and tie columns (ids only). ``cut`` is a
+    small frame with one row per group (groups + ``cut``), an ``int`` (the
+    same count for every group) or a ``float`` ratio: cut = floor(rows in
+    the group * ratio). Returns ``(groups, _bkt,
     _state, _thr_key, _thr_tie)`` with ``_state`` in all / edge (buckets
     wholly above the cut are left out); at most one edge row per group.
 
@@ -101,8 +102,12 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | float,
     """
     groups = list(groups)
     offsets = bucket_offsets(keys, key, groups, digits)
+    if isinstance(cut, DataFrame) and not groups:
+        cut = int(cut.first()["cut"])   # one number, no keyless join
     if isinstance(cut, DataFrame):
         offsets = offsets.join(F.broadcast(cut), groups)
+    elif isinstance(cut, int):
+        offsets = offsets.withColumn("cut", F.lit(cut).cast("long"))
     else:
         total = F.sum("_n").over(Window.partitionBy(*groups))
         offsets = offsets.withColumn("cut", F.floor(total.cast("double") * F.lit(float(cut)))
@@ -145,7 +150,8 @@ def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,
     return j.drop(BUCKET, "_state", "_thr_key", "_thr_tie")
 
 
-def first_n(df: DataFrame, key: str, tie: str, cut: DataFrame | float, groups: Sequence[str] = (),
+def first_n(df: DataFrame, key: str, tie: str, cut: DataFrame | int | float,
+            groups: Sequence[str] = (),
             digits: int = 3, flag_col: str | None = None,
             keys: DataFrame | None = None) -> DataFrame:
     """Keep (or flag) the first ``cut`` rows per group in (key, tie) order;

@@ -10,7 +10,8 @@ once:
 
 1. distinct words (aggregate with map-side combine);
 2. every (start, length) piece of each word up to the longest vocabulary
-   piece, joined with the broadcast vocabulary (bounded: a model vocab);
+   piece, joined with the vocabulary - broadcast when its counted size is
+   below ``VOCAB_BROADCAST_MAX`` rows, shuffle-joined otherwise;
 3. per word (a group of at most ``max_chars`` starts) the longest match per
    start, then a left-to-right ``aggregate`` over the starts chains them.
 
@@ -32,15 +33,25 @@ from tetrad.session import materialize
 
 MAX_CHARS = 100
 HOT_WORDS = 20000
+# largest vocabulary that is broadcast; a bigger one is shuffle-joined
+VOCAB_BROADCAST_MAX = 2_000_000
+
+
+_IDS: dict = {}
 
 
 def vocab_ids(vocab: DataFrame) -> dict:
-    """Ids of the special tokens and the longest piece length (one small
-    aggregate over the bounded vocabulary)."""
+    """Ids of the special tokens, the longest piece length and the size (one
+    small aggregate over the vocabulary; remembered per cached vocabulary)."""
+    if vocab.is_cached and id(vocab) in _IDS:
+        return _IDS[id(vocab)]
     row = vocab.agg(
         *[F.max(F.when(F.col("piece") == s, F.col("id"))).alias(n)
           for n, s in (("pad", dims.PAD), ("unk", dims.UNK), ("cls", dims.CLS), ("sep", dims.SEP))],
-        F.max(F.length(F.regexp_replace("piece", "^##", ""))).alias("maxlen")).first()
+        F.max(F.length(F.regexp_replace("piece", "^##", ""))).alias("maxlen"),
+        F.count(F.lit(1)).alias("size")).first()
+    if vocab.is_cached:
+        _IDS[id(vocab)] = row.asDict()
     return row.asDict()
 
 
@@ -77,7 +88,9 @@ def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
                 F.lit(1), F.least(F.length("w") - F.col("s"), F.lit(maxlen)))).alias("l")))
     piece = F.when(F.col("s") == 0, F.expr("substring(w, 1, l)")) \
         .otherwise(F.concat(F.lit("##"), F.expr("substring(w, s + 1, l)")))
-    v = F.broadcast(vocab.select("piece", F.col("id").cast("int").alias("id")))
+    v = vocab.select("piece", F.col("id").cast("int").alias("id"))
+    if int(ids.get("size", VOCAB_BROADCAST_MAX + 1)) <= VOCAB_BROADCAST_MAX:
+        v = F.broadcast(v)       # size checked above; otherwise a shuffle join
     hits = cand.withColumn("piece", piece).join(v, "piece", "left")
     entry = F.when(F.col("id").isNotNull(),
                    F.struct(F.col("s"), (-F.col("l")).alias("nl"), F.col("id")))

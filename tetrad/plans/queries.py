@@ -302,11 +302,18 @@ def en_docs(spark, base):
     return read_table(spark, base, "documents").where(F.col("lang") == "en")
 
 
+_VOCABS: dict = {}
+
+
 def vocab_table(spark, base):
-    """The fixture vocabulary, built from the English documents. Small by
-    nature and read by several jobs (special ids, the broadcast join), so it
-    is cached; a lost block is rebuilt from its lineage."""
-    return vocab_src.build_vocab(en_docs(spark, base)).cache()
+    """The fixture vocabulary, built from the English documents. It plays the
+    reference's vocab.txt - a dimension loaded once - so it is built once per
+    session and input folder and cached (a lost block is rebuilt from its
+    lineage); the token queries share it."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _VOCABS:
+        _VOCABS[key] = vocab_src.build_vocab(en_docs(spark, base)).cache()
+    return _VOCABS[key]
 
 
 @query("vocab_lookup")
