@@ -93,7 +93,9 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | int | flo
     ``keys`` holds the groups, key and tie columns (ids only). ``cut`` is a
     small frame with one row per group (groups + ``cut``), an ``int`` (the
     same count for every group) or a ``float`` ratio: cut = floor(rows in
-    the group * ratio). Returns ``(groups, _bkt,
+    the group * ratio). A cut frame may carry extra key columns (e.g. one
+    cut per prior variant and class): the bucket counts are shared and the
+    decision is keyed by the extra columns too. Returns ``(groups, _bkt,
     _state, _thr_key, _thr_tie)`` with ``_state`` in all / edge (buckets
     wholly above the cut are left out); at most one edge row per group.
 
@@ -104,7 +106,9 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | int | flo
     offsets = bucket_offsets(keys, key, groups, digits)
     if isinstance(cut, DataFrame) and not groups:
         cut = int(cut.first()["cut"])   # one number, no keyless join
+    extra = []
     if isinstance(cut, DataFrame):
+        extra = [c for c in cut.columns if c not in groups and c != "cut"]
         offsets = offsets.join(F.broadcast(cut), groups)
     elif isinstance(cut, int):
         offsets = offsets.withColumn("cut", F.lit(cut).cast("long"))
@@ -115,17 +119,18 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | int | flo
     state = (F.when(F.col("_before") + F.col("_n") <= F.col("cut"), F.lit("all"))
              .when(F.col("_before") >= F.col("cut"), F.lit("none"))
              .otherwise(F.lit("edge")))
-    offsets = small(offsets.select(*groups, BUCKET, "_before", "cut", state.alias("_state"))
+    offsets = small(offsets.select(*extra, *groups, BUCKET, "_before", "cut", state.alias("_state"))
                     .where(F.col("_state") != "none"))
     edge = offsets.where(F.col("_state") == "edge")
-    w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
+    w = Window.partitionBy(*extra, *groups, BUCKET).orderBy(F.col(key), F.col(tie))
     thr = (keys.withColumn(BUCKET, bucket_of(key, digits))
-           .join(F.broadcast(edge), [*groups, BUCKET])          # ~1/16**digits of ids
+           .join(F.broadcast(edge), [*groups, BUCKET])   # ~1/16**digits of ids, per cut
            .withColumn("_rn", F.row_number().over(w))
            .where(F.col("_rn") == F.col("cut") - F.col("_before"))
-           .select(*groups, BUCKET, F.col(key).alias("_thr_key"), F.col(tie).alias("_thr_tie")))
-    return small(offsets.select(*groups, BUCKET, "_state")
-                 .join(F.broadcast(thr), [*groups, BUCKET], "left"))
+           .select(*extra, *groups, BUCKET, F.col(key).alias("_thr_key"),
+                   F.col(tie).alias("_thr_tie")))
+    return small(offsets.select(*extra, *groups, BUCKET, "_state")
+                 .join(F.broadcast(thr), [*extra, *groups, BUCKET], "left"))
 
 
 def apply_cut(df: DataFrame, key: str, tie: str, decision: DataFrame,

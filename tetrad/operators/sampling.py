@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad import dims
-from tetrad.operators.rank import KEY, first_n, hash_key
+from tetrad.operators.rank import KEY, apply_cut, cut_decision, first_n, hash_key
 
 DEFAULT_SEED = 2
 TRAIN_RATIO = 0.9
@@ -68,6 +68,31 @@ def resample(posts: DataFrame, prior: DataFrame, seed: int = DEFAULT_SEED,
     return first_n(keyed, KEY, id_col, plan, groups=["type"], digits=digits)
 
 
+def resample_variants(posts: DataFrame, priors: DataFrame, seed: int = DEFAULT_SEED,
+                      id_col: str = "post_id", digits: int = 3) -> DataFrame:
+    """W1 for several priors at once: ``priors (variant, type, real_frac)``.
+
+    All variants draw with the same key, so the per-(class, bucket) counts
+    and the edge-bucket sort are shared; the decision table is keyed by
+    (variant, class, bucket). Each post is offered once per variant (a fan
+    out by the number of priors) and kept by one broadcast join."""
+    counts = class_counts(posts)
+    j = counts.join(F.broadcast(priors.select("variant", "type", "real_frac")), "type", "left")
+    j = j.withColumn("real_frac", F.when(
+        F.col("real_frac").isNull(),
+        F.raise_error(F.concat(F.lit("no prior for type "), F.col("type")))
+    ).otherwise(F.col("real_frac")).cast("double"))
+    mx = F.floor(F.min(F.col("posts").cast("double") / F.col("real_frac"))
+                 .over(Window.partitionBy("variant"))).cast("long")
+    cuts = j.select("variant", "type", F.floor(F.col("real_frac") * mx.cast("double"))
+                    .cast("long").alias("cut"))
+    keyed = posts.withColumn(KEY, hash_key(id_col, seed))
+    decision = cut_decision(keyed.select("type", KEY, id_col), KEY, id_col, cuts, ["type"], digits)
+    names = [r["variant"] for r in priors.select("variant").distinct().collect()]  # a few names
+    fan = keyed.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in sorted(names)])))
+    return apply_cut(fan, KEY, id_col, decision, ["variant", "type"], digits)
+
+
 def split_key(id_col: str = "post_id", seed: int = DEFAULT_SEED):
     return hash_key(id_col, seed, salt="split:")
 
@@ -89,9 +114,6 @@ def dataset_variants(spark: SparkSession, posts: DataFrame, seed: int = DEFAULT_
     """All three dataset variants with their split (E1, U3):
     ``variant`` in raw / bal / prop, ``split`` in train / eval."""
     raw = posts.withColumn("variant", F.lit("raw"))
-    parts = [raw]
-    for v in ("bal", "prop"):
-        sample = resample(posts, dims.priors(spark, v), seed=seed, id_col=id_col).drop(KEY)
-        parts.append(sample.withColumn("variant", F.lit(v)))
-    allv = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sampled = resample_variants(posts, dims.priors(spark), seed=seed, id_col=id_col).drop(KEY)
+    allv = raw.unionByName(sampled)
     return train_eval_split(allv, ratio=ratio, seed=seed, id_col=id_col, groups=("variant",))
