@@ -96,3 +96,27 @@ def test_metrics_bounds(spark):
     m = Q.q_metrics_axes(spark, SF_MID).first()
     for c in ("accuracy", "mean_match", "letter_0", "letter_1", "letter_2", "letter_3"):
         assert 0 <= m[c] <= 100
+
+
+def test_resample_variants_equals_one_prior_at_a_time(spark):
+    p = fx.post_types(spark, SF_MID)
+    both = sampling.resample_variants(p, dims.priors(spark)).select("variant", "post_id")
+    for v in ("bal", "prop"):
+        one = sampling.resample(p, dims.priors(spark, v)).select("post_id")
+        mine = both.where(F.col("variant") == v).select("post_id")
+        assert one.exceptAll(mine).count() == 0 and mine.exceptAll(one).count() == 0
+
+
+def test_marker_sessions_with_a_hot_user(spark):
+    """A third of all events belong to one user: the two-level count still
+    equals the plain per-user running sum."""
+    from pyspark.sql import Window
+    from tetrad.operators import sessions
+    e = fx.marked_events(spark, SF_MID).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    got = sessions.marker_sessions(e).select("event_id", "session_no")
+    w = (Window.partitionBy("user_id").orderBy("ts", "event_id")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    want = e.select("event_id", F.coalesce(F.sum(F.col("is_stop").cast("long")).over(w),
+                                            F.lit(0)).alias("session_no"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()

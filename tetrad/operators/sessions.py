@@ -49,9 +49,12 @@ def running_count(df: DataFrame, part: Sequence[str], order: Sequence[str], flag
 
 def marker_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts",
                     tie: str = "event_id", stop: str = "is_stop",
-                    block_seconds: int = 3600) -> DataFrame:
+                    block_seconds: int = 60) -> DataFrame:
     """Session number of each event (W6): the count of stop markers strictly
-    before it in (ts, tie) order - START begins, STOP clears."""
+    before it in (ts, tie) order - START begins, STOP clears. Blocks are
+    ``block_seconds`` long (default one minute): a user's rows are split
+    over its active minutes, and the per-(user, minute) totals are at most
+    as many as the rows."""
     # any monotone function of ts works as a block; NTZ is read as session time
     blk = (F.unix_seconds(F.col(ts).cast("timestamp")) / block_seconds).cast("long")
     df = events.withColumn("_blk", blk)
