@@ -545,3 +545,28 @@ def q_stream_top5(spark, base):
         return w.foreachBatch(score).trigger(availableNow=True).start()
 
     return _run_stream(spark, base, sink)
+
+
+@query("train_metrics_by_variant")
+def q_train_metrics_by_variant(spark, base):
+    """Train on each dataset variant, evaluate on its eval split, compare
+    (M7, A17): one fit per variant - a loop over three names on the driver,
+    each fit a Spark job - then one grouped metrics aggregation. The
+    variants are written once, partitioned by (variant, split) (S2), and
+    every fit reads only its own folder (S3)."""
+    import uuid
+    path = scratch_path(spark, f"variants-{uuid.uuid4().hex}")
+    ds = posts_src.with_label(sampling.dataset_variants(spark, fx.posts(spark, base)), spark)
+    ds_src.write_variants(ds.select("variant", "split", "post_id", "posts", "type", "target"), path)
+
+    def load(v, split):
+        d = ds_src.read_variant(spark, path, v, split)
+        return model.with_model_input(d).withColumn("gold", T.normalize_label("type"))
+
+    parts = []
+    for v in ("raw", "bal", "prop"):
+        m = model.fit_16way(load(v, "train"), max_iter=10)
+        scored = model.score_16way(m, load(v, "eval"))
+        parts.append(scoring.predictions(scored).withColumn("variant", F.lit(v)))
+    pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return metrics.classification_metrics(pred, groups=["variant"])
