@@ -541,7 +541,8 @@ def q_stream_top5(spark, base):
             inp = batch.withColumn("model_input", T.plain_input("transcript"))
             p = model.score_16way(m, inp, keep=("session_id", "turn"))
             top = scoring.ranked_long(p, id_col="session_id", k=5)
-            top.write.mode("append").parquet(path)
+            # one folder per micro-batch, overwritten on replay: idempotent
+            top.write.mode("overwrite").parquet(f"{path}/batch={epoch_id}")
         return w.foreachBatch(score).trigger(availableNow=True).start()
 
     return _run_stream(spark, base, sink)
