@@ -117,10 +117,11 @@ def test_wordpiece_equals_greedy_loop(spark):
 def test_encode_posts_keeps_order_and_caps(spark):
     pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "b", "##b"]
     vocab = spark.createDataFrame(list(zip(pieces, range(len(pieces)))), "piece string, id int")
-    posts = spark.createDataFrame([(1, "a b ab zz a"), (2, " ".join(["a"] * 600))],
-                                  "post_id long, posts string")
+    posts = spark.createDataFrame([(1, "a b ab zz a"), (2, " ".join(["a"] * 600)), (3, "  "),
+                                   (4, None)], "post_id long, posts string")
     got = {r.post_id: r.ids for r in wordpiece.encode_posts(posts, vocab).collect()}
     assert got[1] == [2, 4, 5, 4, 6, 1, 4, 3]
+    assert got[3] == [2, 3] and got[4] == [2, 3]
     assert len(got[2]) == 512 and got[2][0] == 2 and got[2][-1] == 3
 
 

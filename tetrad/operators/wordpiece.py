@@ -125,9 +125,12 @@ def attach_ids(tokens: DataFrame, word_ids: DataFrame, counts: DataFrame,
     hot_ids = F.broadcast(word_ids.join(F.broadcast(hot_w), "w").drop("_hot"))
     hot_ids = hot_ids.select("w", F.col("ids").alias("_hids"), F.col("unk").alias("_hunk"))
     t = tokens.join(hot_ids, "w", "left")
-    done = t.where(F.col("_hids").isNotNull()).withColumnRenamed("_hids", "ids") \
-        .withColumnRenamed("_hunk", "unk")
-    rest = t.where(F.col("_hids").isNull()).drop("_hids", "_hunk").join(word_ids, "w")
+    # hot words, and rows without a word (a text with no tokens), are done
+    done = (t.where(F.col("_hids").isNotNull() | F.col("w").isNull())
+            .withColumn("ids", F.coalesce("_hids", F.array().cast("array<int>")))
+            .withColumn("unk", F.coalesce("_hunk", F.lit(False))).drop("_hids", "_hunk"))
+    rest = (t.where(F.col("_hids").isNull() & F.col("w").isNotNull())
+            .drop("_hids", "_hunk").join(word_ids, "w"))
     return done.unionByName(rest)
 
 
@@ -144,17 +147,17 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
     toks = T.basic_tokens(text_col)
     if limit is not None:
         toks = F.slice(toks, 1, limit)
-    exploded = posts.select(id_col, F.posexplode(toks).alias("pos", "w"))
-    counts = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # outer: a text without tokens keeps one row (w null) and gets no ids
+    exploded = posts.select(id_col, F.posexplode_outer(toks).alias("pos", "w"))
+    counts = exploded.where(F.col("w").isNotNull()).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     # the tokenized dictionary feeds the hot list, the hot (broadcast) and the
     # cold (shuffle) join: written once to the shared checkpoint folder
     words = materialize(tokenize_words(counts, vocab, ids=ids, carry=("n",)), "words")
     joined = attach_ids(exploded, words.drop("n"), words.select("w", "n"), hot)
     per_post = joined.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-    flat = F.flatten(F.transform("_p", lambda x: x["ids"]))
-    out = posts.select(id_col).join(per_post, id_col, "left").select(
-        id_col, F.coalesce(flat, F.array().cast("array<int>")).alias("ids"))
+    # every post has at least one row, so no join back to the posts
+    out = per_post.select(id_col, F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))
     if limit is not None:
         out = out.withColumn("ids", F.concat(F.array(F.lit(int(ids["cls"]))), F.slice("ids", 1, limit),
                                              F.array(F.lit(int(ids["sep"])))))
