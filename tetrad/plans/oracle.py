@@ -436,3 +436,4 @@ SELECT user_id, event_id,
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_no
 FROM events"""
 ORACLE["stream_transcript"] = ORACLE["running_transcript"]
+ORACLE["csv_round_trip"] = with_(*BASE) + "SELECT posts, type FROM posts"

@@ -571,3 +571,13 @@ def q_train_metrics_by_variant(spark, base):
         parts.append(scoring.predictions(scored).withColumn("variant", F.lit(v)))
     pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return metrics.classification_metrics(pred, groups=["variant"])
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, base):
+    """Posts written as headered CSV and read back with the multi-line CSV
+    reader (S1): quotes, commas and newlines inside whole texts survive."""
+    import uuid
+    path = scratch_path(spark, f"posts-csv-{uuid.uuid4().hex}")
+    posts_src.write_posts_csv(fx.posts(spark, base).select("posts", "type"), path)
+    return posts_src.read_posts_csv(spark, path).select("posts", "type")

@@ -17,7 +17,9 @@ def write_variants(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     ``fmt='csv'`` writes headered CSV like the reference."""
     w = df.write.mode("overwrite").partitionBy("variant", "split")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
     else:
         w.parquet(path)
 

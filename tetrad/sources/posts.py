@@ -28,6 +28,14 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("post_id"), "posts", "type")
 
 
+def write_posts_csv(df: DataFrame, path: str) -> None:
+    """Headered CSV like the reference's files: quotes doubled, values kept
+    as they are (Spark trims leading/trailing spaces on write by default)."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
 def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str) -> DataFrame:
     """Convert once; later jobs read the splittable Parquet copy."""
     read_posts_csv(spark, csv_path).write.mode("overwrite").parquet(out_path)
