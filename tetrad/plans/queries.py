@@ -310,9 +310,20 @@ def vocab_table(spark, base):
     reference's vocab.txt - a dimension loaded once - so it is built once per
     session and input folder and cached (a lost block is rebuilt from its
     lineage); the token queries share it."""
+    return _vocab_inputs(spark, base)[1]
+
+
+def en_word_counts(spark, base):
+    """``(w, n)`` over the English documents - the vocabulary's input, shared
+    with the queries that tokenize the same words."""
+    return _vocab_inputs(spark, base)[0]
+
+
+def _vocab_inputs(spark, base):
     key = (spark.sparkContext.applicationId, base)
     if key not in _VOCABS:
-        _VOCABS[key] = vocab_src.build_vocab(en_docs(spark, base)).cache()
+        counts = wp.word_counts(en_docs(spark, base)).cache()
+        _VOCABS[key] = (counts, vocab_src.build_vocab(None, counts=counts).cache())
     return _VOCABS[key]
 
 
@@ -327,8 +338,7 @@ def q_vocab_lookup(spark, base):
 @query("wordpiece_ids")
 def q_wordpiece_ids(spark, base):
     v = vocab_table(spark, base)
-    words = wp.word_counts(en_docs(spark, base)).select("w")
-    t = wp.tokenize_words(words, v)
+    t = wp.tokenize_words(en_word_counts(spark, base).select("w"), v)
     return t.select("w", A.join_ints("ids").alias("ids"))
 
 

@@ -33,8 +33,8 @@ def export_vocab_text(vocab: DataFrame, path: str) -> None:
     vocab.orderBy("id").select("piece").coalesce(1).write.mode("overwrite").text(path)
 
 
-def build_vocab(docs: DataFrame, text_col: str = "text", n_words: int = 400,
-                n_endings: int = 60) -> DataFrame:
+def build_vocab(docs: DataFrame | None, text_col: str = "text", n_words: int = 400,
+                n_endings: int = 60, counts: DataFrame | None = None) -> DataFrame:
     """Vocabulary of a corpus: the 4 special tokens, every character seen in
     a basic token, '##' + every such character, the ``n_words`` most frequent
     basic tokens longer than one character, '##' + the ``n_endings`` most
@@ -43,11 +43,15 @@ def build_vocab(docs: DataFrame, text_col: str = "text", n_words: int = 400,
 
     The token counts are one aggregate with map-side combining (hot tokens
     collapse before the shuffle); the two top-k lists are bounded
-    TakeOrderedAndProject steps.
+    TakeOrderedAndProject steps. ``counts (w, n)`` may be given instead of
+    ``docs`` when the token counts are already at hand.
     """
-    tok = docs.select(F.explode(T.basic_tokens(text_col)).alias("t"))
-    # read by five branches below; they share one aggregation shuffle
-    counts = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    if counts is None:
+        tok = docs.select(F.explode(T.basic_tokens(text_col)).alias("t"))
+        # read by five branches below; they share one aggregation shuffle
+        counts = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = counts.select(F.col("w").alias("t"), "n")
     chars = (counts.select(F.explode(F.split("t", "")).alias("piece")).distinct()
              .where(F.length("piece") == 1))
     words = (counts.where(F.length("t") > 1).orderBy(F.desc("n"), "t").limit(n_words)
@@ -56,7 +60,7 @@ def build_vocab(docs: DataFrame, text_col: str = "text", n_words: int = 400,
                .groupBy(F.substring("t", -2, 2).alias("e")).agg(F.sum("n").alias("n"))
                .orderBy(F.desc("n"), "e").limit(n_endings)
                .select(F.concat(F.lit("##"), "e").alias("piece")))
-    spark = docs.sparkSession
+    spark = counts.sparkSession
     specials = spark.createDataFrame([(i, s) for i, s in enumerate(SPECIALS)], "k int, piece string")
     allp = (specials.select(F.lit(0).alias("kind"), F.col("k"), "piece")
             .unionByName(chars.select(F.lit(1).alias("kind"), F.lit(0).alias("k"), "piece"))
