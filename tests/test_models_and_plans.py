@@ -60,3 +60,32 @@ def test_split_scans_text_once(spark):
     plan = _plan(df)
     # the wide (text) side is joined with a broadcast decision table, never shuffled
     assert "BroadcastHashJoin" in plan
+
+
+def _executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_plan_has_no_sort_merge_join(spark):
+    plan = _executed(Q.q_train_eval_split(spark, SF_SMALL))
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_wordpiece_joins_vocabulary_by_broadcast(spark):
+    from tetrad.operators import wordpiece
+    v = Q.vocab_table(spark, SF_SMALL)
+    words = Q.en_word_counts(spark, SF_SMALL).select("w")
+    plan = _executed(wordpiece.tokenize_words(words, v))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_encode_posts_has_no_join_back_to_posts(spark):
+    from tetrad.operators import wordpiece
+    v = Q.vocab_table(spark, SF_SMALL)
+    df = wordpiece.encode_posts(fx.posts(spark, SF_SMALL), v)
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    # joins: hot-word broadcast, cold-word join; none on post_id
+    assert "post_id#" not in "".join(l for l in logical.splitlines() if "Join" in l)
