@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# (application, path) -> number of input splits; decided once per session
+_SPLITS: dict = {}
+
 
 def read_table(spark: SparkSession, base: str, name: str, spread: bool = True) -> DataFrame:
     """One Parquet table ``<base>/<name>.parquet``. Column pruning and
@@ -15,9 +18,13 @@ def read_table(spark: SparkSession, base: str, name: str, spread: bool = True) -
     filters and column pruning still reach the scan. A large input already
     has more splits than cores and is read as is, with no extra shuffle.
     """
-    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    path = f"{base.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     if spread:
         par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _SPLITS:
+            _SPLITS[key] = df.rdd.getNumPartitions()
+        if _SPLITS[key] < par:
             df = df.repartition(par)
     return df
