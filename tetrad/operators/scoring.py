@@ -51,7 +51,7 @@ def ranked_long(df: DataFrame, probs: str = "p", id_col: str = "post_id",
     if k is not None:
         rk = F.slice(rk, 1, k)
     out = df.select(id_col, F.col(probs).alias("_p"), F.posexplode(rk).alias("_pos", "idx"))
-    return out.select(id_col, (F.col("_pos") + 1).alias("rk"), "idx",
+    return out.select(id_col, (F.col("_pos") + 1).cast("long").alias("rk"), "idx",
                       A.idx_to_name(F.col("idx")).alias("name"),
                       F.element_at("_p", F.col("idx") + 1).alias("p"))
 

@@ -165,7 +165,7 @@ def _pct(cond: str) -> str:
 
 def _cls_metrics(a: str, g: str, hits: bool) -> str:
     m = _matches(a, g)
-    cols = [f"count(*) AS n", f"count_if({a} = {g}) AS correct",
+    cols = [f"count(*) AS n", f"CAST(count_if({a} = {g}) AS BIGINT) AS correct",
             f"{_pct(f'{a} = {g}')} AS accuracy",
             f"round(sum(coalesce(CAST({m} AS DOUBLE) / 4, CAST(0 AS DOUBLE))) / count(*) * 100, 6)"
             f" AS mean_match"]
@@ -192,7 +192,7 @@ ORACLE["hit_at_k"] = with_(*SC) + (
     + " FROM preds")
 ORACLE["metrics_16way"] = with_(*SC) + f"SELECT {_cls_metrics('answer', 'gold', True)} FROM preds"
 ORACLE["match_histogram"] = with_(*SC) + f"""
-SELECT k.k, count_if(m.m = k.k) AS exactly_k_correct,
+SELECT k.k, CAST(count_if(m.m = k.k) AS BIGINT) AS exactly_k_correct,
        round(count_if(m.m = k.k) / max(t.n) * 100, 6) AS rate
 FROM (VALUES (0), (1), (2), (3), (4)) k(k)
 CROSS JOIN (SELECT {_matches('answer', 'gold')} AS m FROM preds) m
@@ -234,7 +234,7 @@ e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS j FROM embeddi
 lg AS (SELECT e.vec_id, w.idx, sum(CAST(e.x AS DOUBLE) * w.w) AS logit
        FROM e JOIN w ON w.j = e.j GROUP BY e.vec_id, w.idx),
 ex AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS ex FROM lg)
-SELECT vec_id, idx, round(logit, 6) AS logit,
+SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(logit, 6) AS logit,
        round(ex / sum(ex) OVER (PARTITION BY vec_id), 9) AS p FROM ex"""
 
 # --- generation output -------------------------------------------------------
@@ -333,14 +333,15 @@ enc AS (
 capped AS (
   SELECT p.post_id, list_concat([2], list_slice(coalesce(e.ids, CAST([] AS INTEGER[])), 1, 510), [3]) AS ids
   FROM posts p LEFT JOIN enc e ON e.post_id = p.post_id)
-SELECT post_id, len(ids) AS n_ids, array_to_string(ids, ' ') AS ids FROM capped""")
+SELECT post_id, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ' ') AS ids FROM capped""")
 ORACLE["unk_rate"] = "WITH RECURSIVE " + VOCAB + r""",
 dtok AS (SELECT lang, lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS w FROM documents),
 dwc AS (SELECT lang, w, count(*) AS n FROM dtok GROUP BY lang, w),
 dl AS (SELECT DISTINCT w FROM dwc),
 """ + wordpiece_ctes("dl") + """
-SELECT c.lang, sum(c.n) AS n_words, sum(CASE WHEN wp.unk THEN c.n ELSE 0 END) AS n_unk,
-       sum(c.n * len(wp.ids)) AS n_ids,
+SELECT c.lang, CAST(sum(c.n) AS BIGINT) AS n_words,
+       CAST(sum(CASE WHEN wp.unk THEN c.n ELSE 0 END) AS BIGINT) AS n_unk,
+       CAST(sum(c.n * len(wp.ids)) AS BIGINT) AS n_ids,
        round(sum(CASE WHEN wp.unk THEN c.n ELSE 0 END) / sum(c.n), 9) AS unk_rate
 FROM dwc c JOIN wp ON wp.w = c.w GROUP BY c.lang"""
 
@@ -403,9 +404,9 @@ tl AS (SELECT post_id, input_ids,
               list_transform(input_ids, lambda x, i: CASE WHEN i <= plen THEN CAST(-100 AS BIGINT) ELSE x END) AS labels
        FROM ti)
 SELECT post_id, array_to_string(labels, ' ') AS labels,
-       len(list_filter(input_ids, lambda x: x != 0)) AS n_nonpad,
+       CAST(len(list_filter(input_ids, lambda x: x != 0)) AS INTEGER) AS n_nonpad,
        array_to_string(labels[2:], ' ') AS shifted,
-       len(list_filter(labels, lambda x: x != -100)) AS n_supervised
+       CAST(len(list_filter(labels, lambda x: x != -100)) AS INTEGER) AS n_supervised
 FROM tl"""
 EPOCH = """ez AS (
   SELECT bt.post_id, bt.batch_id, e.epoch, c.idx, lower(bt.type) = c.name AS is_gold,
