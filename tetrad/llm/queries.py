@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tetrad.llm import exactdedup, mixing, pieces, tokencount
+from tetrad.llm import exactdedup, mixing, pieces, suffixlm, tokencount
 from tetrad.llm.common import documents
 
 
@@ -18,8 +18,12 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark, sf_dir):
+    return suffixlm.score_documents(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exactdedup.duplicate_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op6_token_counts, op7_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_sentencepiece, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup)}
