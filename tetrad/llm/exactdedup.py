@@ -121,6 +121,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         "fp", "sha", "n", (-F.col("b.neg")).alias("keep_id"),
         F.when(F.col("n_texts") == 1, -F.col("b.neg_row"))
         .otherwise(F.raise_error(F.lit("different texts share a SHA-256"))).alias("keep_row"))
+    groups = materialize(groups, "exact-groups")     # then the join below can split a hot group's rows
     alone = F.col("n").isNull()
     return keys.join(groups, ["fp", "sha"], "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -135,7 +136,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     The dropped (doc_id, text) pairs go by an anti join; where a kept pair is
     itself repeated, one of its rows stays.
     """
-    out = materialize(duplicate_groups(docs), "exact-groups")
+    out = materialize(duplicate_groups(docs), "exact-rows")
     key = ["_k_id", "_k_sha"]
     ids = out.select(F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1]), "kept", "group_size")
     per = ids.filter("group_size > 1").groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
