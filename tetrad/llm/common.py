@@ -12,6 +12,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the column as text, mod ``m`` (a null counts as empty text)."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tetrad.llm import exactdedup, mixing, pieces, suffixlm, tokencount
-from tetrad.llm.common import documents
+from tetrad.llm import exactdedup, langid, licenses, mixing, pieces, suffixlm, tokencount, toxicity
+from tetrad.llm.common import documents, labels
+
+
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
+def op3_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_token_counts(spark, sf_dir):
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -26,4 +38,4 @@ def op9_exact_dedup(spark, sf_dir):
     return exactdedup.duplicate_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup)}
