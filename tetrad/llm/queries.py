@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tetrad.llm import exactdedup, langid, licenses, mixing, pieces, suffixlm, tokencount, toxicity
+from tetrad.llm import exactdedup, jaccard, langid, licenses, mixing, pieces, suffixlm, tokencount, toxicity
 from tetrad.llm.common import documents, labels
 
 
@@ -38,4 +38,8 @@ def op9_exact_dedup(spark, sf_dir):
     return exactdedup.duplicate_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup)}
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.join_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup, op10_ngram_jaccard)}
