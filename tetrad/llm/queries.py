@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tetrad.llm import exactdedup, jaccard, langid, licenses, mixing, pieces, suffixlm, tokencount, toxicity
+from tetrad.llm import ann, exactdedup, jaccard, langid, licenses, mixing, pieces, suffixlm, tokencount, toxicity
 from tetrad.llm.common import documents, labels
 
 
+def op1_cross_polytope(spark, sf_dir):
+    return ann.nearest_of_every(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.scan_documents(documents(spark, sf_dir))
 
@@ -42,4 +46,4 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.join_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup, op10_ngram_jaccard)}
