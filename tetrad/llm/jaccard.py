@@ -14,11 +14,11 @@ have is emitted as it is; a frequent one is replaced by the narrower keys
 (segment, partner) and (segment, partner less one element). The choice depends on
 the key alone, so both sets of a link make the same one, and no link is lost.
 
-Sets with a common key are candidates. Of each candidate group the links to its
-smallest member are verified first; then all pairs of the group that are not yet
-in one component. Candidates are checked by size and by the parity bitmaps of
-their sets (their distance never exceeds the true one), then exactly on the sets
-of 64-bit shingle hashes. Equal sets are one class from the start.
+Sets with a common key are candidates. Each class is first compared with the one
+first member that it shares most groups with; then all pairs of a group that are
+not yet in one component, if their sizes and the parity bitmaps of their sets
+(whose distance never exceeds the true one) allow a link. Links are verified
+exactly, on the sets of 64-bit shingle hashes. Equal sets are one class from the start.
 
 Defined cases: null and empty texts, and texts without words, have an empty set
 and no link. With fewer words than a shingle the whole sequence is the one
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from tetrad.session import materialize
 
 U = np.uint64
 #: a key that fewer sets share is emitted as it is
-FREQUENT = 32
+FREQUENT = 8
 #: cells of the key counts: as many as half the keys, within these limits
 CELLS = (1 << 16, 1 << 30)
 BITMAP = 1024
@@ -143,25 +144,44 @@ def _known(batches, rule: Rule):
                     "bits": pa.array([r.tobytes() for r in bits], pa.binary())})
 
 
+class _Seen:
+    """Which sets of a task are new: each class is taken once."""
+
+    def __init__(self):
+        self.old, self.fresh = np.zeros(0, U), []
+
+    def new(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if len(self.fresh) > 64:
+            self.old, self.fresh = np.unique(np.concatenate([self.old, *self.fresh])), []
+        new = ~W.find(self.old, a)[1] & (np.diff(at) > 0)
+        for f in self.fresh:
+            new &= ~np.isin(a, f)
+        _, once = np.unique(a, return_index=True)
+        first = np.zeros(len(a), bool)
+        first[once] = True
+        new &= first
+        self.fresh.append(a[new])
+        return new
+
+
 def _first_seen(batches, rule: Rule):
-    """(set, class) arrays of the sets of a task, each class once."""
-    seen = np.zeros(0, U)
-    fresh: list[np.ndarray] = []
+    """(sets, documents, begins, classes, which are new) of a task's slices."""
+    seen = _Seen()
     for b in batches:
         for _, _, data, offsets in W.slices(b.column("text"), SLICE):
             s, doc, at = sets(data, offsets, rule.n)
             a, _ = identity(s, at)
-            if len(fresh) > 64:
-                seen, fresh = np.unique(np.concatenate([seen, *fresh])), []
-            new = ~W.find(seen, a)[1] & (np.diff(at) > 0)
-            for f in fresh:
-                new &= ~np.isin(a, f)
-            _, once = np.unique(a, return_index=True)
-            first = np.zeros(len(a), bool)
-            first[once] = True
-            new &= first
-            fresh.append(a[new])
-            yield s, doc, at, a, new
+            yield s, doc, at, a, seen.new(a, at)
+
+
+def _texts_seen(batches, rule: Rule):
+    """(lower-cased bytes, offsets, classes, which are new) of a task's slices."""
+    seen = _Seen()
+    for b in batches:
+        for _, _, data, offsets in W.slices(b.column("text"), SLICE):
+            s, _, at = sets(data, offsets, rule.n)
+            a, _ = identity(s, at)
+            yield W.LOWER[data], offsets, a, seen.new(a, at)
 
 
 def segment_keys(s, doc, at, rule: Rule, rows: np.ndarray):
@@ -321,28 +341,59 @@ def candidate_groups(docs: DataFrame, rule: Rule, bits, buckets: int) -> DataFra
         .groupBy("bucket").applyInArrow(group, "members array<long>").distinct()
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) whose sizes and bitmaps allow a link."""
-    def side(name):
-        return classes.select(F.col("class").alias(name), F.col("size").alias("size_" + name), F.col("bits").alias("bits_" + name))
-
-    def check(batches):
-        for p in batches:
-            a, b = (p.column(c).to_numpy() for c in ("size_a", "size_b"))
-            ok = rule.den * np.minimum(a, b) >= rule.num * np.maximum(a, b)
-            x, y = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, BITMAP // 8) for c in ("bits_a", "bits_b"))
-            ok &= np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= rule.differing(a, b)
-            yield pa.record_batch({c: p.column(c).filter(pa.array(ok)) for c in ("a", "b")})
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+def _allowed(a_size, b_size, a_bits, b_bits, rule: Rule) -> np.ndarray:
+    """Whether sizes and bitmaps (rows of bytes) allow a link."""
+    ok = rule.den * np.minimum(a_size, b_size) >= rule.num * np.maximum(a_size, b_size)
+    return ok & (np.bitwise_count(a_bits ^ b_bits).sum(1, dtype=np.int64) <= rule.differing(a_size, b_size))
+
+
+def _cross_pairs(batches, rule: Rule):
+    """Pairs of a group's members that are in different components and that
+    sizes and bitmaps allow."""
+    for batch in batches:
+        g = batch.column("g")
+        cuts, flat = g.offsets.to_numpy(), g.flatten()
+        node, root, size = (flat.field(c).to_numpy() for c in ("c", "root", "size"))
+        bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint8).reshape(-1, BITMAP // 8)
+        cuts = cuts - cuts[0]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            found = []
+            for i in range(x, y - 1):
+                j = i + 1 + np.flatnonzero(root[i + 1:y] != root[i])
+                j = j[_allowed(size[i], size[j], bits[i], bits[j], rule)]
+                found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+            u, v = (np.concatenate(z) for z in zip(*found))
+            if len(u):
+                yield pa.record_batch({"a": pa.array(u), "b": pa.array(v)})
+
+
+def open_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None, rule: Rule) -> DataFrame:
+    """Possible pairs (a, b) of the groups that are not in one component yet."""
+    member = groups.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("c"))
+    if roots is None:
+        member = member.withColumn("root", F.col("c"))
+    else:
+        member = member.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        split = member.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("id")
+        member = member.join(split, "id", "left_semi")
+    member = member.join(classes.select(F.col("class").alias("c"), "size", "bits"), "c")
+    return member.groupBy("id").agg(F.collect_list(F.struct("c", "root", "size", "bits")).alias("g")).select("g") \
+        .mapInArrow(lambda it: _cross_pairs(it, rule), "a long, b long").distinct()
+
+
+def best_pairs(groups: DataFrame) -> DataFrame:
+    """One pair (a, b) for every class that is not the first of all its groups:
+    with the first member that it shares most groups with."""
+    stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b"))
+    n = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of classes that are linked, by their whole sets."""
-    def bit(c):
-        return F.pmod(c, F.lit(FETCH_BITS))
-
+    """The pairs of classes that are linked, by their whole sets. A class's
+    words travel compressed, and its set is built again where it is compared."""
     spark = docs.sparkSession
-    need = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(bit("c").alias("bit")).distinct() \
+    need = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(FETCH_BITS)).alias("bit")).distinct() \
         .groupBy(F.shiftright("bit", 6).alias("word")) \
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).toArrow()
     wanted = np.zeros(FETCH_BITS // 64, np.int64)
@@ -350,50 +401,41 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     wanted = share(spark, wanted.view(U))
 
     def fetch(batches):
-        for s, _, at, a, new in _first_seen(batches, rule):
-            bit_ = (a.view(np.int64) % FETCH_BITS).astype(U)
-            rows = np.flatnonzero(new & ((wanted.value[(bit_ >> U(6)).astype(np.int64)] >> (bit_ & U(63)) & U(1)) == 1))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for data, offsets, a, new in _texts_seen(batches, rule):
+            bit = (a.view(np.int64) % FETCH_BITS).astype(U)
+            rows = np.flatnonzero(new & ((wanted.value[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1)) == 1))
             for x in range(0, len(rows), 256):
                 own = rows[x:x + 256]
                 yield pa.record_batch({"c": pa.array(a[own].view(np.int64)),
-                                       "s": pa.array([s[at[r]:at[r + 1]].tobytes() for r in own], pa.binary())})
+                                       "s": pa.array([pack(b" ".join(data[offsets[r]:offsets[r + 1]].tobytes().split()))
+                                                      for r in own], pa.binary())})
 
     found = docs.select("text").mapInArrow(fetch, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
-    found = materialize(found, "jaccard-sets")
+    found = materialize(found, "jaccard-words")
 
     def check(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        kept: dict[int, np.ndarray] = {}
+
+        def of(c, words):
+            if c not in kept:
+                if len(kept) >= 512:
+                    kept.clear()
+                text = np.frombuffer(unpack(words), np.uint8)
+                kept[c] = sets(text, np.array([0, len(text)]), rule.n)[0]
+            return kept[c]
         for p in batches:
             ok = []
-            for x, y in zip(p.column("x"), p.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+            for a, b, x, y in zip(*(p.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                x, y = of(a, x), of(b, y)
                 both = np.concatenate([x, y])
                 both.sort()
                 ok.append(rule.linked(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
             yield pa.record_batch({c: p.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
 
-    return pairs.join(found.select(F.col("c").alias("a"), F.col("s").alias("x")), "a") \
-        .join(found.select(F.col("c").alias("b"), F.col("s").alias("y")), "b").mapInArrow(check, "a long, b long")
-
-
-def _cross_pairs(batches):
-    """Pairs of a group's members in different components, but for those with
-    its first member."""
-    for b in batches:
-        a, c = [], []
-        for g in b.column("g").to_pylist():
-            node = np.array([x["c"] for x in g])
-            root = np.array([x["root"] for x in g])
-            order = np.argsort(node)
-            node, root = node[order], root[order]
-            for i in range(1, len(node) - 1):
-                other = node[i + 1:][root[i + 1:] != root[i]]
-                a.append(np.full(len(other), node[i]))
-                c.append(other)
-                if sum(map(len, a)) > 1 << 18:
-                    yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(c))})
-                    a, c = [], []
-        if a:
-            yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(c))})
+    return pairs.join(found.select(F.col("c").alias("b"), F.col("s").alias("y")), "b") \
+        .join(found.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").mapInArrow(check, "a long, b long")
 
 
 def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -411,19 +453,11 @@ def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     buckets = int(min(MAX_BUCKETS, max(16, expected // BUCKET_KEYS)))
     groups = materialize(candidate_groups(own, rule, bits, buckets), "jaccard-groups")
 
-    first = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
-    possible = materialize(_possible(first, classes, rule), "jaccard-possible")
-    links = materialize(verified(possible, own, rule), "jaccard-links")
+    # one pair of each class first: it joins most of what belongs together; then all pairs still open
+    pairs = materialize(best_pairs(groups), "jaccard-pairs")
+    links = materialize(verified(pairs, own, rule), "jaccard-links")
     roots = materialize(components(links), "jaccard-roots")
-
-    # groups that are not yet one component: their other pairs
-    member = groups.filter(F.size("members") > 2).withColumn("id", F.xxhash64("members")) \
-        .select("id", F.explode("members").alias("c")).join(roots.withColumnRenamed("node", "c"), "c", "left") \
-        .select("id", "c", F.coalesce("root", "c").alias("root"))
-    split = member.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("id")
-    rest = member.join(split, "id").groupBy("id").agg(F.collect_list(F.struct("c", "root")).alias("g")) \
-        .select("g").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    rest = materialize(_possible(rest, classes, rule), "jaccard-rest")
+    rest = materialize(open_pairs(groups, classes, roots, rule).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = materialize(verified(rest, own, rule), "jaccard-more")
         roots = materialize(components(links.union(more)), "jaccard-roots")
