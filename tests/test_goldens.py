@@ -72,20 +72,54 @@ def test_rejects_null_and_unknown(spark):
     assert {(r.post_id, r.type, r.target) for r in valid.collect()} == {(3, "ENFP", 11), (4, "ISTP", 5)}
 
 
-def test_csv_round_trip(spark, tmp_dir):
-    path = f"{tmp_dir}/posts.csv"
+def _csv(path, text):
     import os
-    os.makedirs(tmp_dir, exist_ok=True)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w") as f:
-        f.write('posts,type\n"hello, world",INTJ\n"two\nlines ""quoted""",ENFP\n,ISTP\n')
-    rows = posts_src.read_posts_csv(spark, path).orderBy("post_id").collect()
-    assert [(r.posts, r.type) for r in rows] == [
-        ("hello, world", "INTJ"), ('two\nlines "quoted"', "ENFP"), (None, "ISTP")]
-    assert len({r.post_id for r in rows}) == 3
-
-
-def _py_wordpiece(word, vocab, unk="[UNK]", max_chars=100):
-    if len(word) > max_chars:
+        f.write(text)
+
+
+def test_csv_fields(spark, tmp_dir):
+    _csv(f"{tmp_dir}/posts.csv", 'posts,type\n"hello, world",INTJ\n"two\nlines ""quoted""",ENFP\n,ISTP\nNA,ISTP\n'
+                                 'null,ESFP\nx,null\nNAN,INTP\n"hello, world",INTJ\n')
+    rows = posts_src.read_posts_csv(spark, f"{tmp_dir}/posts.csv").collect()
+    assert sorted((r.posts or "", r.type or "") for r in rows) == sorted([
+        ("hello, world", "INTJ"), ("hello, world", "INTJ"), ('two\nlines "quoted"', "ENFP"), ("", "ISTP"), ("", "ISTP"),
+        ("", "ESFP"), ("x", ""), ("NAN", "INTP")])
+    assert len({r.post_id for r in rows}) == 8
+
+
+def test_csv_ids_do_not_depend_on_files(spark, tmp_dir):
+    rows = [f'"post {i % 90}, text",INTJ' for i in range(120)]
+    _csv(f"{tmp_dir}/one/a.csv", "posts,type\n" + "\n".join(rows))
+    for k in range(3):
+        _csv(f"{tmp_dir}/three/{k}.csv", "posts,type\n" + "\n".join(rows[k::3]))
+    ids = [sorted((r.post_id, r.posts) for r in posts_src.read_posts_csv(spark, f"{tmp_dir}/{d}").collect()) for d in ("one", "three")]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 120
+
+
+def test_malformed_csv_rows_are_rejected(spark, tmp_dir):
+    _csv(f"{tmp_dir}/bad.csv", "posts,type\ngood,INTJ\nonly one field\na,b,c\n,ISTP\n")
+    valid, rej = posts_src.validate(posts_src.read_posts_csv(spark, f"{tmp_dir}/bad.csv"), spark)
+    assert [(r.posts, r.type) for r in valid.collect()] == [("good", "INTJ")]
+    assert sorted(r.reason for r in rej.collect()) == ["malformed", "malformed", "null_post"]
+    assert {"only one field", "a,b,c"} <= {r.posts for r in rej.collect()}
+
+
+def test_null_texts_are_neither_counted_nor_drawn(spark):
+    from tetrad.operators import sampling
+    rows = [(i, None if i % 2 else f"t{i}", dims.CLASS_NAMES[i % 16].upper() if i % 32 < 16 else dims.CLASS_NAMES[(i + 1) % 16].upper())
+            for i in range(640)]
+    posts = spark.createDataFrame(rows, "post_id long, posts string, type string")
+    ids = posts.select("post_id", "type", F.col("posts").isNotNull().alias("has_text"))
+    for f in (sampling.class_counts, lambda p: sampling.resample(p, dims.priors(spark, "bal")).select("post_id")):
+        assert sorted(f(posts).collect()) == sorted(f(ids).collect())
+    drawn = sampling.resample(posts, dims.priors(spark, "bal"))
+    assert drawn.where("posts is null").count() == 0
+
+
+def _py_wordpiece(word, vocab, unk="[UNK]", max_chars=None):
+    if max_chars is not None and len(word) > max_chars:
         return [unk]
     out, start = [], 0
     while start < len(word):
@@ -112,6 +146,60 @@ def test_wordpiece_equals_greedy_loop(spark):
     got = {r.w: [pieces[i] for i in r.ids] for r in wordpiece.tokenize_words(wdf, vocab).collect()}
     want = {w: _py_wordpiece(w, set(pieces)) for w in words}
     assert got == want
+    capped = {r.w: [pieces[i] for i in r.ids] for r in wordpiece.tokenize_words(wdf, vocab, max_chars=100).collect()}
+    assert capped == {w: _py_wordpiece(w, set(pieces), max_chars=100) for w in words}
+
+
+def test_alternating_vocabularies(spark):
+    """Facts of a vocabulary never come from another one."""
+    for k in range(6):
+        extra = ["zz" * (k + 1)]
+        pieces = ([f"pad{k}"] if k % 2 else []) + ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", *extra]
+        vocab = spark.createDataFrame(list(zip(pieces, range(len(pieces)))), "piece string, id int").cache()
+        facts = wordpiece.vocab_ids(vocab)
+        assert (facts["unk"], facts["size"], facts["maxlen"]) == (pieces.index("[UNK]"), len(pieces), max(map(len, pieces)))
+        got = wordpiece.tokenize_words(spark.createDataFrame([(extra[0],), ("q",)], "w string"), vocab).collect()
+        assert {r.w: r.ids for r in got} == {extra[0]: [len(pieces) - 1], "q": [pieces.index("[UNK]")]}
+        vocab.unpersist()
+
+
+def test_device_tokenizer(spark):
+    pieces = {"play": 0, "pl": 1, "##ing": 2, "##in": 3, "##a": 4, "##y": 5, "##g": 6, "go": 7}
+    f = wordpiece._device_word
+    assert f("play", pieces) == [0]
+    # play + ing; then pl + a + y + in: after a hit the whole remainder is not tried, so the g is left out
+    assert f("playing", pieces) == [0, 2, 1, 4, 5, 3]
+    assert f("xyz", pieces) == []                              # dropped
+    assert f("gog", pieces) == [7, 6]
+    assert f("going", pieces) == [7, 2]
+    vocab = spark.createDataFrame([(p, i) for p, i in pieces.items()], "piece string, id int")
+    df = spark.createDataFrame([("play xyz going", "s"), (None, "s"), ("xyz", "t")], "text string, source string")
+    got = {r.source: (r.n_words, r.n_ids, r.tokens_dropped) for r in wordpiece.device_rate(df, vocab, ids={"size": 8}).collect()}
+    assert got == {"s": (3, 3, 1), "t": (1, 0, 1)}
+
+
+def test_prompt_text(spark):
+    """The prompt, spelled out: the oracle takes it from the same function."""
+    text = dims.instruction(8)
+    assert text.startswith("## Instruction: Classify the [MBTI] of the given [Text].\n        [Text]\n        know intj tool use ")
+    assert text.endswith(" another freak realize\n        [MBTI]\n        intj\n        [Text]\n        ")
+
+
+def test_truncated_rows_lose_their_target(spark):
+    from tetrad.operators import batching
+    df = spark.createDataFrame([(1, [5] * 3, [7, 8]), (2, [5] * 6, [7, 8]), (3, [5] * 5, [7, 8])], "post_id long, p array<long>, t array<long>")
+    got = {r.post_id: (r.input_ids, r.labels, r.n_supervised) for r in batching.token_labels(df, "p", "t", max_length=6).collect()}
+    assert got == {1: ([5, 5, 5, 7, 8], [-100] * 3 + [7, 8], 2), 2: ([5] * 6, [-100] * 6, 0), 3: ([5] * 5 + [7], [-100] * 5 + [7], 1)}
+    b = batching.pad_batches(spark.createDataFrame([(1, [1, 2], [-100, 2]), (1, [3], [3])], "batch_id long, input_ids array<long>, labels array<long>"),
+                             "input_ids", labels="labels")
+    assert sorted((r.padded, r.padded_labels, r.mask) for r in b.collect()) == [([1, 2], [-100, 2], [True, True]), ([3, 0], [3, 0], [True, False])]
+
+
+def test_vocabulary_in_two_files_is_refused(spark, tmp_dir):
+    import pytest
+    spark.range(4, numPartitions=2).selectExpr("cast(id as string) AS p").write.text(f"{tmp_dir}/two")
+    with pytest.raises(ValueError):
+        vocab_src.load_vocab_text(spark, f"{tmp_dir}/two")
 
 
 def test_encode_posts_keeps_order_and_caps(spark):

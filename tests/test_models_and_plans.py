@@ -24,7 +24,8 @@ def test_model_save_load_same_scores(spark, tmp_dir):
     assert a.exceptAll(b).count() == 0
     sums = a.select(F.aggregate("p", F.lit(0.0), lambda x, y: x + y).alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in sums)
-    assert len(model.training_log(m)) >= 1
+    log = model.training_log(m)
+    assert log[0][0] == 0 and log[-1][1] < log[0][1]      # iteration 0 is the untrained model
 
 
 def test_model_learns_separable_toy(spark):
@@ -44,8 +45,10 @@ def test_resample_keeps_text_out_of_shuffles(spark):
     df = sampling.resample(fx.posts(spark, SF_SMALL), dims.priors(spark, "prop"))
     df.collect()
     plan = _plan(df)
-    # the wide rows meet the decision table in a broadcast join; no sort-merge join
+    # the wide rows meet the decision table in a broadcast join; the only exchange that carries text deals
+    # out a single-split input, and none is by key
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not [l for l in plan.splitlines() if "Exchange" in l and "posts" in l and "RoundRobin" not in l]
 
 
 def test_ranking_needs_no_shuffle(spark):
@@ -59,8 +62,9 @@ def test_split_scans_text_once(spark):
     df = sampling.train_eval_split(fx.posts(spark, SF_SMALL))
     df.collect()
     plan = _plan(df)
-    # the wide (text) side is joined with a broadcast decision table, never shuffled
+    # the wide (text) side is joined with a broadcast decision table, never shuffled by key
     assert "BroadcastHashJoin" in plan
+    assert plan.split("+- == Initial Plan ==")[0].count("ReadSchema: struct<doc_id:bigint,text:string>") <= 1
 
 
 def _executed(df):
@@ -76,17 +80,81 @@ def test_split_plan_has_no_sort_merge_join(spark):
 
 def test_wordpiece_joins_vocabulary_by_broadcast(spark):
     from tetrad.operators import wordpiece
-    v = Q.vocab_table(spark, SF_SMALL)
-    words = Q.en_word_counts(spark, SF_SMALL).select("w")
-    plan = _executed(wordpiece.tokenize_words(words, v))
+    counts, v, ids = Q._vocab(spark, SF_SMALL)
+    plan = _executed(wordpiece.tokenize_words(counts.select("w"), v, ids=ids))
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin" not in plan
 
 
 def test_encode_posts_has_no_join_back_to_posts(spark):
     from tetrad.operators import wordpiece
-    v = Q.vocab_table(spark, SF_SMALL)
-    df = wordpiece.encode_posts(fx.posts(spark, SF_SMALL), v)
+    _, v, ids = Q._vocab(spark, SF_SMALL)
+    df = wordpiece.encode_posts(fx.posts(spark, SF_SMALL), v, ids=ids)
     logical = df._jdf.queryExecution().optimizedPlan().toString()
-    # joins: hot-word broadcast, cold-word join; none on post_id
+    # joins: hot-word broadcast, cold-word join; none on post_id, and one pass over the text
     assert "post_id#" not in "".join(l for l in logical.splitlines() if "Join" in l)
+    assert logical.count("regexp_extract_all") == 1 and logical.count("Relation [doc_id") == 1
+
+
+def test_large_inputs_are_not_spread(spark):
+    from tetrad.sources.tables import spread
+    df = spark.range(100, numPartitions=3)
+    assert spread(df) is df
+    assert spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_metrics_by_variant_is_one_pass(spark):
+    df = Q.q_metrics_by_variant(spark, SF_SMALL)
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Aggregate [variant") <= 1 + logical.count("InMemoryRelation")
+
+
+def test_small_tables_are_given_up(spark):
+    from tetrad.operators import rank
+    for i in range(3 * rank.SMALL_KEPT):
+        rank.small(spark.range(i + 1)).count()
+    assert len(rank._kept) <= rank.SMALL_KEPT
+    rank.release()
+    assert not rank._kept
+
+
+def test_variant_folder_is_new_each_time(spark):
+    first = Q.q_variant_slice(spark, SF_SMALL)
+    Q.q_variant_slice(spark, SF_SMALL)
+    assert first.count() > 0
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from tetrad import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
+
+
+def test_logistic_models_learn(spark):
+    """The fitted 16-way and axis models: rows, probabilities, and the log."""
+    s = Q._labelled_split(spark, SF_SMALL)
+    train = s.where("split = 'train'")
+    feats, models = model.fit_axes(train, max_iter=5)
+    scored = model.score_axes(feats, models, s.where("split = 'eval'"))
+    assert scored.count() == s.where("split = 'eval'").count()
+    assert scored.where("exists(p1, x -> x < 0 or x > 1) or size(p1) != 4").count() == 0
+
+
+def test_prompted_input(spark):
+    df = spark.createDataFrame([("a b c",)], "posts string")
+    text = model.with_model_input(df, prompted=True).first().model_input
+    assert text == dims.instruction(12) + "a b c\n[MBTI]\n"

@@ -85,8 +85,10 @@ def test_probabilities_sum_to_one(spark):
 
 def test_padded_batches_equal_lengths(spark):
     from tetrad.operators import batching
-    b = Q._train_batches(fx.token_rows(spark, SF_MID), spark, SF_MID)
-    p = batching.pad_batches(b)
+    rows = Q._token_labels(spark, SF_MID).cache()
+    kinds = {r.n_supervised > 0 for r in rows.select("n_supervised").distinct().collect()}
+    assert kinds == {True, False}            # some rows keep their target, some lose it
+    p = batching.pad_batches(batching.with_batch(rows, Q._train_batches(spark, SF_MID)), "input_ids")
     per = p.groupBy("batch_id").agg(F.countDistinct(F.size("padded")).alias("d"),
                                     F.count(F.lit(1)).alias("n"))
     assert per.where("d != 1 OR n != 64").count() == 0

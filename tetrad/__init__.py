@@ -10,6 +10,6 @@ Every public function takes and returns DataFrames. Sub-packages:
 - ``streaming`` the stateful running-transcript job
 """
 
-from tetrad.session import checkpoint_dir, get_session, materialize  # noqa: F401
+from tetrad.session import checkpoint_dir, clean, get_session, materialize  # noqa: F401
 
-__all__ = ["get_session", "checkpoint_dir", "materialize"]
+__all__ = ["get_session", "checkpoint_dir", "clean", "materialize"]

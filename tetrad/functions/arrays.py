@@ -49,15 +49,6 @@ def idx_to_name(idx: Column) -> Column:
     return F.element_at(dims.class_name_array(), idx + 1)
 
 
-def ranking_names(p: str | Column) -> Column:
-    return F.transform(ranking_idx(p), idx_to_name)
-
-
-def argmax(p: str | Column) -> Column:
-    """Index of the best class, ties to the lower index."""
-    return F.element_at(ranking_idx(p), 1)
-
-
 def double_softmax_ce(p: str | Column, target: Column) -> Column:
     """Cross-entropy applied to probabilities (A12): the model already returns
     softmax, and the loss applies it again: ln(sum(exp(p))) - p[target]."""
@@ -80,13 +71,6 @@ def bits_to_idx(b0: Column, b1: Column, b2: Column, b3: Column) -> Column:
     return (b0 * 8 + b1 * 4 + b2 * 2 + b3).cast("int")
 
 
-def cap_with_specials(ids: str | Column, cls_id: int, sep_id: int,
-                      limit: int = dims.TOKEN_LIMIT) -> Column:
-    """[CLS] + first ``limit`` ids + [SEP]."""
-    return F.concat(F.array(F.lit(cls_id).cast("int")), F.slice(_c(ids), 1, limit),
-                    F.array(F.lit(sep_id).cast("int")))
-
-
 def pad_to(ids: str | Column, length: Column, pad_id: int = 0) -> Column:
     """Right-pad an id array to ``length``."""
     ids = _c(ids)

@@ -103,5 +103,5 @@ def run_summary(epochs: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("epochs")]
     for c, name in (("secs", "avg_epoch_time"), ("ckpt_secs", "avg_checkpoint_time")):
         if c in epochs.columns:
-            aggs.append(F.avg(c).alias(name))
+            aggs.append(F.round(F.avg(c), 9).alias(name))
     return epochs.agg(*aggs)

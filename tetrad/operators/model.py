@@ -14,7 +14,7 @@ fine-tuned transformer; the data flow, outputs and metrics are.
 
 from __future__ import annotations
 
-import time
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -23,7 +23,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tetrad import dims
+from tetrad.functions import arrays as A
 from tetrad.functions import text as T
+from tetrad.session import materialize
 
 NUM_FEATURES = 1 << 16   # model size: features x 16 classes, fixed
 
@@ -36,9 +39,57 @@ def feature_stages(input_col: str = "model_input"):
     return [tok, tf, idf]
 
 
-def with_model_input(posts: DataFrame, text_col: str = "posts") -> DataFrame:
-    """The plain model input: the first max_length-10 words."""
-    return posts.withColumn("model_input", T.plain_input(text_col))
+def with_model_input(posts: DataFrame, text_col: str = "posts", prompted: bool = False) -> DataFrame:
+    """The model input (P6): the first max_length-10 words, or the prompt
+    around the first max_length//2 words."""
+    text = T.prompt(text_col, dims.MAX_LENGTH // 2, indent=12) if prompted else T.plain_input(text_col)
+    return posts.withColumn("model_input", text)
+
+
+def fit_counts(train: DataFrame, n_classes: int = 16, label: str = "target", input_col: str = "model_input"):
+    """Closed-form fit (naive Bayes on basic tokens): ``(weights, prior)``.
+
+    ``weights (w, lp ARRAY)``: per word and class ln((n + 1) / (N + V)), one
+    aggregation; ``prior``: ln((rows + 1) / (all + classes)) per class, a list
+    of ``n_classes`` numbers. Scores are exact arithmetic on counts, so another
+    engine reproduces them."""
+    tok = train.select(F.col(label).alias("c"), F.explode(T.basic_tokens(input_col)).alias("w"))
+    n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(n_classes)]
+    words = materialize(tok.groupBy("w").agg(*n), "nb-words")
+    total = words.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)]).first()
+    rows = {r.c: r.n for r in train.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    lp = F.array(*[F.log((F.col(f"n{i}") + 1) / F.lit(float((total[f"n{i}"] or 0) + total["v"]))) for i in range(n_classes)])
+    prior = [math.log((rows.get(i, 0) + 1) / (sum(rows.values()) + n_classes)) for i in range(n_classes)]
+    return words.select("w", lp.alias("lp")), prior
+
+
+def score_counts(model, df: DataFrame, keep: tuple = ("post_id", "gold"), input_col: str = "model_input") -> DataFrame:
+    """``(keep..., z ARRAY, p ARRAY)``: log scores per class (words not seen in
+    training count nothing) and their softmax. Word counts per row join the
+    weights by word, then sum per row."""
+    weights, prior = model
+    tok = df.select(*keep, F.explode_outer(T.basic_tokens(input_col)).alias("w")) \
+        .groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
+    j = tok.join(weights, "w", "left")
+    sums = [F.sum(F.col("n") * F.element_at("lp", i + 1)).alias(f"s{i}") for i in range(len(prior))]
+    z = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(x) for i, x in enumerate(prior)])
+    out = j.groupBy(*keep).agg(*sums).select(*keep, z.alias("z"))
+    return out.withColumn("p", A.softmax("z"))
+
+
+def fit_axes_counts(train: DataFrame):
+    """Four closed-form two-class fits, one per letter (M2)."""
+    return [fit_counts(train.withColumn("bit", F.shiftright(F.col("target"), 3 - i).bitwiseAND(1)), 2, "bit")
+            for i in range(4)]
+
+
+def score_axes_counts(models, df: DataFrame, keep: tuple = ("post_id", "gold")) -> DataFrame:
+    """``(keep..., p1 ARRAY<DOUBLE>(4))`` of the closed-form axis models."""
+    out = None
+    for i, m in enumerate(models):
+        one = score_counts(m, df, keep).select(*keep, F.element_at("p", 2).alias(f"a{i}"))
+        out = one if out is None else out.join(one, list(keep))
+    return out.select(*keep, F.array(*[F.col(f"a{i}") for i in range(4)]).alias("p1"))
 
 
 def fit_16way(train: DataFrame, max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
@@ -57,9 +108,10 @@ def score_16way(model: PipelineModel, df: DataFrame, keep: tuple = ("post_id", "
 
 def training_log(model: PipelineModel) -> list[tuple[int, float]]:
     """(iteration, objective) of the fitted LR (M6); the driver-side history
-    of a fitted model, a few dozen values."""
+    of a fitted model, a few dozen values. Iteration 0 is the untrained model;
+    the objective is the regularised loss."""
     lr = model.stages[-1]
-    return list(enumerate(lr.summary.objectiveHistory, start=1))
+    return list(enumerate(lr.summary.objectiveHistory))
 
 
 def fit_axes(train: DataFrame, max_iter: int = 30, reg: float = 0.01):
@@ -104,14 +156,9 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def timed_fit(fit, *args, **kw):
-    """Run a fit and return (model, seconds) - the epoch time of the log."""
-    t0 = time.perf_counter()
-    m = fit(*args, **kw)
-    return m, time.perf_counter() - t0
-
-
-def log_frame(spark: SparkSession, log: list[tuple[int, float]]) -> DataFrame:
-    """The training log as ``(epoch, loss)`` rows for the loss/perplexity
-    aggregates (A14/A15)."""
-    return spark.createDataFrame([(int(e), float(v)) for e, v in log], "epoch int, loss double")
+def log_frame(spark: SparkSession, log: list[tuple[int, float]], secs: float = 0.0, save_secs: float = 0.0) -> DataFrame:
+    """The training log as ``(iteration, objective, secs, ckpt_secs)`` rows:
+    the fit's and the save's time, spread evenly over the iterations."""
+    n = max(1, len(log) - 1)
+    return spark.createDataFrame([(int(e), float(v), secs / n, save_secs / n) for e, v in log],
+                                 "iteration int, objective double, secs double, ckpt_secs double")

@@ -26,6 +26,7 @@ sorted to find the thresholds.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +46,38 @@ def hash_key(id_col: str | Column, seed: int | str, salt: str = "") -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(f":{salt}{seed}")))
 
 
+#: small tables kept in memory at a time; older ones are given up
+SMALL_KEPT = 16
+_kept: deque[DataFrame] = deque()
+
+
 def small(df: DataFrame) -> DataFrame:
     """Cache a table that is small by construction (bucket counts,
     decisions: at most groups x 16**digits rows) so that every plan that
-    refers to it reads it once computed; a lost block is recomputed from its
-    short lineage."""
-    return df.cache()
+    refers to it reads it once computed; a lost block, or one given up, is
+    recomputed from its short lineage."""
+    _kept.append(df.cache())
+    while len(_kept) > SMALL_KEPT:
+        _kept.popleft().unpersist()
+    return df
+
+
+def release() -> None:
+    """Give up all kept tables."""
+    while _kept:
+        _kept.popleft().unpersist()
+
+
+#: rows that a bucket of the rank should hold at most
+BUCKET_ROWS = 250_000
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits that keep ``rows`` ids at BUCKET_ROWS per bucket; 3 at least."""
+    d = 3
+    while rows / 16 ** d > BUCKET_ROWS:
+        d += 1
+    return d
 
 
 def bucket_of(key: str, digits: int) -> Column:

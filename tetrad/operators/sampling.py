@@ -18,7 +18,7 @@ broadcast; rows are never sorted whole (see :mod:`tetrad.operators.rank`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetrad import dims
@@ -28,11 +28,20 @@ DEFAULT_SEED = 2
 TRAIN_RATIO = 0.9
 
 
+def has_text(posts: DataFrame) -> Column:
+    """Whether a post has its text: from the text itself, or, on a frame of
+    ids, from the flag ``has_text`` that it must carry."""
+    if "posts" in posts.columns:
+        return F.col("posts").isNotNull()
+    if "has_text" in posts.columns:
+        return F.col("has_text")
+    raise ValueError("a frame without the column posts needs the flag has_text")
+
+
 def class_counts(posts: DataFrame) -> DataFrame:
-    """``(type, posts)``: non-null posts per type (A1). On an id-only frame
-    (text already validated non-null at load) every row counts."""
-    n = F.count("posts") if "posts" in posts.columns else F.count(F.lit(1))
-    return posts.groupBy("type").agg(n.alias("posts"))
+    """``(type, posts)``: non-null posts per type (A1), the same with the
+    text and on an id-only frame with the flag ``has_text``."""
+    return posts.groupBy("type").agg(F.count_if(has_text(posts)).alias("posts"))
 
 
 def resample_plan(posts: DataFrame, prior: DataFrame) -> DataFrame:
@@ -63,6 +72,7 @@ def resample(posts: DataFrame, prior: DataFrame, seed: int = DEFAULT_SEED,
     Per type, keeps the ``sample_cnt`` rows with the smallest
     ``md5('<id>:<seed>')`` (tie by id). Adds ``order_key``.
     """
+    posts = posts.where(has_text(posts))
     plan = resample_plan(posts, prior).select("type", F.col("sample_cnt").alias("cut"))
     keyed = posts.withColumn(KEY, hash_key(id_col, seed))
     return first_n(keyed, KEY, id_col, plan, groups=["type"], digits=digits)
@@ -74,8 +84,9 @@ def resample_variants(posts: DataFrame, priors: DataFrame, seed: int = DEFAULT_S
 
     All variants draw with the same key, so the per-(class, bucket) counts
     and the edge-bucket sort are shared; the decision table is keyed by
-    (variant, class, bucket). Each post is offered once per variant (a fan
-    out by the number of priors) and kept by one broadcast join."""
+    (variant, class, bucket). The decision is joined by (class, bucket), so a
+    post is copied only for the variants whose cut its bucket reaches."""
+    posts = posts.where(has_text(posts))
     counts = class_counts(posts)
     j = counts.join(F.broadcast(priors.select("variant", "type", "real_frac")), "type", "left")
     j = j.withColumn("real_frac", F.when(
@@ -88,9 +99,15 @@ def resample_variants(posts: DataFrame, priors: DataFrame, seed: int = DEFAULT_S
                     .cast("long").alias("cut"))
     keyed = posts.withColumn(KEY, hash_key(id_col, seed))
     decision = cut_decision(keyed.select("type", KEY, id_col), KEY, id_col, cuts, ["type"], digits)
-    names = [r["variant"] for r in priors.select("variant").distinct().collect()]  # a few names
-    fan = keyed.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in sorted(names)])))
-    return apply_cut(fan, KEY, id_col, decision, ["variant", "type"], digits)
+    return apply_cut(keyed, KEY, id_col, decision, ["type"], digits)
+
+
+def resample_both(posts: DataFrame, priors: DataFrame, seed: int = DEFAULT_SEED,
+                  id_col: str = "post_id", digits: int = 3) -> DataFrame:
+    """Both resampling flags: to the proportional prior, and that sample to
+    the balanced one. Carries the name ``prop``, like the reference's file."""
+    first = resample(posts, priors.where("variant = 'prop'"), seed, id_col, digits).drop(KEY)
+    return resample(first, priors.where("variant = 'bal'"), seed, id_col, digits).withColumn("variant", F.lit("prop"))
 
 
 def split_key(id_col: str = "post_id", seed: int = DEFAULT_SEED):
@@ -112,7 +129,9 @@ def train_eval_split(df: DataFrame, ratio: float = TRAIN_RATIO, seed: int = DEFA
 def dataset_variants(spark: SparkSession, posts: DataFrame, seed: int = DEFAULT_SEED,
                      id_col: str = "post_id", ratio: float = TRAIN_RATIO) -> DataFrame:
     """All three dataset variants with their split (E1, U3):
-    ``variant`` in raw / bal / prop, ``split`` in train / eval."""
+    ``variant`` in raw / bal / prop, ``split`` in train / eval. Posts without
+    text are in none."""
+    posts = posts.where(has_text(posts))
     raw = posts.withColumn("variant", F.lit("raw"))
     sampled = resample_variants(posts, dims.priors(spark), seed=seed, id_col=id_col).drop(KEY)
     allv = raw.unionByName(sampled)

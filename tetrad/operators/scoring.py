@@ -43,15 +43,22 @@ def predictions(df: DataFrame, probs: str = "p", id_col: str = "post_id",
     )
 
 
-def ranked_long(df: DataFrame, probs: str = "p", id_col: str = "post_id",
+def write_predictions(pred: DataFrame, path: str) -> None:
+    """The predictions as a Parquet table (S7), in a new folder."""
+    pred.write.mode("errorifexists").parquet(path)
+
+
+def ranked_long(df: DataFrame, probs: str = "p", id_col: str | Sequence[str] = "post_id",
                 k: int | None = None) -> DataFrame:
-    """``(id, rk, idx, name, p)`` best first; ``k`` keeps the top-k.
-    Ranking is a per-row ``array_sort``: no window, no shuffle (W2)."""
+    """``(ids, rk, idx, name, p)`` best first; ``k`` keeps the top-k.
+    ``id_col`` may be several columns, all of them kept. Ranking is a
+    per-row ``array_sort``: no window, no shuffle (W2)."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     rk = A.ranking_idx(probs)
     if k is not None:
         rk = F.slice(rk, 1, k)
-    out = df.select(id_col, F.col(probs).alias("_p"), F.posexplode(rk).alias("_pos", "idx"))
-    return out.select(id_col, (F.col("_pos") + 1).cast("long").alias("rk"), "idx",
+    out = df.select(*ids, F.col(probs).alias("_p"), F.posexplode(rk).alias("_pos", "idx"))
+    return out.select(*ids, (F.col("_pos") + 1).cast("long").alias("rk"), "idx",
                       A.idx_to_name(F.col("idx")).alias("name"),
                       F.element_at("_p", F.col("idx") + 1).alias("p"))
 

@@ -16,17 +16,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tetrad.functions import text as T
+
 
 def running_transcript(utt: DataFrame, session: str = "session_id", turn: str = "turn",
-                       text: str = "text", sep: str = "") -> DataFrame:
+                       text: str = "text", sep: str = "", max_tokens: int | None = None) -> DataFrame:
     """Text so far after each utterance (W5). The reference appends every
     result without a separator; ``sep`` is a parameter. The output holds
     every prefix of a session's text, so its size is quadratic in the
-    session length by definition."""
+    session length by definition; ``max_tokens`` keeps only the first N
+    basic tokens of each (R4), as the stream does."""
     w = (Window.partitionBy(session).orderBy(turn)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return utt.select(session, turn, F.array_join(F.collect_list(text).over(w), sep)
-                      .alias("transcript"))
+    out = utt.select(session, turn, F.array_join(F.collect_list(text).over(w), sep)
+                     .alias("transcript"))
+    if max_tokens is None:
+        return out
+    whole = F.regexp_count("transcript", F.lit(T.BASIC_TOKEN))
+    first = F.regexp_extract("transcript", r"^(?:\s*(?:\w+|\S)){%d}" % max_tokens, 0)
+    return out.withColumn("transcript", F.when(whole >= max_tokens, first).otherwise(F.col("transcript")))
 
 
 def running_count(df: DataFrame, part: Sequence[str], order: Sequence[str], flag: str,

@@ -2,8 +2,8 @@
 
 Greedy longest-match-first: from the start of a word, take the longest
 prefix in the vocabulary, continue after it with '##'-pieces; when some
-position has no match the whole word becomes [UNK]; words longer than
-``max_chars`` are [UNK].
+position has no match the whole word becomes [UNK]. A caller may also make
+words longer than ``max_chars`` [UNK], as library tokenizers do.
 
 At scale, words are Zipf-distributed, so each *distinct* word is tokenized
 once:
@@ -12,7 +12,7 @@ once:
 2. every (start, length) piece of each word up to the longest vocabulary
    piece, joined with the vocabulary - broadcast when its counted size is
    below ``VOCAB_BROADCAST_MAX`` rows, shuffle-joined otherwise;
-3. per word (a group of at most ``max_chars`` starts) the longest match per
+3. per word (a group of its starts) the longest match per
    start, then a left-to-right ``aggregate`` over the starts chains them.
 
 Posts get their ids by joining tokens with the word table: the most frequent
@@ -24,6 +24,7 @@ positions.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,38 +32,34 @@ from tetrad import dims
 from tetrad.functions import text as T
 from tetrad.session import materialize
 
-MAX_CHARS = 100
 HOT_WORDS = 20000
 # largest vocabulary that is broadcast; a bigger one is shuffle-joined
 VOCAB_BROADCAST_MAX = 2_000_000
-
-
-_IDS: dict = {}
+#: parts of the rest of the tokens that share one word
+SALTS = 16
 
 
 def vocab_ids(vocab: DataFrame) -> dict:
-    """Ids of the special tokens, the longest piece length and the size (one
-    small aggregate over the vocabulary; remembered per cached vocabulary)."""
-    if vocab.is_cached and id(vocab) in _IDS:
-        return _IDS[id(vocab)]
+    """Ids of the special tokens, the longest piece length and the size: one
+    small aggregate over the vocabulary. The functions below take the result
+    as ``ids`` so that a caller computes it once per vocabulary."""
     row = vocab.agg(
         *[F.max(F.when(F.col("piece") == s, F.col("id"))).alias(n)
           for n, s in (("pad", dims.PAD), ("unk", dims.UNK), ("cls", dims.CLS), ("sep", dims.SEP))],
         F.max(F.length(F.regexp_replace("piece", "^##", ""))).alias("maxlen"),
         F.count(F.lit(1)).alias("size")).first()
-    if vocab.is_cached:
-        _IDS[id(vocab)] = row.asDict()
     return row.asDict()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", groups: tuple = ()) -> DataFrame:
     """``(groups, w, n)``: basic-token frequencies."""
-    tok = docs.select(*groups, F.explode(T.basic_tokens(text_col)).alias("w"))
+    raw = F.regexp_extract_all(F.col(text_col), F.lit(T.BASIC_TOKEN), 0)
+    tok = docs.select(*groups, F.explode(raw).alias("w")).select(*groups, F.lower("w").alias("w"))
     return tok.groupBy(*groups, "w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
-                   max_chars: int = MAX_CHARS, ids: dict | None = None,
+                   max_chars: int | None = None, ids: dict | None = None,
                    carry: tuple = ()) -> DataFrame:
     """``(w, carry..., ids ARRAY<INT>, unk BOOLEAN)`` for distinct words
     (distinct on ``(w, carry...)``; ``carry`` columns such as a count ride
@@ -82,7 +79,9 @@ def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
                 spark.sparkContext.defaultParallelism)
     base = base.repartition(parts, "w")
     n = F.length("w")
-    starts = F.when(n <= max_chars, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.sequence(F.lit(0), n - 1)
+    if max_chars is not None:
+        starts = F.when(n <= max_chars, starts).otherwise(F.array().cast("array<int>"))
     cand = (base.select("w", *carry, F.explode_outer(starts).alias("s"))
             .select("w", *carry, "s", F.explode_outer(F.sequence(
                 F.lit(1), F.least(F.length("w") - F.col("s"), F.lit(maxlen)))).alias("l")))
@@ -122,28 +121,35 @@ def attach_ids(tokens: DataFrame, word_ids: DataFrame, counts: DataFrame,
     The ``hot`` most frequent words (from ``counts (w, n)``) are broadcast;
     only the remaining tokens are shuffle-joined on the word."""
     hot_w = counts.orderBy(F.desc("n"), "w").limit(hot).select("w", F.lit(True).alias("_hot"))
-    hot_ids = F.broadcast(word_ids.join(F.broadcast(hot_w), "w").drop("_hot"))
-    hot_ids = hot_ids.select("w", F.col("ids").alias("_hids"), F.col("unk").alias("_hunk"))
-    t = tokens.join(hot_ids, "w", "left")
-    # hot words, and rows without a word (a text with no tokens), are done
-    done = (t.where(F.col("_hids").isNotNull() | F.col("w").isNull())
-            .withColumn("ids", F.coalesce("_hids", F.array().cast("array<int>")))
-            .withColumn("unk", F.coalesce("_hunk", F.lit(False))).drop("_hids", "_hunk"))
-    rest = (t.where(F.col("_hids").isNull() & F.col("w").isNotNull())
-            .drop("_hids", "_hunk").join(word_ids, "w"))
-    return done.unionByName(rest)
+    hot_ids = word_ids.join(F.broadcast(hot_w), "w").select(
+        "w", F.col("ids").alias("_hids"), F.col("unk").alias("_hunk"))
+    t = tokens.join(F.broadcast(hot_ids), "w", "left")
+    # rows that are done (a hot word, or a text without tokens) get keys of their own kind, spread over
+    # the join's tasks; the others meet their word in SALTS parts
+    open_ = F.col("_hids").isNull() & F.col("w").isNotNull()
+    t = t.withColumn("_k", F.when(open_, F.col("w"))).withColumn(
+        "_s", F.when(open_, F.pmod(F.xxhash64(*[c for c in tokens.columns if c != "w"]), F.lit(SALTS)))
+        .otherwise(-1 - F.pmod(F.xxhash64(*tokens.columns), F.lit(1 << 20))))
+    cold = word_ids.join(F.broadcast(hot_w), "w", "left_anti").select(
+        F.col("w").alias("_k"), "ids", "unk",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
+    none = F.array().cast("array<int>")
+    return t.join(cold, ["_s", "_k"], "left").select(
+        *tokens.columns, F.coalesce("_hids", "ids", none).alias("ids"),
+        F.coalesce("_hunk", "unk", F.lit(False)).alias("unk"))
 
 
 def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
                  id_col: str = "post_id", limit: int | None = dims.TOKEN_LIMIT,
-                 hot: int = HOT_WORDS) -> DataFrame:
+                 hot: int = HOT_WORDS, ids: dict | None = None, specials: bool = True) -> DataFrame:
     """``(id, ids ARRAY<INT>, n_ids)``: wordpiece ids of each text, capped to
-    ``limit`` ids plus [CLS]/[SEP] (T6) when a limit is given.
+    ``limit`` ids, plus [CLS]/[SEP] (T6) unless ``specials`` is off, when a
+    limit is given.
 
     Every basic token yields at least one id, so with a cap only the first
     ``limit`` tokens can contribute: the text is tokenized in full, but only
     those tokens are exploded and joined - the result is identical."""
-    ids = vocab_ids(vocab)
+    ids = ids or vocab_ids(vocab)
     toks = T.basic_tokens(text_col)
     if limit is not None:
         toks = F.slice(toks, 1, limit)
@@ -159,20 +165,84 @@ def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
     # every post has at least one row, so no join back to the posts
     out = per_post.select(id_col, F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))
     if limit is not None:
-        out = out.withColumn("ids", F.concat(F.array(F.lit(int(ids["cls"]))), F.slice("ids", 1, limit),
-                                             F.array(F.lit(int(ids["sep"])))))
+        out = out.withColumn("ids", F.slice("ids", 1, limit))
+        if specials:
+            out = out.withColumn("ids", F.concat(F.array(F.lit(int(ids["cls"]))), "ids", F.array(F.lit(int(ids["sep"])))))
     return out.withColumn("n_ids", F.size("ids"))
 
 
+def constant_ids(spark, texts: list[str], vocab: DataFrame, ids: dict | None = None) -> list[list[int]]:
+    """Ids of a few constant texts (an instruction, the class names)."""
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    words = tokenize_words(df.select(F.explode(T.basic_tokens("t")).alias("w")).distinct(), vocab, ids=ids)
+    of = {r.w: r.ids for r in words.collect()}
+    tokens = df.select("k", T.basic_tokens("t").alias("w")).orderBy("k").collect()
+    return [[i for w in r.w for i in of[w]] for r in tokens]
+
+
 def unk_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
-             groups: tuple = ("lang",)) -> DataFrame:
-    """Share of words that become [UNK], per group (F5 re-aimed). Token
-    counts are aggregated per (group, word) first, so hot words collapse to
-    one row each before tokenization; counts ride along, no join back."""
+             groups: tuple = ("lang",), ids: dict | None = None) -> DataFrame:
+    """Share of words that become [UNK], per group. Token counts are
+    aggregated per (group, word) first, so hot words collapse to one row each
+    before tokenization; counts ride along, no join back."""
     wc = word_counts(docs, text_col, groups)
-    j = tokenize_words(wc, vocab, carry=(*groups, "n"))
+    j = tokenize_words(wc, vocab, carry=(*groups, "n"), ids=ids)
     return j.groupBy(*groups).agg(
         F.sum("n").alias("n_words"),
         F.sum(F.when(F.col("unk"), F.col("n")).otherwise(0)).alias("n_unk"),
         F.sum(F.col("n") * F.size("ids")).alias("n_ids"),
         F.round(F.sum(F.when(F.col("unk"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("unk_rate"))
+
+
+def device_ids(words: DataFrame, vocab: DataFrame, word_col: str = "w", ids: dict | None = None) -> DataFrame:
+    """``words`` with ``ids``: what the phone's tokenizer (F5) gives a word.
+
+    A word in the vocabulary is one id. Any other word gives, for each of its
+    beginnings in the vocabulary (longest first), that piece and then '##'
+    pieces of what follows: the longest that fits is taken, first of the whole
+    remainder and, after a hit, of the remainder less its last character. What
+    does not fit is left out, and a word without such a beginning is dropped.
+
+    Distinct words only, each handled by a small helper; the vocabulary goes to
+    the workers, so its size is checked.
+    """
+    size = int((ids or vocab_ids(vocab))["size"])
+    if size > VOCAB_BROADCAST_MAX:
+        raise ValueError(f"a vocabulary of {size} pieces is too large for the workers")
+    pieces = vocab.sparkSession.sparkContext.broadcast({r.piece: r.id for r in vocab.collect()})
+
+    @F.pandas_udf("array<int>")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda w: _device_word(w, pieces.value))
+    return words.withColumn("ids", run(word_col))
+
+
+def _device_word(word: str, pieces: dict[str, int]) -> list[int]:
+    if word in pieces:
+        return [pieces[word]]
+    out = []
+    for cut in range(len(word) - 1, -1, -1):
+        if word[:cut] not in pieces:
+            continue
+        out.append(pieces[word[:cut]])
+        rest, spare = word[cut:], 0
+        while spare < len(rest):
+            piece = pieces.get("##" + rest[:len(rest) - spare])
+            if piece is None:
+                spare += 1
+            else:
+                out.append(piece)
+                rest, spare = rest[len(rest) - spare:], 1
+    return out
+
+
+def device_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
+                groups: tuple = ("source",), ids: dict | None = None) -> DataFrame:
+    """Words, ids and dropped words (``tokens_dropped``) of the phone's
+    tokenizer, per group: counted per word first, tokenized once per word."""
+    wc = word_counts(docs, text_col, groups)
+    words = device_ids(wc.select("w").distinct(), vocab, ids=ids).select("w", F.size("ids").alias("k"))
+    per_word = wc.join(words, "w")
+    return per_word.groupBy(*groups).agg(
+        F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("k")).alias("n_ids"),
+        F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("tokens_dropped"))

@@ -135,7 +135,7 @@ SELECT post_id, {_first_words('posts', 502)} AS model_input, lower(type) AS mbti
 FROM rsplit WHERE split = 'train' ORDER BY split_key, post_id LIMIT 1"""
 ORACLE["basic_tokens"] = r"""
 SELECT lower(t) AS token, count(*) AS n
-FROM (SELECT unnest(regexp_extract_all(text, '\w+|\S')) AS t FROM documents WHERE lang = 'en')
+FROM (SELECT unnest(regexp_extract_all(text, '\w+|\S')) AS t FROM documents)
 GROUP BY lower(t)"""
 
 # --- scores ------------------------------------------------------------------
@@ -239,13 +239,14 @@ SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(logit, 6) AS logit,
 
 # --- generation output -------------------------------------------------------
 
+_HEAD = _prompt("p.posts", 300, 8)
 GENS = f"""gens AS (
   SELECT p.post_id, lower(p.type) AS gold,
          CASE p.post_id % 4
-           WHEN 0 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name || '<|endoftext|>'
-           WHEN 1 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name
-           WHEN 2 THEN '[Text]' || chr(10) || {_first_words('p.posts', 8)} || chr(10) || '[MBTI]' || chr(10) || a.name || ' <|endoftext|>'
-           ELSE '[Text]' || chr(10) || a.name || '<|endoftext|>' END AS g,
+           WHEN 0 THEN {_HEAD} || a.name || '<|endoftext|>'
+           WHEN 1 THEN {_HEAD} || a.name
+           WHEN 2 THEN {_HEAD} || a.name || ' <|endoftext|>'
+           ELSE '[Text]' || chr(10) || p.posts || chr(10) || a.name || '<|endoftext|>' END AS g,
          CASE WHEN p.post_id % 5 = 0 THEN substr(nv.name, 1, 2) ELSE nv.name END AS naive
   FROM posts p
   JOIN classes a ON a.idx = (p.post_id * 5 + 3) % 16
@@ -275,11 +276,14 @@ ORACLE["generation_log"] = with_(*GEN) + (
 # --- vocabulary and wordpiece -------------------------------------------------
 
 VOCAB = r"""tok AS (
-  SELECT lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS t FROM documents WHERE lang = 'en'),
+  SELECT lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS t FROM documents),
+pwords AS (
+  SELECT DISTINCT lower(unnest(regexp_extract_all(""" + _sql_str(dims.instruction(8)) + r""", '\w+|\S'))) AS t),
 tcounts AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
-chars AS (SELECT DISTINCT piece FROM (SELECT unnest(string_split(t, '')) AS piece FROM tcounts)
+chars AS (SELECT DISTINCT piece FROM (SELECT unnest(string_split(t, '')) AS piece FROM (SELECT t FROM tcounts UNION ALL SELECT t FROM pwords))
           WHERE length(piece) = 1),
-vwords AS (SELECT t AS piece FROM tcounts WHERE length(t) > 1 ORDER BY n DESC, t LIMIT 400),
+vwords AS (SELECT piece FROM (SELECT t AS piece FROM tcounts WHERE length(t) > 1 ORDER BY n DESC, t LIMIT 400)
+  UNION SELECT t FROM pwords WHERE length(t) > 1),
 vends AS (SELECT '##' || e AS piece FROM (
             SELECT right(t, 2) AS e, sum(n) AS n FROM tcounts WHERE length(t) > 2
             GROUP BY right(t, 2) ORDER BY n DESC, e LIMIT 60)),
@@ -295,7 +299,7 @@ vocab AS (SELECT piece, CAST(row_number() OVER (ORDER BY kind, k, piece) - 1 AS
 def wordpiece_ctes(words_cte: str) -> str:
     """Greedy longest-match WordPiece of the words in ``words_cte(w)`` as a
     recursive CTE -> ``wp(w, ids INTEGER[], unk BOOLEAN)``."""
-    return f"""wstart AS (SELECT w, unnest(range(0, length(w))) AS s FROM {words_cte} WHERE length(w) <= 100),
+    return f"""wstart AS (SELECT w, unnest(range(0, length(w))) AS s FROM {words_cte}),
 wcand AS (SELECT w, s, unnest(range(1, length(w) - s + 1)) AS l FROM wstart),
 wbest AS (
   SELECT c.w, c.s, max(c.l) AS l, arg_max(v.id, c.l) AS id
@@ -303,7 +307,7 @@ wbest AS (
     ON v.piece = CASE WHEN c.s = 0 THEN substr(c.w, 1, c.l) ELSE '##' || substr(c.w, c.s + 1, c.l) END
   GROUP BY c.w, c.s),
 chain(w, pos, ids) AS (
-  SELECT w, 0, CAST([] AS INTEGER[]) FROM {words_cte} WHERE length(w) <= 100
+  SELECT w, 0, CAST([] AS INTEGER[]) FROM {words_cte}
   UNION ALL
   SELECT c.w, c.pos + b.l, list_append(c.ids, b.id)
   FROM chain c JOIN wbest b ON b.w = c.w AND b.s = c.pos
@@ -383,28 +387,48 @@ bt AS (SELECT post_id, posts, type, CAST((rn - 1) // 64 AS BIGINT) AS batch_id,
               CAST((rn - 1) % 64 AS INTEGER) AS pos
        FROM rr WHERE rn <= full_rows)"""
 ORACLE["batches"] = with_(*BASE, RAW_RANK) + "SELECT post_id, batch_id, pos FROM bt"
-TOKROWS = """tr AS (
-  SELECT post_id, type, list_transform(list_slice(string_split(posts, ' '), 1, 64),
-                                       lambda w: CAST(length(w) + 1 AS BIGINT)) AS ids
-  FROM posts)"""
-ORACLE["padded_batches"] = with_(*BASE, RAW_RANK, TOKROWS) + """,
-pb AS (SELECT bt.post_id, bt.batch_id, tr.ids, max(len(tr.ids)) OVER (PARTITION BY bt.batch_id) AS mx
-       FROM bt JOIN tr ON tr.post_id = bt.post_id),
-pd AS (SELECT post_id, batch_id,
-              list_concat(ids, list_transform(range(mx - len(ids)), lambda x: CAST(0 AS BIGINT))) AS padded
+# token rows: ids of the instruction, of the post's words with the answer mark, and of the class name
+_LOWER_TOKENS = r"list_transform(regexp_extract_all({}, '\w+|\S'), lambda x: lower(x))"
+_BODY = _first_words("posts", 300) + " || " + _sql_str("\n" + dims.ANSWER_MARK + "\n")
+TOKROWS = ",\n".join([VOCAB, f"""texts AS (
+  SELECT -1 AS k, {_LOWER_TOKENS.format(_sql_str(dims.instruction(8)))} AS tl
+  UNION ALL SELECT post_id, list_slice({_LOWER_TOKENS.format(_BODY)}, 1, 512) FROM posts
+  UNION ALL SELECT -2 - idx, [name] FROM classes),
+ttok AS (SELECT k, unnest(tl) AS w, unnest(range(1, len(tl) + 1)) AS pos FROM texts),
+twords AS (SELECT DISTINCT w FROM ttok)""", wordpiece_ctes("twords"), """tenc AS (
+  SELECT t.k, flatten(list(wp.ids ORDER BY t.pos)) AS ids FROM ttok t JOIN wp ON wp.w = t.w GROUP BY t.k),
+tr AS (
+  SELECT p.post_id, list_concat(i.ids, b.ids) AS pids, n.ids AS tids
+  FROM posts p JOIN tenc b ON b.k = p.post_id JOIN tenc i ON i.k = -1
+  JOIN classes c ON upper(c.name) = p.type JOIN tenc n ON n.k = -2 - c.idx),
+tin AS (SELECT post_id, len(pids) AS plen,
+               list_transform(list_slice(list_concat(pids, tids), 1, 512), lambda x: CAST(x AS BIGINT)) AS ids
+        FROM tr),
+tl AS (SELECT post_id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= plen THEN CAST(-100 AS BIGINT) ELSE x END) AS labels
+       FROM tin)"""])
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+_PADDED = """,
+pb AS (SELECT bt.post_id, bt.batch_id, bt.pos, tl.ids, tl.labels, max(len(tl.ids)) OVER (PARTITION BY bt.batch_id) AS mx
+       FROM bt JOIN tl ON tl.post_id = bt.post_id),
+pd AS (SELECT post_id, batch_id, pos, labels,
+              list_transform(range(mx - len(ids)), lambda x: CAST(0 AS BIGINT)) AS fill, ids
        FROM pb)
-SELECT post_id, batch_id, array_to_string(padded, ' ') AS ids,
-       array_to_string(list_transform(padded, lambda x: x != 0), ' ') AS mask FROM pd"""
-ORACLE["padded_batches"] = ORACLE["padded_batches"].replace("FROM posts)),\nbt", "FROM posts)),\nbt")
-ORACLE["token_labels"] = with_(*BASE, TOKROWS) + """,
-ti AS (SELECT tr.post_id, len(tr.ids) AS plen,
-              list_concat(tr.ids, [CAST(c.idx + 1000 AS BIGINT)]) AS input_ids
-       FROM tr JOIN classes c ON upper(c.name) = tr.type),
-tl AS (SELECT post_id, input_ids,
-              list_transform(input_ids, lambda x, i: CASE WHEN i <= plen THEN CAST(-100 AS BIGINT) ELSE x END) AS labels
-       FROM ti)
+"""
+ORACLE["padded_batches"] = _recursive(*BASE, RAW_RANK, TOKROWS).rstrip() + _PADDED + """
+SELECT post_id, batch_id, array_to_string(list_concat(ids, fill), ' ') AS ids,
+       array_to_string(list_transform(list_concat(ids, fill), lambda x: x != 0), ' ') AS mask FROM pd"""
+ORACLE["collated_batches"] = _recursive(*BASE, RAW_RANK, TOKROWS).rstrip() + _PADDED + """
+SELECT post_id, batch_id, pos, array_to_string(list_concat(ids, fill), ' ') AS ids,
+       array_to_string(list_concat(labels, fill), ' ') AS labels,
+       array_to_string(list_transform(list_concat(ids, fill), lambda x: x != 0), ' ') AS mask FROM pd"""
+ORACLE["token_labels"] = _recursive(*BASE, TOKROWS) + """
 SELECT post_id, array_to_string(labels, ' ') AS labels,
-       CAST(len(list_filter(input_ids, lambda x: x != 0)) AS INTEGER) AS n_nonpad,
+       CAST(len(list_filter(ids, lambda x: x != 0)) AS INTEGER) AS n_nonpad,
        array_to_string(labels[2:], ' ') AS shifted,
        CAST(len(list_filter(labels, lambda x: x != -100)) AS INTEGER) AS n_supervised
 FROM tl"""
@@ -424,7 +448,10 @@ el AS (SELECT epoch, round(avg(loss), 9) AS loss, round(exp(avg(loss)), 9) AS pe
 ORACLE["epoch_perplexity"] = with_(*BASE, RAW_RANK, EPOCH) + "SELECT epoch, loss, perplexity FROM el"
 ORACLE["run_summary"] = with_(*BASE, RAW_RANK, EPOCH) + """
 SELECT round(avg(perplexity), 9) AS avg_train_prep, round(avg(loss), 9) AS avg_train_loss,
-       count(*) AS epochs FROM el"""
+       count(*) AS epochs,
+       (SELECT round(avg(n * CAST(0.25 AS DOUBLE)), 9) FROM (SELECT count(*) AS n FROM bl GROUP BY epoch)) AS avg_epoch_time,
+       round(avg(epoch * CAST(0.125 AS DOUBLE)), 9) AS avg_checkpoint_time
+FROM el"""
 ORACLE["running_transcript"] = """
 SELECT conv_id AS session_id, turn,
        array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn
@@ -437,4 +464,124 @@ SELECT user_id, event_id,
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_no
 FROM events"""
 ORACLE["stream_transcript"] = ORACLE["running_transcript"]
-ORACLE["csv_round_trip"] = with_(*BASE) + "SELECT posts, type FROM posts"
+# --- fits that SQL can follow, faults, streams --------------------------------------
+
+ORACLE["resample_faulty"] = with_(*BASE, FAULTY, LABELLED) .rstrip() + r""",
+fposts AS (SELECT post_id, posts, type FROM labelled WHERE reason IS NULL),
+fc AS (SELECT c.type, c.n, p.real_frac FROM (SELECT type, count(*) AS n FROM fposts GROUP BY type) c
+       JOIN priors p ON p.type = c.type AND p.variant = 'prop'),
+fplan AS (SELECT type, floor(real_frac * (SELECT floor(min(n / real_frac)) FROM fc)) AS cut FROM fc),
+fr AS (SELECT *, md5(CAST(post_id AS VARCHAR) || ':2') AS order_key,
+              row_number() OVER (PARTITION BY type ORDER BY md5(CAST(post_id AS VARCHAR) || ':2'), post_id) AS rn FROM fposts)
+SELECT post_id, posts, fr.type, order_key FROM fr JOIN fplan ON fplan.type = fr.type WHERE rn <= cut"""
+
+ORACLE["resample_both"] = with_(*BASE, COUNTS, PLAN, SAMPLED).rstrip() + r""",
+first AS (SELECT post_id, posts, type, order_key FROM sampled WHERE variant = 'prop'),
+bc AS (SELECT c.type, c.n, p.real_frac FROM (SELECT type, count(*) AS n FROM first GROUP BY type) c
+       JOIN priors p ON p.type = c.type AND p.variant = 'bal'),
+bplan AS (SELECT type, floor(real_frac * (SELECT floor(min(n / real_frac)) FROM bc)) AS cut FROM bc),
+br AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY order_key, post_id) AS rn FROM first)
+SELECT 'prop' AS variant, post_id, posts, br.type FROM br JOIN bplan ON bplan.type = br.type WHERE rn <= cut"""
+
+ORACLE["device_tokens"] = "WITH RECURSIVE " + VOCAB + r""",
+dv AS (SELECT piece, id FROM vocab WHERE length(regexp_replace(piece, '^##', '')) > 1),
+dt AS (SELECT source, lower(unnest(regexp_extract_all(text, '\w+|\S'))) AS w FROM documents),
+dc AS (SELECT source, w, count(*) AS n FROM dt GROUP BY source, w),
+dw AS (SELECT DISTINCT w FROM dc),
+cuts AS (SELECT w, unnest(range(1, length(w))) AS c FROM dw WHERE w NOT IN (SELECT piece FROM dv)),
+heads AS (SELECT c.w, c.c FROM cuts c JOIN dv ON dv.piece = substr(c.w, 1, c.c)),
+follow(w, c, rest, spare, k) AS (
+  SELECT w, c, substr(w, c + 1), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM heads
+  UNION ALL
+  SELECT f.w, f.c, CASE WHEN v.id IS NULL THEN f.rest ELSE right(f.rest, CAST(f.spare AS INTEGER)) END,
+         CASE WHEN v.id IS NULL THEN f.spare + 1 ELSE 1 END, CASE WHEN v.id IS NULL THEN f.k ELSE f.k + 1 END
+  FROM follow f LEFT JOIN dv v ON v.piece = '##' || substr(f.rest, 1, length(f.rest) - f.spare)
+  WHERE f.spare < length(f.rest)),
+per_head AS (SELECT w, c, max(k) AS k FROM follow GROUP BY w, c),
+per_word AS (
+  SELECT w, sum(k) AS k FROM per_head GROUP BY w
+  UNION ALL SELECT w, 1 FROM dw WHERE w IN (SELECT piece FROM dv))
+SELECT source, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n * coalesce(k, 0)) AS BIGINT) AS n_ids,
+       CAST(sum(CASE WHEN coalesce(k, 0) = 0 THEN n ELSE 0 END) AS BIGINT) AS tokens_dropped
+FROM dc LEFT JOIN per_word USING (w) GROUP BY source"""
+
+
+def _count_model(data: str, n_classes: int, label: str, name: str) -> str:
+    """CTEs of the closed-form fit on ``data(part, split, post_id, input, ...)``
+    -> ``<name>(part, post_id, c, z)``; ``part`` tells datasets apart."""
+    return rf"""{name}_tok AS (
+  SELECT part, split, post_id, {label} AS c, lower(unnest(regexp_extract_all(input, '\w+|\S'))) AS w FROM {data}),
+{name}_n AS (SELECT part, c, w, count(*) AS n FROM {name}_tok WHERE split = 'train' GROUP BY part, c, w),
+{name}_v AS (SELECT part, count(DISTINCT w) AS v FROM {name}_n GROUP BY part),
+{name}_c AS (SELECT v.part, r.c, v.v + coalesce(t.n, 0) AS total,
+                    ln((coalesce(d.n, 0) + 1) / (s.n + {n_classes})) AS prior
+             FROM {name}_v v CROSS JOIN range({n_classes}) r(c)
+             LEFT JOIN (SELECT part, c, sum(n) AS n FROM {name}_n GROUP BY part, c) t ON t.part = v.part AND t.c = r.c
+             LEFT JOIN (SELECT part, {label} AS c, count(*) AS n FROM {data} WHERE split = 'train' GROUP BY ALL) d
+               ON d.part = v.part AND d.c = r.c
+             JOIN (SELECT part, count(*) AS n FROM {data} WHERE split = 'train' GROUP BY part) s ON s.part = v.part),
+{name}_e AS (SELECT e.part, e.post_id, e.w, count(*) AS n FROM {name}_tok e
+             JOIN (SELECT DISTINCT part, w FROM {name}_n) k ON k.part = e.part AND k.w = e.w
+             WHERE e.split = 'eval' GROUP BY ALL),
+{name} AS (
+  SELECT p.part, p.post_id, c.c, any_value(c.prior) + coalesce(sum(e.n * ln((coalesce(n.n, 0) + 1) / CAST(c.total AS DOUBLE))), 0) AS z
+  FROM (SELECT part, post_id FROM {data} WHERE split = 'eval') p JOIN {name}_c c ON c.part = p.part
+  LEFT JOIN {name}_e e ON e.part = p.part AND e.post_id = p.post_id
+  LEFT JOIN {name}_n n ON n.part = p.part AND n.c = c.c AND n.w = e.w
+  GROUP BY p.part, p.post_id, c.c)"""
+
+
+_DATA16 = f"""data AS (
+  SELECT s.variant AS part, s.split, s.post_id, {_first_words('s.posts', 502)} AS input, c.idx, lower(s.type) AS gold
+  FROM split s JOIN classes c ON upper(c.name) = s.type)"""
+_RAW16 = _DATA16.replace("c ON upper(c.name) = s.type)", "c ON upper(c.name) = s.type WHERE s.variant = 'raw')")
+_RANK16 = """cr AS (SELECT m.part, m.post_id, c.name, m.z,
+               row_number() OVER (PARTITION BY m.part, m.post_id ORDER BY m.z DESC, m.c) AS rk
+        FROM m JOIN classes c ON c.idx = m.c),
+cp AS (SELECT d.part, d.post_id, d.gold, a.name AS answer, g.rk AS gold_rank, a.z
+       FROM data d JOIN cr a ON a.part = d.part AND a.post_id = d.post_id AND a.rk = 1
+       JOIN cr g ON g.part = d.part AND g.post_id = d.post_id AND g.name = d.gold WHERE d.split = 'eval')"""
+_AXIS = ",\n".join(_count_model("data", 2, f"((idx >> {3 - i}) & 1)", f"m{i}") for i in range(4))
+_AXES = """bits AS (
+  SELECT part, post_id, i, CASE WHEN max(CASE WHEN c = 1 THEN z END) > max(CASE WHEN c = 0 THEN z END) THEN 1 ELSE 0 END AS bit
+  FROM (""" + " UNION ALL ".join(f"SELECT {i} AS i, * FROM m{i}" for i in range(4)) + """) GROUP BY part, post_id, i),
+ca AS (SELECT b.part, b.post_id, CAST(sum(bit * CAST(pow(2, 3 - i) AS INTEGER)) AS INTEGER) AS idx
+       FROM bits b GROUP BY b.part, b.post_id),
+cx AS (SELECT a.part, a.post_id, d.gold, lpad(bin(a.idx), 4, '0') AS bits, c.name AS answer
+       FROM ca a JOIN classes c ON c.idx = a.idx JOIN data d ON d.part = a.part AND d.post_id = a.post_id)"""
+ORACLE["count_score_16way"] = with_(*DATASET, _RAW16, _count_model("data", 16, "idx", "m"), _RANK16) + (
+    "SELECT post_id, gold, answer, gold_rank, round(z, 5) AS z FROM cp")
+ORACLE["count_score_axes"] = with_(*DATASET, _RAW16, _AXIS, _AXES) + "SELECT post_id, gold, bits, answer FROM cx"
+_FEW = _cls_metrics("answer", "gold", False).split(", round(count_if(length")[0]
+ORACLE["count_metrics_by_variant"] = with_(*DATASET, _DATA16, _count_model("data", 16, "idx", "m"), _RANK16, _AXIS, _AXES) + f"""
+SELECT part AS variant, '16way' AS task, {_FEW} FROM cp GROUP BY part
+UNION ALL SELECT part, 'axes', {_FEW} FROM cx GROUP BY part"""
+
+_TOKENS_OF = r"len(regexp_extract_all({}, '\w+|\S'))"
+ORACLE["stream_stop"] = rf"""
+WITH s AS (SELECT *, sum(CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations),
+t AS (SELECT conv_id AS session_id, turn,
+             array_to_string(list(text) OVER (PARTITION BY conv_id, part ORDER BY turn
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS transcript
+      FROM s WHERE turn % 3 != 2)
+SELECT session_id, turn, transcript, CAST({_TOKENS_OF.format('transcript')} AS BIGINT) AS n_tokens FROM t"""
+_CAPPED = rf"""
+WITH r AS ({ORACLE["running_transcript"]}),
+c AS (SELECT session_id, turn, CASE WHEN {_TOKENS_OF.format('transcript')} >= 20
+             THEN regexp_extract(transcript, '^(?:\s*(?:\w+|\S)){{20}}') ELSE transcript END AS transcript FROM r)
+"""
+ORACLE["running_transcript_capped"] = _CAPPED + "SELECT session_id, turn, transcript FROM c"
+ORACLE["stream_capped"] = _CAPPED + (
+    f"SELECT session_id, turn, transcript, CAST({_TOKENS_OF.format('transcript')} AS BIGINT) AS n_tokens FROM c")
+ORACLE["stream_top5"] = with_(CLASSES, f"r AS ({ORACLE['running_transcript']})") + r"""
+, z AS (SELECT r.session_id, r.turn, c.idx, c.name,
+               CAST((length(r.transcript) * (31 + 17 * c.idx) + 7 * c.idx * c.idx) % 101 AS DOUBLE) / 10 AS z
+        FROM r CROSS JOIN classes c),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY session_id, turn)) AS e FROM z),
+k AS (SELECT session_id, turn, name, e / sum(e) OVER (PARTITION BY session_id, turn) AS p,
+             row_number() OVER (PARTITION BY session_id, turn ORDER BY z DESC, idx) AS rk FROM e)
+SELECT session_id, turn, rk, name, round(p, 9) AS p FROM k WHERE rk <= 5"""
+
+ORACLE["csv_round_trip"] = with_(*BASE) + r"""
+SELECT CAST(CAST('0x' || substr(md5(CAST(row_number() OVER (PARTITION BY posts, type) AS VARCHAR) || '|+' || type || '|+' || posts), 1, 15)
+            AS UBIGINT) AS BIGINT) AS post_id, posts, type FROM posts"""

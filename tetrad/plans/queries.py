@@ -5,6 +5,8 @@ fixtures) so its work grows with them.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +15,14 @@ from pyspark.sql import functions as F
 from tetrad import dims
 from tetrad.functions import arrays as A
 from tetrad.functions import text as T
-from tetrad.operators import batching, metrics, model, sampling, scoring, sessions
+from tetrad.operators import batching, metrics, model, rank, sampling, scoring, sessions
 from tetrad.operators import wordpiece as wp
 from tetrad.plans import fixtures as fx
 from tetrad.sources import datasets as ds_src
 from tetrad.sources import posts as posts_src
 from tetrad.session import scratch_path
 from tetrad.sources import vocab as vocab_src
-from tetrad.sources.tables import read_table
+from tetrad.sources.tables import read_table, spread
 from tetrad.streaming import transcript
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +74,22 @@ def q_train_eval_split(spark, base):
     return sampling.train_eval_split(p).select("post_id", "type", "split_key", "split")
 
 
+@query("resample_faulty")
+def q_resample_faulty(spark, base):
+    """Resampling from posts with load faults: only valid ones are counted and
+    drawn (P4, A1)."""
+    valid, _ = posts_src.validate(_faulty_posts(spark, base), spark)
+    return (sampling.resample(valid, dims.priors(spark, "prop"))
+            .select("post_id", "posts", "type", "order_key"))
+
+
+@query("resample_both")
+def q_resample_both(spark, base):
+    """Both flags: proportional, then balanced, named after the first."""
+    return (sampling.resample_both(fx.posts(spark, base), dims.priors(spark))
+            .select("variant", "post_id", "posts", "type"))
+
+
 @query("split_sizes")
 def q_split_sizes(spark, base):
     v = sampling.dataset_variants(spark, fx.post_types(spark, base))
@@ -154,10 +172,8 @@ def q_preview(spark, base):
 
 @query("basic_tokens")
 def q_basic_tokens(spark, base):
-    """Token frequencies of the English documents."""
-    d = read_table(spark, base, "documents").where(F.col("lang") == "en")
-    return (d.select(F.explode(T.basic_tokens("text")).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    """Token frequencies of all documents."""
+    return wp.word_counts(_docs(spark, base)).select(F.col("w").alias("token"), "n")
 
 
 # --- scores, ranking, metrics (F11, W2, T1, T3, T4, A5-A13, M4, M5) --------
@@ -263,13 +279,13 @@ def q_ce_axes(spark, base):
 
 
 def head_matrix():
-    """The fixed 16 x 64 linear head of :func:`fixtures.head_weights`."""
+    """A fixed 16 x 64 linear head: w[i][j] = (((i*13 + j*7) % 11) - 5) / 10."""
     return [[(((i * 13 + j * 7) % 11) - 5) / 10 for j in range(64)] for i in range(16)]
 
 
 @query("linear_head")
 def q_linear_head(spark, base):
-    e = read_table(spark, base, "embeddings").select("vec_id", "embedding")
+    e = spread(read_table(spark, base, "embeddings").select("vec_id", "embedding"))
     s = scoring.with_probs(scoring.linear_head(e, head_matrix()), "logits", "p")
     return s.select("vec_id", F.posexplode(F.arrays_zip("logits", "p")).alias("idx", "lp")) \
         .select("vec_id", "idx", F.round("lp.logits", 6).alias("logit"),
@@ -298,62 +314,80 @@ def q_generation_log(spark, base):
 
 # --- vocabulary and tokens (S4, S5, F4, F5, T6) -----------------------------
 
-def en_docs(spark, base):
-    return read_table(spark, base, "documents").where(F.col("lang") == "en")
+#: size of the fixture vocabulary: frequent words, frequent endings
+VOCAB_WORDS, VOCAB_ENDINGS = 400, 60
+
+
+def _docs(spark, base, *columns):
+    return spread(read_table(spark, base, "documents").select("text", *columns))
 
 
 _VOCABS: dict = {}
 
 
-def vocab_table(spark, base):
-    """The fixture vocabulary, built from the English documents. It plays the
-    reference's vocab.txt - a dimension loaded once - so it is built once per
-    session and input folder and cached (a lost block is rebuilt from its
-    lineage); the token queries share it."""
-    return _vocab_inputs(spark, base)[1]
+def release():
+    """Give up what queries keep in memory: vocabularies and small tables."""
+    for counts, vocab, _ in _VOCABS.values():
+        counts.unpersist()
+        vocab.unpersist()
+    _VOCABS.clear()
+    rank.release()
 
 
-def en_word_counts(spark, base):
-    """``(w, n)`` over the English documents - the vocabulary's input, shared
-    with the queries that tokenize the same words."""
-    return _vocab_inputs(spark, base)[0]
+def prompt_words(spark) -> list[str]:
+    """Basic tokens of the instruction: always in the vocabulary."""
+    row = spark.range(1).select(T.basic_tokens(F.lit(dims.instruction(8))).alias("w")).first()
+    return sorted(set(row.w))
 
 
-def _vocab_inputs(spark, base):
+def _vocab(spark, base):
+    """(word counts of all documents, vocabulary, its ids). The vocabulary
+    plays the reference's vocab.txt - a dimension loaded once - so it is built
+    once per session and input folder and cached (a lost block is rebuilt
+    from its lineage)."""
     key = (spark.sparkContext.applicationId, base)
     if key not in _VOCABS:
-        counts = wp.word_counts(en_docs(spark, base)).cache()
-        _VOCABS[key] = (counts, vocab_src.build_vocab(None, counts=counts).cache())
+        counts = wp.word_counts(_docs(spark, base)).cache()
+        vocab = vocab_src.build_vocab(None, VOCAB_WORDS, VOCAB_ENDINGS, counts=counts, always=prompt_words(spark)).cache()
+        _VOCABS[key] = (counts, vocab, wp.vocab_ids(vocab))
     return _VOCABS[key]
 
 
 @query("vocab_lookup")
 def q_vocab_lookup(spark, base):
     """Build, export as vocab.txt (S5), load back by line number."""
-    path = scratch_path(spark, f"vocab-{abs(hash(base))}")
-    vocab_src.export_vocab_text(vocab_table(spark, base), path)
+    path = scratch_path(spark, f"vocab-{uuid.uuid4().hex}")
+    vocab_src.export_vocab_text(_vocab(spark, base)[1], path)
     return vocab_src.load_vocab_text(spark, path)
 
 
 @query("wordpiece_ids")
 def q_wordpiece_ids(spark, base):
-    v = vocab_table(spark, base)
-    t = wp.tokenize_words(en_word_counts(spark, base).select("w"), v)
+    counts, v, ids = _vocab(spark, base)
+    t = wp.tokenize_words(counts.select("w"), v, ids=ids)
     return t.select("w", A.join_ints("ids").alias("ids"))
 
 
 @query("encode_capped")
 def q_encode_capped(spark, base):
-    v = vocab_table(spark, base)
-    e = wp.encode_posts(fx.posts(spark, base), v)
+    _, v, ids = _vocab(spark, base)
+    e = wp.encode_posts(fx.posts(spark, base), v, ids=ids)
     return e.select("post_id", "n_ids", A.join_ints("ids").alias("ids"))
 
 
 @query("unk_rate")
 def q_unk_rate(spark, base):
-    v = vocab_table(spark, base)
-    docs = read_table(spark, base, "documents")
-    return wp.unk_rate(docs, v)
+    _, v, ids = _vocab(spark, base)
+    return wp.unk_rate(_docs(spark, base, "lang"), v, ids=ids)
+
+
+@query("device_tokens")
+def q_device_tokens(spark, base):
+    """The phone's tokenizer (F5) over every source, with the words it drops.
+    Its vocabulary here lacks the single characters, so some are."""
+    _, v, ids = _vocab(spark, base)
+    v = v.where(F.length(F.regexp_replace("piece", "^##", "")) > 1)
+    return wp.device_rate(_docs(spark, base, "source"), v, ids=ids)
 
 
 # --- dataset variants on disk (S2, S3, J3, U2, A17) --------------------------
@@ -362,7 +396,7 @@ def q_unk_rate(spark, base):
 def q_variant_slice(spark, base):
     """Write all variants partitioned by (variant, split) into the shared
     folder (S2), read one back with partition pruning (S3)."""
-    path = scratch_path(spark, f"variants-{abs(hash(base))}")
+    path = scratch_path(spark, f"variants-{uuid.uuid4().hex}")
     ds_src.write_variants(sampling.dataset_variants(spark, fx.posts(spark, base)), path)
     return ds_src.read_variant(spark, path, "bal", "train").select("post_id", "posts", "type")
 
@@ -372,7 +406,7 @@ def q_split_anti(spark, base):
     """Eval = all rows minus the training rows (J3/U2 as an anti join)."""
     p = fx.post_types(spark, base)
     train = _raw_split(spark, base, with_text=False).where(F.col("split") == "train").select("post_id")
-    return p.join(train, "post_id", "left_anti")
+    return p.join(train, "post_id", "left_anti").select("post_id", "type")
 
 
 @query("metrics_by_variant")
@@ -382,17 +416,17 @@ def q_metrics_by_variant(spark, base):
     v = sampling.dataset_variants(spark, fx.post_types(spark, base)).where(F.col("split") == "eval")
     v = v.select("variant", "post_id", F.lower("type").alias("gold"))
     probs = scoring.with_probs(v.withColumn("z", fx.score_logits(F.col("post_id"))))
-    rk = A.ranking_idx("p")
-    names = F.transform(rk, A.idx_to_name)
-    pred = probs.select("variant", "gold", A.idx_to_name(F.element_at(rk, 1)).alias("answer"),
-                        F.array_position(names, F.col("gold")).alias("gold_rank"))
-    m16 = metrics.classification_metrics(pred, groups=["variant"]).withColumn("task", F.lit("16way"))
-    ax = scoring.compose_axes(v.withColumn("p1", fx.axis_probs(F.col("post_id"))))
-    max_ = metrics.classification_metrics(ax, groups=["variant"], gold_rank=None) \
-        .withColumn("task", F.lit("axes"))
+    names = F.transform(A.ranking_idx("p"), A.idx_to_name)
+    ax = scoring.compose_axes(probs.withColumn("ranking", names).withColumn("p1", fx.axis_probs(F.col("post_id"))))
+    both = F.array(
+        F.struct(F.lit("16way").alias("task"), F.element_at("ranking", 1).alias("answer"),
+                 F.array_position("ranking", F.col("gold")).alias("gold_rank")),
+        F.struct(F.lit("axes").alias("task"), F.col("answer"), F.lit(None).cast("long").alias("gold_rank")))
+    rows = ax.select("variant", "gold", F.explode(both).alias("t")).select("variant", "gold", "t.*")
+    m = metrics.classification_metrics(rows, groups=["variant", "task"])
     for k in metrics.HIT_KS:
-        max_ = max_.withColumn(f"hit_{k}", F.lit(None).cast("double"))
-    return m16.unionByName(max_)
+        m = m.withColumn(f"hit_{k}", F.when(F.col("task") == "16way", F.col(f"hit_{k}")))
+    return m
 
 
 # --- batches, padding, labels, epoch loss (W3, W4, F6-F8, A14, A15) ----------
@@ -400,34 +434,46 @@ def q_metrics_by_variant(spark, base):
 BATCH = 64
 
 
-def _train_batches(df, spark, base, batch_size=BATCH):
-    """Batches over the training rows of the raw split: training rows are
-    the first floor(n * 0.9) in split-key order, so the batch ranks are the
-    split ranks themselves."""
-    keyed = df.withColumn("split_key", sampling.split_key())
+def _train_batches(spark, base, batch_size=BATCH):
+    """Batches over the training rows of the raw split (ids only): training
+    rows are the first floor(n * 0.9) in split-key order, so the batch ranks
+    are the split ranks themselves."""
+    keyed = fx.post_types(spark, base).select("post_id", "type", sampling.split_key().alias("split_key"))
     return batching.batches(keyed, "split_key", "post_id", batch_size, ratio=sampling.TRAIN_RATIO)
 
 
 @query("batches")
 def q_batches(spark, base):
-    b = _train_batches(fx.post_types(spark, base), spark, base)
-    return b.select("post_id", "batch_id", "pos")
+    return _train_batches(spark, base).select("post_id", "batch_id", "pos")
+
+
+def _token_labels(spark, base):
+    """Token rows of every post: prompt + target as WordPiece ids, cut at 512."""
+    _, v, ids = _vocab(spark, base)
+    rows = fx.token_rows(spark, base, v, ids)
+    return batching.token_labels(rows, "prompt_ids", "target_ids", max_length=dims.MAX_LENGTH)
 
 
 @query("padded_batches")
 def q_padded_batches(spark, base):
-    b = _train_batches(fx.token_rows(spark, base), spark, base)
-    p = batching.pad_batches(b)
+    b = batching.with_batch(_token_labels(spark, base).select("post_id", "input_ids"), _train_batches(spark, base))
+    p = batching.pad_batches(b, "input_ids")
     return p.select("post_id", "batch_id", A.join_ints("padded").alias("ids"),
                     A.join_ints("mask").alias("mask"))
 
 
+@query("collated_batches")
+def q_collated_batches(spark, base):
+    """What the collator hands to training: ids, labels and mask per batch."""
+    b = batching.with_batch(_token_labels(spark, base).select("post_id", "input_ids", "labels"), _train_batches(spark, base))
+    p = batching.pad_batches(b, "input_ids", labels="labels")
+    return p.select("post_id", "batch_id", "pos", A.join_ints("padded").alias("ids"),
+                    A.join_ints("padded_labels").alias("labels"), A.join_ints("mask").alias("mask"))
+
+
 @query("token_labels")
 def q_token_labels(spark, base):
-    t = fx.token_rows(spark, base).join(
-        posts_src.with_label(fx.post_types(spark, base), spark).select("post_id", "target"), "post_id")
-    t = t.withColumn("tgt", F.array((F.col("target") + 1000).cast("bigint")))
-    out = batching.token_labels(t, "ids", "tgt")
+    out = _token_labels(spark, base)
     return out.select("post_id", A.join_ints("labels").alias("labels"), "n_nonpad",
                       A.join_ints("shifted").alias("shifted"), "n_supervised")
 
@@ -438,8 +484,10 @@ EPOCHS = 3
 def _epoch_table(spark, base):
     """Per-epoch batch losses of a synthetic training run: epoch e adds e to
     the gold logit of the scores fixture; loss is the reference's
-    double-softmax cross-entropy; batches of 64, last partial one dropped."""
-    b = _train_batches(fx.post_types(spark, base), spark, base)
+    double-softmax cross-entropy; batches of 64, last partial one dropped. The
+    run's clock is synthetic too: a quarter second a batch, and a save that
+    takes an eighth of a second more with every epoch."""
+    b = _train_batches(spark, base)
     gidx = (F.array_position(dims.class_name_array(), F.lower("type")) - 1).cast("int")
     rows = b.select("batch_id", gidx.alias("_g"), fx.score_logits(F.col("post_id")).alias("z"),
                     F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
@@ -448,12 +496,14 @@ def _epoch_table(spark, base):
     rows = rows.withColumn("p", A.softmax("ze"))
     per_batch = rows.groupBy("epoch", "batch_id").agg(
         F.avg(A.double_softmax_ce("p", F.col("_g"))).alias("loss"))
-    return metrics.epoch_loss(per_batch)
+    times = per_batch.groupBy("epoch").agg((F.count(F.lit(1)) * F.lit(0.25)).alias("secs")) \
+        .withColumn("ckpt_secs", F.col("epoch") * F.lit(0.125))
+    return metrics.epoch_loss(per_batch).join(times, "epoch")
 
 
 @query("epoch_perplexity")
 def q_epoch_perplexity(spark, base):
-    return _epoch_table(spark, base)
+    return _epoch_table(spark, base).select("epoch", "loss", "perplexity")
 
 
 @query("run_summary")
@@ -501,71 +551,131 @@ def q_train_score_axes(spark, base):
 
 @query("train_log")
 def q_train_log(spark, base):
-    """Objective per iteration of the 16-way fit (M6), with loss and
-    perplexity per iteration (A14)."""
+    """Regularised objective per iteration of the 16-way fit (M6), from
+    iteration 0 (untrained), with the fit's time and the save's (S6)."""
     s = _labelled_split(spark, base)
+    t0 = time.perf_counter()
     m = model.fit_16way(s.where(F.col("split") == "train"))
-    return metrics.epoch_loss(model.log_frame(spark, model.training_log(m)))
+    t1 = time.perf_counter()
+    model.save(m, model.model_path(scratch_path(spark, f"model-{uuid.uuid4().hex}"), "raw", "16way"))
+    return model.log_frame(spark, model.training_log(m), t1 - t0, time.perf_counter() - t1)
 
 
-# --- streaming (R1-R4) -----------------------------------------------------------
+@query("count_score_16way")
+def q_count_score_16way(spark, base):
+    """Closed-form 16-way fit on the training split, eval rows scored and
+    ranked (M1, M3, T1); the predictions go through a table (S7)."""
+    s = _labelled_split(spark, base)
+    m = model.fit_counts(s.where(F.col("split") == "train"))
+    scored = model.score_counts(m, s.where(F.col("split") == "eval"))
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    best = scored.select("post_id", F.round(F.array_max("z"), 5).alias("z"))
+    scoring.write_predictions(scoring.predictions(scored, probs="z"), path)   # far classes underflow in p
+    return spark.read.parquet(path).join(best, "post_id").select("post_id", "gold", "answer", "gold_rank", "z")
+
+
+@query("count_score_axes")
+def q_count_score_axes(spark, base):
+    """Closed-form fit per letter (M2), composed (M4)."""
+    s = _labelled_split(spark, base)
+    models = model.fit_axes_counts(s.where(F.col("split") == "train"))
+    scored = model.score_axes_counts(models, s.where(F.col("split") == "eval"))
+    return scoring.compose_axes(scored).select("post_id", "gold", "bits", "answer")
+
+
+@query("count_metrics_by_variant")
+def q_count_metrics_by_variant(spark, base):
+    """The closed-form fit trained and evaluated on every dataset variant, both
+    tasks, in one table (M7, A17). The variants are written once (S2); each
+    fit reads its own folder (S3)."""
+    load = _variant_loader(spark, base)
+    parts = []
+    for v in ("raw", "bal", "prop"):
+        train, ev = load(v, "train"), load(v, "eval")
+        p16 = scoring.predictions(model.score_counts(model.fit_counts(train), ev), probs="z") \
+            .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
+        ax = scoring.compose_axes(model.score_axes_counts(model.fit_axes_counts(train), ev)) \
+            .select("gold", "answer", F.lit(None).cast("long").alias("gold_rank"), F.lit("axes").alias("task"))
+        parts.append(p16.unionByName(ax).withColumn("variant", F.lit(v)))
+    pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    m = metrics.classification_metrics(pred, groups=["variant", "task"])
+    return m.select("variant", "task", "n", "correct", "accuracy", "mean_match")
 
-def _stage_utterances(spark, base, src):
-    """Drop the conversations into a source folder as three files (turn
-    ranges, oldest first) so the stream sees them in three triggers."""
-    u = fx.utterances(spark, base)
-    for lo, hi in ((0, 1), (2, 3), (4, 1 << 30)):
-        (u.where((F.col("turn") >= lo) & (F.col("turn") <= hi)).coalesce(1)
-         .write.mode("append").parquet(src))
 
+# --- streaming (R1-R4) -----------------------------------------------------------
 
-def _run_stream(spark, base, sink_fn):
-    import uuid
+def _run_stream(spark, utterances, sink_fn, max_tokens=None):
+    """The conversations arrive in three rounds (turn ranges, oldest first);
+    after each round the stream runs on what is new and stops, so the next
+    round resumes from its checkpoint."""
     root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    _stage_utterances(spark, base, f"{root}/src")
-    stream = transcript.running_transcript_stream(
-        transcript.read_utterances(spark, f"{root}/src"))
-    with transcript.bounded_run(spark):
-        q = sink_fn(stream.writeStream.option("checkpointLocation", f"{root}/ckpt"), f"{root}/out")
-    q.awaitTermination()
+    schema = ", ".join(f"{c} {t}" for c, t in utterances.dtypes)
+    for lo, hi in ((0, 1), (2, 3), (4, 1 << 30)):
+        utterances.where((F.col("turn") >= lo) & (F.col("turn") <= hi)).write.mode("append").parquet(f"{root}/src")
+        stream = transcript.running_transcript_stream(
+            transcript.read_utterances(spark, f"{root}/src", schema=schema), max_tokens=max_tokens)
+        with transcript.bounded_run(spark):
+            q = sink_fn(stream.writeStream.option("checkpointLocation", f"{root}/ckpt"), f"{root}/out")
+        q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
+def _to_parquet(w, path):
+    return w.format("parquet").trigger(availableNow=True).start(path)
+
+
 @query("stream_transcript")
 def q_stream_transcript(spark, base):
-    """The streaming running transcript (R1); equals ``running_transcript``."""
-    out = _run_stream(spark, base, lambda w, path: w.format("parquet").trigger(availableNow=True)
-                      .start(path))
-    return out.select("session_id", "turn", "transcript")
+    """The streaming running transcript (R1); equals ``running_transcript``.
+    Every prefix of a session is emitted: that is the operator."""
+    out = _run_stream(spark, fx.utterances(spark, base), _to_parquet)
+    return out.where("not late").select("session_id", "turn", "transcript")
+
+
+@query("stream_stop")
+def q_stream_stop(spark, base):
+    """Sessions with a stop at every third turn (R3): the text starts anew."""
+    u = fx.utterances(spark, base).withColumn("is_stop", F.col("turn") % 3 == 2)
+    return _run_stream(spark, u, _to_parquet).where("not late").select("session_id", "turn", "transcript", "n_tokens")
+
+
+#: tokens kept per session in the capped stream
+STREAM_TOKENS = 20
+
+
+@query("stream_capped")
+def q_stream_capped(spark, base):
+    """The stream with bounded state."""
+    out = _run_stream(spark, fx.utterances(spark, base), _to_parquet, max_tokens=STREAM_TOKENS)
+    return out.where("not late").select("session_id", "turn", "transcript", "n_tokens")
+
+
+@query("running_transcript_capped")
+def q_running_transcript_capped(spark, base):
+    """The batch twin of ``stream_capped``."""
+    return sessions.running_transcript(fx.utterances(spark, base), max_tokens=STREAM_TOKENS)
 
 
 @query("stream_top5")
 def q_stream_top5(spark, base):
     """Re-score the transcript after every utterance and keep the best five
-    classes (R2, T3), per micro-batch with ``foreachBatch``."""
-    s = _labelled_split(spark, base)
-    m = model.fit_16way(s.where(F.col("split") == "train"))
+    classes (R2, T3), per micro-batch with ``foreachBatch``. The scorer is a
+    fixed head on the transcript's length, so any engine can follow it; a
+    fitted model takes its place in ``transcript.rescore_sink``."""
+    def score(batch):
+        z = fx.score_logits(F.length("transcript").cast("long"))
+        return scoring.with_probs(batch.withColumn("z", z)).select("session_id", "turn", "p")
 
     def sink(w, path):
-        def score(batch, epoch_id):
-            inp = batch.withColumn("model_input", T.plain_input("transcript"))
-            p = model.score_16way(m, inp, keep=("session_id", "turn"))
-            top = scoring.ranked_long(p, id_col="session_id", k=5)
-            # one folder per micro-batch, overwritten on replay: idempotent
-            top.write.mode("overwrite").parquet(f"{path}/batch={epoch_id}")
-        return w.foreachBatch(score).trigger(availableNow=True).start()
+        return w.foreachBatch(transcript.rescore_sink(score, path)).trigger(availableNow=True).start()
 
-    return _run_stream(spark, base, sink)
+    out = _run_stream(spark, fx.utterances(spark, base), sink)
+    return out.select("session_id", "turn", "rk", "name", F.round("p", 9).alias("p"))
 
 
-@query("train_metrics_by_variant")
-def q_train_metrics_by_variant(spark, base):
-    """Train on each dataset variant, evaluate on its eval split, compare
-    (M7, A17): one fit per variant - a loop over three names on the driver,
-    each fit a Spark job - then one grouped metrics aggregation. The
-    variants are written once, partitioned by (variant, split) (S2), and
-    every fit reads only its own folder (S3)."""
-    import uuid
+def _variant_loader(spark, base):
+    """All variants written once, partitioned by (variant, split) (S2); returns
+    a reader of one dataset (S3) as model input."""
     path = scratch_path(spark, f"variants-{uuid.uuid4().hex}")
     ds = posts_src.with_label(sampling.dataset_variants(spark, fx.posts(spark, base)), spark)
     ds_src.write_variants(ds.select("variant", "split", "post_id", "posts", "type", "target"), path)
@@ -573,21 +683,33 @@ def q_train_metrics_by_variant(spark, base):
     def load(v, split):
         d = ds_src.read_variant(spark, path, v, split)
         return model.with_model_input(d).withColumn("gold", T.normalize_label("type"))
+    return load
+
 
+@query("train_metrics_by_variant")
+def q_train_metrics_by_variant(spark, base):
+    """Train on each dataset variant, evaluate on its eval split, compare
+    (M7, A17): one logistic fit per variant and task - a loop over three names
+    on the driver, each fit a Spark job - then one grouped aggregation."""
+    load = _variant_loader(spark, base)
     parts = []
     for v in ("raw", "bal", "prop"):
-        m = model.fit_16way(load(v, "train"), max_iter=10)
-        scored = model.score_16way(m, load(v, "eval"))
-        parts.append(scoring.predictions(scored).withColumn("variant", F.lit(v)))
+        train, ev = load(v, "train"), load(v, "eval")
+        p16 = scoring.predictions(model.score_16way(model.fit_16way(train), ev)) \
+            .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
+        feats, models = model.fit_axes(train)
+        ax = scoring.compose_axes(model.score_axes(feats, models, ev)) \
+            .select("gold", "answer", F.lit(None).cast("long").alias("gold_rank"), F.lit("axes").alias("task"))
+        parts.append(p16.unionByName(ax).withColumn("variant", F.lit(v)))
     pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return metrics.classification_metrics(pred, groups=["variant"])
+    return metrics.classification_metrics(pred, groups=["variant", "task"])
 
 
 @query("csv_round_trip")
 def q_csv_round_trip(spark, base):
     """Posts written as headered CSV and read back with the multi-line CSV
-    reader (S1): quotes, commas and newlines inside whole texts survive."""
-    import uuid
+    reader (S1): quotes, commas and newlines inside whole texts survive, and
+    ids follow from the content."""
     path = scratch_path(spark, f"posts-csv-{uuid.uuid4().hex}")
     posts_src.write_posts_csv(fx.posts(spark, base).select("posts", "type"), path)
-    return posts_src.read_posts_csv(spark, path).select("posts", "type")
+    return posts_src.read_posts_csv(spark, path).select("post_id", "posts", "type")

@@ -13,9 +13,10 @@ def get_session(master: str | None = None, app: str = "tetrad",
                 extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes.
 
-    On a cluster, pass ``master=None`` and let spark-submit decide; the
-    cluster's own ``spark.checkpoint.dir`` is kept. Locally (tests, bench)
-    a scratch checkpoint folder is set only when none is configured.
+    On a cluster, pass ``master=None`` and let spark-submit decide: only AQE,
+    skew-join handling and the UTC time zone are set, and the cluster's own
+    ``spark.checkpoint.dir`` is kept. Locally (tests, bench) the UI is off
+    and a scratch checkpoint folder is set when none is configured.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -25,13 +26,11 @@ def get_session(master: str | None = None, app: str = "tetrad",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
+        conf["spark.ui.enabled"] = conf["spark.ui.showConsoleProgress"] = "false"
         # local mode: the driver JVM is the only executor
         conf["spark.driver.memory"] = os.environ.get("TETRAD_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
@@ -47,8 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Taken from the cluster's ``spark.checkpoint.dir`` (or a directory
-    already set on the context). Only when neither exists (local runs,
-    tests) a fresh scratch folder is created and registered.
+    already set on the context). Only when neither exists and the master is
+    local (tests) a fresh scratch folder is created and registered; a cluster
+    without a shared folder is an error, as executors cannot see each
+    other's local disks.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         cur = sc.getCheckpointDir()
         # getCheckpointDir() appends a per-application uuid folder
         d = os.path.dirname(cur.rstrip("/")) if cur else None
+    if not d and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tetrad-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
@@ -65,7 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/tables/{name}"
+    return f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it when no
+    frame that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "").rstrip("/"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "t"):

@@ -2,30 +2,54 @@
 
 The reference reads a headered CSV of (posts, type) with pandas; identity
 is the row position. Here the CSV is read with an explicit schema (quoted
-fields, doubled quotes, embedded newlines) and converted once to Parquet
-with a stable ``post_id``; multi-line CSV is not splittable, Parquet is.
+fields, doubled quotes, embedded newlines)
+with a stable ``post_id``; multi-line CSV is not splittable, so convert it once
+to Parquet for later jobs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tetrad import dims
 
+CORRUPT = "malformed"
 CSV_SCHEMA = T.StructType([
     T.StructField("posts", T.StringType(), True),
     T.StructField("type", T.StringType(), True),
+    T.StructField(CORRUPT, T.StringType(), True),
 ])
 
+# --- fixed values: fields that the reference's CSV reader takes for missing
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def content_id(posts: Column, label: Column, copy: Column) -> Column:
+    """60-bit id of a row from its content and its number among equal rows."""
+    parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c)) for c in (label, posts)]
+    digest = F.md5(F.concat(copy.cast("string"), F.lit("|"), parts[0], F.lit("|"), parts[1]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``(post_id, posts, type)`` from a headered CSV (S1). Empty fields read
-    as null. ``post_id`` is unique and stable for the same input files."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"',
-                        schema=CSV_SCHEMA, mode="PERMISSIVE")
-    return df.select(F.monotonically_increasing_id().alias("post_id"), "posts", "type")
+    """``(post_id, posts, type, malformed)`` from a headered CSV.
+
+    Fields that the reference's reader takes for missing (an empty field
+    among them) are null. A row that does not have two fields is kept whole in
+    ``malformed``, and :func:`validate` rejects it. ``post_id`` depends on the
+    row's content only, and for equal rows on their number, so it is the same
+    however the files are split or named; equal rows are counted by an
+    aggregate, not gathered."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', schema=CSV_SCHEMA,
+                        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+    known = [F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) for c in ("posts", "type")]
+    rows = df.select(*known, CORRUPT).groupBy("posts", "type", CORRUPT).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    text = F.coalesce(F.col(CORRUPT), F.col("posts"))
+    return rows.select(content_id(text, F.col("type"), F.col("copy")).alias("post_id"), "posts", "type", CORRUPT)
 
 
 def write_posts_csv(df: DataFrame, path: str) -> None:
@@ -36,12 +60,6 @@ def write_posts_csv(df: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str) -> DataFrame:
-    """Convert once; later jobs read the splittable Parquet copy."""
-    read_posts_csv(spark, csv_path).write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
-
-
 def with_label(posts: DataFrame, spark: SparkSession) -> DataFrame:
     """Normalize the type (trim, upper) and attach the class index by a
     broadcast join with the 16-row class table (P1, P2). Unknown types get
@@ -54,13 +72,17 @@ def with_label(posts: DataFrame, spark: SparkSession) -> DataFrame:
 def validate(posts: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Split into (valid, rejects) instead of failing late.
 
-    A post is rejected when its text is null or its type is not one of the
-    16 classes; ``reason`` names the first failing rule. Both outputs come
+    A post is rejected when its CSV row was malformed, its text is null or its
+    type is not one of the 16 classes; ``reason`` names the first failing rule. Both outputs come
     from one lazy plan; write them in one job with a ``valid`` flag if the
     input is expensive.
     """
     lab = with_label(posts, spark)
-    reason = (F.when(F.col("posts").isNull(), F.lit("null_post"))
+    reason = F.when(F.col("posts").isNull(), F.lit("null_post"))
+    if CORRUPT in posts.columns:
+        lab = lab.withColumn("posts", F.coalesce(CORRUPT, "posts"))
+        reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")).when(F.col("posts").isNull(), F.lit("null_post"))
+    reason = (reason
               .when(F.col("target").isNull(), F.lit("unknown_type")))
     flagged = lab.withColumn("reason", reason)
     valid = flagged.where(F.col("reason").isNull()).drop("reason")

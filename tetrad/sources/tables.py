@@ -4,27 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# (application, path) -> number of input splits; decided once per session
-_SPLITS: dict = {}
 
-
-def read_table(spark: SparkSession, base: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One Parquet table ``<base>/<name>.parquet``. Column pruning and
-    predicate pushdown are left to the optimizer: select only what you use.
+    predicate pushdown are left to the optimizer: select only what you use."""
+    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
 
-    A file with fewer splits (row groups) than the cluster has cores would
-    run all per-row work (regex tokenization, hashing) in a few tasks. Only
-    then the rows are spread round-robin over ``defaultParallelism`` tasks;
-    filters and column pruning still reach the scan. A large input already
-    has more splits than cores and is read as is, with no extra shuffle.
-    """
-    path = f"{base.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread:
-        par = spark.sparkContext.defaultParallelism
-        key = (spark.sparkContext.applicationId, path)
-        if key not in _SPLITS:
-            _SPLITS[key] = df.rdd.getNumPartitions()
-        if _SPLITS[key] < par:
-            df = df.repartition(par)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a frame that is one input split (so at most
+    ``spark.sql.files.maxPartitionBytes``) dealt to all cores; any larger
+    input is returned as it is. For use after a narrow select, before costly
+    per-row work."""
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -7,6 +7,8 @@ reading it as one whole file and broadcasting it in joins safe.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ def load_vocab_text(spark: SparkSession, path: str) -> DataFrame:
     """``(piece, id)`` with id = line number from 0.
 
     ``spark.read.text`` splits a file across tasks and loses line order, so
-    the file is read whole (one row) and exploded with positions."""
+    the file is read whole (one row) and exploded with positions. A folder of
+    several files would give a line number twice and is refused."""
     whole = spark.read.text(path, wholetext=True)
+    if whole.select(F.lit(1)).limit(2).count() > 1:
+        raise ValueError(f"{path} holds more than one vocabulary file")
     lines = F.split(F.regexp_replace(F.col("value"), r"\n$", ""), "\n", -1)
     return whole.select(F.posexplode(lines).alias("id", "piece")).select(
         "piece", F.col("id").cast("int").alias("id"))
@@ -33,12 +38,13 @@ def export_vocab_text(vocab: DataFrame, path: str) -> None:
     vocab.orderBy("id").select("piece").coalesce(1).write.mode("overwrite").text(path)
 
 
-def build_vocab(docs: DataFrame | None, text_col: str = "text", n_words: int = 400,
-                n_endings: int = 60, counts: DataFrame | None = None) -> DataFrame:
+def build_vocab(docs: DataFrame | None, n_words: int, n_endings: int, text_col: str = "text",
+                counts: DataFrame | None = None, always: Sequence[str] = ()) -> DataFrame:
     """Vocabulary of a corpus: the 4 special tokens, every character seen in
     a basic token, '##' + every such character, the ``n_words`` most frequent
     basic tokens longer than one character, '##' + the ``n_endings`` most
-    frequent two-letter endings of tokens longer than two characters. Ids
+    frequent two-letter endings of tokens longer than two characters, and the
+    basic tokens ``always`` (a prompt's own words). Ids
     follow (kind, piece); ties in frequency go to the smaller piece.
 
     The token counts are one aggregate with map-side combining (hot tokens
@@ -52,10 +58,16 @@ def build_vocab(docs: DataFrame | None, text_col: str = "text", n_words: int = 4
         counts = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     else:
         counts = counts.select(F.col("w").alias("t"), "n")
-    chars = (counts.select(F.explode(F.split("t", "")).alias("piece")).distinct()
+    spelled = counts.select("t")
+    if always:
+        spelled = spelled.union(counts.sparkSession.createDataFrame([(w,) for w in sorted(set(always))], "t string"))
+    chars = (spelled.select(F.explode(F.split("t", "")).alias("piece")).distinct()
              .where(F.length("piece") == 1))
     words = (counts.where(F.length("t") > 1).orderBy(F.desc("n"), "t").limit(n_words)
              .select(F.col("t").alias("piece")))
+    fixed = [(w,) for w in sorted(set(always)) if len(w) > 1]
+    if fixed:
+        words = words.union(counts.sparkSession.createDataFrame(fixed, "piece string")).distinct()
     endings = (counts.where(F.length("t") > 2)
                .groupBy(F.substring("t", -2, 2).alias("e")).agg(F.sum("n").alias("n"))
                .orderBy(F.desc("n"), "e").limit(n_endings)

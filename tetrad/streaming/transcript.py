@@ -4,13 +4,18 @@ The reference appends every recognition result to one growing string and
 re-classifies the whole text after each result; STOP clears it. Here the
 stream is keyed by session: ``applyInPandasWithState`` keeps, per session,
 the last turn seen, the text so far and its token count; every new turn
-emits the transcript so far. Rows of a trigger are applied in turn order,
-a turn at or below the last one seen is dropped (replay / late duplicate),
-a stop row clears the state, and idle sessions expire on a processing-time
-timeout. With ``max_tokens`` only the first N basic tokens are kept - the
-model never sees more (R4) - so state per session is bounded.
-
-Scoring (R2) is stateless and runs per micro-batch in ``foreachBatch``.
+emits the transcript so far. Rows of a trigger are applied in turn order.
+A turn at or below the last one seen came too late (or again): it changes
+nothing and is emitted with ``late`` set and no transcript, so it can be
+counted or written aside. A stop row clears the text. State stays until a
+stop unless ``timeout_ms`` is given.
+
+With ``max_tokens`` only the first N basic tokens are kept - the model never
+sees more (R4) - so state per session is bounded. The N-th token is kept as
+long as it may still grow: the text is full only when a character follows it.
+
+Scoring (R2) is stateless and runs per micro-batch in ``foreachBatch``. The
+workers must have this package (``spark-submit --py-files``).
 """
 
 from __future__ import annotations
@@ -24,60 +29,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tetrad.functions.text import BASIC_TOKEN
+from tetrad.operators import scoring
 
-OUT_SCHEMA = "session_id long, turn long, transcript string, n_tokens long"
-STATE_SCHEMA = "last_turn long, text string, n_tokens long"
+OUT_SCHEMA = "session_id long, turn long, transcript string, n_tokens long, late boolean"
+STATE_SCHEMA = "last_turn long, text string, n_tokens long, full boolean"
 _TOKEN = re.compile(BASIC_TOKEN, re.ASCII)
+_WORD = re.compile(r"\w", re.ASCII)
+
+
+def _count(text: str, n_tokens: int, add: str) -> int:
+    """Basic tokens of text + add: a word that goes on counts once."""
+    goes_on = bool(text and add and _WORD.match(text[-1]) and _WORD.match(add[0]))
+    return n_tokens + sum(1 for _ in _TOKEN.finditer(add)) - goes_on
 
 
-def _append(text: str, add: str, sep: str, n_tokens: int, max_tokens: int | None):
-    if max_tokens is not None and n_tokens >= max_tokens:
-        return text, n_tokens            # the model input is already full
-    new = add if text == "" else text + sep + add
+def _append(text: str, add: str, sep: str, n_tokens: int, full: bool, max_tokens: int | None):
+    """(text, its tokens, whether it can take no more)."""
+    if full:
+        return text, n_tokens, True
+    add = add if text == "" else sep + add
     if max_tokens is None:
-        return new, n_tokens + sum(1 for _ in _TOKEN.finditer(add))
+        return text + add, _count(text, n_tokens, add), False
+    new = text + add
     ends = [m.end() for m in _TOKEN.finditer(new)]
-    if len(ends) > max_tokens:
-        new = new[:ends[max_tokens - 1]]
-    return new, min(len(ends), max_tokens)
+    if len(ends) < max_tokens:
+        return new, len(ends), False
+    end = ends[max_tokens - 1]
+    closed = end < len(new) or not _WORD.match(new[end - 1])
+    return new[:end], max_tokens, closed
 
 
-def transcript_state_fn(sep: str = "", max_tokens: int | None = None, timeout_ms: int = 3_600_000):
+def transcript_state_fn(sep: str = "", max_tokens: int | None = None, timeout_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, text, n = state.get if state.exists else (-1, "", 0)
+        last, text, n, full = state.get if state.exists else (-1, "", 0, False)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="stable")
-        out_turns, out_text, out_n = [], [], []
+        out = []
         stop = batch["is_stop"] if "is_stop" in batch.columns else [False] * len(batch)
         for turn, utt, is_stop in zip(batch["turn"], batch["text"], stop):
             if turn <= last:
+                out.append((key[0], int(turn), None, None, True))
                 continue
             last = int(turn)
             if bool(is_stop):
-                text, n = "", 0
+                text, n, full = "", 0, False
                 continue
             if utt is not None:
-                text, n = _append(text, utt, sep, n, max_tokens)
-            out_turns.append(last)
-            out_text.append(text)
-            out_n.append(n)
-        state.update((last, text, n))
-        state.setTimeoutDuration(timeout_ms)
-        if out_turns:
-            yield pd.DataFrame({"session_id": [key[0]] * len(out_turns), "turn": out_turns,
-                                "transcript": out_text, "n_tokens": out_n})
+                text, n, full = _append(text, utt, sep, n, full, max_tokens)
+            out.append((key[0], last, text, n, False))
+        state.update((last, text, n, full))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "turn", "transcript", "n_tokens", "late"])
     return fn
 
 
-def running_transcript_stream(utterances: DataFrame, sep: str = "",
-                              max_tokens: int | None = None) -> DataFrame:
-    """Streaming ``(session_id, turn, transcript, n_tokens)`` from a stream of
-    ``(session_id, turn, text[, is_stop])``. One shuffle by session."""
+def running_transcript_stream(utterances: DataFrame, sep: str = "", max_tokens: int | None = None,
+                              timeout_ms: int | None = None) -> DataFrame:
+    """Streaming ``(session_id, turn, transcript, n_tokens, late)`` from a
+    stream of ``(session_id, turn, text[, is_stop])``. One shuffle by
+    session. A session's rows of one trigger are handled together: bound the
+    trigger by the source's rate options where sessions are long."""
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return utterances.groupBy("session_id").applyInPandasWithState(
-        transcript_state_fn(sep, max_tokens), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        transcript_state_fn(sep, max_tokens, timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+
+def rescore_sink(score, path: str, k: int = 5):
+    """``foreachBatch`` function (R2): every utterance's transcript scored by
+    ``score(batch) -> (session_id, turn, p)``, the best ``k`` classes of each
+    written. One folder per micro-batch, overwritten on replay."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        top = scoring.ranked_long(score(batch.where("not late")), id_col=("session_id", "turn"), k=k)
+        top.write.mode("overwrite").parquet(f"{path}/batch={epoch_id}")
+    return run
 
 
 @contextmanager
@@ -96,7 +124,7 @@ def bounded_run(spark: SparkSession):
 
 
 def read_utterances(spark: SparkSession, path: str, schema: str = "session_id long, turn long, text string",
-                    files_per_trigger: int | None = 1) -> DataFrame:
+                    files_per_trigger: int | None = None) -> DataFrame:
     """Any file source works; Parquet files dropped into ``path`` here."""
     r = spark.readStream.schema(schema)
     if files_per_trigger:
