@@ -46,7 +46,7 @@ BUCKET_DOCS = 4096
 MAX_BUCKETS = 1 << 16
 #: words held by a task before they go out
 FLUSH_WORDS = 500_000
-SLICE = (2 << 20) - 64
+SLICE = (1 << 20) - 64
 
 # bytes that part words cannot be in one: they stand for the other symbols
 STOP, START, END, PAD = 0x20, 0x09, 0x0A, 0x0B
