@@ -140,6 +140,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, cache_path: str | Non
         F.col("stored").isNull() & (F.col("first").isNull() | (F.col("first") == F.col("doc_id"))))
     misses.select(F.lit(tokenizer).alias("tokenizer"), "content", token_count(F.col("text"), path).alias("n_tokens")) \
         .write.mode("append").parquet(cache_path)
-    counts = cache()
+    counts = materialize(cache(), "count-found")     # then the join can split a hot content's rows
     return keys.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
