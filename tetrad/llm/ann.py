@@ -10,8 +10,9 @@ How many buckets to probe is measured: for a bounded sample of queries the true
 neighbours are found by brute force, and the probes are as few as give them the
 recall ``TARGET``. Vectors are compared in blocks: a bucket (split into parts if
 it is large) against the queries that probe it. A block returns for each query
-its best few, and only those that reach the query's best few of a fixed sample of
-vectors, which are candidates as well; this loses nothing.
+its best few, and only those that reach the query's best few so far: of a fixed
+sample of vectors, which are candidates as well, then also of the nearest
+buckets, which are probed first. This loses nothing.
 
 Equal vectors are one class with its smallest ids; a query's own id is left out
 at the end. Defined cases: vectors that are null, zero, hold a null or
@@ -33,7 +34,9 @@ from tetrad.session import materialize
 
 TABLES, ROUNDS, SEED = 4, 3, 7
 #: recall that the sampled queries must reach, their number, and vectors of the fixed sample
-TARGET, SAMPLE_QUERIES, SAMPLE_VECTORS = 0.96, 256, 2000
+TARGET, SAMPLE_QUERIES, SAMPLE_VECTORS = 0.96, 256, 4096
+#: probes per table that raise each query's floor before the others are made
+FIRST_PROBES = 4
 #: classes of a bucket in one block, and of queries
 BLOCK, BLOCK_QUERIES = 8192, 2048
 #: vectors per bucket from which on a table takes one more hash
@@ -234,8 +237,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     split = spark.createDataFrame([(*a, int(b)) for a, b in many.items()], "tab int, bucket long, parts int")
     data = data.join(F.broadcast(split), ["tab", "bucket"], "left") \
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int"))
-    n_queries = distinct.count()
-    groups = max(1, -(-n_queries // BLOCK_QUERIES))
+    groups = max(1, -(-distinct.count() // BLOCK_QUERIES))
 
     found_schema = "q long, cid long, ids array<long>, score double"
 
@@ -247,31 +249,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             yield pa.record_batch({"q": pa.array(b.column("cid").to_numpy()[r]), "cid": pa.array(cid[c]),
                                    "ids": ids.take(pa.array(c)), "score": pa.array(s.astype(np.float64))})
     started = materialize(distinct.mapInArrow(start, found_schema), "ann-start")
-    # what a query's best few of the fixed sample reach: no worse vector can be among its nearest
-    floors = started.groupBy("q").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")) \
-        .select("q", F.when(F.col("n") > k, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
-
-    def probing(batches):
-        for b in batches:
-            q = _matrix(b.column("vec"))
-            codes = hashes.value.probes(q, probes)
-            for a in range(0, len(q), 64):
-                own = codes[a:a + 64]
-                row, tab, at = (z.ravel() for z in np.indices(own.shape))
-                bucket = own.ravel()
-                n = np.array([parts.value.get(z, 1) for z in zip(tab.tolist(), bucket.tolist())])
-                rep = np.repeat(np.arange(len(row)), n)
-                part = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                row, tab, bucket = a + row[rep], tab[rep], bucket[rep]
-                yield pa.record_batch({
-                    "tab": pa.array(tab.astype(np.int32)), "bucket": pa.array(bucket), "part": pa.array(part.astype(np.int32)),
-                    "q": b.column("cid").take(pa.array(row)), "floor": b.column("floor").take(pa.array(row)),
-                    "vec": b.column("vec").take(pa.array(row))})
-    probe = distinct.join(floors, distinct["cid"] == floors["q"]).select("cid", "vec", "floor") \
-        .mapInArrow(probing, "tab int, bucket long, part int, q long, floor double, vec array<double>")
-    # the queries of a block are split too; its vectors go to each part
-    probe = probe.withColumn("side", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(groups)).cast("int"))
+    key = ["tab", "bucket", "part", "side"]
     data = data.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else data.withColumn("side", F.lit(0))
+    data = data.select(*key, "cid", "ids", "vec")
 
     def block(x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
@@ -282,11 +262,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.table({"q": pa.array(q.column("q").to_numpy()[r]), "cid": pa.array(cid[c]),
                          "ids": x.column("ids").combine_chunks().take(pa.array(c)), "score": pa.array(s.astype(np.float64))})
 
-    key = ["tab", "bucket", "part", "side"]
-    found = data.select(*key, "cid", "ids", "vec").groupBy(*key).cogroup(probe.groupBy(*key)).applyInArrow(block, found_schema)
-    pairs = found.union(started).groupBy("q", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
-    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    def best(pairs):
+        """Each query's best k + 1 classes."""
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
+        once = pairs.groupBy("q", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+        return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("q", "cid", "ids", "score")
+
+    def search(top, first, last):
+        """``top`` with what the probes ``first`` to ``last`` of each table find.
+        No vector below a query's k + 1 best so far can be among its nearest."""
+        def probing(batches):
+            for b in batches:
+                q = _matrix(b.column("vec"))
+                codes = hashes.value.probes(q, last)[:, :, first:]
+                for a in range(0, len(q), 64):
+                    own = codes[a:a + 64]
+                    row, tab, _ = (z.ravel() for z in np.indices(own.shape))
+                    bucket = own.ravel()
+                    n = np.array([parts.value.get(z, 1) for z in zip(tab.tolist(), bucket.tolist())], np.int64)
+                    rep = np.repeat(np.arange(len(row)), n)
+                    part = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                    row, tab, bucket = a + row[rep], tab[rep], bucket[rep]
+                    yield pa.record_batch({
+                        "tab": pa.array(tab.astype(np.int32)), "bucket": pa.array(bucket), "part": pa.array(part.astype(np.int32)),
+                        "q": b.column("cid").take(pa.array(row)), "floor": b.column("floor").take(pa.array(row)),
+                        "vec": b.column("vec").take(pa.array(row))})
+        floors = top.groupBy("q").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")) \
+            .select("q", F.when(F.col("n") > k, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
+        probe = distinct.join(floors, distinct["cid"] == floors["q"]).select("cid", "vec", "floor") \
+            .mapInArrow(probing, "tab int, bucket long, part int, q long, floor double, vec array<double>")
+        # the queries of a block are split too; its vectors go to each part
+        probe = probe.withColumn("side", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(groups)).cast("int"))
+        found = data.groupBy(*key).cogroup(probe.groupBy(*key)).applyInArrow(block, found_schema)
+        return materialize(best(found.union(top)), "ann-top")
+
+    pairs = started
+    for first, last in ((0, min(FIRST_PROBES, probes)), (FIRST_PROBES, probes)):
+        if first < last:                                  # the nearest buckets raise the floors for the others
+            pairs = search(pairs, first, last)
     each = pairs.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     each = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
