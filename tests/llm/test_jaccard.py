@@ -94,6 +94,8 @@ def test_hand_made_rows(spark):
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 9, 11, 12]
+    two = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (2, "quite another text here")], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard.keep_one(two).collect()) == ["a b c d e", "quite another text here"]
     assert jaccard.join_components(df.limit(0)).count() == 0
     assert jaccard.join_components(df.filter("doc_id < 4")).count() == 3
 

@@ -139,7 +139,8 @@ def _known(batches, rule: Rule):
                 own = slice(at[x], at[y])
                 bits = _bitmaps(s[own], doc[own] - x, y - x)
                 yield pa.record_batch({
-                    "doc_id": b.column("doc_id").slice(i + x, y - x), "class": pa.array(a[x:y].view(np.int64)),
+                    "doc_id": b.column("doc_id").slice(i + x, y - x), "text_hash": b.column("text_hash").slice(i + x, y - x),
+                    "class": pa.array(a[x:y].view(np.int64)),
                     "other": pa.array(c[x:y].view(np.int64)), "size": pa.array(np.diff(at[x:y + 1]).astype(np.int64)),
                     "bits": pa.array([r.tobytes() for r in bits], pa.binary())})
 
@@ -440,10 +441,14 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
 def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id per document."""
-    rule = rule or Rule()
+    return _joined(docs, rule or Rule()).drop("text_hash")
+
+
+def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = materialize(own.mapInArrow(lambda it: _known(it, rule), "doc_id long, class long, other long, size long, bits binary"),
-                        "jaccard-known")
+    known = own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        lambda it: _known(it, rule), "doc_id long, text_hash long, class long, other long, size long, bits binary")
+    known = materialize(known, "jaccard-known")
     classes = materialize(known.filter("size > 0").groupBy("class", "other", "size").agg(
         F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "jaccard-classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
@@ -466,14 +471,17 @@ def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         .select("class", F.coalesce("root", "class").alias("root"), "least")
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(least.join(named, "root").select("class", "component_id"), "jaccard-named")
-    return known.select("doc_id", "class", "size").join(named, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
+    return known.select("doc_id", "text_hash", "class", "size").join(named, "class", "left").select(
+        "doc_id", "text_hash", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """The rows of ``docs`` but for those linked, directly or not, with one of a
-    smaller doc_id. Rows without id stay."""
-    out = join_components(docs, rule)
-    gone = materialize(out.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    smaller doc_id. Rows without id stay. Rows are told apart by doc_id and
+    text."""
+    gone = _joined(docs, rule or Rule()).filter("doc_id != component_id") \
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialize(gone, "jaccard-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    return rows.join(gone, ["_id", "_hash"], "left_anti").select("row.*")
