@@ -28,8 +28,6 @@ PRIOR_PROPORTIONAL = {
 }
 # Uniform prior used for the balanced variant.
 PRIOR_BALANCED = {name.upper(): 0.0625 for name in CLASS_NAMES}
-# Axis names, in bit order.
-AXES = ["I/E", "N/S", "T/F", "J/P"]
 # Special tokens of the vocabulary.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 # Training prompt: instruction header, one worked example, then the post.
