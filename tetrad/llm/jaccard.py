@@ -357,15 +357,25 @@ def _cross_pairs(batches, rule: Rule):
         node, root, size = (flat.field(c).to_numpy() for c in ("c", "root", "size"))
         bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint8).reshape(-1, BITMAP // 8)
         cuts = cuts - cuts[0]
+        found, n = [], 0
+
+        def flush():
+            u, v = (np.concatenate(z) for z in zip(*found))
+            pair = np.unique(np.stack([u, v]), axis=1)
+            return pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            found = []
             for i in range(x, y - 1):
                 j = i + 1 + np.flatnonzero(root[i + 1:y] != root[i])
+                if not len(j):
+                    continue
                 j = j[_allowed(size[i], size[j], bits[i], bits[j], rule)]
                 found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
-            u, v = (np.concatenate(z) for z in zip(*found))
-            if len(u):
-                yield pa.record_batch({"a": pa.array(u), "b": pa.array(v)})
+                n += len(j)
+            if n > 1 << 19:
+                yield flush()
+                found, n = [], 0
+        if found:
+            yield flush()
 
 
 def open_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None, rule: Rule) -> DataFrame:
@@ -378,7 +388,10 @@ def open_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None, r
         split = member.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("id")
         member = member.join(split, "id", "left_semi")
     member = member.join(classes.select(F.col("class").alias("c"), "size", "bits"), "c")
-    return member.groupBy("id").agg(F.collect_list(F.struct("c", "root", "size", "bits")).alias("g")).select("g") \
+    # groups of one family have many pairs in common: they meet in a task by their smallest root, which
+    # returns a pair once
+    whole = member.groupBy("id").agg(F.collect_list(F.struct("c", "root", "size", "bits")).alias("g"), F.min("root").alias("family"))
+    return whole.repartition("family").sortWithinPartitions("family").select("g") \
         .mapInArrow(lambda it: _cross_pairs(it, rule), "a long, b long").distinct()
 
 
