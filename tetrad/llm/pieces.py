@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: parts and pairs kept per worker and generation (two generations are held)
-PARTS_KEPT = 200_000
-PAIRS_KEPT = 400_000
+PARTS_KEPT = 150_000
+PAIRS_KEPT = 150_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -163,16 +163,19 @@ class PieceTable:
         """Independent parts of the text as the model sees it."""
         return self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def entry(self, part: str):
+    def entry(self, part: str) -> str:
+        """The part's ids, joined by commas; '!' before them if they do not spell the part."""
         e = self.known.get(part)
         if e is None:
             ids = self.ids(part)
-            e = (len(ids), ",".join(map(str, ids)), self.spell(ids))
+            e = ",".join(map(str, ids))
+            if self.spell(ids) != part.replace(SPACE, " "):
+                e = "!" + e
             self.known.put(part, e)
         return e
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.split(text) for i in map(int, self.entry(p)[1].split(","))]
+        return [i for p in self.split(text) for i in map(int, self.entry(p).lstrip("!").split(","))]
 
     def decode(self, ids: list[int]) -> str:
         text = self.spell(ids)
@@ -180,12 +183,14 @@ class PieceTable:
 
     def digests(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids joined by commas, and the decoded text."""
-        known, entries = self.known.new.get, []
-        for p in self.split(text):
-            entries.append(known(p) or self.entry(p))
-        decoded = "".join([e[2] for e in entries])
-        return (sum([e[0] for e in entries]), ",".join([e[1] for e in entries]).encode(),
-                (decoded[1:] if decoded.startswith(" ") else decoded).encode())
+        known, parts = self.known.new.get, self.split(text)
+        ids = ",".join([known(p) or self.entry(p) for p in parts])
+        if "!" in ids:
+            ids = ids.replace("!", "")
+            decoded = self.decode(list(map(int, ids.split(","))))
+        else:                                             # every part's ids spell the part
+            decoded = "".join(parts).replace(SPACE, " ")[1:]
+        return ids.count(",") + bool(ids), ids.encode(), decoded.encode()
 
 
 _tables: dict[str, PieceTable] = {}
