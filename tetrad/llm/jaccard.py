@@ -14,8 +14,8 @@ have is emitted as it is; a frequent one is replaced by the narrower keys
 (segment, partner) and (segment, partner less one element). The choice depends on
 the key alone, so both sets of a link make the same one, and no link is lost.
 
-Sets with a common key are candidates. Each class is first compared with the one
-first member that it shares most groups with; then all pairs of a group that are
+Sets with a common key are candidates. Each class is first compared with the
+centre that it shares most groups with, a few times; then all pairs of a group that are
 not yet in one component, if their sizes and the parity bitmaps of their sets
 (whose distance never exceeds the true one) allow a link. Links are verified
 exactly, on the sets of 64-bit shingle hashes. Equal sets are one class from the start.
@@ -46,6 +46,8 @@ FREQUENT = 8
 #: cells of the key counts: as many as half the keys, within these limits
 CELLS = (1 << 16, 1 << 30)
 BITMAP = 1024
+#: times that each class is compared with a centre before all open pairs are
+CENTRE_ROUNDS = 3
 #: bits of the filter of classes whose sets are fetched
 FETCH_BITS = 1 << 27
 #: keys per bucket that a task groups
@@ -378,15 +380,18 @@ def _cross_pairs(batches, rule: Rule):
             yield flush()
 
 
-def open_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None, rule: Rule) -> DataFrame:
-    """Possible pairs (a, b) of the groups that are not in one component yet."""
+def open_groups(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members (id, c, root) of the groups that are not in one component yet."""
     member = groups.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("c"))
     if roots is None:
-        member = member.withColumn("root", F.col("c"))
-    else:
-        member = member.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        split = member.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("id")
-        member = member.join(split, "id", "left_semi")
+        return member.withColumn("root", F.col("c"))
+    member = member.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    split = member.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("id")
+    return member.join(split, "id", "left_semi")
+
+
+def open_pairs(member: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Possible pairs (a, b) of members of open groups."""
     member = member.join(classes.select(F.col("class").alias("c"), "size", "bits"), "c")
     # groups of one family have many pairs in common: they meet in a task by their smallest root, which
     # returns a pair once
@@ -395,39 +400,47 @@ def open_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None, r
         .mapInArrow(lambda it: _cross_pairs(it, rule), "a long, b long").distinct()
 
 
-def best_pairs(groups: DataFrame) -> DataFrame:
-    """One pair (a, b) for every class that is not the first of all its groups:
-    with the first member that it shares most groups with."""
-    stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b"))
-    n = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+def best_pairs(member: DataFrame) -> DataFrame:
+    """One pair (a, b) at most for every class of the groups (id, c, root): with
+    the centre that it shares most groups with, if that is in another
+    component. A group's centre is its member that is in most groups: the text
+    that the others were made from keeps more segments in common with them than
+    they do with each other."""
+    degree = member.groupBy("c").agg(F.count(F.lit(1)).alias("d"))
+    centre = member.join(degree, "c").groupBy("id").agg(F.max(F.struct("d", (-F.col("c")).alias("neg"), "root")).alias("m")) \
+        .select("id", (-F.col("m.neg")).alias("a"), F.col("m.root").alias("a_root"))
+    stars = member.join(centre, "id").filter("root != a_root").groupBy("a", F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("neg"))).alias("x")).select((-F.col("x.neg")).alias("a"), "b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of classes that are linked, by their whole sets. A class's
-    words travel compressed, and its set is built again where it is compared."""
+def words_of(wanted: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(c, s): the compressed words of each wanted class (c). A bitmap of the
+    wanted classes goes to the workers."""
     spark = docs.sparkSession
-    need = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(FETCH_BITS)).alias("bit")).distinct() \
+    need = wanted.select(F.pmod("c", F.lit(FETCH_BITS)).alias("bit")).distinct() \
         .groupBy(F.shiftright("bit", 6).alias("word")) \
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).toArrow()
-    wanted = np.zeros(FETCH_BITS // 64, np.int64)
-    wanted[need.column("word").to_numpy()] = need.column("w").to_numpy()
-    wanted = share(spark, wanted.view(U))
+    bits = np.zeros(FETCH_BITS // 64, np.int64)
+    bits[need.column("word").to_numpy()] = need.column("w").to_numpy()
+    bits = share(spark, bits.view(U))
 
     def fetch(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for data, offsets, a, new in _texts_seen(batches, rule):
             bit = (a.view(np.int64) % FETCH_BITS).astype(U)
-            rows = np.flatnonzero(new & ((wanted.value[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1)) == 1))
+            rows = np.flatnonzero(new & ((bits.value[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1)) == 1))
             for x in range(0, len(rows), 256):
                 own = rows[x:x + 256]
                 yield pa.record_batch({"c": pa.array(a[own].view(np.int64)),
                                        "s": pa.array([pack(b" ".join(data[offsets[r]:offsets[r + 1]].tobytes().split()))
                                                       for r in own], pa.binary())})
+    return docs.select("text").mapInArrow(fetch, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
 
-    found = docs.select("text").mapInArrow(fetch, "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
-    found = materialize(found, "jaccard-words")
 
+def verified(pairs: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of classes that are linked, by their whole sets, built again
+    from the classes' words."""
     def check(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         kept: dict[int, np.ndarray] = {}
@@ -448,8 +461,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 ok.append(rule.linked(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
             yield pa.record_batch({c: p.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
 
-    return pairs.join(found.select(F.col("c").alias("b"), F.col("s").alias("y")), "b") \
-        .join(found.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").mapInArrow(check, "a long, b long")
+    return pairs.join(words.select(F.col("c").alias("b"), F.col("s").alias("y")), "b") \
+        .join(words.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").mapInArrow(check, "a long, b long")
 
 
 def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -471,14 +484,25 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     buckets = int(min(MAX_BUCKETS, max(16, expected // BUCKET_KEYS)))
     groups = materialize(candidate_groups(own, rule, bits, buckets), "jaccard-groups")
 
-    # one pair of each class first: it joins most of what belongs together; then all pairs still open
-    pairs = materialize(best_pairs(groups), "jaccard-pairs")
-    links = materialize(verified(pairs, own, rule), "jaccard-links")
-    roots = materialize(components(links), "jaccard-roots")
-    rest = materialize(open_pairs(groups, classes, roots, rule).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        more = materialize(verified(rest, own, rule), "jaccard-more")
-        roots = materialize(components(links.union(more)), "jaccard-roots")
+    words = materialize(words_of(groups.select(F.explode("members").alias("c")).distinct(), own, rule), "jaccard-words")
+    links = seen = roots = None
+
+    def verify(pairs):
+        """Links among pairs not seen before, added to the links so far."""
+        nonlocal links, seen, roots
+        pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if pairs.isEmpty() and seen is not None:
+            return
+        more = verified(pairs, words, rule)
+        links = materialize(more if links is None else links.union(more), "jaccard-links")
+        seen = pairs if seen is None else seen.union(pairs)
+        roots = materialize(components(links), "jaccard-roots")
+
+    # one pair of each class with a centre, three times: this joins most of what belongs together
+    for _ in range(CENTRE_ROUNDS):
+        verify(best_pairs(materialize(open_groups(groups, roots), "jaccard-open")))
+    # then all pairs that are still open
+    verify(open_pairs(open_groups(groups, roots), classes, rule))
 
     least = classes.groupBy("class").agg(F.min("least").alias("least")).join(roots.withColumnRenamed("node", "class"), "class", "left") \
         .select("class", F.coalesce("root", "class").alias("root"), "least")
