@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID, SF_SMALL
 from tetrad.llm import langid, licenses, toxicity
@@ -152,3 +153,11 @@ def test_machine_separates():
     y = np.where(x[:, 0] + 2 * x[:, 1] > 0.3, 1.0, -1.0)
     w = langid.fit_machine(x, y)
     assert (np.sign(x @ w) == y).mean() > 0.97
+
+
+def test_sample_is_of_distinct_texts(spark):
+    rows = [("en", f"plain words {i}") for i in range(400)] + [("de", f"deutsche worte {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    copies = spark.range(200_000).selectExpr("'de' lang", "'deutsche worte 0' text")
+    drawn = {r.lang: r.n for r in langid._sample(df.union(copies)).groupBy("lang").agg(F.countDistinct("text").alias("n")).collect()}
+    assert drawn == {"en": langid.SAMPLE, "de": 200}

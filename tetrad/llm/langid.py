@@ -99,13 +99,17 @@ def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sample(training: DataFrame) -> DataFrame:
-    """At most SAMPLE distinct texts per language, by text hash."""
-    counts = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    drawn = training.join(F.broadcast(counts), "lang").withColumn("h", F.xxhash64("text")) \
-        .filter((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.col("n") <= 3 * SAMPLE) \
-        .groupBy("lang", "h").agg(F.min("text").alias("text"))
+    """At most SAMPLE distinct texts per language, by text hash. The draw's rate
+    is that of the distinct texts, so copies do not count."""
+    rows = training.withColumn("h", F.xxhash64("text"))
+    distinct = materialize(rows.select("lang", "h").distinct(), "lang-texts")
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy("h")
-    return drawn.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE).select("lang", "text")
+    drawn = distinct.join(F.broadcast(counts), "lang") \
+        .filter((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.col("n") <= 3 * SAMPLE) \
+        .withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE).select("lang", "h")
+    return rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")) \
+        .select("lang", "text")
 
 
 def train(training: DataFrame):
