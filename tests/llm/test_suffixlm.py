@@ -75,3 +75,29 @@ def test_tree_is_a_distribution(spark):
         total = (10 ** t.score(key)).sum() + 10 ** t.score(stop[-1:])[0]
         end = np.array([(int(key[0]) >> 8 << 8) | suffixlm.END], np.uint64)
         assert math.isclose(total + 10 ** t.score(end)[0], 1, rel_tol=1e-9)
+
+
+def test_contexts_do_not_depend_on_the_corpus_size(spark):
+    """A context of a rare language is kept however long the other texts are."""
+    rows = []
+    for token, n in ((b"the", 10 ** 9), (b"zq", 1000)):
+        key, _ = suffixlm.windows(np.frombuffer(token, np.uint8), np.array([len(token)]))
+        rows += [(int(k), n) for k in key]
+    tree = suffixlm.context_tree(spark.createDataFrame(rows, "key long, n long"))
+    kept = {(r.depth, r.ctx & (1 << suffixlm._BITS) - 1) for r in tree.collect()}
+    assert {(1, ord("h")), (1, ord("z")), (1, ord("q"))} <= kept
+
+
+def test_scores_by_table_are_those_of_the_whole_tree(spark, monkeypatch):
+    """With every window looked up in its bucket, against one tree in memory."""
+    monkeypatch.setattr(suffixlm, "WINDOW_SHARE", 2.0)
+    rows = [(i, " ".join(f"word{(i * k) % 17} and" for k in range(1, 9))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.filter(df.doc_id.isin([i for i, _ in rows if not held(i)]))
+    tree = suffixlm.SuffixTree(suffixlm.context_tree(suffixlm._pairs(suffixlm.corpus_counts(train, 4).filter("kind = 1"))).toArrow())
+    got = {r.doc_id: r.score for r in suffixlm.score_documents(df).collect()}
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        starts, ends, doc = suffixlm.W.spans(data, np.array([0, len(data)]), suffixlm.W.SPACE)
+        keys = np.concatenate([k for k, _ in suffixlm.document_windows(data, starts, ends, doc, 1)])
+        assert math.isclose(got[i], tree.score(keys).sum(), rel_tol=1e-9)

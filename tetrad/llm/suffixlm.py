@@ -9,6 +9,11 @@ kept too. Distributions are smoothed by mixing in the suffix's distribution
 (Witten-Bell), down to an add-one distribution without context, so the score of
 a text is the log10 of a probability. Scoring uses the longest kept suffix.
 
+The tree is a table that grows with the corpus. Each distinct window (a context
+and a symbol) of the documents meets the contexts that end like it in one task
+and gets its score there; the windows that are more than ``WINDOW_SHARE`` of all
+go to the workers, the others' occurrences to their hash bucket and back.
+
 The base score needs the training count of every token. Counts are merged in
 hash buckets over the whole corpus. Tokens that make up more than
 ``HEAVY_SHARE`` of the corpus (at most 1 / HEAVY_SHARE of them) go to the
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +41,20 @@ FOLDS, HELD_FOLD = 7, 2
 #: longest context in bytes
 DEPTH = 6
 _BITS = 8 * DEPTH
-#: a kept context makes up at least this share of all predicted symbols (so there are at most DEPTH / MIN_SHARE)
-MIN_SHARE = 1e-5
+#: contexts up to this depth go to all workers (at most 252 ** SHORT); longer ones stay in a table by their last bytes
+SHORT = 2
+#: occurrences of a context that is kept
 MIN_COUNT = 8
 #: nats of likelihood gained per next symbol of a context that is kept
 DIVERGENCE = 4.5
 HEAVY_SHARE = 2e-6
+#: windows above this share of all (so at most its inverse) are scored by the workers themselves
+WINDOW_SHARE = 5e-7
 #: documents per hash bucket of the token counts
 BUCKET_DOCS = 4096
 MAX_BUCKETS = 1 << 16
-#: words held by a task before they go out
-FLUSH_WORDS = 500_000
+#: words or windows held by a task before they go out
+FLUSH_WORDS = 1_000_000
 SLICE = (1 << 20) - 64
 
 # bytes that part words cannot be in one: they stand for the other symbols
@@ -72,76 +81,76 @@ def _take(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return data[at]
 
 
-def windows(text: np.ndarray, lens: np.ndarray):
-    """For every predicted symbol of the tokens (bytes one after the other, and
-    lengths): DEPTH context bytes and the symbol as one integer, and its token."""
-    total = lens + 2                                     # start and stop
+def _windows(text: np.ndarray, lens: np.ndarray, last: int):
+    """For every symbol of the texts (bytes one after the other, and lengths)
+    and one ``last`` symbol each: DEPTH context bytes and the symbol as one
+    integer, and its text. Yields pieces of at most SLICE symbols."""
+    total = lens + DEPTH + 1                              # a start after padding, and the last symbol
     ends = np.cumsum(total)
-    x = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    token = np.repeat(np.arange(len(lens)), total)
-    place = np.arange(len(x)) - (ends - total)[token]
-    x[place == 0] = START
-    x[ends - 1] = STOP
-    inner = (place > 0) & (place < total[token] - 1)
+    x = np.full(int(ends[-1]) if len(ends) else 0, PAD, np.uint8)
+    begin = ends - total
+    x[begin + DEPTH - 1], x[ends - 1] = START, last
+    keep = np.ones(len(x), bool)
+    for d in range(DEPTH):
+        keep[begin + d] = False
+    inner = keep.copy()
+    inner[ends - 1] = False
     x[inner] = text
-    key = x.astype(U)
-    for d in range(1, DEPTH + 1):
-        before = np.full(len(x), PAD, U)
-        before[d:] = x[:-d] if len(x) > d else before[d:]
-        before[place < d] = PAD
-        key |= before << U(8 * d)
-    keep = place > 0
-    return key[keep], token[keep]
+    own = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
+    done = 0
+    for a in range(DEPTH, len(x), SLICE):
+        key = x[a - DEPTH:a + SLICE].astype(U)            # 1, 2, 4, then 7 bytes
+        two = key.copy()
+        two[1:] |= key[:-1] << U(8)
+        key = two.copy()
+        key[2:] |= two[:-2] << U(16)
+        two = key.copy()
+        two[4:] |= (key[:-4] & U(0xFFFFFF)) << U(32)
+        key = two[DEPTH:][keep[a:a + SLICE]]
+        yield key, own[done:done + len(key)]
+        done += len(key)
+
+
+def windows(text: np.ndarray, lens: np.ndarray):
+    """Windows of texts that end in a blank, and the text of each."""
+    parts = [*_windows(text, lens, STOP)]
+    return (np.concatenate(z) for z in zip(*parts)) if parts else (np.zeros(0, U), np.zeros(0, np.int32))
+
+
+def document_windows(data, starts, ends, doc, n: int):
+    """Windows of the tokens of ``n`` documents and of the documents' ends, and
+    the document of each, in pieces."""
+    for key, token in _windows(_take(data, starts, ends - starts), ends - starts, STOP):
+        yield key, doc[token]
+    yield np.full(n, _END_KEY, U), np.arange(n)
 
 
 _END_KEY = sum(PAD << (8 * d) for d in range(2, DEPTH + 1)) | START << 8 | END
 
 
 class _Counts:
-    """Distinct words of a task: hashes, counts and one spelling of each."""
+    """Distinct keys of a task and their counts."""
 
     def __init__(self):
-        self.h, self.n, self.text, self.lens, self.docs = [], [], [], [], 0
-        self.size = 0
+        self.held, self.size = [], 0
 
-    def add(self, data, starts, ends):
-        h = W.hashes(data, starts, ends)
-        u, at, n = np.unique(h, return_index=True, return_counts=True)
-        self.put(u, n, _take(data, starts[at], ends[at] - starts[at]), ends[at] - starts[at])
+    def add(self, keys, counts):
+        self.held.append((keys, counts))
+        self.size += len(keys)
         if self.size > 2 * FLUSH_WORDS:
             self.merge()
 
-    def put(self, u, n, text, lens):
-        self.h.append(u)
-        self.n.append(n)
-        self.text.append(text)
-        self.lens.append(lens)
-        self.size += len(u)
-
     def merge(self):
-        if not self.h:
-            return
-        h, n = np.concatenate(self.h), np.concatenate(self.n)
-        text, lens = np.concatenate(self.text), np.concatenate(self.lens)
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(inv, n).astype(np.int64)
-        starts = np.cumsum(lens) - lens
-        text = _take(text, starts[at], lens[at])
-        lens = lens[at]
-        self.h, self.n, self.text, self.lens, self.size = [], [], [], [], 0
-        self.put(u, n, text, lens)
-
-    def rows(self, buckets: int):
-        """Row of a partial table for each bucket of words and of windows."""
+        keys, counts = (np.concatenate(x) for x in zip(*self.held))
+        self.held = [_sum_by_key(keys, counts)]
+        self.size = len(self.held[0][0])
+
+    def row(self, kind: int, buckets: int) -> pa.RecordBatch:
+        """Rows of a partial table, one per bucket."""
         self.merge()
-        if not self.h and not self.docs:
-            return
-        h, n = (self.h[0], self.n[0]) if self.h else (np.zeros(0, U), np.zeros(0, np.int64))
-        yield _blobs(0, h, n, buckets)
-        key, token = windows(self.text[0], self.lens[0]) if self.h else (np.zeros(0, U), np.zeros(0, np.int64))
-        key, count = np.append(key, U(_END_KEY)), np.append(n[token], self.docs)
-        yield _blobs(1, *_sum_by_key(key, count), buckets)
+        out = _blobs(kind, *self.held[0], buckets)
         self.__init__()
+        return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -160,21 +169,29 @@ def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.
         "counts": pa.array([counts[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())})
 
 
-def corpus_counts(training: DataFrame, buckets: int) -> DataFrame:
-    """Merged counts of all words (kind 0) and windows (kind 1), by bucket."""
+def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """Merged counts by bucket: of all words (kind 0) and windows (kind 1) of
+    the training rows, and of the windows of the rows ``held`` out (kind 2)."""
     def part(batches):
-        c = _Counts()
+        counts = [_Counts(), _Counts(), _Counts()]
         for b in batches:
-            for _, _, data, offsets in W.slices(b.column("text"), SLICE):
-                data = W.LOWER[data]
-                starts, ends, _ = W.spans(data, offsets, W.SPACE)
-                c.docs += len(offsets) - 1
-                c.add(data, starts, ends)
-                if c.size > FLUSH_WORDS:
-                    c.merge()
-                    if c.size > FLUSH_WORDS:
-                        yield from c.rows(buckets)
-        yield from c.rows(buckets)
+            for held in (False, True):
+                own = b.filter(pa.compute.equal(b.column("held"), held))
+                for i, j, data, offsets in W.slices(own.column("text"), SLICE):
+                    data = W.LOWER[data]
+                    starts, ends, doc = W.spans(data, offsets, W.SPACE)
+                    if not held:
+                        counts[0].add(*np.unique(W.hashes(data, starts, ends), return_counts=True))
+                    for key, _ in document_windows(data, starts, ends, doc, j - i):
+                        counts[1 + held].add(*np.unique(key, return_counts=True))
+                    for kind, c in enumerate(counts):
+                        if c.size > FLUSH_WORDS:
+                            c.merge()
+                            if c.size > FLUSH_WORDS:
+                                yield c.row(kind, buckets)
+        for kind, c in enumerate(counts):
+            if c.held:
+                yield c.row(kind, buckets)
 
     def merge(t: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, U) for x in t.column("keys").to_pylist()])
@@ -185,7 +202,8 @@ def corpus_counts(training: DataFrame, buckets: int) -> DataFrame:
                          "counts": pa.array([counts.tobytes()], pa.binary()),
                          "types": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
-    return training.select("text").mapInArrow(part, _PAIRS).groupBy("kind", "bucket") \
+    held = F.col("held") if "held" in docs.columns else F.lit(False)
+    return docs.select("text", held.alias("held")).mapInArrow(part, _PAIRS).groupBy("kind", "bucket") \
         .applyInArrow(merge, _PAIRS + ", types long, total long")
 
 
@@ -214,8 +232,7 @@ def context_tree(grams: DataFrame) -> DataFrame:
         .groupBy("f.depth", "f.ctx", "next").agg(F.sum("n").alias("n"))
     c = materialize(c, "lm-contexts")
     totals = c.groupBy("depth", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-    symbols = c.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    often = materialize(totals.filter(F.col("total") >= max(MIN_COUNT, MIN_SHARE * symbols)), "lm-often")
+    often = materialize(totals.filter(F.col("total") >= MIN_COUNT), "lm-often")
     mask = F.lit((1 << _BITS) - 1)
 
     def suffix(col, depth):
@@ -274,17 +291,51 @@ class SuffixTree:
             out -= np.log10(ALPHABET)
         return out
 
-    def tokens(self, text: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """log10 probability of every token, its end included."""
-        key, token = windows(text, lens)
-        u, inv = np.unique(key, return_inverse=True)
-        return np.bincount(token, self.score(u)[inv], len(lens))
-
-    def end(self) -> float:
-        return float(self.score(np.array([_END_KEY], U))[0])
 
-
-_OUT = ("block long, bucket long, doc_id array<long>, held array<boolean>, n_tokens array<long>, "
+def scored_windows(asked: DataFrame, tree: DataFrame, buckets: int) -> DataFrame:
+    """key, n, logp and the key's bucket of the distinct windows ``asked``
+    (key, n). All contexts of a window that are longer than SHORT end in the
+    same SHORT + 1 bytes; windows and contexts meet by these."""
+    mask = (1 << 8 * (SHORT + 1)) - 1
+    short = share(tree.sparkSession, tree.filter(F.col("depth") <= SHORT).toArrow())
+
+    def run(asked: pa.Table, tree: pa.Table) -> pa.Table:
+        key, n = asked.column("key").to_numpy().view(U), asked.column("n").to_numpy()
+        logp = SuffixTree(pa.concat_tables([short.value, tree.select(short.value.column_names)])).score(key) if len(key) else np.zeros(0)
+        return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "logp": pa.array(logp), "bucket": pa.array(_bucket(key, buckets))})
+
+    def by(column):
+        return F.pmod(F.xxhash64(column.bitwiseAND(F.lit(mask))), F.lit(buckets)).alias("part")
+    windows = asked.groupBy("key").agg(F.sum("n").alias("n")).select("key", "n", by(F.shiftrightunsigned("key", 8)))
+    deep = tree.filter(F.col("depth") > SHORT).select("*", by(F.col("ctx")))
+    return windows.groupBy("part").cogroup(deep.groupBy("part")).applyInArrow(run, "key long, n long, logp double, bucket long")
+
+
+class _Table:
+    """Values of keys: a slot each, and the keys whose slot is taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = U(64 - max(4, (2 * len(keys)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), (1 << 64) - 1, U)
+        self.values = np.zeros(len(self.keys))
+        at = W.mix(keys) >> self.shift
+        self.keys[at], self.values[at] = keys, values
+        left = np.flatnonzero(self.keys[at] != keys)
+        left = left[np.argsort(keys[left])]
+        self.more, self.more_values = keys[left], np.append(values[left], 0.0)
+
+    def find(self, keys: np.ndarray):
+        """Values (0 if none) and which keys there are."""
+        at = W.mix(keys) >> self.shift
+        there = self.keys[at] == keys
+        out = np.where(there, self.values[at], 0.0)
+        miss = np.flatnonzero(~there)
+        at, more = W.find(self.more, keys[miss])
+        out[miss[more]], there[miss[more]] = self.more_values[at[more]], True
+        return out, there
+
+
+_OUT = ("block long, kind int, bucket long, doc_id array<long>, held array<boolean>, n_tokens array<long>, "
         "idx array<int>, hash array<long>, base array<double>, known array<long>, score array<double>")
 
 
@@ -293,69 +344,83 @@ def _lists(arrays, kind) -> pa.Array:
         if arrays else pa.array([], pa.list_(kind))
 
 
-def _batch(block, bucket, **lists):
+def _batch(block, kind, bucket, **lists):
     n = len(block)
     kinds = {"doc_id": pa.int64(), "held": pa.bool_(), "n_tokens": pa.int64(), "idx": pa.int32(), "hash": pa.int64(),
              "base": pa.float64(), "known": pa.int64(), "score": pa.float64()}
-    cols = {"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64())}
+    cols = {"block": pa.array(block, pa.int64()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64())}
     for c, kind in kinds.items():
         cols[c] = _lists(lists[c], kind) if c in lists else pa.nulls(n, pa.list_(kind))
     return pa.record_batch(cols)
 
 
-def _map_blocks(docs: DataFrame, heavy, tree, buckets: int, end_count: int) -> DataFrame:
+def _asked(block: int, kind: int, idx: list, keys: list, buckets: int):
+    """A row per hash bucket with the occurrences that are looked up there."""
+    if not idx:
+        return
+    idx, keys = np.concatenate(idx), np.concatenate(keys)
+    at = _bucket(keys, buckets)
+    order = np.argsort(at, kind="stable")
+    at, idx, keys = at[order], idx[order], keys[order].view(np.int64)
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+    if len(cuts):
+        ends = np.append(cuts[1:], len(at))
+        yield _batch(np.full(len(cuts), block), np.full(len(cuts), kind), at[cuts], idx=[idx[x:y] for x, y in zip(cuts, ends)],
+                     hash=[keys[x:y] for x, y in zip(cuts, ends)])
+
+
+def _map_blocks(docs: DataFrame, heavy, likely, buckets: int, end_count: int) -> DataFrame:
     """A block row per batch of documents (what is known there) and, per hash
-    bucket, the occurrences whose counts are elsewhere."""
+    bucket, the occurrences of words (kind 0) and windows (kind 1) whose counts
+    and scores are elsewhere."""
     def run(batches):
         from pyspark import TaskContext
         keys, counts = heavy.value
-        logs, model = np.log10(counts + 1.0), tree.value
+        logs, table = np.log10(counts + 1.0), _Table(*likely.value)
         part = TaskContext.get().partitionId()
         for seq, b in enumerate(batches):
             block, n = part << 32 | seq, b.num_rows
             n_tokens = np.ones(n, np.int64)
             base = np.full(n, np.log10(end_count + 1.0))
             known = np.full(n, int(end_count > 0), np.int64)
-            score = np.full(n, model.end())
-            idx, hash_ = [], []
+            score = np.zeros(n)
+            rare = {0: ([], []), 1: ([], [])}
             for i, j, data, offsets in W.slices(b.column("text"), SLICE):
                 data = W.LOWER[data]
                 starts, ends, doc = W.spans(data, offsets, W.SPACE)
                 h = W.hashes(data, starts, ends)
                 m = j - i
                 n_tokens[i:j] += np.bincount(doc, minlength=m)
-                u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-                own = model.tokens(_take(data, starts[at], ends[at] - starts[at]), ends[at] - starts[at])
-                score[i:j] += W.per_document(own[inv], doc, m)
+                u, inv = np.unique(h, return_inverse=True)
                 at, there = W.find(keys, u)
                 base[i:j] += W.per_document(np.where(there, logs[at] if len(logs) else 0.0, 0.0)[inv], doc, m)
                 known[i:j] += W.per_document(there[inv], doc, m).astype(np.int64)
-                rare = ~there[inv]
-                idx.append((doc[rare] + i).astype(np.int32))
-                hash_.append(h[rare])
-            yield _batch([block], [-1], doc_id=[b.column("doc_id")], held=[b.column("held")], n_tokens=[n_tokens],
+                asked = ~there[inv]
+                rare[0][0].append((doc[asked] + i).astype(np.int32))
+                rare[0][1].append(h[asked])
+                for key, own in document_windows(data, starts, ends, doc, m):
+                    logp, there = table.find(key)
+                    score[i:j] += W.per_document(logp, own, m)
+                    rare[1][0].append((own[~there] + i).astype(np.int32))
+                    rare[1][1].append(key[~there])
+            yield _batch([block], [0], [-1], doc_id=[b.column("doc_id")], held=[b.column("held")], n_tokens=[n_tokens],
                          base=[base], known=[known], score=[score])
-            if not idx:
-                continue
-            idx, hash_ = np.concatenate(idx), np.concatenate(hash_)
-            at = _bucket(hash_, buckets)
-            order = np.argsort(at, kind="stable")
-            at, idx, hash_ = at[order], idx[order], hash_[order].view(np.int64)
-            cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
-            if len(cuts):
-                ends = np.append(cuts[1:], len(at))
-                yield _batch(np.full(len(cuts), block), at[cuts], idx=[idx[x:y] for x, y in zip(cuts, ends)],
-                             hash=[hash_[x:y] for x, y in zip(cuts, ends)])
+            for kind, (idx, asked) in rare.items():
+                yield from _asked(block, kind, idx, asked, buckets)
     return docs.mapInArrow(run, _OUT)
 
 
 def _look_up(counts: pa.Table, asked: pa.Table) -> pa.Table:
-    """Sums over the asked occurrences of a bucket, for each asking block."""
+    """Sums over the asked occurrences of a bucket, for each asking block:
+    log counts of words, scores of windows."""
     if asked.num_rows == 0:
-        return pa.Table.from_batches([_batch([], [])])
-    keys = np.frombuffer(counts.column("keys")[0].as_py(), U) if counts.num_rows else np.zeros(0, U)
-    logs = np.log10(np.frombuffer(counts.column("counts")[0].as_py(), np.int64) + 1.0) if counts.num_rows else np.zeros(0)
-    rows = {"block": [], "idx": [], "base": [], "known": []}
+        return pa.Table.from_batches([_batch([], [], [])])
+    kind = asked.column("kind")[0].as_py()
+    keys, values = np.zeros(0, U), np.zeros(0)
+    if counts.num_rows:
+        keys, values = np.frombuffer(counts.column("keys")[0].as_py(), U), counts.column("counts")[0].as_py()
+        values = np.frombuffer(values, np.float64) if kind else np.log10(np.frombuffer(values, np.int64) + 1.0)
+    rows = {"block": [], "idx": [], "sum": [], "known": []}
     for block, idx, h in zip(asked.column("block"), asked.column("idx"), asked.column("hash")):
         idx, h = idx.values.to_numpy(), h.values.to_numpy().view(U)
         at, there = W.find(keys, h)
@@ -364,28 +429,32 @@ def _look_up(counts: pa.Table, asked: pa.Table) -> pa.Table:
         u, inv = np.unique(idx[there], return_inverse=True)
         rows["block"].append(block.as_py())
         rows["idx"].append(u)
-        rows["base"].append(np.bincount(inv, logs[at[there]]))
+        rows["sum"].append(np.bincount(inv, values[at[there]]))
         rows["known"].append(np.bincount(inv))
-    return pa.Table.from_batches([_batch(rows["block"], [0] * len(rows["block"]), idx=rows["idx"], base=rows["base"],
-                                         known=rows["known"])])
+    n = len(rows["block"])
+    lists = {"score": rows["sum"]} if kind else {"base": rows["sum"], "known": rows["known"]}
+    return pa.Table.from_batches([_batch(rows["block"], [kind] * n, [asked.column("bucket")[0].as_py()] * n, idx=rows["idx"], **lists)])
 
 
 def _finish(train_tokens: int, denominator: float):
     def run(t: pa.Table) -> pa.Table:
-        base = known = main = None
-        for i in sorted(range(t.num_rows), key=lambda i: t.column("bucket")[i].as_py()):
-            b, k = t.column("base")[i].values.to_numpy(), t.column("known")[i].values.to_numpy()
-            if t.column("bucket")[i].as_py() < 0:
-                main, base, known = i, b.copy(), k.copy()
+        kind, bucket = (t.column(c).to_pylist() for c in ("kind", "bucket"))
+        for i in sorted(range(t.num_rows), key=lambda i: (bucket[i], kind[i])):
+            if bucket[i] < 0:
+                main = i
+                base, known, score = (t.column(c)[i].values.to_numpy().copy() for c in ("base", "known", "score"))
+                continue
+            idx = t.column("idx")[i].values.to_numpy()
+            if kind[i]:
+                score[idx] += t.column("score")[i].values.to_numpy()
             else:
-                idx = t.column("idx")[i].values.to_numpy()
-                base[idx] += b
-                known[idx] += k
+                base[idx] += t.column("base")[i].values.to_numpy()
+                known[idx] += t.column("known")[i].values.to_numpy()
         get = lambda c: t.column(c)[main].values
         n = get("n_tokens").to_numpy()
         return pa.table({"doc_id": get("doc_id"), "held_out": get("held"), "n_tokens": pa.array(n),
                          "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), train_tokens)),
-                         "base_score": pa.array(base - n * np.log10(denominator)), "score": get("score")})
+                         "base_score": pa.array(base - n * np.log10(denominator)), "score": pa.array(score)})
     return run
 
 
@@ -395,7 +464,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == HELD_FOLD).alias("held"), "text")
     n_docs = own.count()
     buckets = min(MAX_BUCKETS, max(16, n_docs // BUCKET_DOCS))
-    table = materialize(corpus_counts(own.filter("not held"), buckets), "lm-counts")
+    table = materialize(corpus_counts(own, buckets), "lm-counts")
     sums = {r.kind: (r.types or 0, r.total or 0) for r in table.groupBy("kind").agg(
         F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     types, n_words = sums.get(0, (0, 0))
@@ -405,10 +474,22 @@ def score_documents(docs: DataFrame) -> DataFrame:
     keys = frequent.column("key").to_numpy().view(U)
     order = np.argsort(keys)
     heavy = share(spark, (keys[order], frequent.column("n").to_numpy()[order]))
-    tree = share(spark, SuffixTree(context_tree(_pairs(table.filter("kind = 1"))).toArrow()))
-
-    blocks = materialize(_map_blocks(own, heavy, tree, buckets, end_count), "lm-blocks")
-    found = table.filter("kind = 0").groupBy("bucket").cogroup(blocks.filter("bucket >= 0").groupBy("bucket")) \
+    tree = materialize(context_tree(_pairs(table.filter("kind = 1"))), "lm-tree")
+    windows = materialize(scored_windows(_pairs(table.filter("kind > 0")), tree, buckets), "lm-windows")
+    often = F.col("n") >= max(2, WINDOW_SHARE * (sums.get(1, (0, 0))[1] + sums.get(2, (0, 0))[1]))
+    frequent = windows.filter(often).select("key", "logp").toArrow()
+    likely = share(spark, (frequent.column("key").to_numpy().view(U), frequent.column("logp").to_numpy()))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.set_column(0, "key", pa.array(t.column("key").to_numpy().view(U))).sort_by("key")
+        return pa.table({"kind": pa.array([1], pa.int32()), "bucket": t.column("bucket")[:1],
+                         "keys": pa.array([t.column("key").to_numpy().tobytes()], pa.binary()),
+                         "counts": pa.array([t.column("logp").to_numpy().tobytes()], pa.binary())})
+
+    blocks = materialize(_map_blocks(own, heavy, likely, buckets, end_count), "lm-blocks")
+    rare = windows.filter(~often).select("key", "logp", "bucket").groupBy("bucket").applyInArrow(pack, _PAIRS)
+    known = table.filter("kind = 0").select("kind", "bucket", "keys", "counts").unionByName(rare)
+    found = known.groupBy("kind", "bucket").cogroup(blocks.filter("bucket >= 0").groupBy("kind", "bucket")) \
         .applyInArrow(_look_up, _OUT)
     return blocks.filter("bucket < 0").unionByName(found).groupBy("block").applyInArrow(
         _finish(train_tokens, float(train_tokens + types + 1)),
