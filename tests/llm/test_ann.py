@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 
 from tests.conftest import SF_MID
 from tetrad.llm import ann
@@ -75,3 +76,19 @@ def test_two_hashes_probe_nearest_first():
     assert h.probes(x, 10**6).shape[2] == (2 * h.width) ** 2
     y = ann.hadamard(np.eye(8))
     assert np.allclose(y @ y.T, np.eye(8))
+
+
+@pytest.mark.parametrize("most", [16, 4096])
+def test_recall_with_two_hashes(spark, monkeypatch, most):
+    """Tables of two hashes by size: with probes enough, and with too few."""
+    monkeypatch.setattr(ann, "BUCKET", 10)
+    monkeypatch.setattr(ann, "SAMPLE_VECTORS", 30)
+    monkeypatch.setattr(ann, "MOST_PROBES", most)
+    x = np.random.default_rng(4).normal(size=(900, 12))
+    assert ann.Hash(12, 10.0, 900).each == 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_of_every(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len({v for v, _ in brute(np.arange(900), x, i, 20)} & got[i]) for i in range(0, 900, 20))
+    assert hit / (20 * 45) >= 0.9

@@ -8,7 +8,7 @@ more hashes. Queries probe the buckets of each table in order of nearness.
 
 How many buckets to probe is measured: for a bounded sample of queries the true
 neighbours are found by brute force, and the probes are as few as give them the
-recall ``TARGET``. Vectors are compared in blocks: a bucket (split into parts if
+recall ``TARGET``. If ``MOST_PROBES`` do not, the tables are made of one hash less. Vectors are compared in blocks: a bucket (split into parts if
 it is large) against the queries that probe it. A block returns for each query
 its best few, and only those that reach the query's best few so far: of a fixed
 sample of vectors, which are candidates as well, then also of the nearest
@@ -41,7 +41,10 @@ FIRST_PROBES = 4
 BLOCK, BLOCK_QUERIES = 8192, 2048
 #: vectors per bucket from which on a table takes one more hash
 BUCKET = 1 << 16
+#: probes per table above which a table takes one hash less; with one hash all buckets may be probed
 MOST_PROBES = 4096
+#: scores of buckets made at once
+SCORES = 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,11 +61,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Hash:
     """The tables' rotations for vectors of ``dim`` components."""
 
-    def __init__(self, dim: int, largest: float, n: int, tables: int = TABLES):
+    def __init__(self, dim: int, largest: float, n: int, tables: int = TABLES, most: int | None = None):
+        """Tables for ``n`` vectors, of ``most`` hashes at most."""
         self.dim, self.largest = dim, largest
         self.width = 1 << dim.bit_length()           # a power of two above dim
         self.each = 1
-        while n / (2 * self.width) ** self.each > BUCKET:
+        while n / (2 * self.width) ** self.each > BUCKET and self.each != most:
             self.each += 1
         rng = np.random.default_rng(SEED)
         self.signs = rng.choice([-1.0, 1.0], (tables, self.each, ROUNDS, self.width))
@@ -92,6 +96,10 @@ class Hash:
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest buckets of every query in every table, best first
         (queries, tables, probes); fewer where a table has fewer."""
+        step = max(1, SCORES // (2 * self.width) ** min(self.each, 2))
+        return np.concatenate([self._probes(q[a:a + step], n) for a in range(0, max(1, len(q)), step)])
+
+    def _probes(self, q: np.ndarray, n: int) -> np.ndarray:
         q = self._padded(q / np.sqrt((q * q).sum(1, keepdims=True)), 0)
         codes = 2 * self.width
         n = min(n, codes ** self.each)
@@ -180,16 +188,18 @@ def _truth(classes: DataFrame, sample, hashes, k: int) -> DataFrame:
         .withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("q", "codes")
 
 
-def probes_needed(truth: pa.Table, q: np.ndarray, hashes: Hash, target: float) -> int:
-    """Fewest probes per table that find ``target`` of the true neighbours."""
-    order = hashes.probes(q, MOST_PROBES)
-    least = []
+def probes_needed(truth: pa.Table, q: np.ndarray, hashes: Hash, target: float) -> int | None:
+    """Fewest probes per table that find ``target`` of the true neighbours; none
+    if MOST_PROBES are too few."""
+    most = 2 * hashes.width if hashes.each == 1 else MOST_PROBES
+    order, least = hashes.probes(q, most), []
     for i, codes in zip(truth.column("q").to_pylist(), truth.column("codes").to_pylist()):
         hit = [np.flatnonzero(order[i, t] == c) for t, c in enumerate(codes)]
-        least.append(min((int(h[0]) for h in hit if len(h)), default=order.shape[2]))
+        least.append(min((int(h[0]) for h in hit if len(h)), default=most))
     if not least:
         return 1
-    return min(order.shape[2], int(np.sort(least)[min(len(least) - 1, int(np.ceil(target * len(least))))]) + 1)
+    needed = int(np.sort(least)[min(len(least) - 1, int(np.ceil(target * len(least))))]) + 1
+    return needed if needed <= order.shape[2] else None
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -205,7 +215,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     out = "query_id long, rank int, vec_id long, score double"
     if not head.n:
         return spark.createDataFrame([], out)
-    hashes = share(spark, Hash(head.d, float(np.sqrt(head.m)) * (1 + 1e-12), head.n))
     asked = queries.join(classes.select("cid", "vec"), "vec").select("vec_id", "cid", "vec")
     asked = materialize(asked, "ann-asked")
     distinct = materialize(asked.groupBy("cid").agg(F.first("vec").alias("vec")), "ann-queries")
@@ -217,8 +226,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     cid, q, _ = drawn(distinct, SAMPLE_QUERIES)
     if not len(cid):
         return spark.createDataFrame([], out)
-    truth = _truth(classes, share(spark, (cid, q)), hashes, k).toArrow()
-    probes = probes_needed(truth, q, hashes.value, TARGET)
+    asking, probes, most = share(spark, (cid, q)), None, None
+    while probes is None:                                 # with one hash per table every bucket can be reached
+        hashes = share(spark, Hash(head.d, float(np.sqrt(head.m)) * (1 + 1e-12), head.n, most=most))
+        probes, most = probes_needed(_truth(classes, asking, hashes, k).toArrow(), q, hashes.value, TARGET), hashes.value.each - 1
     cid, x, t = drawn(classes, SAMPLE_VECTORS)
     fixed = share(spark, (cid, x, t.column("ids").combine_chunks()))
 
@@ -274,9 +285,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         def probing(batches):
             for b in batches:
                 q = _matrix(b.column("vec"))
-                codes = hashes.value.probes(q, last)[:, :, first:]
-                for a in range(0, len(q), 64):
-                    own = codes[a:a + 64]
+                step = max(1, min(64, (1 << 16) // (TABLES * last)))
+                for a in range(0, len(q), step):
+                    own = hashes.value.probes(q[a:a + step], last)[:, :, first:]
                     row, tab, _ = (z.ravel() for z in np.indices(own.shape))
                     bucket = own.ravel()
                     n = np.array([parts.value.get(z, 1) for z in zip(tab.tolist(), bucket.tolist())], np.int64)
