@@ -90,7 +90,7 @@ def test_contexts_do_not_depend_on_the_corpus_size(spark):
 
 def test_scores_by_table_are_those_of_the_whole_tree(spark, monkeypatch):
     """With every window looked up in its bucket, against one tree in memory."""
-    monkeypatch.setattr(suffixlm, "WINDOW_SHARE", 2.0)
+    monkeypatch.setattr(suffixlm, "LIKELY", 0)
     rows = [(i, " ".join(f"word{(i * k) % 17} and" for k in range(1, 9))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = df.filter(df.doc_id.isin([i for i, _ in rows if not held(i)]))
@@ -101,3 +101,13 @@ def test_scores_by_table_are_those_of_the_whole_tree(spark, monkeypatch):
         starts, ends, doc = suffixlm.W.spans(data, np.array([0, len(data)]), suffixlm.W.SPACE)
         keys = np.concatenate([k for k, _ in suffixlm.document_windows(data, starts, ends, doc, 1)])
         assert math.isclose(got[i], tree.score(keys).sum(), rel_tol=1e-9)
+
+
+def test_shuffled_words_score_lower(spark):
+    words = "one small cat saw two big dogs near an old red barn".split()
+    rows = [(i, " ".join(words)) for i in range(200)]
+    mixed = np.random.default_rng(5)
+    rows += [(1000 + i, " ".join(mixed.permutation(words))) for i in range(60) if held(1000 + i)]
+    got = {r.doc_id: r.score for r in suffixlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shuffled = [v for i, v in got.items() if i >= 1000]
+    assert shuffled and max(shuffled) < got[0] - 3

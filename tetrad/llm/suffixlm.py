@@ -1,8 +1,9 @@
 """Language-model scores by a probabilistic suffix tree.
 
 The tree predicts the bytes of each token (A-Z lower-cased, words parted by
-blanks) and its end from variable-length contexts of the token's last bytes;
-after the last token it predicts the end of the text. A context is kept when it
+blanks) and its end from variable-length contexts of the text's last bytes, which
+may reach into the words before; after the last token it predicts the end of the
+text. A context is kept when it
 is frequent enough and its next-symbol distribution diverges from that of its
 longest proper suffix by a likelihood-ratio test; suffixes of kept contexts are
 kept too. Distributions are smoothed by mixing in the suffix's distribution
@@ -11,8 +12,8 @@ a text is the log10 of a probability. Scoring uses the longest kept suffix.
 
 The tree is a table that grows with the corpus. Each distinct window (a context
 and a symbol) of the documents meets the contexts that end like it in one task
-and gets its score there; the windows that are more than ``WINDOW_SHARE`` of all
-go to the workers, the others' occurrences to their hash bucket and back.
+and gets its score there; the most frequent windows go to the workers, the
+others' occurrences to their hash bucket and back.
 
 The base score needs the training count of every token. Counts are merged in
 hash buckets over the whole corpus. Tokens that make up more than
@@ -30,7 +31,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tetrad.llm import words as W
@@ -48,14 +50,18 @@ MIN_COUNT = 8
 #: nats of likelihood gained per next symbol of a context that is kept
 DIVERGENCE = 4.5
 HEAVY_SHARE = 2e-6
-#: windows above this share of all (so at most its inverse) are scored by the workers themselves
-WINDOW_SHARE = 5e-7
+#: most frequent windows whose scores go to the workers
+LIKELY = 1_000_000
+#: counts of windows above this are not told apart
+MOST_TIMES = 1 << 16
 #: documents per hash bucket of the token counts
 BUCKET_DOCS = 4096
 MAX_BUCKETS = 1 << 16
 #: words or windows held by a task before they go out
-FLUSH_WORDS = 1_000_000
-SLICE = (1 << 20) - 64
+FLUSH_WORDS = 500_000
+SLICE = (1 << 19) - 64
+#: windows made at once, and occurrences that a task holds before they go to their buckets
+PIECE, FLUSH_ASKED = 1 << 18, 1 << 19
 
 # bytes that part words cannot be in one: they stand for the other symbols
 STOP, START, END, PAD = 0x20, 0x09, 0x0A, 0x0B
@@ -84,7 +90,7 @@ def _take(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def _windows(text: np.ndarray, lens: np.ndarray, last: int):
     """For every symbol of the texts (bytes one after the other, and lengths)
     and one ``last`` symbol each: DEPTH context bytes and the symbol as one
-    integer, and its text. Yields pieces of at most SLICE symbols."""
+    integer, and its text. Yields pieces of at most PIECE symbols."""
     total = lens + DEPTH + 1                              # a start after padding, and the last symbol
     ends = np.cumsum(total)
     x = np.full(int(ends[-1]) if len(ends) else 0, PAD, np.uint8)
@@ -98,15 +104,15 @@ def _windows(text: np.ndarray, lens: np.ndarray, last: int):
     x[inner] = text
     own = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
     done = 0
-    for a in range(DEPTH, len(x), SLICE):
-        key = x[a - DEPTH:a + SLICE].astype(U)            # 1, 2, 4, then 7 bytes
+    for a in range(DEPTH, len(x), PIECE):
+        key = x[a - DEPTH:a + PIECE].astype(U)            # 1, 2, 4, then 7 bytes
         two = key.copy()
         two[1:] |= key[:-1] << U(8)
         key = two.copy()
         key[2:] |= two[:-2] << U(16)
         two = key.copy()
         two[4:] |= (key[:-4] & U(0xFFFFFF)) << U(32)
-        key = two[DEPTH:][keep[a:a + SLICE]]
+        key = two[DEPTH:][keep[a:a + PIECE]]
         yield key, own[done:done + len(key)]
         done += len(key)
 
@@ -118,14 +124,12 @@ def windows(text: np.ndarray, lens: np.ndarray):
 
 
 def document_windows(data, starts, ends, doc, n: int):
-    """Windows of the tokens of ``n`` documents and of the documents' ends, and
-    the document of each, in pieces."""
-    for key, token in _windows(_take(data, starts, ends - starts), ends - starts, STOP):
-        yield key, doc[token]
-    yield np.full(n, _END_KEY, U), np.arange(n)
-
-
-_END_KEY = sum(PAD << (8 * d) for d in range(2, DEPTH + 1)) | START << 8 | END
+    """Windows of ``n`` documents (their tokens, a blank after each, and the end)
+    and the document of each, in pieces. Contexts run over the blanks."""
+    lens = ends - starts + 1
+    text = _take(np.append(data, np.uint8(STOP)), starts, lens)
+    text[np.cumsum(lens) - 1] = STOP
+    yield from _windows(text, np.bincount(doc, lens, n).astype(np.int64), END)
 
 
 class _Counts:
@@ -157,6 +161,21 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (W.mix(h) % U(buckets)).astype(np.int64)
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Compressed bytes, those of the same place in each value together."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, U), dtype=U)
+
+
 def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     b = _bucket(keys, buckets)
     order = np.argsort(b, kind="stable")
@@ -165,8 +184,8 @@ def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.
     ends = np.append(at[1:], len(b))
     return pa.record_batch({
         "kind": pa.array(np.full(len(at), kind, np.int32)), "bucket": pa.array(b[at]),
-        "keys": pa.array([keys[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()),
-        "counts": pa.array([counts[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())})
+        "keys": pa.array([_pack(np.diff(keys[i:j], prepend=U(0))) for i, j in zip(at, ends)], pa.binary()),
+        "counts": pa.array([_pack(counts[i:j]) for i, j in zip(at, ends)], pa.binary())})
 
 
 def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -194,12 +213,12 @@ def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 yield c.row(kind, buckets)
 
     def merge(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, U) for x in t.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])
+        keys = np.concatenate([_unpack_keys(x) for x in t.column("keys").to_pylist()])
+        counts = np.concatenate([_unpack(x, np.int64) for x in t.column("counts").to_pylist()])
         keys, counts = _sum_by_key(keys, counts)
         return pa.table({"kind": t.column("kind")[:1], "bucket": t.column("bucket")[:1],
-                         "keys": pa.array([keys.tobytes()], pa.binary()),
-                         "counts": pa.array([counts.tobytes()], pa.binary()),
+                         "keys": pa.array([_pack(np.diff(keys, prepend=U(0)))], pa.binary()),
+                         "counts": pa.array([_pack(counts)], pa.binary()),
                          "types": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     held = F.col("held") if "held" in docs.columns else F.lit(False)
@@ -212,7 +231,7 @@ def _pairs(table: DataFrame, least: float = 0) -> DataFrame:
     def rows(batches):
         for b in batches:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                k, c = np.frombuffer(k, U), np.frombuffer(c, np.int64)
+                k, c = _unpack_keys(k), _unpack(c, np.int64)
                 ok = c >= least
                 yield pa.record_batch({"key": pa.array(k[ok].view(np.int64)), "n": pa.array(c[ok])})
     return table.select("keys", "counts").mapInArrow(rows, "key long, n long")
@@ -230,9 +249,9 @@ def context_tree(grams: DataFrame) -> DataFrame:
         forms.append(F.when(oldest != PAD, F.struct(F.lit(k).alias("depth"), ctx(k, base).alias("ctx"))))
     c = grams.select(F.explode(F.array_compact(F.array(*forms))).alias("f"), F.col("key").bitwiseAND(F.lit(255)).alias("next"), "n") \
         .groupBy("f.depth", "f.ctx", "next").agg(F.sum("n").alias("n"))
-    c = materialize(c, "lm-contexts")
-    totals = c.groupBy("depth", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-    often = materialize(totals.filter(F.col("total") >= MIN_COUNT), "lm-often")
+    w = Window.partitionBy("depth", "ctx")               # a context has as many rows as next symbols
+    c = c.withColumn("total", F.sum("n").over(w)).withColumn("types", F.count(F.lit(1)).over(w))
+    c = materialize(c.filter(F.col("total") >= MIN_COUNT), "lm-often")
     mask = F.lit((1 << _BITS) - 1)
 
     def suffix(col, depth):
@@ -240,15 +259,14 @@ def context_tree(grams: DataFrame) -> DataFrame:
         bits = F.pow(F.lit(256.0), depth - 1).cast("long") - 1
         return ((depth - 1) * F.lit(1 << _BITS)).bitwiseOR(col.bitwiseAND(mask).bitwiseAND(bits))
 
-    own = c.join(often.filter("depth > 0"), ["depth", "ctx"]).withColumn("up", suffix(F.col("ctx"), F.col("depth")))
-    up = c.join(often, ["depth", "ctx"]).select(F.col("ctx").alias("up"), "next", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
+    own = c.filter("depth > 0").withColumn("up", suffix(F.col("ctx"), F.col("depth")))
+    up = c.select(F.col("ctx").alias("up"), "next", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total"))))
     passed = own.join(up, ["up", "next"]).groupBy("depth", "ctx", "types").agg(gain.alias("gain")) \
         .filter(F.col("gain") >= DIVERGENCE * F.col("types"))
     short = [F.when(F.col("depth") >= k, ctx(k, F.col("ctx"))) for k in range(1, DEPTH + 1)]
     kept = passed.select(F.explode(F.array_compact(F.array(*short))).alias("ctx")).distinct()
-    kept = often.join(kept, "ctx", "left_semi").union(often.filter("depth = 0"))
-    return c.join(kept, ["depth", "ctx"]).select("ctx", "depth", "next", "n", "total", "types")
+    return c.join(kept, "ctx", "left_semi").union(c.filter("depth = 0")).select("ctx", "depth", "next", "n", "total", "types")
 
 
 class SuffixTree:
@@ -403,6 +421,10 @@ def _map_blocks(docs: DataFrame, heavy, likely, buckets: int, end_count: int) ->
                     score[i:j] += W.per_document(logp, own, m)
                     rare[1][0].append((own[~there] + i).astype(np.int32))
                     rare[1][1].append(key[~there])
+                for kind, (idx, asked) in rare.items():
+                    if sum(map(len, idx)) > FLUSH_ASKED:
+                        yield from _asked(block, kind, idx, asked, buckets)
+                        rare[kind] = ([], [])
             yield _batch([block], [0], [-1], doc_id=[b.column("doc_id")], held=[b.column("held")], n_tokens=[n_tokens],
                          base=[base], known=[known], score=[score])
             for kind, (idx, asked) in rare.items():
@@ -418,8 +440,8 @@ def _look_up(counts: pa.Table, asked: pa.Table) -> pa.Table:
     kind = asked.column("kind")[0].as_py()
     keys, values = np.zeros(0, U), np.zeros(0)
     if counts.num_rows:
-        keys, values = np.frombuffer(counts.column("keys")[0].as_py(), U), counts.column("counts")[0].as_py()
-        values = np.frombuffer(values, np.float64) if kind else np.log10(np.frombuffer(values, np.int64) + 1.0)
+        keys, values = _unpack_keys(counts.column("keys")[0].as_py()), counts.column("counts")[0].as_py()
+        values = _unpack(values, np.float64) if kind else np.log10(_unpack(values, np.int64) + 1.0)
     rows = {"block": [], "idx": [], "sum": [], "known": []}
     for block, idx, h in zip(asked.column("block"), asked.column("idx"), asked.column("hash")):
         idx, h = idx.values.to_numpy(), h.values.to_numpy().view(U)
@@ -439,7 +461,7 @@ def _look_up(counts: pa.Table, asked: pa.Table) -> pa.Table:
 def _finish(train_tokens: int, denominator: float):
     def run(t: pa.Table) -> pa.Table:
         kind, bucket = (t.column(c).to_pylist() for c in ("kind", "bucket"))
-        for i in sorted(range(t.num_rows), key=lambda i: (bucket[i], kind[i])):
+        for i in sorted(range(t.num_rows), key=lambda i: (bucket[i], kind[i], t.column("idx")[i][0].as_py() if bucket[i] >= 0 else 0)):
             if bucket[i] < 0:
                 main = i
                 base, known, score = (t.column(c)[i].values.to_numpy().copy() for c in ("base", "known", "score"))
@@ -476,15 +498,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     heavy = share(spark, (keys[order], frequent.column("n").to_numpy()[order]))
     tree = materialize(context_tree(_pairs(table.filter("kind = 1"))), "lm-tree")
     windows = materialize(scored_windows(_pairs(table.filter("kind > 0")), tree, buckets), "lm-windows")
-    often = F.col("n") >= max(2, WINDOW_SHARE * (sums.get(1, (0, 0))[1] + sums.get(2, (0, 0))[1]))
+    sizes = windows.groupBy(F.least("n", F.lit(MOST_TIMES)).alias("n")).agg(F.count(F.lit(1)).alias("k")).toArrow().sort_by([("n", "descending")])
+    fit = np.cumsum(sizes.column("k").to_numpy()) <= LIKELY
+    often = F.col("n") >= int(sizes.column("n").to_numpy()[fit].min(initial=1 << 62))
     frequent = windows.filter(often).select("key", "logp").toArrow()
     likely = share(spark, (frequent.column("key").to_numpy().view(U), frequent.column("logp").to_numpy()))
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.set_column(0, "key", pa.array(t.column("key").to_numpy().view(U))).sort_by("key")
         return pa.table({"kind": pa.array([1], pa.int32()), "bucket": t.column("bucket")[:1],
-                         "keys": pa.array([t.column("key").to_numpy().tobytes()], pa.binary()),
-                         "counts": pa.array([t.column("logp").to_numpy().tobytes()], pa.binary())})
+                         "keys": pa.array([_pack(np.diff(t.column("key").to_numpy(), prepend=U(0)))], pa.binary()),
+                         "counts": pa.array([_pack(t.column("logp").to_numpy())], pa.binary())})
 
     blocks = materialize(_map_blocks(own, heavy, likely, buckets, end_count), "lm-blocks")
     rare = windows.filter(~often).select("key", "logp", "bucket").groupBy("bucket").applyInArrow(pack, _PAIRS)
