@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tetrad.llm import (ann, convrepair, exactdedup, jaccard, langid, licenses, mixing, pieces, resample, suffixlm, tokencount,
-                        toxicity)
+from tetrad.llm import (ann, convrepair, exactdedup, jaccard, langid, licenses, mixing, pieces, pii, resample, suffixlm,
+                        tokencount, toxicity)
 from tetrad.llm.common import documents, labels
 
 
@@ -51,9 +51,13 @@ def op11_conversation_repair(spark, sf_dir):
     return convrepair.audit_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii.scan_documents(documents(spark, sf_dir))
+
+
 def op13_importance_resampling(spark, sf_dir):
     return resample.resample_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_license_scan, op3_language_id, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_mixing, op8_lm_score, op9_exact_dedup, op10_ngram_jaccard,
-                                 op11_conversation_repair, op13_importance_resampling)}
+                                 op11_conversation_repair, op12_personal_data, op13_importance_resampling)}
