@@ -49,7 +49,8 @@ FAMILIES = {
     "dravidian": "kn ml ta te",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+#: one definition for training and prediction
+LETTER = r"\p{L}"
 
 
 def family(lang: str) -> str:
@@ -168,7 +169,6 @@ def predict(docs: DataFrame, model) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         langs, duels, weights = held.value
         families = sorted({family(x) for x in langs})
-        letters = np.array([bool(x) and bool(LETTER.search(x)) for x in texts.to_pylist()], bool)
         pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         if langs:
             for i, j, x in vectors(texts):
@@ -181,14 +181,14 @@ def predict(docs: DataFrame, model) -> DataFrame:
                         best, c = _winner(duels, margins[rows], name, own)
                         pred[i + rows] = np.array(own, object)[best]
                         score[i + rows] = conf[rows] * c
-        pred[~letters], score[~letters] = "und", 0.0
         return pa.StructArray.from_arrays([pa.array(pred.tolist(), pa.string()), pa.array(score)], ["lang_pred", "score"])
-    return docs.withColumn("p", run("text"))
+    none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    return docs.withColumn("p", F.when(F.col("text").rlike(LETTER), run("text")).otherwise(none))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score per document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == HELD_FOLD).alias("held_out"),
                       "lang", "text")
-    model = train(own.filter("not held_out and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text"))
+    model = train(own.filter("not held_out and lang is not null").filter(F.col("text").rlike(LETTER)).select("lang", "text"))
     return predict(own.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "p.lang_pred", "p.score")
