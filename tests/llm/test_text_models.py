@@ -13,6 +13,7 @@ from tetrad.llm import langid, licenses, toxicity
 from tetrad.llm import words as W
 from tetrad.llm.queries import QUERIES
 
+SF_LARGE = "/root/testdata/sf0.1"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -96,11 +97,11 @@ def test_languages_of_documents(spark):
 def test_languages_of_hand_made_rows(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate(
         [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("unbekannt", None)] * 12)]
-    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !?", "fr"), (None, "the dog", None), (103, "die katze " * 20000, "de")]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !?", "fr"), (104, "½ ²³ 12", "en"), (105, "Ⅷ ①", "en"), (None, "the dog", None), (103, "die katze " * 20000, "de")]
     df = spark.createDataFrame([(*r, 0.5, "k") for r in rows], "doc_id long, text string, lang string, score double, p string")
     got = langid.identify(df).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows) and {by[i].lang_pred for i in (100, 101, 102)} == {"und"} and by[100].score == 0
+    assert len(got) == len(rows) and {by[i].lang_pred for i in (100, 101, 102, 104, 105)} == {"und"} and by[100].score == 0
     assert (by[None].lang_pred, by[103].lang_pred) == ("en", "de")
     assert langid.identify(df.limit(0)).count() == 0
     none = langid.identify(df.filter("lang is null")).collect()
@@ -110,16 +111,17 @@ def test_languages_of_hand_made_rows(spark):
 
 
 def test_toxicity_of_documents(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_MID}/labels.parquet").collect()}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()}
-    got = QUERIES["op5_toxicity"](spark, SF_MID).collect()
-    assert len(got) == len(docs)
-    assert all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    held = [r for r in got if r.held_out and r.doc_id in labels]
-    assert not any(r.predicted for r in held if not labels[r.doc_id])          # clean documents stay
-    insult = re.compile(r"\b(idiot|moron|scum|worthless|pathetic)\b")
-    bad = [r for r in held if labels[r.doc_id] and insult.search(docs[r.doc_id])]
-    assert bad and sum(r.predicted for r in bad) / len(bad) > 0.9
+    """Recall in every language and precision over all held-out labelled rows."""
+    rows = spark.read.parquet(f"{SF_LARGE}/documents.parquet").select("doc_id", "lang").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_LARGE}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, SF_LARGE).collect()}
+    assert len(got) == len(rows)
+    assert all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    held = [(r.lang, labels[r.doc_id], got[r.doc_id].predicted) for r in rows if got[r.doc_id].held_out and r.doc_id in labels]
+    for lang in {x for x, toxic, _ in held if toxic}:
+        found = [p for x, toxic, p in held if toxic and x == lang]
+        assert sum(found) >= 0.9 * len(found), lang
+    assert sum(toxic and p for _, toxic, p in held) >= 0.95 * sum(p for _, _, p in held)
 
 
 def test_toxicity_of_hand_made_rows(spark):

@@ -1,13 +1,15 @@
 """Toxicity scores by weak supervision.
 
 Many voters look at a text: a small fixed lexicon, word patterns, and lexicon
-voters mined from the labelled training rows (a word, or all words with a given
-beginning, that stands in many different contexts in toxic rows and almost never
-in others). A generative model with one hidden label estimates, by EM, how often
-each voter fires on either label (the given label is one more noisy voter), and
-the correlations between voters given the label; correlated voters count less.
-A linear (logistic) classifier over the voters' counts is trained on the
-posterior labels and scores all texts.
+voters mined from the labelled training rows: a word, or all words with a given
+beginning, that stands in many different contexts in toxic rows and makes up a
+far larger share of their words than of the others'. Such a word may well occur
+in clean texts too, so patterns also vote on how dense the hits are. A
+generative model with one hidden label estimates, by EM, how often each voter
+fires on either label (the given label is one more noisy voter, estimated like
+the others), and the correlations between voters given the label; correlated
+voters count less. A linear (logistic) classifier over the voters' counts and
+densities is trained on the posterior labels and scores all texts.
 
 Training uses a bounded sample: about ``SAMPLE`` labelled rows of each label,
 drawn by a hash of the id, weighted back to the labels' true shares.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +37,27 @@ FOLDS, HELD_FOLD = 4, 2
 #: labelled rows of either label that training draws
 SAMPLE = {1: 3000, 0: 9000}
 THRESHOLD = 0.3
-#: of a mined voter: least number of different contexts in toxic rows, least share of these among all, and
-#: least log-likelihood ratio against the toxic share of the rows (14 nats: one unit in a million by chance)
-MIN_CONTEXTS, MIN_PRECISION, MIN_NATS = 5, 0.9, 14.0
-#: units examined further, and mined voters
-CANDIDATES, MINED = 50_000, 96
+#: of a mined voter: least number of different contexts in toxic rows, least ratio of its shares of the words of
+#: toxic and of clean rows, and least log of that ratio times its contexts (14 nats: one unit in a million by chance)
+MIN_CONTEXTS, MIN_RATIO, MIN_NATS = 5, 4.0, 14.0
+#: mined voters that each toxic row of the sample should have
+COVER = 3
 #: lengths of word beginnings in bytes; 0 is the whole word
 BEGINNINGS = (0, 4, 5, 6, 7)
 #: labelled rows of either label without which the fixed voters decide
 MIN_ROWS = 5
-PRIOR_HIT, LABEL_ACCURACY = 0.05, 0.95
+#: a voter's first rate, the given label's first accuracy, and the rows that this counts for
+PRIOR_HIT, LABEL_ACCURACY, LABEL_ROWS = 0.05, 0.95, 100
+#: mined hits in a hundred words above which a text is dense
+DENSE = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 # --- fixed values: a small lexicon of insults
 LEXICON = ["bastard", "bitch", "clown", "crap", "creep", "disgusting", "dumb", "filth", "fool", "freak", "garbage", "hate",
            "idiot", "idiots", "imbecile", "jerk", "liar", "loser", "losers", "moron", "morons", "pathetic", "pig", "scum",
            "shit", "stupid", "trash", "ugly", "vermin", "worthless"]
-PATTERNS = ["lexicon", "lexicon twice", "you and lexicon", "mined", "mined twice", "mined three times", "shouting", "many marks"]
+PATTERNS = ["lexicon", "lexicon twice", "you and lexicon", "mined", "mined twice", "mined three times", "shouting", "many marks",
+            *(f"mined above {x} %" for x in DENSE)]
+RATES = ["lexicon hits", "mined hits"]
 
 
 def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
@@ -81,10 +89,11 @@ class Voters:
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
             self.kinds[length] = (h[first], first, np.array([k for _, k in own], np.int64))
         self.you = np.uint64(W.hash_of(b"you"))
-        self.width = self.n + len(PATTERNS)
+        self.votes = self.n + len(PATTERNS)
+        self.width = self.votes + len(RATES)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Hits of every voter per text (rows: texts)."""
+        """Hits of every voter per text (rows: texts), then the rates."""
         n = len(offsets) - 1
         low, starts, ends, doc = _read(data, offsets)
         out = np.zeros((n, self.width))
@@ -112,20 +121,23 @@ class Voters:
                 at = you + step
                 at, me = at[(at >= 0) & (at < len(doc))], you[(at >= 0) & (at < len(doc))]
                 near[me] |= hit[0, at] & (doc[at] == doc[me])
-        sizes = np.diff(offsets)
+        words, sizes = np.maximum(np.bincount(doc, minlength=n), 1), np.diff(offsets)
+        dense = 100 * mined / words
         mark = np.add.reduceat(np.append(data == 0x21, False).astype(np.int64), offsets[:-1]) * (sizes > 0) if n else 0
         upper = np.add.reduceat(np.append((data >= 0x41) & (data <= 0x5A), False).astype(np.int64), offsets[:-1]) * (sizes > 0) if n else 0
         patterns = [lex > 0, lex > 1, np.bincount(doc[near], minlength=n) > 0, mined > 0, mined > 1, mined > 2,
-                    upper > 0.3 * np.maximum(sizes, 1), mark > 3]
-        out[:, self.n:] = np.stack(patterns, 1)
+                    upper > 0.3 * np.maximum(sizes, 1), mark > 3, *(dense > x for x in DENSE)]
+        out[:, self.n:self.votes] = np.stack(patterns, 1)
+        out[:, self.votes:] = np.log1p(np.stack([100 * lex / words, dense], 1))
         return out
 
 
 def mine(rows: DataFrame) -> list[tuple[int, int]]:
-    """The mined voters. ``rows``: (text, toxic). A unit's support is the number
-    of different words before it in toxic rows, so that copies count once; it
-    must be far beyond what the share of toxic rows explains. Those chosen cover
-    the toxic rows, best first."""
+    """The mined voters. ``rows``: (text, toxic, row). A unit's support is the
+    number of different words before it in toxic rows, so that copies count
+    once; its ratio is that of its shares of all words of toxic and of clean
+    rows. Those chosen cover every toxic row COVER times where they can, best
+    first. What reaches the driver follows from the bounded sample."""
     def contexts(batches):
         for b in batches:
             for _, _, data, offsets in W.slices(b.column("text")):
@@ -137,63 +149,60 @@ def mine(rows: DataFrame) -> list[tuple[int, int]]:
                 before[np.append(True, doc[1:] != doc[:-1])] = 0
                 for length in BEGINNINGS:
                     h, there = units(low, starts, ends, length)
-                    t = np.unique(np.stack([h[there], before[there]]), axis=1)
-                    yield pa.record_batch({"length": pa.array(np.full(t.shape[1], length, np.int32)),
-                                           "h": pa.array(t[0].view(np.int64)), "before": pa.array(t[1].view(np.int64))})
-
-    found = rows.filter("toxic = 1").select("text").mapInArrow(contexts, "length int, h long, before long").distinct() \
-        .groupBy("length", "h").agg(F.count(F.lit(1)).alias("pos")).filter(F.col("pos") >= MIN_CONTEXTS) \
-        .orderBy(F.desc("pos"), "length", "h").limit(CANDIDATES).collect()
-    cand = [(r.length, int(np.int64(r.h).view(np.uint64))) for r in found]
-    if not cand:
+                    t, n = np.unique(np.stack([h[there], before[there]]), axis=1, return_counts=True)
+                    yield pa.record_batch({"length": pa.array(np.full(t.shape[1], length, np.int32)), "h": pa.array(t[0].view(np.int64)),
+                                           "before": pa.array(t[1].view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    toxic, clean = rows.filter("toxic = 1").select("text", "row"), rows.filter("toxic = 0").select("text")
+    found = toxic.select("text").mapInArrow(contexts, "length int, h long, before long, n long") \
+        .groupBy("length", "h", "before").agg(F.sum("n").alias("n")) \
+        .groupBy("length", "h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("pos")) \
+        .filter(F.col("contexts") >= MIN_CONTEXTS).orderBy("length", "h").collect()
+    if not found:
         return []
-    among = share(rows.sparkSession, _Cover(cand))
+    among = share(rows.sparkSession, _Cover([(r.length, int(np.int64(r.h).view(np.uint64))) for r in found]))
 
     def others(batches):
-        n = np.zeros(len(cand), np.int64)
+        n = np.zeros(len(found) + 1, np.int64)            # and all words
         for b in batches:
             for _, _, data, offsets in W.slices(b.column("text")):
-                for own in among.value.hits(data, offsets):
-                    n[own] += 1
+                among.value.add(n, data, offsets)
         k = np.flatnonzero(n)
         yield pa.record_batch({"k": pa.array(k), "n": pa.array(n[k])})
 
-    clean = rows.filter("toxic = 0")
-    neg = np.zeros(len(cand), np.int64)
-    for r in clean.select("text").mapInArrow(others, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        neg[r.k] = r.n
-    pos = np.array([r.pos for r in found], np.float64)
-    of = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base = min(0.999, max(1, of.get(1, 0)) / max(1, sum(of.values())))
-    share_ = pos / (pos + neg)
-    nats = pos * np.log(share_ / base) + neg * np.log(np.maximum(1 - share_, 1e-300) / (1 - base)) * (neg > 0)
-    ok = np.flatnonzero((share_ >= MIN_PRECISION) & (nats >= MIN_NATS))[:20 * MINED]
-    cand = [cand[k] for k in ok]
-    if not cand:
+    def total(texts):
+        n = np.zeros(len(found) + 1)
+        for r in texts.select("text").mapInArrow(others, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            n[r.k] = r.n
+        return n[:-1], max(1.0, n[-1])
+
+    (pos, words), (neg, clean_words) = total(toxic), total(clean)
+    support = np.array([r.contexts for r in found])
+    ratio = (pos / words) / ((neg + 0.5) / clean_words)
+    nats = support * np.log(np.maximum(ratio, 1e-9))
+    good = np.flatnonzero((ratio >= MIN_RATIO) & (nats >= MIN_NATS))
+    good = good[np.argsort(-nats[good], kind="stable")]   # best first
+    if not len(good):
         return []
+    cand = [(found[k].length, int(np.int64(found[k].h).view(np.uint64))) for k in good]
     probe = share(rows.sparkSession, _Cover(cand))
 
     def cover(batches):
         for b in batches:
-            yield pa.record_batch({"hits": pa.array([x for _, _, d, o in W.slices(b.column("text")) for x in probe.value.hits(d, o)],
-                                                    pa.list_(pa.int32()))})
-    texts = [set(r.hits) for r in rows.filter("toxic = 1").select("text").mapInArrow(cover, "hits array<int>").collect()]
-    left, chosen = dict(enumerate(texts)), []
-    while len(chosen) < MINED:                            # set cover, then the next supported
-        gain = np.zeros(len(cand), np.int64)
-        for s in left.values():
-            for c in s:
-                gain[c] += 1
+            yield pa.record_batch({"row": b.column("row"), "hits": pa.array(
+                [x for _, _, d, o in W.slices(b.column("text")) for x in probe.value.hits(d, o)], pa.list_(pa.int32()))})
+    texts = toxic.mapInArrow(cover, "row long, hits array<int>").toArrow().sort_by("row").column("hits").combine_chunks()
+    row, unit = pa.compute.list_parent_indices(texts).to_numpy(), texts.flatten().to_numpy()
+    need, chosen = np.full(len(texts), COVER), []
+    while True:                                           # set cover: the unit that most rows still need
+        open_ = need[row] > 0
+        gain = np.bincount(unit[open_], minlength=len(cand))
+        gain[chosen] = 0
         best = int(np.argmax(gain))
-        if gain[best] < 2:
+        if not gain[best]:
             break
         chosen.append(best)
-        left = {k: s for k, s in left.items() if best not in s}
-    for c in range(len(cand)):
-        if len(chosen) >= MINED:
-            break
-        if c not in chosen:
-            chosen.append(c)
+        need[row[unit == best]] -= 1
     return [cand[c] for c in chosen]
 
 
@@ -206,6 +215,16 @@ class _Cover:
             own = sorted((h, k) for k, (kind, h) in enumerate(cand) if kind == length)
             self.kinds[length] = np.array([h for h, _ in own], np.uint64), np.array([k for _, k in own], np.int64)
 
+    def add(self, n: np.ndarray, data, offsets) -> None:
+        """Adds the occurrences of every candidate, and at the end the words."""
+        low, starts, ends, _ = _read(data, offsets)
+        n[-1] += len(starts)
+        for length, (keys, number) in self.kinds.items():
+            if len(keys) and len(starts):
+                h, there = units(low, starts, ends, length)
+                at, known = W.find(keys, h)
+                np.add.at(n, number[at[known & there]], 1)
+
     def hits(self, data, offsets):
         low, starts, ends, doc = _read(data, offsets)
         out = [[] for _ in range(len(offsets) - 1)]
@@ -231,7 +250,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, steps:
     post = np.where(label == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     discount, rho = np.ones(m), np.zeros((m, m))
     prior = np.average(label, weights=weight) if n else 0.5
-    given = np.where(label == 1, 1.0, 0.0)
+    given = (label == 1).astype(np.float64)
     for step in range(steps):
         rate = []
         for p in (1 - post, post):
@@ -252,14 +271,18 @@ def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, steps:
         fire = np.log(rate[1] / rate[0])
         silent = np.log((1 - rate[1]) / (1 - rate[0]))
         logit = np.log(prior / (1 - prior)) + v @ (discount * fire) + (1 - v) @ (discount * silent)
-        right = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-        logit += np.where(given == 1, right, -right)
+        # the given label: its rate of 1 on either hidden label
+        said = []
+        for p, first in ((1 - post, 1 - LABEL_ACCURACY), (post, LABEL_ACCURACY)):
+            w = p * weight
+            said.append((w @ given + LABEL_ROWS * first) / (w.sum() + LABEL_ROWS))
+        logit += np.where(given == 1, np.log(said[1] / said[0]), np.log((1 - said[1]) / (1 - said[0])))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rho
 
 
 def features(counts: np.ndarray, n: int) -> np.ndarray:
-    """Classifier features: log counts of the voters, the patterns, a constant."""
+    """Classifier features: log counts of the voters, the patterns and rates, a constant."""
     return np.hstack([np.log1p(counts[:, :n]), counts[:, n:], np.ones((len(counts), 1))])
 
 
@@ -321,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     label = t.column("toxic").to_numpy()
     weight = np.array([total[k] / max(1, n[k]) for k in (0, 1)])[label]
     weight = weight / weight.mean()
-    post, _ = label_model(counts > 0, label, weight)
+    post, _ = label_model(counts[:, :voters.votes] > 0, label, weight)
     return Model(voters, fit_linear(features(counts, voters.n), post, weight))
 
 
