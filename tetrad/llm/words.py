@@ -6,6 +6,7 @@ arrays stay small; a longer single text makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 _P = 0x9E3779B97F4A7C15            # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
+#: bytes of a batch after which a worker's unused memory is released
+LARGE = 4 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: bytes 0x20 and 0x09-0x0D part words
@@ -43,12 +46,25 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of about ``size`` bytes."""
     data, offsets = buffers(column)
-    i, n = 0, len(offsets) - 1
+    i, n, large = 0, len(offsets) - 1, len(data) > LARGE
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
         j = min(n, max(i + 1, j))
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
+    if large:
+        del data, offsets
+        release()
+
+
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system: Python
+    workers are reused, and what one stage leaves allocated is missing in the next."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
