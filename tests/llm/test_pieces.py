@@ -88,3 +88,29 @@ def test_json_tokenizer(spark):
     df = spark.createDataFrame([(1, "Hello <|endoftext|> there"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path).collect()}
     assert got == {1: len(t.encode("Hello <|endoftext|> there", add_special_tokens=False).ids), 2: 0}
+
+
+def test_tables_are_bounded_by_bytes():
+    recent = pieces.Recent(10_000)
+    for k in range(5_000):
+        recent.put(f"part {k}", "1,2,3" * (k % 50))
+        assert recent.bytes <= 10_000
+    assert recent.get("part 4999") is not None and recent.get("part 0") is None
+    t = pieces.table(pieces.model_path())
+    long = "a" * (pieces.LONGEST_KEPT + 1)
+    assert t.encode(long) == SP.encode(long) and "▁" + long not in t.known.new
+
+
+def test_other_models_are_refused():
+    class Fake:
+        """A model whose scores are log probabilities."""
+        get_piece_size = lambda self: 3
+        is_control = is_unknown = is_byte = lambda self, i: False
+        get_score = lambda self, i: -1.5 * i
+        normalize = lambda self, text: text.lower()
+
+    with pytest.raises(ValueError, match="no BPE"):
+        pieces._check(Fake(), "fake")
+    Fake.get_score = lambda self, i: -float(i)
+    with pytest.raises(ValueError, match="changes texts"):
+        pieces._check(Fake(), "fake")

@@ -21,16 +21,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tetrad.llm import words as W
+
 SPACE = "▁"
-#: parts and pairs kept per worker and generation (two generations are held)
-PARTS_KEPT = 150_000
-PAIRS_KEPT = 150_000
+#: bytes of parts and of pairs kept per worker and generation (two generations are held)
+PARTS_BYTES, PAIRS_BYTES = 32 << 20, 24 << 20
+#: longest part that is kept, and what an entry takes besides its characters
+LONGEST_KEPT, ENTRY_BYTES = 64, 160
 MODEL = "piece_bpe_32k.model"
 
 
@@ -40,11 +44,11 @@ def model_path(name: str = MODEL) -> str:
 
 
 class Recent:
-    """A table of bounded size: when full it becomes the older of two, and
+    """A table of bounded bytes: when full it becomes the older of two, and
     entries found there move up."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, most: int):
+        self.most, self.bytes, self.new, self.old = most, 0, {}, {}
 
     def get(self, key):
         x = self.new.get(key)
@@ -55,8 +59,10 @@ class Recent:
         return x
 
     def put(self, key, value):
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
+        text = len(value) if isinstance(value, str) else 0
+        self.bytes += ENTRY_BYTES + text + (2 * len(key) if isinstance(key, str) else 0)
+        if self.bytes > self.most:
+            self.old, self.new, self.bytes = self.new, {}, 0
         self.new[key] = value
 
 
@@ -66,6 +72,7 @@ class PieceTable:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
         sp = SentencePieceProcessor(model_file=path)
+        _check(sp, path)
         n = sp.get_piece_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
         self.piece = [sp.id_to_piece(i) for i in range(n)]
@@ -86,7 +93,7 @@ class PieceTable:
             if len(p) == 1 or self.merge(p) == [p]:      # pieces that merging can reach
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.pairs, self.known = Recent(PAIRS_KEPT), Recent(PARTS_KEPT)
+        self.pairs, self.known = Recent(PAIRS_BYTES), Recent(PARTS_BYTES)
 
     def merge(self, text: str) -> list[str]:
         """The model's rule: the best-scored adjacent pair merges first, the
@@ -171,7 +178,8 @@ class PieceTable:
             e = ",".join(map(str, ids))
             if self.spell(ids) != part.replace(SPACE, " "):
                 e = "!" + e
-            self.known.put(part, e)
+            if len(part) <= LONGEST_KEPT:
+                self.known.put(part, e)
         return e
 
     def encode(self, text: str) -> list[int]:
@@ -193,6 +201,22 @@ class PieceTable:
         return ids.count(",") + bool(ids), ids.encode(), decoded.encode()
 
 
+#: a text that other normalisations change: accents apart, full-width, ligature, runs of blanks, capitals
+_PROBE = "  Ａ ﬁ e\u0301 É  x\t½ A "
+
+
+def _check(sp, path: str) -> None:
+    """Raises unless the model is BPE that takes texts as they are, with a mark
+    for every blank and one before the text: scores of BPE pieces are whole ranks
+    (those of other models are log probabilities), and the probe must survive."""
+    n = sp.get_piece_size()
+    scores = [sp.get_score(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    if any(s != int(s) for s in scores):
+        raise ValueError(f"{path} is no BPE model: its scores are no ranks of merges")
+    if sp.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+        raise ValueError(f"{path} changes texts before encoding")
+
+
 _tables: dict[str, PieceTable] = {}
 
 
@@ -203,22 +227,28 @@ def table(path: str) -> PieceTable:
     return _tables[path]
 
 
+def _runs(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about a megabyte; a null is an empty text."""
+    for i, j, _, _ in W.slices(texts):
+        yield [x or "" for x in texts.slice(i, j - i).to_pylist()]
+
+
 def encoded(text: Column, path: str | None = None) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column."""
     path = path or model_path()
 
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = table(path)
-        n, ids, decoded = [], [], []
-        for x in texts.to_pylist():
-            a, b, c = t.digests(x or "")
-            n.append(a)
-            ids.append(hashlib.sha256(b).hexdigest())
-            decoded.append(hashlib.sha256(c).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                                           pa.array(decoded, pa.string())],
-                                          ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            n, ids, decoded = [], [], []
+            for run_ in _runs(texts):
+                for a, b, c in map(t.digests, run_):
+                    n.append(a)
+                    ids.append(hashlib.sha256(b).hexdigest())
+                    decoded.append(hashlib.sha256(c).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                             ["n_tokens", "ids_sha256", "decoded_sha256"])
     return run(text)
 
 
@@ -229,7 +259,7 @@ def piece_ids(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         t = table(path)
-        return pa.array([t.encode(x or "") for x in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([t.encode(x) for run_ in _runs(texts) for x in run_], pa.list_(pa.int32()))
     return run(text)
 
 
