@@ -2,13 +2,17 @@
 
 import math
 import re
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tetrad import dims
 from tetrad.functions import arrays as A
 from tetrad.functions import text as T
 from tetrad.operators import metrics, scoring, wordpiece
+from tetrad.operators.piecetrie import PieceTrie
 from tetrad.sources import posts as posts_src
 from tetrad.sources import vocab as vocab_src
 
@@ -150,6 +154,51 @@ def test_wordpiece_equals_greedy_loop(spark):
     assert capped == {w: _py_wordpiece(w, set(pieces), max_chars=100) for w in words}
 
 
+def _py_device(word, pieces):
+    """The phone's loop, place by place."""
+    if word in pieces:
+        return [pieces[word]]
+    out = []
+    for cut in range(len(word) - 1, 0, -1):
+        if word[:cut] in pieces:
+            out.append(pieces[word[:cut]])
+            at, end = cut, len(word)
+            while True:
+                fits = [k for k in range(at + 1, end + 1) if "##" + word[at:k] in pieces]
+                if not fits:
+                    break
+                out.append(pieces["##" + word[at:fits[-1]]])
+                at, end = fits[-1], len(word) - 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab#", min_size=1, max_size=5), max_size=14), st.text(alphabet="ab#c", min_size=1, max_size=14))
+def test_trie_equals_greedy_loop(pieces, word):
+    """Any vocabulary (pieces that begin with the mark among them) and word."""
+    vocab = ["[UNK]", *dict.fromkeys(p for x in pieces for p in (x, "##" + x))]
+    vocab = vocab[: 1 + len(vocab) * 2 // 3]
+    trie = PieceTrie({p: i for i, p in enumerate(vocab)}, 0)
+    assert [vocab[i] for i in trie.greedy(word)] == _py_wordpiece(word, set(vocab))
+    assert trie.device(word) == _py_device(word, {p: i for i, p in enumerate(vocab)})
+
+
+def test_words_of_any_length():
+    """A word of a megabyte takes under a second, matched or not."""
+    trie = PieceTrie({p: i for i, p in enumerate(["[UNK]", "a", "##a", "##aa", "##aaaaaaaaab", "b", "##" + "a" * 60])}, 0)
+    for word, n in (("a" * 1_000_000, 1 + 999_999 // 60 + (39 + 1) // 2), ("a" * 1_000_000 + "c", 1)):
+        t = time.time()
+        assert len(trie.greedy(word)) == n and time.time() - t < 1
+    assert len(trie.device("a" * 200_000 + "c")) > 1000
+
+
+def test_long_words_in_a_table(spark):
+    vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3), ("x", 4), ("##x", 5)], "piece string, id int")
+    posts = spark.createDataFrame([(1, "x" * 500_000 + " x"), (2, "y" * 300_000)], "post_id long, posts string")
+    got = {r.post_id: r.ids for r in wordpiece.encode_posts(posts, vocab).collect()}
+    assert got == {1: [2, 4, *[5] * 509, 3], 2: [2, 1, 3]}
+
+
 def test_alternating_vocabularies(spark):
     """Facts of a vocabulary never come from another one."""
     for k in range(6):
@@ -165,7 +214,7 @@ def test_alternating_vocabularies(spark):
 
 def test_device_tokenizer(spark):
     pieces = {"play": 0, "pl": 1, "##ing": 2, "##in": 3, "##a": 4, "##y": 5, "##g": 6, "go": 7}
-    f = wordpiece._device_word
+    f = lambda word, pieces: PieceTrie(pieces).device(word)
     assert f("play", pieces) == [0]
     # play + ing; then pl + a + y + in: after a hit the whole remainder is not tried, so the g is left out
     assert f("playing", pieces) == [0, 2, 1, 4, 5, 3]

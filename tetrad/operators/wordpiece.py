@@ -5,38 +5,31 @@ prefix in the vocabulary, continue after it with '##'-pieces; when some
 position has no match the whole word becomes [UNK]. A caller may also make
 words longer than ``max_chars`` [UNK], as library tokenizers do.
 
-At scale, words are Zipf-distributed, so each *distinct* word is tokenized
-once:
-
-1. distinct words (aggregate with map-side combine);
-2. every (start, length) piece of each word up to the longest vocabulary
-   piece, joined with the vocabulary - broadcast when its counted size is
-   below ``VOCAB_BROADCAST_MAX`` rows, shuffle-joined otherwise;
-3. per word (a group of its starts) the longest match per
-   start, then a left-to-right ``aggregate`` over the starts chains them.
-
-Posts get their ids by joining tokens with the word table: the most frequent
-words - which may hold a large share of all tokens - are broadcast (a fixed
-number of rows), the long tail is shuffle-joined, so no single word key
-lands in one task. Order is restored per post with ``array_sort`` on
-positions.
+The vocabulary goes to the workers as a trie (its counted size is checked), and
+a word is tokenized in one pass over its characters (:mod:`.piecetrie`), so the
+longest word is as cheap per character as any other. Corpus statistics tokenize
+each *distinct* word once, after the aggregate by word; texts are encoded where
+they are, row by row, without any shuffle: their basic tokens come from the
+JVM, their ids from the trie, and frequent words are remembered in a bounded
+table.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tetrad import dims
 from tetrad.functions import text as T
-from tetrad.session import materialize
+from tetrad.operators.piecetrie import PieceTrie
 
-HOT_WORDS = 20000
-# largest vocabulary that is broadcast; a bigger one is shuffle-joined
+# largest vocabulary that goes to the workers
 VOCAB_BROADCAST_MAX = 2_000_000
-#: parts of the rest of the tokens that share one word
-SALTS = 16
+#: words that a task remembers, and their longest
+WORDS_KEPT, LONGEST_KEPT = 100_000, 32
 
 
 def vocab_ids(vocab: DataFrame) -> dict:
@@ -58,126 +51,92 @@ def word_counts(docs: DataFrame, text_col: str = "text", groups: tuple = ()) ->
     return tok.groupBy(*groups, "w").agg(F.count(F.lit(1)).alias("n"))
 
 
+def piece_trie(vocab: DataFrame, ids: dict | None = None) -> PieceTrie:
+    """The vocabulary as a trie on the driver, its size checked before."""
+    ids = ids or vocab_ids(vocab)
+    if int(ids["size"]) > VOCAB_BROADCAST_MAX:
+        raise ValueError(f"a vocabulary of {ids['size']} pieces is too large for the workers")
+    return PieceTrie({r.piece: int(r.id) for r in vocab.select("piece", "id").collect()}, ids.get("unk"))
+
+
 def tokenize_words(words: DataFrame, vocab: DataFrame, word_col: str = "w",
                    max_chars: int | None = None, ids: dict | None = None,
                    carry: tuple = ()) -> DataFrame:
     """``(w, carry..., ids ARRAY<INT>, unk BOOLEAN)`` for distinct words
     (distinct on ``(w, carry...)``; ``carry`` columns such as a count ride
-    along, so no join back is needed).
-
-    One broadcast join and one aggregation by word; the chain is a single
-    ``aggregate`` over the word's matches sorted by (start, -length), so the
-    first match at a start is the longest one."""
+    along, so no join back is needed). A narrow map: no join, no shuffle."""
     ids = ids or vocab_ids(vocab)
-    maxlen, unk = int(ids["maxlen"]), int(ids["unk"])
-    base = words.select(F.col(word_col).alias("w"), *carry).where(F.col("w").isNotNull())
-    # the candidates below are ~50x the words: spread the words by hash before
-    # exploding (AQE would coalesce a small word table into very few tasks);
-    # the aggregation by word then reuses this partitioning - no extra shuffle
-    spark = words.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
-    base = base.repartition(parts, "w")
-    n = F.length("w")
-    starts = F.sequence(F.lit(0), n - 1)
-    if max_chars is not None:
-        starts = F.when(n <= max_chars, starts).otherwise(F.array().cast("array<int>"))
-    cand = (base.select("w", *carry, F.explode_outer(starts).alias("s"))
-            .select("w", *carry, "s", F.explode_outer(F.sequence(
-                F.lit(1), F.least(F.length("w") - F.col("s"), F.lit(maxlen)))).alias("l")))
-    piece = F.when(F.col("s") == 0, F.expr("substring(w, 1, l)")) \
-        .otherwise(F.concat(F.lit("##"), F.expr("substring(w, s + 1, l)")))
-    v = vocab.select("piece", F.col("id").cast("int").alias("id"))
-    if int(ids.get("size", VOCAB_BROADCAST_MAX + 1)) <= VOCAB_BROADCAST_MAX:
-        v = F.broadcast(v)       # size checked above; otherwise a shuffle join
-    hits = cand.withColumn("piece", piece).join(v, "piece", "left")
-    entry = F.when(F.col("id").isNotNull(),
-                   F.struct(F.col("s"), (-F.col("l")).alias("nl"), F.col("id")))
-    per_word = hits.groupBy("w", *carry).agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("ids"),
-                    F.lit(True).alias("ok"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = acc["ok"] & (x["s"] == acc["pos"])
-        gap = x["s"] > acc["pos"]          # nothing matched at pos
-        return F.struct(
-            F.when(take, x["s"] - x["nl"]).otherwise(acc["pos"]).alias("pos"),
-            F.when(take, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"),
-            (acc["ok"] & ~gap).alias("ok"))
-
-    def finish(acc: Column) -> Column:
-        good = acc["ok"] & (acc["pos"] == F.length("w"))
-        return F.when(good, acc["ids"]).otherwise(F.array(F.lit(unk)))
-
-    out = per_word.select("w", *carry, F.aggregate("m", init, step, finish).alias("ids"))
-    return out.select("w", *carry, "ids",
-                      ((F.size("ids") == 1) & (F.element_at("ids", 1) == unk)).alias("unk"))
-
-
-def attach_ids(tokens: DataFrame, word_ids: DataFrame, counts: DataFrame,
-               hot: int = HOT_WORDS) -> DataFrame:
-    """Join exploded tokens ``(..., w)`` with ``word_ids (w, ids, unk)``.
-
-    The ``hot`` most frequent words (from ``counts (w, n)``) are broadcast;
-    only the remaining tokens are shuffle-joined on the word."""
-    hot_w = counts.orderBy(F.desc("n"), "w").limit(hot).select("w", F.lit(True).alias("_hot"))
-    hot_ids = word_ids.join(F.broadcast(hot_w), "w").select(
-        "w", F.col("ids").alias("_hids"), F.col("unk").alias("_hunk"))
-    t = tokens.join(F.broadcast(hot_ids), "w", "left")
-    # rows that are done (a hot word, or a text without tokens) get keys of their own kind, spread over
-    # the join's tasks; the others meet their word in SALTS parts
-    open_ = F.col("_hids").isNull() & F.col("w").isNotNull()
-    t = t.withColumn("_k", F.when(open_, F.col("w"))).withColumn(
-        "_s", F.when(open_, F.pmod(F.xxhash64(*[c for c in tokens.columns if c != "w"]), F.lit(SALTS)))
-        .otherwise(-1 - F.pmod(F.xxhash64(*tokens.columns), F.lit(1 << 20))))
-    cold = word_ids.join(F.broadcast(hot_w), "w", "left_anti").select(
-        F.col("w").alias("_k"), "ids", "unk",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
-    none = F.array().cast("array<int>")
-    return t.join(cold, ["_s", "_k"], "left").select(
-        *tokens.columns, F.coalesce("_hids", "ids", none).alias("ids"),
-        F.coalesce("_hunk", "unk", F.lit(False)).alias("unk"))
+    trie = words.sparkSession.sparkContext.broadcast(piece_trie(vocab, ids))
+    unk = int(ids["unk"])
+
+    @F.arrow_udf("array<int>")
+    def run(col: pa.Array) -> pa.Array:
+        greedy = trie.value.greedy
+        return pa.array([[unk] if max_chars is not None and len(w) > max_chars else greedy(w) for w in col.to_pylist()],
+                        pa.list_(pa.int32()))
+    out = words.select(F.col(word_col).alias("w"), *carry).where(F.col("w").isNotNull()).withColumn("ids", run("w"))
+    return out.withColumn("unk", (F.size("ids") == 1) & (F.element_at("ids", 1) == unk))
+
+
+def encoded(tokens: Column, trie, limit: int | None) -> Column:
+    """Ids of an array of basic tokens, at most ``limit``; ``trie``: a broadcast
+    :class:`PieceTrie`. A null array gives none."""
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        greedy, known = trie.value.greedy, {}
+
+        def of(w: str) -> list[int]:
+            out = known.get(w)
+            if out is None:
+                out = greedy(w)
+                if len(w) <= LONGEST_KEPT:
+                    if len(known) >= WORDS_KEPT:
+                        known.clear()
+                    known[w] = out
+            return out
+
+        for rows in batches:
+            offsets, values = [0], []
+            for i in range(0, len(rows), 256):
+                for words in rows.slice(i, 256).to_pylist():
+                    start = len(values)
+                    for w in words or ():
+                        values += of(w)
+                        if limit is not None and len(values) - start >= limit:
+                            del values[start + limit:]
+                            break
+                    offsets.append(len(values))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    return run(tokens)
 
 
 def encode_posts(posts: DataFrame, vocab: DataFrame, text_col: str = "posts",
                  id_col: str = "post_id", limit: int | None = dims.TOKEN_LIMIT,
-                 hot: int = HOT_WORDS, ids: dict | None = None, specials: bool = True) -> DataFrame:
+                 ids: dict | None = None, specials: bool = True) -> DataFrame:
     """``(id, ids ARRAY<INT>, n_ids)``: wordpiece ids of each text, capped to
     ``limit`` ids, plus [CLS]/[SEP] (T6) unless ``specials`` is off, when a
-    limit is given.
+    limit is given. Rows are encoded where they are; nothing is shuffled.
 
     Every basic token yields at least one id, so with a cap only the first
     ``limit`` tokens can contribute: the text is tokenized in full, but only
-    those tokens are exploded and joined - the result is identical."""
+    those tokens are encoded - the result is identical."""
     ids = ids or vocab_ids(vocab)
+    trie = posts.sparkSession.sparkContext.broadcast(piece_trie(vocab, ids))
     toks = T.basic_tokens(text_col)
     if limit is not None:
         toks = F.slice(toks, 1, limit)
-    # outer: a text without tokens keeps one row (w null) and gets no ids
-    exploded = posts.select(id_col, F.posexplode_outer(toks).alias("pos", "w"))
-    counts = exploded.where(F.col("w").isNotNull()).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # the tokenized dictionary feeds the hot list, the hot (broadcast) and the
-    # cold (shuffle) join: written once to the shared checkpoint folder
-    words = materialize(tokenize_words(counts, vocab, ids=ids, carry=("n",)), "words")
-    joined = attach_ids(exploded, words.drop("n"), words.select("w", "n"), hot)
-    per_post = joined.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-    # every post has at least one row, so no join back to the posts
-    out = per_post.select(id_col, F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))
-    if limit is not None:
-        out = out.withColumn("ids", F.slice("ids", 1, limit))
-        if specials:
-            out = out.withColumn("ids", F.concat(F.array(F.lit(int(ids["cls"]))), "ids", F.array(F.lit(int(ids["sep"])))))
+    out = posts.select(id_col, encoded(toks, trie, limit).alias("ids"))
+    if limit is not None and specials:
+        out = out.withColumn("ids", F.concat(F.array(F.lit(int(ids["cls"]))), "ids", F.array(F.lit(int(ids["sep"])))))
     return out.withColumn("n_ids", F.size("ids"))
 
 
 def constant_ids(spark, texts: list[str], vocab: DataFrame, ids: dict | None = None) -> list[list[int]]:
     """Ids of a few constant texts (an instruction, the class names)."""
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
-    words = tokenize_words(df.select(F.explode(T.basic_tokens("t")).alias("w")).distinct(), vocab, ids=ids)
-    of = {r.w: r.ids for r in words.collect()}
     tokens = df.select("k", T.basic_tokens("t").alias("w")).orderBy("k").collect()
-    return [[i for w in r.w for i in of[w]] for r in tokens]
+    trie = piece_trie(vocab, ids)
+    return [[i for w in r.w for i in trie.greedy(w)] for r in tokens]
 
 
 def unk_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
@@ -195,47 +154,18 @@ def unk_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
 
 
 def device_ids(words: DataFrame, vocab: DataFrame, word_col: str = "w", ids: dict | None = None) -> DataFrame:
-    """``words`` with ``ids``: what the phone's tokenizer (F5) gives a word.
-
-    A word in the vocabulary is one id. Any other word gives, for each of its
-    beginnings in the vocabulary (longest first), that piece and then '##'
-    pieces of what follows: the longest that fits is taken, first of the whole
-    remainder and, after a hit, of the remainder less its last character. What
-    does not fit is left out, and a word without such a beginning is dropped.
-
-    Distinct words only, each handled by a small helper; the vocabulary goes to
-    the workers, so its size is checked.
-    """
-    size = int((ids or vocab_ids(vocab))["size"])
-    if size > VOCAB_BROADCAST_MAX:
-        raise ValueError(f"a vocabulary of {size} pieces is too large for the workers")
-    pieces = vocab.sparkSession.sparkContext.broadcast({r.piece: r.id for r in vocab.collect()})
-
-    @F.pandas_udf("array<int>")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda w: _device_word(w, pieces.value))
+    """``words`` with ``ids``: what the phone's tokenizer (F5) gives a word
+    (:meth:`.piecetrie.PieceTrie.device`). What fits no piece is left out, and a
+    word without a beginning in the vocabulary is dropped. Distinct words only."""
+    trie = words.sparkSession.sparkContext.broadcast(piece_trie(vocab, ids))
+
+    @F.arrow_udf("array<int>")
+    def run(col: pa.Array) -> pa.Array:
+        device = trie.value.device
+        return pa.array([device(w) for w in col.to_pylist()], pa.list_(pa.int32()))
     return words.withColumn("ids", run(word_col))
 
 
-def _device_word(word: str, pieces: dict[str, int]) -> list[int]:
-    if word in pieces:
-        return [pieces[word]]
-    out = []
-    for cut in range(len(word) - 1, -1, -1):
-        if word[:cut] not in pieces:
-            continue
-        out.append(pieces[word[:cut]])
-        rest, spare = word[cut:], 0
-        while spare < len(rest):
-            piece = pieces.get("##" + rest[:len(rest) - spare])
-            if piece is None:
-                spare += 1
-            else:
-                out.append(piece)
-                rest, spare = rest[len(rest) - spare:], 1
-    return out
-
-
 def device_rate(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
                 groups: tuple = ("source",), ids: dict | None = None) -> DataFrame:
     """Words, ids and dropped words (``tokens_dropped``) of the phone's
