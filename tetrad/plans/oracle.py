@@ -583,5 +583,4 @@ k AS (SELECT session_id, turn, name, e / sum(e) OVER (PARTITION BY session_id, t
 SELECT session_id, turn, rk, name, round(p, 9) AS p FROM k WHERE rk <= 5"""
 
 ORACLE["csv_round_trip"] = with_(*BASE) + r"""
-SELECT CAST(CAST('0x' || substr(md5(CAST(row_number() OVER (PARTITION BY posts, type) AS VARCHAR) || '|+' || type || '|+' || posts), 1, 15)
-            AS UBIGINT) AS BIGINT) AS post_id, posts, type FROM posts"""
+SELECT md5(CAST(row_number() OVER (PARTITION BY posts, type) AS VARCHAR) || '|+' || type || '|+' || posts) AS post_id, posts, type FROM posts"""

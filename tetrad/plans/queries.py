@@ -707,8 +707,7 @@ def q_train_metrics_by_variant(spark, base):
 
 @query("csv_round_trip")
 def q_csv_round_trip(spark, base):
-    """Posts written as headered CSV and read back with the multi-line CSV
-    reader (S1): quotes, commas and newlines inside whole texts survive, and
+    """Posts written as headered CSV and read back in ranges (S1): quotes, commas and newlines inside whole texts survive, and
     ids follow from the content."""
     path = scratch_path(spark, f"posts-csv-{uuid.uuid4().hex}")
     posts_src.write_posts_csv(fx.posts(spark, base).select("posts", "type"), path)

@@ -2,9 +2,8 @@
 
 The reference reads a headered CSV of (posts, type) with pandas; identity
 is the row position. Here the CSV is read with an explicit schema (quoted
-fields, doubled quotes, embedded newlines)
-with a stable ``post_id``; multi-line CSV is not splittable, so convert it once
-to Parquet for later jobs.
+fields, doubled quotes, embedded newlines) by many tasks a file
+(:mod:`.csvranges`), with a stable ``post_id``.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tetrad import dims
+from tetrad.sources import csvranges
 
 CORRUPT = "malformed"
 CSV_SCHEMA = T.StructType([
@@ -28,10 +28,15 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def content_id(posts: Column, label: Column, copy: Column) -> Column:
-    """60-bit id of a row from its content and its number among equal rows."""
+    """Id of a row from its content and its number among equal rows: an MD5 in
+    hex, so that ids of any corpus differ."""
+    return F.md5(F.concat(copy.cast("string"), F.lit("|"), _content(posts, label)))
+
+
+def _content(posts: Column, label: Column) -> Column:
+    """Label and text as one string that tells nulls from texts."""
     parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c)) for c in (label, posts)]
-    digest = F.md5(F.concat(copy.cast("string"), F.lit("|"), parts[0], F.lit("|"), parts[1]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return F.concat(parts[0], F.lit("|"), parts[1])
 
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -41,14 +46,15 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     among them) are null. A row that does not have two fields is kept whole in
     ``malformed``, and :func:`validate` rejects it. ``post_id`` depends on the
     row's content only, and for equal rows on their number, so it is the same
-    however the files are split or named; equal rows are counted by an
-    aggregate, not gathered."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', schema=CSV_SCHEMA,
-                        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+    however the files are split or named; equal rows meet by a digest of their
+    content, as one row of each task."""
+    df = csvranges.read_csv(spark, path, CSV_SCHEMA, CORRUPT)
     known = [F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) for c in ("posts", "type")]
-    rows = df.select(*known, CORRUPT).groupBy("posts", "type", CORRUPT).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = df.select(*known, CORRUPT)
     text = F.coalesce(F.col(CORRUPT), F.col("posts"))
+    key = F.unhex(F.md5(F.concat(_content(text, F.col("type")), F.when(F.col(CORRUPT).isNull(), "").otherwise("!"))))
+    rows = rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("posts", "type", CORRUPT)])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select(content_id(text, F.col("type"), F.col("copy")).alias("post_id"), "posts", "type", CORRUPT)
 
 
