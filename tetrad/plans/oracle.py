@@ -7,6 +7,7 @@ reads only the driver's tables. Doubles are rounded like the Spark side.
 from __future__ import annotations
 
 from tetrad import dims
+from tetrad.operators.epochs import BETAS, EPSILON
 
 _CLASSES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(dims.CLASS_NAMES))
 _PRIORS = ", ".join(
@@ -584,3 +585,55 @@ SELECT session_id, turn, rk, name, round(p, 9) AS p FROM k WHERE rk <= 5"""
 
 ORACLE["csv_round_trip"] = with_(*BASE) + r"""
 SELECT md5(CAST(row_number() OVER (PARTITION BY posts, type) AS VARCHAR) || '|+' || type || '|+' || posts) AS post_id, posts, type FROM posts"""
+
+
+def _epoch_ctes(epochs: int = 2, steps: int = 2, rate: float = 0.05, gamma: float = 0.85) -> str:
+    """Two epochs of training, every optimizer step spelled out: features f,
+    batches of 64, and per step t the weights w<t> (class, feature)."""
+    out = [f"""inputs AS (SELECT post_id, lower(type) AS gold, {_prompt('posts', 256, 12)} AS body FROM posts),
+toks AS (SELECT post_id, unnest({_LOWER_TOKENS.format('body')}) AS w FROM inputs),
+share AS (SELECT post_id, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 32 AS d, count(*) AS n FROM toks GROUP BY ALL),
+f AS MATERIALIZED (
+  SELECT post_id, d, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY post_id) AS x FROM share
+  UNION ALL SELECT post_id, 32, CAST(1 AS DOUBLE) FROM posts),
+tb AS MATERIALIZED (
+  SELECT bt.post_id, bt.batch_id, c.idx AS y,
+         CAST(floor(bt.batch_id / ceil((max(bt.batch_id) OVER () + 1) / CAST({steps} AS DOUBLE))) AS INTEGER) AS step,
+         ceil((max(bt.batch_id) OVER () + 1) / CAST({steps} AS DOUBLE)) AS acc
+  FROM bt JOIN classes c ON c.name = lower(bt.type)),
+w0 AS (SELECT idx AS c, d, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v
+       FROM classes, range(33) r(d))"""]
+    t = 0
+    for epoch in range(epochs):
+        for step in range(steps):
+            t += 1
+            out.append(f"""z{t} AS (SELECT tb.post_id, tb.y, tb.acc, w.c, sum(f.x * w.w) AS z
+  FROM tb JOIN f USING (post_id) JOIN w{t - 1} w ON w.d = f.d WHERE tb.step = {step} GROUP BY ALL),
+e{t} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY post_id)) AS ex FROM z{t}),
+p{t} AS (SELECT *, ex / sum(ex) OVER (PARTITION BY post_id) AS p FROM e{t}),
+q{t} AS (SELECT *, exp(p) / sum(exp(p)) OVER (PARTITION BY post_id) - CASE WHEN c = y THEN 1 ELSE 0 END AS q FROM p{t}),
+s{t} AS MATERIALIZED (SELECT *, p * (q - sum(q * p) OVER (PARTITION BY post_id)) AS s FROM q{t}),
+l{t} AS MATERIALIZED (SELECT {epoch + 1} AS epoch, post_id, ln(sum(exp(p))) - max(CASE WHEN c = y THEN p END) AS loss FROM p{t} GROUP BY post_id),
+g{t} AS (SELECT s.c, f.d, sum(s.s * f.x / (64 * s.acc)) AS g FROM s{t} s JOIN f USING (post_id) GROUP BY ALL),
+a{t} AS (SELECT w.c, w.d, w.w, {BETAS[0]!r}::DOUBLE * w.m + (1 - {BETAS[0]!r}::DOUBLE) * coalesce(g, 0) AS m,
+                {BETAS[1]!r}::DOUBLE * w.v + (1 - {BETAS[1]!r}::DOUBLE) * coalesce(g, 0) * coalesce(g, 0) AS v
+         FROM w{t - 1} w LEFT JOIN g{t} USING (c, d)),
+w{t} AS MATERIALIZED (SELECT c, d, w - {rate * gamma ** epoch!r}::DOUBLE * (m / {1 - BETAS[0] ** t!r}::DOUBLE)
+                / (sqrt(v / {1 - BETAS[1] ** t!r}::DOUBLE) + {EPSILON!r}::DOUBLE) AS w, m, v FROM a{t})""")
+    out.append("losses AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, t + 1)) + ")")
+    return ",\n".join(out)
+
+
+ORACLE["train_log"] = with_(*BASE, RAW_RANK, _epoch_ctes()) + """
+SELECT CAST(epoch AS INTEGER) AS epoch, round(avg(loss), 8) AS loss, round(exp(avg(loss)), 8) AS perplexity,
+       CAST(2 AS BIGINT) AS steps, true AS timed
+FROM losses GROUP BY epoch"""
+ORACLE["epoch_score_16way"] = with_(*BASE, RAW_RANK, _epoch_ctes()) + """,
+ez_ AS (SELECT i.post_id, i.gold, w.c, sum(f.x * w.w) AS z
+        FROM rr JOIN inputs i USING (post_id) JOIN f USING (post_id) JOIN w4 w ON w.d = f.d
+        WHERE rr.rn > floor((SELECT count(*) FROM posts) * CAST(0.9 AS DOUBLE)) GROUP BY ALL),
+ep_ AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY post_id) AS p,
+               row_number() OVER (PARTITION BY post_id ORDER BY z DESC, c) AS k FROM ez_)
+SELECT e.post_id, e.gold, max(CASE WHEN k = 1 THEN c.name END) AS answer,
+       CAST(max(CASE WHEN c.name = e.gold THEN k END) AS BIGINT) AS gold_rank, round(max(p), 6) AS confidence
+FROM ep_ e JOIN classes c ON c.idx = e.c GROUP BY e.post_id, e.gold"""
