@@ -78,6 +78,7 @@ class PieceTable:
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         self.rank = {p: sp.get_score(i) for i, p in enumerate(self.piece) if not special[i]}
         self.id = {p: i for i, p in enumerate(self.piece) if not special[i]}
+        self.digits = {p: str(i) for p, i in self.id.items()}
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
@@ -88,6 +89,8 @@ class PieceTable:
         self.inner = re.escape(joined.replace(SPACE, ""))
         #: marks and the characters after them; else one character that no longer piece holds
         self.parts = re.compile(f"{SPACE}*[{self.inner}]+|{SPACE}+|.", re.S)
+        #: characters that are no pieces
+        self.odd = re.compile(f"[^{re.escape(''.join(sorted(p for p in self.rank if len(p) == 1)))}]", re.S)
         self.automaton = ahocorasick.Automaton()
         for p in self.rank:
             if len(p) == 1 or self.merge(p) == [p]:      # pieces that merging can reach
@@ -120,6 +123,32 @@ class PieceTable:
 
     def tokens(self, part: str) -> list[str]:
         """Pieces of a part: the prefix table forwards, the tokens backwards."""
+        if self.odd.search(part):
+            last = self._last_odd(part)
+        else:                                             # every character is a piece: each prefix has its match
+            last = [None] * (len(part) + 1)
+            known = self.pairs.new.get
+            for end, p in self.automaton.iter(part):
+                end += 1
+                if last[end] is None:
+                    before = last[end - len(p)]
+                    if before is None:
+                        last[end] = p
+                        continue
+                    ok = known((before, p))
+                    if ok is None:
+                        ok = self.compatible(before, p)
+                        known = self.pairs.new.get
+                    if ok:
+                        last[end] = p
+        out, i = [], len(part)
+        while i:
+            out.append(last[i])
+            i -= len(last[i])
+        return out[::-1]
+
+    def _last_odd(self, part: str) -> list:
+        """The prefix table of a part with characters that are no pieces."""
         last: list = [None] * (len(part) + 1)
         ends: list = [[] for _ in part]
         for end, p in self.automaton.iter(part):
@@ -133,11 +162,7 @@ class PieceTable:
                 if j == 0 or (last[j] is not None and self.compatible(last[j], p)):
                     last[i + 1] = p
                     break
-        out, i = [], len(part)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+        return last
 
     def ids(self, part: str) -> list[int]:
         out = []
@@ -174,10 +199,13 @@ class PieceTable:
         """The part's ids, joined by commas; '!' before them if they do not spell the part."""
         e = self.known.get(part)
         if e is None:
-            ids = self.ids(part)
-            e = ",".join(map(str, ids))
-            if self.spell(ids) != part.replace(SPACE, " "):
-                e = "!" + e
+            try:                                          # pieces alone spell the part
+                e = ",".join([self.digits[p] for p in self.tokens(part)])
+            except KeyError:
+                ids = self.ids(part)
+                e = ",".join(map(str, ids))
+                if self.spell(ids) != part.replace(SPACE, " "):
+                    e = "!" + e
             if len(part) <= LONGEST_KEPT:
                 self.known.put(part, e)
         return e
