@@ -15,7 +15,9 @@ fine-tuned transformer; the data flow, outputs and metrics are.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -77,6 +79,36 @@ def score_counts(model, df: DataFrame, keep: tuple = ("post_id", "gold"), input_
     return out.withColumn("p", A.softmax("z"))
 
 
+#: log weights are kept as whole numbers of this many parts
+SCALE = 1_000_000
+
+
+class BucketModel(NamedTuple):
+    """Whole-number log weights per (word bucket, class) and per class."""
+    weights: np.ndarray
+    prior: np.ndarray
+    digits: int
+
+
+def fit_buckets(train: DataFrame, n_classes: int = 16, label: str = "target", input_col: str = "model_input",
+                digits: int = 3) -> BucketModel:
+    """The closed-form fit over word buckets, the first ``digits`` hex digits of
+    a word's md5: floor(SCALE * ln((n + 1) / (N + buckets))). Its size does not
+    grow with the corpus (16**digits x classes numbers, made on the driver from
+    as many counts), so it can go to every task; sums of whole numbers are
+    equal in any order."""
+    buckets = 16 ** digits
+    bucket = F.transform(T.basic_tokens(input_col), lambda w: F.conv(F.substring(F.md5(w), 1, digits), 16, 10).cast("int"))
+    tok = train.select(F.col(label).alias("c"), F.explode(bucket).alias("b"))
+    counts = tok.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    n = np.zeros((buckets, n_classes), np.int64)
+    n[counts["b"].to_numpy(), counts["c"].to_numpy()] = counts["n"].to_numpy()
+    rows = {r.c: r.n for r in train.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = np.floor(SCALE * np.log((n + 1) / (n.sum(0) + buckets))).astype(np.int32)
+    shares = [(rows.get(i, 0) + 1) / (sum(rows.values()) + n_classes) for i in range(n_classes)]
+    return BucketModel(weights, np.floor(SCALE * np.log(shares)).astype(np.int64), digits)
+
+
 def fit_axes_counts(train: DataFrame):
     """Four closed-form two-class fits, one per letter (M2)."""
     return [fit_counts(train.withColumn("bit", F.shiftright(F.col("target"), 3 - i).bitwiseAND(1)), 2, "bit")

@@ -574,14 +574,27 @@ c AS (SELECT session_id, turn, CASE WHEN {_TOKENS_OF.format('transcript')} >= 20
 ORACLE["running_transcript_capped"] = _CAPPED + "SELECT session_id, turn, transcript FROM c"
 ORACLE["stream_capped"] = _CAPPED + (
     f"SELECT session_id, turn, transcript, CAST({_TOKENS_OF.format('transcript')} AS BIGINT) AS n_tokens FROM c")
-ORACLE["stream_top5"] = with_(CLASSES, f"r AS ({ORACLE['running_transcript']})") + r"""
-, z AS (SELECT r.session_id, r.turn, c.idx, c.name,
-               CAST((length(r.transcript) * (31 + 17 * c.idx) + 7 * c.idx * c.idx) % 101 AS DOUBLE) / 10 AS z
-        FROM r CROSS JOIN classes c),
+_BUCKET = "CAST('0x' || substr(md5({}), 1, 3) AS INTEGER)"
+ORACLE["stream_top5"] = with_(*DATASET, _RAW16, rf"""tb AS (
+  SELECT {_BUCKET.format('w')} AS b, idx AS c, count(*) AS n FROM (
+    SELECT idx, unnest({_LOWER_TOKENS.format('input')}) AS w FROM data WHERE split = 'train') GROUP BY ALL),
+tn AS (SELECT c, sum(n) AS n FROM tb GROUP BY c),
+td AS (SELECT idx AS c, count(*) AS n FROM data WHERE split = 'train' GROUP BY ALL),
+cl AS (SELECT k.idx, k.name, coalesce(tn.n, 0) + 4096 AS total,
+              floor(1000000 * ln((coalesce(td.n, 0) + 1) / CAST((SELECT sum(n) FROM td) + 16 AS DOUBLE))) AS prior
+       FROM classes k LEFT JOIN tn ON tn.c = k.idx LEFT JOIN td ON td.c = k.idx),
+r AS ({ORACLE['running_transcript']}),
+rt AS (SELECT session_id, turn, unnest({_LOWER_TOKENS.format('transcript')}) AS w FROM r),
+rb AS (SELECT session_id, turn, {_BUCKET.format('w')} AS b, count(*) AS n FROM rt GROUP BY ALL),
+rz AS (SELECT rb.session_id, rb.turn, k.idx,
+              sum(rb.n * floor(1000000 * ln((coalesce(tb.n, 0) + 1) / CAST(k.total AS DOUBLE)))) AS s, sum(rb.n) AS words
+       FROM rb CROSS JOIN cl k LEFT JOIN tb ON tb.b = rb.b AND tb.c = k.idx GROUP BY ALL),
+z AS (SELECT r.session_id, r.turn, k.idx, k.name, CAST(coalesce(rz.words, 0) AS BIGINT) AS n_tokens, (k.prior + coalesce(rz.s, 0)) / 1000000 AS z
+      FROM r CROSS JOIN cl k LEFT JOIN rz ON rz.session_id = r.session_id AND rz.turn = r.turn AND rz.idx = k.idx),
 e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY session_id, turn)) AS e FROM z),
-k AS (SELECT session_id, turn, name, e / sum(e) OVER (PARTITION BY session_id, turn) AS p,
-             row_number() OVER (PARTITION BY session_id, turn ORDER BY z DESC, idx) AS rk FROM e)
-SELECT session_id, turn, rk, name, round(p, 9) AS p FROM k WHERE rk <= 5"""
+k AS (SELECT session_id, turn, n_tokens, name, e / sum(e) OVER (PARTITION BY session_id, turn) AS p,
+             row_number() OVER (PARTITION BY session_id, turn ORDER BY e DESC, idx) AS rk FROM e)""") + """
+SELECT session_id, turn, n_tokens, rk, name, round(p, 9) AS p FROM k WHERE rk <= 5"""
 
 ORACLE["csv_round_trip"] = with_(*BASE) + r"""
 SELECT md5(CAST(row_number() OVER (PARTITION BY posts, type) AS VARCHAR) || '|+' || type || '|+' || posts) AS post_id, posts, type FROM posts"""

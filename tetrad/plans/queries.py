@@ -22,7 +22,7 @@ from tetrad.sources import posts as posts_src
 from tetrad.session import materialize, scratch_path
 from tetrad.sources import vocab as vocab_src
 from tetrad.sources.tables import read_table, spread
-from tetrad.streaming import transcript
+from tetrad.streaming import committed, livescore, transcript
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -627,7 +627,7 @@ def q_count_metrics_by_variant(spark, base):
 
 # --- streaming (R1-R4) -----------------------------------------------------------
 
-def _run_stream(spark, utterances, sink_fn, max_tokens=None):
+def _run_stream(spark, utterances, sink_fn, change=transcript.running_transcript_stream, read=None):
     """The conversations arrive in three rounds (turn ranges, oldest first);
     after each round the stream runs on what is new and stops, so the next
     round resumes from its checkpoint."""
@@ -635,12 +635,11 @@ def _run_stream(spark, utterances, sink_fn, max_tokens=None):
     schema = ", ".join(f"{c} {t}" for c, t in utterances.dtypes)
     for lo, hi in ((0, 1), (2, 3), (4, 1 << 30)):
         utterances.where((F.col("turn") >= lo) & (F.col("turn") <= hi)).write.mode("append").parquet(f"{root}/src")
-        stream = transcript.running_transcript_stream(
-            transcript.read_utterances(spark, f"{root}/src", schema=schema), max_tokens=max_tokens)
+        stream = change(transcript.read_utterances(spark, f"{root}/src", schema=schema))
         with transcript.bounded_run(spark):
             q = sink_fn(stream.writeStream.option("checkpointLocation", f"{root}/ckpt"), f"{root}/out")
         q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return read(spark, f"{root}/out") if read else spark.read.parquet(f"{root}/out")
 
 
 def _to_parquet(w, path):
@@ -669,7 +668,8 @@ STREAM_TOKENS = 20
 @query("stream_capped")
 def q_stream_capped(spark, base):
     """The stream with bounded state."""
-    out = _run_stream(spark, fx.utterances(spark, base), _to_parquet, max_tokens=STREAM_TOKENS)
+    out = _run_stream(spark, fx.utterances(spark, base), _to_parquet,
+                      lambda u: transcript.running_transcript_stream(u, max_tokens=STREAM_TOKENS))
     return out.where("not late").select("session_id", "turn", "transcript", "n_tokens")
 
 
@@ -681,19 +681,21 @@ def q_running_transcript_capped(spark, base):
 
 @query("stream_top5")
 def q_stream_top5(spark, base):
-    """Re-score the transcript after every utterance and keep the best five
-    classes (R2, T3), per micro-batch with ``foreachBatch``. The scorer is a
-    fixed head on the transcript's length, so any engine can follow it; a
-    fitted model takes its place in ``transcript.rescore_sink``."""
-    def score(batch):
-        z = fx.score_logits(F.length("transcript").cast("long"))
-        return scoring.with_probs(batch.withColumn("z", z)).select("session_id", "turn", "p")
+    """The text so far scored after every utterance by a model fitted on the
+    training posts, its best five classes kept (R2, T3). Scores are kept up in
+    state, so a turn costs its own words; every micro-batch is committed whole
+    (S8)."""
+    fitted = model.fit_buckets(_labelled_split(spark, base).where("split = 'train'"))
+
+    def best(batch):
+        return scoring.ranked_long(batch.where("not late"), id_col=("session_id", "turn", "n_tokens"), k=5)
 
     def sink(w, path):
-        return w.foreachBatch(transcript.rescore_sink(score, path)).trigger(availableNow=True).start()
+        return w.foreachBatch(committed.committed_sink(best, path)).trigger(availableNow=True).start()
 
-    out = _run_stream(spark, fx.utterances(spark, base), sink)
-    return out.select("session_id", "turn", "rk", "name", F.round("p", 9).alias("p"))
+    out = _run_stream(spark, fx.utterances(spark, base), sink, lambda u: livescore.live_scores(u, fitted),
+                      committed.read_committed)
+    return out.select("session_id", "turn", "n_tokens", "rk", "name", F.round("p", 9).alias("p"))
 
 
 def _variant_loader(spark, base):

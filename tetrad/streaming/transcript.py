@@ -2,37 +2,30 @@
 
 The reference appends every recognition result to one growing string and
 re-classifies the whole text after each result; STOP clears it. Here the
-stream is keyed by session: ``applyInPandasWithState`` keeps, per session,
-the last turn seen, the text so far and its token count; every new turn
-emits the transcript so far. Rows of a trigger are applied in turn order.
-A turn at or below the last one seen came too late (or again): it changes
-nothing and is emitted with ``late`` set and no transcript, so it can be
-counted or written aside. A stop row clears the text. State stays until a
-stop unless ``timeout_ms`` is given.
+stream is keyed by session (:mod:`tetrad.streaming.turns`): state holds the last
+turn, the token count and the text as a list of pieces, so a trigger writes
+what is new and not the text again; every new turn emits the transcript so far.
 
 With ``max_tokens`` only the first N basic tokens are kept - the model never
 sees more (R4) - so state per session is bounded. The N-th token is kept as
 long as it may still grow: the text is full only when a character follows it.
 
-Scoring (R2) is stateless and runs per micro-batch in ``foreachBatch``. The
-workers must have this package (``spark-submit --py-files``).
+Scoring (R2) is :mod:`tetrad.streaming.livescore`, which needs no text in state;
+results go to :mod:`tetrad.streaming.committed`. The workers must have this
+package (``spark-submit --py-files``).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tetrad.functions.text import BASIC_TOKEN
-from tetrad.operators import scoring
+from tetrad.streaming.turns import TurnProcessor, by_session
 
-OUT_SCHEMA = "session_id long, turn long, transcript string, n_tokens long, late boolean"
-STATE_SCHEMA = "last_turn long, text string, n_tokens long, full boolean"
+OUT_SCHEMA = "session_id long, turn long, late boolean, transcript string, n_tokens long"
 _TOKEN = re.compile(BASIC_TOKEN, re.ASCII)
 _WORD = re.compile(r"\w", re.ASCII)
 
@@ -59,61 +52,60 @@ def _append(text: str, add: str, sep: str, n_tokens: int, full: bool, max_tokens
     return new[:end], max_tokens, closed
 
 
-def transcript_state_fn(sep: str = "", max_tokens: int | None = None, timeout_ms: int | None = None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, text, n, full = state.get if state.exists else (-1, "", 0, False)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="stable")
-        out = []
-        stop = batch["is_stop"] if "is_stop" in batch.columns else [False] * len(batch)
-        for turn, utt, is_stop in zip(batch["turn"], batch["text"], stop):
-            if turn <= last:
-                out.append((key[0], int(turn), None, None, True))
-                continue
-            last = int(turn)
-            if bool(is_stop):
-                text, n, full = "", 0, False
-                continue
-            if utt is not None:
-                text, n, full = _append(text, utt, sep, n, full, max_tokens)
-            out.append((key[0], last, text, n, False))
-        state.update((last, text, n, full))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "turn", "transcript", "n_tokens", "late"])
-    return fn
+class Transcript(TurnProcessor):
+    """The text so far and its token count after every turn."""
 
+    columns = ("transcript", "n_tokens")
 
-def running_transcript_stream(utterances: DataFrame, sep: str = "", max_tokens: int | None = None,
-                              timeout_ms: int | None = None) -> DataFrame:
-    """Streaming ``(session_id, turn, transcript, n_tokens, late)`` from a
-    stream of ``(session_id, turn, text[, is_stop])``. One shuffle by
-    session. A session's rows of one trigger are handled together: bound the
-    trigger by the source's rate options where sessions are long."""
-    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return utterances.groupBy("session_id").applyInPandasWithState(
-        transcript_state_fn(sep, max_tokens, timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    def __init__(self, sep: str = "", max_tokens: int | None = None, **kw):
+        super().__init__(**kw)
+        self.sep, self.max_tokens = sep, max_tokens
+
+    def open_state(self, handle):
+        self.head = handle.getValueState("head", "last_turn long, n_tokens long, full boolean", self.ttl_ms)
+        self.pieces = handle.getListState("pieces", "text string", self.ttl_ms)
+
+    def load(self) -> int:
+        last, self.n, self.full = self.head.get() or (-1, 0, False)
+        self.text = "".join(p[0] for p in self.pieces.get())
+        self.stored = len(self.text)                 # a text only grows until a stop
+        return last
+
+    def stop(self):
+        self.pieces.clear()
+        self.text, self.n, self.full, self.stored = "", 0, False, 0
+
+    def add(self, text):
+        self.text, self.n, self.full = _append(self.text, text, self.sep, self.n, self.full, self.max_tokens)
 
+    def values(self):
+        return self.text, self.n
 
-def rescore_sink(score, path: str, k: int = 5):
-    """``foreachBatch`` function (R2): every utterance's transcript scored by
-    ``score(batch) -> (session_id, turn, p)``, the best ``k`` classes of each
-    written. One folder per micro-batch, overwritten on replay."""
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        top = scoring.ranked_long(score(batch.where("not late")), id_col=("session_id", "turn"), k=k)
-        top.write.mode("overwrite").parquet(f"{path}/batch={epoch_id}")
-    return run
+    def size(self):
+        return len(self.text)
+
+    def save(self, last):
+        if self.ttl_ms is not None and self.text:    # every piece must live as long as the head
+            self.pieces.put([(self.text,)])
+        elif len(self.text) > self.stored:
+            self.pieces.appendList([(self.text[self.stored:],)])
+        self.head.update((last, self.n, self.full))
+
+
+def running_transcript_stream(utterances: DataFrame, sep: str = "", max_tokens: int | None = None,
+                              timeout_ms: int | None = None) -> DataFrame:
+    """Streaming ``(session_id, turn, late, transcript, n_tokens)`` from a
+    stream of ``(session_id, turn, text[, is_stop])``. One shuffle by session.
+    Without ``max_tokens`` a task holds the longest session's text once."""
+    return by_session(utterances, Transcript(sep, max_tokens, ttl_ms=timeout_ms), OUT_SCHEMA)
 
 
 @contextmanager
 def bounded_run(spark: SparkSession):
-    """For ``availableNow`` runs: a processing-time timeout makes the engine
+    """For ``availableNow`` runs: processing time makes the engine
     schedule state-cleanup batches forever, so no-data batches are switched
     off for queries started inside this block (the setting is captured when
-    a query starts). Timeouts then fire when new data arrives."""
+    a query starts). Idle state then expires when new data arrives."""
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
     old = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
