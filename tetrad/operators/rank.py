@@ -32,6 +32,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tetrad.session import materialize
+
 KEY = "order_key"
 BUCKET = "_bkt"
 
@@ -84,14 +86,37 @@ def bucket_of(key: str, digits: int) -> Column:
     return F.substring(F.col(key), 1, digits)
 
 
+#: hex digits that one level of the prefix sum takes: at most 4,096 rows a window
+LEVEL = 3
+
+
+def _prefix_sums(counts: DataFrame, groups: Sequence[str], digits: int) -> DataFrame:
+    """``counts(groups, _bkt, _n)`` with ``_before`` and the group's ``_total``.
+    Buckets of more than LEVEL digits are summed level by level: within their
+    shared first digits, plus what stands before these."""
+    if digits <= LEVEL:
+        over = Window.partitionBy(*groups)
+        w = over.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long")) \
+            .withColumn("_total", F.sum("_n").over(over))
+    keys = [*groups, "_up"]
+    counts = counts.withColumn("_up", F.substring(BUCKET, 1, digits - LEVEL))
+    ups = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).withColumnRenamed("_up", BUCKET)
+    ups = _prefix_sums(ups, groups, digits - LEVEL).select(
+        *groups, F.col(BUCKET).alias("_up"), F.col("_before").alias("_upper"), "_total")
+    w = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_in", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(ups, keys) \
+        .withColumn("_before", (F.col("_upper") + F.col("_in")).cast("long")).drop("_up", "_upper", "_in")
+
+
 def bucket_offsets(keys: DataFrame, key: str, groups: Sequence[str], digits: int) -> DataFrame:
-    """``(groups, _bkt, _n, _before)``: rows per bucket and rows in earlier
-    buckets of the same group. Small: groups x 16**digits rows."""
+    """``(groups, _bkt, _n, _before, _total)``: rows per bucket, rows in earlier
+    buckets of the same group and rows of the group: groups x 16**digits rows."""
     counts = (keys.groupBy(*groups, bucket_of(key, digits).alias(BUCKET))
               .agg(F.count(F.lit(1)).alias("_n")))
-    w = (Window.partitionBy(*groups).orderBy(BUCKET)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
+    if digits > LEVEL:
+        counts = materialize(counts, "rank-counts")
+    return _prefix_sums(counts, groups, digits)
 
 
 def exact_rank(df: DataFrame, key: str, tie: str, groups: Sequence[str] = (),
@@ -99,14 +124,15 @@ def exact_rank(df: DataFrame, key: str, tie: str, groups: Sequence[str] = (),
     """Add ``rank_col`` = 1-based position of each row in (key, tie) order
     within ``groups`` (and, with ``total_col``, the group's row count).
     ``key`` must be a hex string column (see :func:`hash_key`); ``groups``
-    must be a bounded dimension."""
+    must be a bounded dimension. Offsets of up to LEVEL digits are broadcast (at
+    most 4,096 rows a group); of more they are joined by bucket, with the
+    shuffle that the ranking inside buckets needs anyway."""
     groups = list(groups)
-    offsets = bucket_offsets(df.select(*groups, key), key, groups, digits)
-    offsets = small(offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
-                    .drop("_n"))
+    offsets = bucket_offsets(df.select(*groups, key), key, groups, digits).drop("_n")
+    offsets = F.broadcast(small(offsets)) if digits <= LEVEL else materialize(offsets, "rank-offsets")
     w = Window.partitionBy(*groups, BUCKET).orderBy(F.col(key), F.col(tie))
     out = (df.withColumn(BUCKET, bucket_of(key, digits))
-           .join(F.broadcast(offsets), [*groups, BUCKET])
+           .join(offsets, [*groups, BUCKET])
            .withColumn(rank_col, F.col("_before") + F.row_number().over(w)))
     if total_col:
         out = out.withColumnRenamed("_total", total_col)
@@ -140,8 +166,7 @@ def cut_decision(keys: DataFrame, key: str, tie: str, cut: DataFrame | int | flo
     elif isinstance(cut, int):
         offsets = offsets.withColumn("cut", F.lit(cut).cast("long"))
     else:
-        total = F.sum("_n").over(Window.partitionBy(*groups))
-        offsets = offsets.withColumn("cut", F.floor(total.cast("double") * F.lit(float(cut)))
+        offsets = offsets.withColumn("cut", F.floor(F.col("_total").cast("double") * F.lit(float(cut)))
                                      .cast("long"))
     state = (F.when(F.col("_before") + F.col("_n") <= F.col("cut"), F.lit("all"))
              .when(F.col("_before") >= F.col("cut"), F.lit("none"))
