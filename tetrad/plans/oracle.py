@@ -354,6 +354,12 @@ FROM dwc c JOIN wp ON wp.w = c.w GROUP BY c.lang"""
 
 ORACLE["variant_slice"] = with_(*DATASET) + (
     "SELECT post_id, posts, type FROM split WHERE variant = 'bal' AND split = 'train'")
+_REDRAWN = [x.replace("sampled AS", "sampled7 AS").replace(":2'", ":7'").replace("('bal'), ('prop')", "('bal')") for x in [SAMPLED]] + [
+    SPLIT.replace("split AS (", "split7 AS (", 1).replace("FROM variants", "FROM sampled7").replace(":split:2", ":split:7")]
+ORACLE["variant_redrawn"] = with_(*DATASET, *_REDRAWN) + """
+SELECT variant, split, count(*) AS n, CAST(sum(post_id) AS BIGINT) AS ids, CAST(sum(length(posts)) AS BIGINT) AS chars
+FROM (SELECT variant, split, post_id, posts FROM split WHERE variant != 'bal'
+      UNION ALL SELECT variant, split, post_id, posts FROM split7) GROUP BY variant, split"""
 ORACLE["split_anti"] = with_(*BASE, RAW_SPLIT) + "SELECT post_id, type FROM rsplit WHERE split = 'eval'"
 
 _VSC = """vz AS (

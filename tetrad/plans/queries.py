@@ -17,9 +17,9 @@ from tetrad.functions import text as T
 from tetrad.operators import batching, epochs, metrics, model, rank, sampling, scoring, sessions
 from tetrad.operators import wordpiece as wp
 from tetrad.plans import fixtures as fx
-from tetrad.sources import datasets as ds_src
 from tetrad.sources import posts as posts_src
 from tetrad.session import materialize, scratch_path
+from tetrad.sources import variants as variants_src
 from tetrad.sources import vocab as vocab_src
 from tetrad.sources.tables import read_table, spread
 from tetrad.streaming import committed, livescore, transcript
@@ -391,13 +391,43 @@ def q_device_tokens(spark, base):
 
 # --- dataset variants on disk (S2, S3, J3, U2, A17) --------------------------
 
+VARIANTS = ("raw", "bal", "prop")
+REDRAW_SEED = 7
+
+def _variant_store(spark, base, posts):
+    """The posts stored once and the three variants beside them, drawn from ids
+    and labels (S2, U3)."""
+    store = variants_src.create_store(posts, scratch_path(spark, f"variants-{uuid.uuid4().hex}"))
+    drawn = materialize(sampling.dataset_variants(spark, fx.post_types(spark, base)).select("variant", "split", "post_id"),
+                        "members")
+    for v in VARIANTS:
+        store.put(v, drawn.where(F.col("variant") == v))
+    return store
+
+
 @query("variant_slice")
 def q_variant_slice(spark, base):
-    """Write all variants partitioned by (variant, split) into the shared
-    folder (S2), read one back with partition pruning (S3)."""
-    path = scratch_path(spark, f"variants-{uuid.uuid4().hex}")
-    ds_src.write_variants(sampling.dataset_variants(spark, fx.posts(spark, base)), path)
-    return ds_src.read_variant(spark, path, "bal", "train").select("post_id", "posts", "type")
+    """All variants written as membership beside the posts (S2), one dataset
+    read back by a join of equal buckets (S3)."""
+    return _variant_store(spark, base, fx.posts(spark, base)).read("bal", "train").select("post_id", "posts", "type")
+
+
+@query("variant_redrawn")
+def q_variant_redrawn(spark, base):
+    """The balanced variant replaced by a draw of another seed, through a store
+    opened anew; the posts and the other variants stay (S2, S3, U3). Rows and
+    words of every dataset."""
+    store = variants_src.open_store(spark, _variant_store(spark, base, fx.posts(spark, base)).path)
+    again = sampling.resample(fx.post_types(spark, base), dims.priors(spark, "bal"), seed=REDRAW_SEED).drop(rank.KEY)
+    store.put("bal", sampling.train_eval_split(again, seed=REDRAW_SEED))
+    out = None
+    for v in VARIANTS:
+        j = store.posts().join(store.ids(v).hint("shuffle_hash"), "post_id")
+        one = j.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids"),
+                                     F.sum(F.char_length("posts")).alias("chars"))
+        one = one.select(F.lit(v).alias("variant"), "split", "n", "ids", "chars")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("split_anti")
@@ -609,11 +639,11 @@ def q_count_score_axes(spark, base):
 @query("count_metrics_by_variant")
 def q_count_metrics_by_variant(spark, base):
     """The closed-form fit trained and evaluated on every dataset variant, both
-    tasks, in one table (M7, A17). The variants are written once (S2); each
-    fit reads its own folder (S3)."""
+    tasks, in one table (M7, A17). The posts are written once (S2); each fit
+    reads its own dataset (S3)."""
     load = _variant_loader(spark, base)
     parts = []
-    for v in ("raw", "bal", "prop"):
+    for v in VARIANTS:
         train, ev = load(v, "train"), load(v, "eval")
         p16 = scoring.predictions(model.score_counts(model.fit_counts(train), ev), probs="z") \
             .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
@@ -699,15 +729,12 @@ def q_stream_top5(spark, base):
 
 
 def _variant_loader(spark, base):
-    """All variants written once, partitioned by (variant, split) (S2); returns
-    a reader of one dataset (S3) as model input."""
-    path = scratch_path(spark, f"variants-{uuid.uuid4().hex}")
-    ds = posts_src.with_label(sampling.dataset_variants(spark, fx.posts(spark, base)), spark)
-    ds_src.write_variants(ds.select("variant", "split", "post_id", "posts", "type", "target"), path)
+    """All variants written once as membership (S2); returns a reader of one
+    dataset (S3) as model input."""
+    store = _variant_store(spark, base, posts_src.with_label(fx.posts(spark, base), spark))
 
     def load(v, split):
-        d = ds_src.read_variant(spark, path, v, split)
-        return model.with_model_input(d).withColumn("gold", T.normalize_label("type"))
+        return model.with_model_input(store.read(v, split)).withColumn("gold", T.normalize_label("type"))
     return load
 
 
@@ -718,7 +745,7 @@ def q_train_metrics_by_variant(spark, base):
     on the driver, each fit a Spark job - then one grouped aggregation."""
     load = _variant_loader(spark, base)
     parts = []
-    for v in ("raw", "bal", "prop"):
+    for v in VARIANTS:
         train, ev = load(v, "train"), load(v, "eval")
         p16 = scoring.predictions(model.score_16way(model.fit_16way(train), ev)) \
             .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
