@@ -656,3 +656,57 @@ ep_ AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY post_id) AS p,
 SELECT e.post_id, e.gold, max(CASE WHEN k = 1 THEN c.name END) AS answer,
        CAST(max(CASE WHEN c.name = e.gold THEN k END) AS BIGINT) AS gold_rank, round(max(p), 6) AS confidence
 FROM ep_ e JOIN classes c ON c.idx = e.c GROUP BY e.post_id, e.gold"""
+
+
+def _softmax_ctes(rows: str, steps: int = 3, rate: float = 4.0, penalty: float = 0.001) -> str:
+    """Full-batch steps over features f(id, d, x), labels lab(id, h, y) and the
+    classes hc(h, c) of the heads: weights w<t> and losses l<t> per step."""
+    out = ["w0 AS (SELECT h, c, d, CAST(0 AS DOUBLE) AS w FROM hc CROSS JOIN (SELECT DISTINCT d FROM f))",
+           f"tr AS MATERIALIZED (SELECT * FROM lab WHERE id IN ({rows}))",
+           "hn AS (SELECT h, count(*) AS n FROM tr GROUP BY h)"]
+    for t in range(1, steps + 1):
+        out.append(f"""z{t} AS (SELECT tr.id, tr.h, tr.y, w.c, sum(f.x * w.w) AS z
+  FROM tr JOIN f USING (id) JOIN w{t - 1} w ON w.d = f.d AND w.h = tr.h GROUP BY ALL),
+e{t} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id, h)) AS ex FROM z{t}),
+p{t} AS MATERIALIZED (SELECT id, h, c, y, ex / sum(ex) OVER (PARTITION BY id, h) AS p FROM e{t}),
+l{t} AS (SELECT {t} AS step, h, count(*) AS n, avg(-ln(p)) AS loss FROM p{t} WHERE c = y GROUP BY h),
+g{t} AS (SELECT p.h, p.c, f.d, sum((p.p - CASE WHEN p.c = p.y THEN 1 ELSE 0 END) * f.x) AS g FROM p{t} p JOIN f USING (id) GROUP BY ALL),
+w{t} AS MATERIALIZED (SELECT w.h, w.c, w.d, w.w - {rate!r}::DOUBLE * (coalesce(g.g, 0) / hn.n + {penalty!r}::DOUBLE * w.w) AS w
+  FROM w{t - 1} w JOIN hn USING (h) LEFT JOIN g{t} g USING (h, c, d))""")
+    return ",\n".join(out)
+
+
+_SHARES = rf"""toks AS (SELECT post_id, unnest({_LOWER_TOKENS.format('input')}) AS w FROM data),
+share AS (SELECT post_id, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 32 AS d, count(*) AS n FROM toks GROUP BY ALL),
+f AS MATERIALIZED (
+  SELECT post_id AS id, d, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY post_id) AS x FROM share
+  UNION ALL SELECT post_id, 32, CAST(1 AS DOUBLE) FROM data)"""
+_TARGET = "SELECT {id} AS id, 'target' AS h, {idx} AS y FROM {t}"
+_LETTERS = "SELECT {id} AS id, 'letter' || i AS h, ({idx} >> CAST(3 - i AS INTEGER)) & 1 AS y FROM {t} CROSS JOIN range(4) r(i)"
+_HC16 = "SELECT 'target' AS h, c FROM range(16) r(c)"
+_HC2 = "SELECT 'letter' || i AS h, c FROM range(4) a(i) CROSS JOIN range(2) b(c)"
+_TRAIN = "SELECT post_id FROM data WHERE split = 'train'"
+_SCORED = """sz AS (SELECT d.post_id, d.gold, w.h, w.c, sum(f.x * w.w) AS z
+  FROM data d JOIN f ON f.id = d.post_id JOIN w3 w ON w.d = f.d WHERE d.split = 'eval' GROUP BY ALL),
+sp AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY post_id, h) AS p,
+              row_number() OVER (PARTITION BY post_id, h ORDER BY z DESC, c) AS k FROM sz)"""
+ORACLE["softmax_score_16way"] = with_(*DATASET, _RAW16, _SHARES, f"lab AS ({_TARGET.format(id='post_id', idx='idx', t='data')})",
+                                      f"hc AS ({_HC16})", _softmax_ctes(_TRAIN), _SCORED) + """
+SELECT s.post_id, s.gold, max(CASE WHEN k = 1 THEN c.name END) AS answer,
+       CAST(max(CASE WHEN c.name = s.gold THEN k END) AS BIGINT) AS gold_rank, round(max(p), 6) AS confidence
+FROM sp s JOIN classes c ON c.idx = s.c GROUP BY s.post_id, s.gold"""
+ORACLE["softmax_score_axes"] = with_(*DATASET, _RAW16, _SHARES, f"lab AS ({_LETTERS.format(id='post_id', idx='idx', t='data')})",
+                                     f"hc AS ({_HC2})", _softmax_ctes(_TRAIN), _SCORED, """
+sx AS (SELECT post_id, gold, """ + ", ".join(f"max(CASE WHEN h = 'letter{i}' THEN p END) AS p{i}" for i in range(4)) + """
+       FROM sp WHERE c = 1 GROUP BY post_id, gold),
+sb AS (SELECT *, """ + " + ".join(f"CASE WHEN p{i} > 1 - p{i} THEN {8 >> i} ELSE 0 END" for i in range(4)) + """ AS idx FROM sx)""") + """
+SELECT post_id, gold, lpad(bin(idx), 4, '0') AS bits, name AS answer, """ + ", ".join(f"round(p{i}, 6) AS p{i}" for i in range(4)) + """
+FROM sb JOIN classes USING (idx)"""
+_CLASS_OF = "CAST((CAST(vec_id * 7 + floor(vec_id / 5) AS BIGINT) % 23) % 16 AS INTEGER)"
+ORACLE["softmax_head_log"] = with_(
+    f"ev AS (SELECT vec_id, {_CLASS_OF} AS idx, embedding FROM embeddings WHERE embedding IS NOT NULL "
+    "AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)",
+    "f AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM ev)",
+    f"lab AS ({_TARGET.format(id='vec_id', idx='idx', t='ev')} UNION ALL {_LETTERS.format(id='vec_id', idx='idx', t='ev')})",
+    f"hc AS ({_HC16} UNION ALL {_HC2})", _softmax_ctes("SELECT vec_id FROM ev")) + (
+    "SELECT CAST(step AS INTEGER) AS step, h AS head, n, round(loss, 8) AS loss FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tetrad import dims
 from tetrad.functions import arrays as A
 from tetrad.functions import text as T
-from tetrad.operators import batching, epochs, metrics, model, rank, sampling, scoring, sessions
+from tetrad.operators import batching, epochs, metrics, model, rank, sampling, scoring, sessions, softmaxfit
 from tetrad.operators import wordpiece as wp
 from tetrad.plans import fixtures as fx
 from tetrad.sources import posts as posts_src
@@ -614,6 +614,55 @@ def q_epoch_score_16way(spark, base):
     return scoring.predictions(scored).select("post_id", "gold", "answer", "gold_rank", F.round("confidence", 6).alias("confidence"))
 
 
+#: steps, rate and penalty of the full-batch fits
+SOFTMAX = {"steps": 3, "rate": 4.0, "penalty": 0.001}
+
+
+def _share_rows(spark, base):
+    """Training and eval posts with the shares of their whole model input."""
+    s = _labelled_split(spark, base)
+    letters = [F.shiftright("target", 3 - i).bitwiseAND(1).cast("int").alias(f"letter{i}") for i in range(4)]
+    rows = materialize(s.select("post_id", "gold", "split", F.col("target").cast("int").alias("target"), *letters,
+                                epochs.token_shares().alias("x")), "share-rows")
+    return rows.where("split = 'train'"), rows.where("split = 'eval'")
+
+
+@query("softmax_score_16way")
+def q_softmax_score_16way(spark, base):
+    """Logistic 16-way fit by full-batch steps on exact sums, eval rows scored
+    and ranked (M1, M3, T1); every step is spelled out in the SQL."""
+    train, ev = _share_rows(spark, base)
+    scored = softmaxfit.score(ev, softmaxfit.fit(train, [("target", 16)], **SOFTMAX)).withColumnRenamed("p_target", "p")
+    return scoring.predictions(scored).select("post_id", "gold", "answer", "gold_rank", F.round("confidence", 6).alias("confidence"))
+
+
+@query("softmax_score_axes")
+def q_softmax_score_axes(spark, base):
+    """The four letters fitted as four heads in the same passes (M2), composed
+    (M4)."""
+    train, ev = _share_rows(spark, base)
+    heads = [(f"letter{i}", 2) for i in range(4)]
+    scored = softmaxfit.score(ev, softmaxfit.fit(train, heads, **SOFTMAX))
+    p1 = F.array(*[F.element_at(f"p_{n}", 2) for n, _ in heads])
+    return scoring.compose_axes(scored.select("post_id", "gold", p1.alias("p1"))) \
+        .select("post_id", "gold", "bits", "answer", F.transform("p1", lambda v: F.round(v, 6)).alias("p1")) \
+        .select("post_id", "gold", "bits", "answer", *[F.element_at("p1", i + 1).alias(f"p{i}") for i in range(4)])
+
+
+@query("softmax_head_log")
+def q_softmax_head_log(spark, base):
+    """The linear head over given vectors (M5) fitted on all embeddings, with
+    the 16-way and the letters' loss before every step (M6)."""
+    e = spread(read_table(spark, base, "embeddings").select("vec_id", "embedding"))
+    e = e.where("embedding is not null and forall(embedding, v -> v is not null and abs(v) < double('infinity'))")
+    target = fx.class_of(F.col("vec_id"))
+    letters = [F.shiftright(target, 3 - i).bitwiseAND(1).cast("int").alias(f"letter{i}") for i in range(4)]
+    rows = e.select(target.alias("target"), *letters, F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    heads = [("target", 16)] + [(f"letter{i}", 2) for i in range(4)]
+    log = softmaxfit.fit(materialize(rows, "head-rows"), heads, **SOFTMAX).log
+    return spark.createDataFrame([(a, b, c, round(d, 8)) for a, b, c, d in log], "step int, head string, n long, loss double")
+
+
 @query("count_score_16way")
 def q_count_score_16way(spark, base):
     """Closed-form 16-way fit on the training split, eval rows scored and
