@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tetrad.llm.common import text_or_empty
+from tetrad.llm.common import bit_filter, maybe_in, share, text_or_empty
 from tetrad.session import materialize
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: fingerprints expected in a block of the merged filter
 BLOCK_SIZE = 4096
-#: routed fingerprints are broadcast up to this number (8 bytes each)
+#: routed fingerprints are broadcast up to this number (8 bytes each); beyond it, a
+#: bitmap of them is, and only texts that it lets pass are shuffled to the join
 ROUTE_BROADCAST_MAX = 1_000_000
 
 
@@ -43,12 +44,14 @@ def _fingerprint_batches(batches):
             "sha": pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary())})
 
 
-def _normalised_batches(batches):
+def _normalised_batches(batches, routed=None):
+    """Fingerprints and normalised texts, of those that a filter lets pass."""
     for b in batches:
         norm = [(t or b"").translate(None, BLANKS) for t in b.column("text").to_pylist()]
-        yield pa.record_batch({
+        out = pa.record_batch({
             "fp": pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in norm], pa.int64()),
             "norm": pa.array(norm, pa.binary())})
+        yield out if routed is None else out.filter(pa.array(maybe_in(routed.value, out.column("fp").to_numpy())))
 
 
 def _filter_rows(fps: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -106,11 +109,14 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     keys = materialize(keys.withColumn("row", F.monotonically_increasing_id()), "exact-keys")
     bits = max(0, int(keys.count() // BLOCK_SIZE).bit_length())
     routed = materialize(quotient_filter(keys, bits).select("fp"), "exact-routed")
-    side = F.broadcast(routed) if routed.count() <= ROUTE_BROADCAST_MAX else routed
+    n_routed = routed.count()
+    few = n_routed <= ROUTE_BROADCAST_MAX
+    side = F.broadcast(routed) if few else routed
+    passing = None if few else share(spark, bit_filter(routed, "fp", n_routed))
 
     # byte verification: the grouping key is the text; copies meet as one row of each task
     texts = own.select(F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(_normalised_batches, "fp long, norm binary").join(side, "fp", "left_semi")
+        .mapInArrow(lambda it: _normalised_batches(it, passing), "fp long, norm binary").join(side, "fp", "left_semi")
     classes = texts.groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("n")) \
         .select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "n") \
         .groupBy("fp", "sha").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts"))

@@ -17,16 +17,18 @@ import hashlib
 import uuid
 from importlib.metadata import version
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tetrad.llm.common import text_or_empty
+from tetrad.llm.common import bit_filter, maybe_in, share, text_or_empty
 from tetrad.llm.pieces import SPACE, PieceTable, Recent, model_path
 from tetrad.session import materialize, scratch_path
 
 LIMIT = 4096
-#: digests that occur more than once are broadcast up to this number
+#: digests that occur more than once or are stored are broadcast up to this number;
+#: beyond it, bitmaps of them decide most rows, and only the texts of the rest are shuffled
 COPIES_BROADCAST_MAX = 300_000
 PARTS_KEPT = 300_000
 _SCHEMA = "tokenizer string, content binary, n_tokens long"
@@ -109,6 +111,29 @@ def token_count(text: Column, path: str) -> Column:
     return run(text)
 
 
+def _not_skipped(rows: DataFrame, skip: DataFrame) -> DataFrame:
+    return rows.join(skip, "content", "left").filter(
+        F.col("stored").isNull() & (F.col("first").isNull() | (F.col("first") == F.col("doc_id"))))
+
+
+def _by_filters(own: DataFrame, per: DataFrame, stored: DataFrame, skip: DataFrame, n_skip: int) -> tuple[DataFrame, DataFrame]:
+    """Rows decided without moving a text: those whose content is surely not in
+    ``skip`` are to be encoded (first frame); those that are surely not the
+    first row of a content to encode are left out. The others (second frame)
+    have to be joined."""
+    spark = own.sparkSession
+    wanted = materialize(per.join(stored, "content", "left_anti").select(F.xxhash64("content", "first").alias("h")), "count-wanted")
+    skipped = share(spark, bit_filter(skip.select(F.xxhash64("content").alias("h")), "h", n_skip))
+    firsts = share(spark, bit_filter(wanted, "h", wanted.count()))
+
+    @F.arrow_udf("int")
+    def decide(content: pa.Array, row: pa.Array) -> pa.Array:
+        in_skip = maybe_in(skipped.value, content.to_numpy())
+        return pa.array(np.where(in_skip, np.where(maybe_in(firsts.value, row.to_numpy()), 1, 2), 0).astype(np.int32))
+    rows = own.withColumn("decided", decide(F.xxhash64("content"), F.xxhash64("content", "doc_id")))
+    return rows.filter("decided = 0"), rows.filter("decided = 1")
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, cache_path: str | None = None,
                  limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per document.
@@ -135,9 +160,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, cache_path: str | Non
     # what not to encode: contents in the cache, and copies other than the first
     skip = materialize(per.join(stored, "content", "left").filter("stored or n > 1")
                        .select("content", "first", "stored"), "count-skip")
-    side = F.broadcast(skip) if skip.count() <= COPIES_BROADCAST_MAX else skip
-    misses = own.join(side, "content", "left").filter(
-        F.col("stored").isNull() & (F.col("first").isNull() | (F.col("first") == F.col("doc_id"))))
+    n_skip = skip.count()
+    if n_skip <= COPIES_BROADCAST_MAX:
+        misses = _not_skipped(own, F.broadcast(skip))
+    else:
+        clear, open_ = _by_filters(own, per, stored, skip, n_skip)
+        misses = clear.select("content", "text").unionByName(_not_skipped(open_, skip).select("content", "text"))
     misses.select(F.lit(tokenizer).alias("tokenizer"), "content", token_count(F.col("text"), path).alias("n_tokens")) \
         .write.mode("append").parquet(cache_path)
     counts = materialize(cache(), "count-found")     # then the join can split a hot content's rows
