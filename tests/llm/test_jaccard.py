@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID, SF_SMALL
 from tetrad.llm import jaccard
@@ -113,3 +114,72 @@ def test_bitmap_bound():
         a, b = (np.unique(rng.integers(0, 5000, rng.integers(1, 900))).astype(np.uint64) for _ in "ab")
         bits = [jaccard._bitmaps(x, np.zeros(len(x), np.int64), 1) for x in (a, b)]
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def template_texts(n, seed=5):
+    """A family from one template: three of thirty places filled."""
+    rng = random.Random(seed)
+    fixed = [f"t{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        w = list(fixed)
+        for place in rng.sample(range(30), 3):
+            w[place * 10] = f"v{rng.randrange(40)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block, family", [(3, 5), (7, 1 << 20), (1, 40)])
+def test_groups_in_tiles(spark, block, family, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FAMILY_MEMBERS", family)
+    monkeypatch.setattr(jaccard, "CENTRE_ROUNDS", 0)
+    rows = template_texts(60) + [(100 + i, t) for i, t in template_texts(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(jaccard.join_components(df)) == brute(rows)
+
+
+@pytest.mark.parametrize("block", [1, 4, 10, 4096])
+def test_tiles_give_every_pair_once(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    groups = {1: range(0, 30), -2: range(20, 50), 3: [60, 61], 4: range(70, 80)}
+    root = {c: c // 3 * 3 for g in groups.values() for c in g}
+    member = spark.createDataFrame([(i, c, root[c]) for i, g in groups.items() for c in g], "id long, c long, root long")
+    classes = spark.createDataFrame([(c, 100, bytes(jaccard.BITMAP // 8)) for c in root], "class long, size long, bits binary")
+    got = sorted((r.a, r.b) for r in jaccard.open_pairs(member, classes, jaccard.Rule()).collect())
+    want = {(a, b) for g in groups.values() for a in g for b in g if a < b and root[a] != root[b]}
+    assert got == sorted(want)
+
+
+def test_tiles_hold_two_blocks_at_most(spark, monkeypatch):
+    """A group of many blocks: no row of the plan has more than two blocks' members."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    seen = spark.sparkContext.accumulator(0)
+    widest = jaccard._cross_pairs
+
+    def watched(batches, rule):
+        def through():
+            for b in batches:
+                sizes = np.diff(b.column("g").offsets.to_numpy())
+                seen.add(int((sizes > 4 * 50).sum()))
+                yield b
+        return widest(through(), rule)
+    monkeypatch.setattr(jaccard, "_cross_pairs", watched)
+    member = spark.range(1000).select(F.lit(9).cast("long").alias("id"), F.col("id").alias("c"), F.col("id").alias("root"))
+    classes = spark.range(1000).select(F.col("id").alias("class"), F.lit(100).cast("long").alias("size"),
+                                       F.lit(bytes(jaccard.BITMAP // 8)).alias("bits"))
+    assert jaccard.open_pairs(member, classes, jaccard.Rule()).count() == 1000 * 999 // 2
+    assert seen.value == 0
+
+
+def test_frequent_cells_are_those_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    rule, cells = jaccard.Rule(), 1 << 16
+    df = spark.createDataFrame(template_texts(40), "doc_id long, text string").coalesce(1)
+    bits = jaccard.frequent_cells(df, rule, cells, 1)
+    counts = np.zeros(cells, int)
+    for s, doc, at, _, new in jaccard._first_seen(df.select("text").toArrow().to_batches(), rule):
+        for _, content, tag, _, _, _ in jaccard.segment_keys(s, doc, at, rule, new):
+            counts += np.bincount(jaccard._cells(jaccard._keys(content, tag), cells), minlength=cells)
+    assert len(bits) * 8 == cells and (counts >= 5).any()
+    assert (np.unpackbits(bits, bitorder="little").astype(bool) == (counts >= 5)).all()

@@ -15,8 +15,8 @@ have is emitted as it is; a frequent one is replaced by the narrower keys
 the key alone, so both sets of a link make the same one, and no link is lost.
 
 Sets with a common key are candidates. Each class is first compared with the
-centre that it shares most groups with, a few times; then all pairs of a group that are
-not yet in one component, if their sizes and the parity bitmaps of their sets
+centre that it shares most groups with, a few times; then, in tiles of bounded
+size, all pairs of a group that are not yet in one component, if their sizes and the parity bitmaps of their sets
 (whose distance never exceeds the true one) allow a link. Links are verified
 exactly, on the sets of 64-bit shingle hashes. Equal sets are one class from the start.
 
@@ -46,6 +46,9 @@ FREQUENT = 8
 #: cells of the key counts: as many as half the keys, within these limits
 CELLS = (1 << 16, 1 << 30)
 BITMAP = 1024
+#: members of a group, and of the groups of a family, that one task compares
+BLOCK = 4096
+FAMILY_MEMBERS = 1 << 20
 #: times that each class is compared with a centre before all open pairs are
 CENTRE_ROUNDS = 3
 #: bits of the filter of classes whose sets are fetched
@@ -250,7 +253,7 @@ def _blob_rows(bucket: np.ndarray, buckets: int, **columns):
 
 def frequent_cells(docs: DataFrame, rule: Rule, cells: int, expected: int) -> np.ndarray:
     """Bitmap of the cells whose keys are frequent: FREQUENT sets, or four times
-    a cell's mean if that is more."""
+    a cell's mean if that is more. Each bucket returns its part as packed bits."""
     buckets = int(min(MAX_BUCKETS, max(16, cells >> 20)))
     width = max(1, cells // buckets)
 
@@ -276,13 +279,14 @@ def frequent_cells(docs: DataFrame, rule: Rule, cells: int, expected: int) -> np
         total = np.zeros(width, np.int64)
         for c, k in zip(t.column("cell").to_pylist(), t.column("n").to_pylist()):
             total += np.bincount(np.frombuffer(c, np.uint32), np.frombuffer(k, np.uint16), width).astype(np.int64)
-        hot = np.flatnonzero(total >= least).astype(np.int64) + t.column("bucket")[0].as_py() * width
-        return pa.table({"cell": pa.array(hot)})
-
-    hot = docs.select("text").mapInArrow(count, "bucket long, cell binary, n binary").groupBy("bucket") \
-        .applyInArrow(merge, "cell long").toArrow().column("cell").to_numpy()
-    bits = np.zeros(cells // 8, np.uint8)
-    np.bitwise_or.at(bits, hot >> 3, (1 << (hot & 7)).astype(np.uint8))
+        hot = np.packbits(total >= least, bitorder="little")
+        return pa.table({"bucket": t.column("bucket")[:1], "bits": pa.array([hot.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(count, "bucket long, cell binary, n binary").groupBy("bucket") \
+        .applyInArrow(merge, "bucket long, bits binary").toArrow()
+    bits = np.zeros(buckets * width // 8, np.uint8)
+    for bucket, part in zip(parts.column("bucket").to_pylist(), parts.column("bits").to_pylist()):
+        bits[bucket * width // 8:(bucket + 1) * width // 8] = np.frombuffer(part, np.uint8)
     return bits
 
 
@@ -351,12 +355,13 @@ def _allowed(a_size, b_size, a_bits, b_bits, rule: Rule) -> np.ndarray:
 
 
 def _cross_pairs(batches, rule: Rule):
-    """Pairs of a group's members that are in different components and that
-    sizes and bitmaps allow."""
+    """Pairs of a tile's members that are in different components and that
+    sizes and bitmaps allow; where two blocks meet, of different blocks only."""
     for batch in batches:
         g = batch.column("g")
         cuts, flat = g.offsets.to_numpy(), g.flatten()
-        node, root, size = (flat.field(c).to_numpy() for c in ("c", "root", "size"))
+        node, root, size, block = (flat.field(c).to_numpy() for c in ("c", "root", "size", "block"))
+        two = batch.column("two").to_pylist()
         bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint8).reshape(-1, BITMAP // 8)
         cuts = cuts - cuts[0]
         found, n = [], 0
@@ -365,9 +370,10 @@ def _cross_pairs(batches, rule: Rule):
             u, v = (np.concatenate(z) for z in zip(*found))
             pair = np.unique(np.stack([u, v]), axis=1)
             return pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for x, y, cross in zip(cuts[:-1].tolist(), cuts[1:].tolist(), two):
             for i in range(x, y - 1):
-                j = i + 1 + np.flatnonzero(root[i + 1:y] != root[i])
+                apart = root[i + 1:y] != root[i]
+                j = i + 1 + np.flatnonzero(apart & (block[i + 1:y] != block[i]) if cross else apart)
                 if not len(j):
                     continue
                 j = j[_allowed(size[i], size[j], bits[i], bits[j], rule)]
@@ -391,12 +397,22 @@ def open_groups(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def open_pairs(member: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Possible pairs (a, b) of members of open groups."""
-    member = member.join(classes.select(F.col("class").alias("c"), "size", "bits"), "c")
+    """Possible pairs (a, b) of members of open groups. A group is cut into
+    blocks of about BLOCK members by hash; each two blocks (and each block with
+    itself) are a tile, compared for itself, so no row holds a whole group."""
+    group = member.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("family")) \
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # groups of one family have many pairs in common: they meet in a task by their smallest root, which
-    # returns a pair once
-    whole = member.groupBy("id").agg(F.collect_list(F.struct("c", "root", "size", "bits")).alias("g"), F.min("root").alias("family"))
-    return whole.repartition("family").sortWithinPartitions("family").select("g") \
+    # returns a pair once; a large family is dealt to several tasks
+    family = group.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_MEMBERS).cast("int").alias("parts"))
+    group = group.join(family, "family").select("id", "blocks", "family", F.pmod("id", "parts").alias("part"))
+    member = member.join(group, "id").join(classes.select(F.col("class").alias("c"), "size", "bits"), "c") \
+        .withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = member.groupBy("id", "family", "part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")) \
+        .agg(F.collect_list(F.struct("c", "root", "size", "bits", "block")).alias("g"))
+    place = ["family", "part", "lo", "hi"]
+    return tile.repartition(*place).sortWithinPartitions(*place).select("g", (F.col("lo") != F.col("hi")).alias("two")) \
         .mapInArrow(lambda it: _cross_pairs(it, rule), "a long, b long").distinct()
 
 
