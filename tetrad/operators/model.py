@@ -48,35 +48,77 @@ def with_model_input(posts: DataFrame, text_col: str = "posts", prompted: bool =
     return posts.withColumn("model_input", text)
 
 
-def fit_counts(train: DataFrame, n_classes: int = 16, label: str = "target", input_col: str = "model_input"):
-    """Closed-form fit (naive Bayes on basic tokens): ``(weights, prior)``.
+class WordCounts(NamedTuple):
+    """Training words with their count per class (``w, n0, n1, ..``) and the
+    training rows per class."""
+    words: DataFrame
+    rows: list[int]
 
-    ``weights (w, lp ARRAY)``: per word and class ln((n + 1) / (N + V)), one
-    aggregation; ``prior``: ln((rows + 1) / (all + classes)) per class, a list
-    of ``n_classes`` numbers. Scores are exact arithmetic on counts, so another
-    engine reproduces them."""
+
+def count_words(train: DataFrame, n_classes: int = 16, label: str = "target", input_col: str = "model_input") -> WordCounts:
+    """What the closed-form fits need of the training rows: the texts are cut
+    into words once, whatever is fitted on the counts."""
     tok = train.select(F.col(label).alias("c"), F.explode(T.basic_tokens(input_col)).alias("w"))
     n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(n_classes)]
     words = materialize(tok.groupBy("w").agg(*n), "nb-words")
-    total = words.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)]).first()
     rows = {r.c: r.n for r in train.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    lp = F.array(*[F.log((F.col(f"n{i}") + 1) / F.lit(float((total[f"n{i}"] or 0) + total["v"]))) for i in range(n_classes)])
-    prior = [math.log((rows.get(i, 0) + 1) / (sum(rows.values()) + n_classes)) for i in range(n_classes)]
-    return words.select("w", lp.alias("lp")), prior
+    # rows without a class stand last
+    return WordCounts(words, [*(rows.get(i, 0) for i in range(n_classes)), sum(n for c, n in rows.items() if c not in range(n_classes))])
+
+
+def _closed_form(counts: WordCounts, groups: list[list[list[int]]]):
+    """``(weights (w, lp ARRAY, ..), priors)``, one of each per entry of
+    ``groups``, which says the counted classes that make up each of its classes."""
+    names = counts.words.columns[1:]
+    total = counts.words.agg(F.count(F.lit(1)).alias("v"), *[F.sum(n).alias(n) for n in names]).first()
+    weights, priors = [], []
+    for k, classes in enumerate(groups):
+        lp = [F.log((sum((F.col(names[c]) for c in of), F.lit(0)) + 1) / F.lit(float(sum(total[names[c]] or 0 for c in of) + total["v"])))
+              for of in classes]
+        weights.append(F.array(*lp).alias(f"lp{k}"))
+        priors.append([math.log((sum(counts.rows[c] for c in of) + 1) / (sum(counts.rows) + len(classes))) for of in classes])
+    return counts.words.select("w", *weights), priors
+
+
+def fit_counts(train: DataFrame, n_classes: int = 16, label: str = "target", input_col: str = "model_input",
+               counts: WordCounts | None = None):
+    """Closed-form fit (naive Bayes on basic tokens): ``(weights, prior)``.
+
+    ``weights (w, lp ARRAY)``: per word and class ln((n + 1) / (N + V)), one
+    aggregation; ``prior``: ln((rows + 1) / (all + classes)) per class, a list
+    of ``n_classes`` numbers. Scores are exact arithmetic on counts, so another
+    engine reproduces them. ``counts`` may give the counted words of ``train``."""
+    weights, (prior,) = _closed_form(counts or count_words(train, n_classes, label, input_col), [[[c] for c in range(n_classes)]])
+    return weights.withColumnRenamed("lp0", "lp"), prior
+
+
+def row_words(df: DataFrame, keep: tuple = ("post_id", "gold"), input_col: str = "model_input") -> DataFrame:
+    """``(keep..., w, n)``: word counts per row; a row without words has a null word."""
+    return df.select(*keep, F.explode_outer(T.basic_tokens(input_col)).alias("w")) \
+        .groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _log_scores(weights: DataFrame, priors: list[list[float]], tok: DataFrame, keep: tuple) -> DataFrame:
+    """``(keep..., z0, z1, ..)``: log scores per class, of each column of
+    weights. The weights grow with the corpus, so they meet the rows' words in
+    a shuffle: a broadcast would pass them through the driver."""
+    j = tok.join(weights.hint("merge"), "w", "left")
+    aggs, out = [], []
+    for m, (lp, prior) in enumerate(zip(weights.columns[1:], priors, strict=True)):
+        sums = [f"s{m}_{i}" for i in range(len(prior))]
+        aggs += [F.sum(F.col("n") * F.element_at(lp, i + 1)).alias(s) for i, s in enumerate(sums)]
+        out.append(F.array(*[F.coalesce(F.col(s), F.lit(0.0)) + F.lit(x) for s, x in zip(sums, prior)]).alias(f"z{m}"))
+    return j.groupBy(*keep).agg(*aggs).select(*keep, *out)
 
-def score_counts(model, df: DataFrame, keep: tuple = ("post_id", "gold"), input_col: str = "model_input") -> DataFrame:
+
+def score_counts(model, df: DataFrame, keep: tuple = ("post_id", "gold"), input_col: str = "model_input",
+                 words: DataFrame | None = None) -> DataFrame:
     """``(keep..., z ARRAY, p ARRAY)``: log scores per class (words not seen in
     training count nothing) and their softmax. Word counts per row join the
-    weights by word, then sum per row."""
+    weights by word, then sum per row. ``words`` may give the row words of ``df``."""
     weights, prior = model
-    tok = df.select(*keep, F.explode_outer(T.basic_tokens(input_col)).alias("w")) \
-        .groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
-    j = tok.join(weights, "w", "left")
-    sums = [F.sum(F.col("n") * F.element_at("lp", i + 1)).alias(f"s{i}") for i in range(len(prior))]
-    z = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(x) for i, x in enumerate(prior)])
-    out = j.groupBy(*keep).agg(*sums).select(*keep, z.alias("z"))
-    return out.withColumn("p", A.softmax("z"))
+    tok = row_words(df, keep, input_col) if words is None else words
+    return _log_scores(weights, [prior], tok, keep).withColumnRenamed("z0", "z").withColumn("p", A.softmax("z"))
 
 
 #: log weights are kept as whole numbers of this many parts
@@ -109,19 +151,21 @@ def fit_buckets(train: DataFrame, n_classes: int = 16, label: str = "target", in
     return BucketModel(weights, np.floor(SCALE * np.log(shares)).astype(np.int64), digits)
 
 
-def fit_axes_counts(train: DataFrame):
-    """Four closed-form two-class fits, one per letter (M2)."""
-    return [fit_counts(train.withColumn("bit", F.shiftright(F.col("target"), 3 - i).bitwiseAND(1)), 2, "bit")
-            for i in range(4)]
+def fit_axes_counts(train: DataFrame, counts: WordCounts | None = None):
+    """Four closed-form two-class fits, one per letter (M2): ``(weights (w, lp0
+    ARRAY, .., lp3 ARRAY), priors)``. A letter's counts are sums of the classes'
+    counts, so the words are counted once; ``counts`` may give them."""
+    letters = [[[c for c in range(16) if c >> (3 - i) & 1 == bit] for bit in (0, 1)] for i in range(4)]
+    return _closed_form(counts or count_words(train), letters)
 
 
-def score_axes_counts(models, df: DataFrame, keep: tuple = ("post_id", "gold")) -> DataFrame:
-    """``(keep..., p1 ARRAY<DOUBLE>(4))`` of the closed-form axis models."""
-    out = None
-    for i, m in enumerate(models):
-        one = score_counts(m, df, keep).select(*keep, F.element_at("p", 2).alias(f"a{i}"))
-        out = one if out is None else out.join(one, list(keep))
-    return out.select(*keep, F.array(*[F.col(f"a{i}") for i in range(4)]).alias("p1"))
+def score_axes_counts(models, df: DataFrame, keep: tuple = ("post_id", "gold"), words: DataFrame | None = None) -> DataFrame:
+    """``(keep..., p1 ARRAY<DOUBLE>(4))`` of the closed-form axis models, all
+    in one pass over the words. Rows with a null key are left out."""
+    weights, priors = models
+    tok = (row_words(df, keep) if words is None else words).dropna(subset=list(keep))
+    z = _log_scores(weights, priors, tok, keep)
+    return z.select(*keep, F.array(*[F.element_at(A.softmax(f"z{i}"), 2) for i in range(len(priors))]).alias("p1"))
 
 
 def fit_16way(train: DataFrame, max_iter: int = 30, reg: float = 0.01) -> PipelineModel:

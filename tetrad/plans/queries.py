@@ -688,17 +688,18 @@ def q_count_score_axes(spark, base):
 @query("count_metrics_by_variant")
 def q_count_metrics_by_variant(spark, base):
     """The closed-form fit trained and evaluated on every dataset variant, both
-    tasks, in one table (M7, A17). The posts are written once (S2); each fit
-    reads its own dataset (S3)."""
+    tasks, in one table (M7, A17). The posts are written once (S2); each variant
+    reads its own dataset (S3), whose words are counted once for both tasks."""
     load = _variant_loader(spark, base)
     parts = []
     for v in VARIANTS:
         train, ev = load(v, "train"), load(v, "eval")
-        p16 = scoring.predictions(model.score_counts(model.fit_counts(train), ev), probs="z") \
+        counts, words = model.count_words(train), materialize(model.row_words(ev), "eval-words")
+        p16 = scoring.predictions(model.score_counts(model.fit_counts(train, counts=counts), ev, words=words), probs="z") \
             .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
-        ax = scoring.compose_axes(model.score_axes_counts(model.fit_axes_counts(train), ev)) \
+        ax = scoring.compose_axes(model.score_axes_counts(model.fit_axes_counts(train, counts), ev, words=words)) \
             .select("gold", "answer", F.lit(None).cast("long").alias("gold_rank"), F.lit("axes").alias("task"))
-        parts.append(p16.unionByName(ax).withColumn("variant", F.lit(v)))
+        parts.append(materialize(p16.unionByName(ax).withColumn("variant", F.lit(v)), "variant-predictions"))
     pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
     m = metrics.classification_metrics(pred, groups=["variant", "task"])
     return m.select("variant", "task", "n", "correct", "accuracy", "mean_match")
