@@ -43,3 +43,25 @@ def test_weights_are_not_broadcast(spark):
         scored.collect()
         plan = scored._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and plan.split("Initial Plan")[0].count("SortMergeJoin") == 1
+
+
+def test_texts_are_cut_once_for_all_logistic_fits(spark):
+    """16-way and letters are fitted on the same features; each text is read once."""
+    df, seen = rows(spark), spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+    train = df.withColumn("model_input", F.udf(counted, "string")("model_input"))
+    features = model.fit_features(train)
+    m = model.fit_16way(train, max_iter=3, features=features)
+    stages, models = model.fit_axes(train, max_iter=3, features=features)
+    features.data.unpersist()
+    assert seen.value == 66
+    # rows with features are scored like texts; the fits equal those on features of their own
+    ev = stages.transform(df).select("post_id", "gold", "features")
+    a, b = (model.score_axes(*x, y) for x, y in (((stages, models), ev), (model.fit_axes(df, max_iter=3), df)))
+    near = "post_id", "gold", F.transform("p1", lambda p: F.round(p, 6)).alias("p1")
+    assert as_sorted(a.select(*near)) == as_sorted(b.select(*near))
+    near = "post_id", "gold", F.transform("p", lambda p: F.round(p, 6)).alias("p")
+    assert as_sorted(model.score_16way(m, ev).select(*near)) == as_sorted(model.score_16way(model.fit_16way(df, max_iter=3), df).select(*near))

@@ -18,7 +18,8 @@ import math
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -168,17 +169,49 @@ def score_axes_counts(models, df: DataFrame, keep: tuple = ("post_id", "gold"),
     return z.select(*keep, F.array(*[F.element_at(A.softmax(f"z{i}"), 2) for i in range(len(priors))]).alias("p1"))
 
 
-def fit_16way(train: DataFrame, max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
-    """Fit tokens -> TF-IDF -> multinomial LR on ``(model_input, target)``."""
+class Features(NamedTuple):
+    """Fitted feature stages and the training rows' features, persisted, with
+    the label of the 16-way task and of each letter."""
+    stages: PipelineModel
+    data: DataFrame
+
+
+def fit_features(train: DataFrame) -> Features:
+    """Feature stages fitted on ``(model_input, target)``, for any number of
+    fits. The texts are cut into terms once and kept as term counts, from which
+    the IDF and the features follow. Rows are dealt to whole waves of tasks, as
+    each optimizer step waits for the last one and every task sends a gradient.
+    Features stay on disk, as each fit reads them twice and then keeps blocks of
+    its own in memory. The caller unpersists ``data``."""
+    tok, tf, idf = feature_stages()
+    terms = tf.transform(tok.transform(train)).select("_tf", "target")
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, terms.rdd.getNumPartitions() // cores) * cores
+    terms = materialize(terms, "terms")
+    idf = idf.fit(terms)
+    target = F.col("target")
+    letters = [F.shiftright(target, 3 - i).bitwiseAND(1).cast("double").alias(f"label{i}") for i in range(4)]
+    data = idf.transform(terms).select("features", target.cast("double").alias("label"), *letters)
+    return Features(PipelineModel([tok, tf, idf]), data.repartition(tasks).persist(StorageLevel.DISK_ONLY))
+
+
+def fit_16way(train: DataFrame, max_iter: int = 30, reg: float = 0.01, features: Features | None = None) -> PipelineModel:
+    """Fit tokens -> TF-IDF -> multinomial LR on ``(model_input, target)``.
+    ``features`` may give the features of ``train``."""
     lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
                             maxIter=max_iter, regParam=reg, probabilityCol="_prob")
-    data = train.withColumn("label", F.col("target").cast("double"))
-    return Pipeline(stages=feature_stages() + [lr]).fit(data)
+    own = features or fit_features(train)
+    try:
+        return PipelineModel(own.stages.stages + [lr.fit(own.data)])
+    finally:
+        if features is None:
+            own.data.unpersist()
 
 
 def score_16way(model: PipelineModel, df: DataFrame, keep: tuple = ("post_id", "gold")) -> DataFrame:
-    """``(keep..., p ARRAY<DOUBLE>(16))`` - the wide score form (M3)."""
-    out = model.transform(df)
+    """``(keep..., p ARRAY<DOUBLE>(16))`` - the wide score form (M3). Rows that
+    have their features are scored from these."""
+    out = (model.stages[-1] if "features" in df.columns else model).transform(df)
     return out.select(*keep, vector_to_array("_prob").alias("p"))
 
 
@@ -190,29 +223,31 @@ def training_log(model: PipelineModel) -> list[tuple[int, float]]:
     return list(enumerate(lr.summary.objectiveHistory))
 
 
-def fit_axes(train: DataFrame, max_iter: int = 30, reg: float = 0.01):
+def fit_axes(train: DataFrame, max_iter: int = 30, reg: float = 0.01, features: Features | None = None):
     """Four binary models, one per letter, over one feature pipeline (M2).
     The features are computed once and persisted for the four fits (a
-    cache is recomputed from lineage if an executor is lost)."""
-    feats = Pipeline(stages=feature_stages()).fit(train)
-    data = feats.transform(train).select("features", "target").persist()
+    cache is recomputed from the stored terms if an executor is lost).
+    ``features`` may give the features of ``train``."""
+    own = features or fit_features(train)
     models = []
     try:
         for i in range(4):
-            lbl = F.shiftright(F.col("target"), 3 - i).bitwiseAND(1).cast("double")
-            lr = LogisticRegression(featuresCol="features", labelCol="label", family="binomial",
+            # the persisted frame itself: of a frame derived from it, every fit would cache its rows anew
+            lr = LogisticRegression(featuresCol="features", labelCol=f"label{i}", family="binomial",
                                     maxIter=max_iter, regParam=reg, probabilityCol=f"_prob{i}",
                                     rawPredictionCol=f"_raw{i}", predictionCol=f"_pred{i}")
-            models.append(lr.fit(data.withColumn("label", lbl)))
+            models.append(lr.fit(own.data))
     finally:
-        data.unpersist()
-    return feats, models
+        if features is None:
+            own.data.unpersist()
+    return own.stages, models
 
 
 def score_axes(feats: PipelineModel, models, df: DataFrame,
                keep: tuple = ("post_id", "gold")) -> DataFrame:
-    """``(keep..., p1 ARRAY<DOUBLE>(4))``: P(second letter) per axis."""
-    out = feats.transform(df)
+    """``(keep..., p1 ARRAY<DOUBLE>(4))``: P(second letter) per axis. Rows that
+    have their features are scored from these."""
+    out = df if "features" in df.columns else feats.transform(df)
     for m in models:
         out = m.transform(out)
     p1 = F.array(*[vector_to_array(f"_prob{i}")[1] for i in range(4)])

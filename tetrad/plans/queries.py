@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -792,14 +794,21 @@ def _variant_loader(spark, base):
 def q_train_metrics_by_variant(spark, base):
     """Train on each dataset variant, evaluate on its eval split, compare
     (M7, A17): one logistic fit per variant and task - a loop over three names
-    on the driver, each fit a Spark job - then one grouped aggregation."""
+    on the driver, each fit a Spark job, both tasks on the same features - then
+    one grouped aggregation."""
     load = _variant_loader(spark, base)
     parts = []
     for v in VARIANTS:
         train, ev = load(v, "train"), load(v, "eval")
-        p16 = scoring.predictions(model.score_16way(model.fit_16way(train), ev)) \
+        features = model.fit_features(train)
+        ev = materialize(features.stages.transform(ev).select("post_id", "gold", "features"), "eval-features")
+        with ThreadPoolExecutor(1) as beside:      # one task's optimizer steps beside the other's
+            fitted = beside.submit(inheritable_thread_target(spark)(model.fit_16way), train, features=features)
+            feats, models = model.fit_axes(train, features=features)
+            m16 = fitted.result()
+        features.data.unpersist()
+        p16 = scoring.predictions(model.score_16way(m16, ev)) \
             .select("gold", "answer", "gold_rank", F.lit("16way").alias("task"))
-        feats, models = model.fit_axes(train)
         ax = scoring.compose_axes(model.score_axes(feats, models, ev)) \
             .select("gold", "answer", F.lit(None).cast("long").alias("gold_rank"), F.lit("axes").alias("task"))
         parts.append(p16.unionByName(ax).withColumn("variant", F.lit(v)))
