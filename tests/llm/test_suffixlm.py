@@ -111,3 +111,27 @@ def test_shuffled_words_score_lower(spark):
     got = {r.doc_id: r.score for r in suffixlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     shuffled = [v for i, v in got.items() if i >= 1000]
     assert shuffled and max(shuffled) < got[0] - 3
+
+
+def test_frequent_keys_stand_in_the_first_slots():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 60_000):
+        keys = np.unique(rng.integers(0, 1 << 56, n).astype(np.uint64))
+        rng.shuffle(keys)
+        values = rng.random(len(keys))
+        table = suffixlm._Table(keys, values)
+        other = np.setdiff1d(rng.integers(0, 1 << 56, 1000).astype(np.uint64), keys)
+        got, there = table.find(np.concatenate([other, keys, other]))
+        assert there.sum() == len(keys) and there[len(other):len(other) + len(keys)].all()
+        assert np.array_equal(got, np.concatenate([np.zeros(len(other)), values, np.zeros(len(other))]))
+    shift, slots = table.levels[0]
+    pairs = slots.view(np.uint64).reshape(-1, 2)
+    first = pairs[(suffixlm.W.mix(keys) >> shift).astype(int), 0] == keys
+    assert first[-6000:].mean() > 0.95 > first.mean()    # the last ones given keep their slots
+    assert len(table.more) < len(keys) // 50             # nearly nothing is left for the binary search
+
+
+def test_buckets_keep_the_order_of_keys():
+    b = np.array([65535, 0, 3, 0, 65535, 3])
+    assert suffixlm._by_bucket(b).tolist() == [1, 3, 2, 5, 0, 4]
+    assert suffixlm.MAX_BUCKETS <= 1 << 16

@@ -73,7 +73,7 @@ _PAIRS = "kind int, bucket long, keys binary, counts binary"
 
 
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray):
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)                             # sums of whole numbers: equal keys in any order
     keys, counts = keys[order], counts[order]
     if not len(keys):
         return keys, counts
@@ -161,6 +161,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (W.mix(h) % U(buckets)).astype(np.int64)
 
 
+def _by_bucket(b: np.ndarray) -> np.ndarray:
+    """Order by bucket, kept inside one. Numbers below MAX_BUCKETS have 16 bits, which numpy sorts by radix."""
+    return np.argsort(b.astype(np.uint16), kind="stable")
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Compressed bytes, those of the same place in each value together."""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T
@@ -178,7 +183,7 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
 
 def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     b = _bucket(keys, buckets)
-    order = np.argsort(b, kind="stable")
+    order = _by_bucket(b)
     b, keys, counts = b[order], keys[order], counts[order].astype(np.int64)
     at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int)
     ends = np.append(at[1:], len(b))
@@ -330,26 +335,40 @@ def scored_windows(asked: DataFrame, tree: DataFrame, buckets: int) -> DataFrame
 
 
 class _Table:
-    """Values of keys: a slot each, and the keys whose slot is taken."""
+    """Values of keys: a slot each, with its key beside it, in two levels of
+    slots; the few keys whose slots are both taken are kept sorted. The last
+    keys take the slots, so the most frequent ones should stand there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = U(64 - max(4, (2 * len(keys)).bit_length()))
-        self.keys = np.full(1 << (64 - int(self.shift)), (1 << 64) - 1, U)
-        self.values = np.zeros(len(self.keys))
-        at = W.mix(keys) >> self.shift
-        self.keys[at], self.values[at] = keys, values
-        left = np.flatnonzero(self.keys[at] != keys)
-        left = left[np.argsort(keys[left])]
-        self.more, self.more_values = keys[left], np.append(values[left], 0.0)
+        self.levels, h = [], W.mix(keys)
+        for wide in (0, 1):
+            bits = max(4, (2 * len(keys)).bit_length() + wide)
+            slots = np.full((1 << bits, 2), (1 << 64) - 1, U)      # never a key: windows have 7 bytes
+            at = h >> U(64 - bits)
+            slots[at] = np.stack([keys, values.view(U)], 1)
+            left = np.flatnonzero(slots[at, 0] != keys)
+            # read as pairs of one item each, so that a look-up touches memory once
+            self.levels.append((U(64 - bits), slots.reshape(-1).view(np.complex128)))
+            keys, values, h = keys[left], values[left], W.mix(h[left])
+        order = np.argsort(keys)
+        self.more, self.more_values = keys[order], np.append(values[order], 0.0)
 
     def find(self, keys: np.ndarray):
         """Values (0 if none) and which keys there are."""
-        at = W.mix(keys) >> self.shift
-        there = self.keys[at] == keys
-        out = np.where(there, self.values[at], 0.0)
-        miss = np.flatnonzero(~there)
-        at, more = W.find(self.more, keys[miss])
-        out[miss[more]], there[miss[more]] = self.more_values[at[more]], True
+        open_, h = None, W.mix(keys)
+        for shift, slots in self.levels:
+            pair = np.take(slots, (h >> shift).view(np.int64)).view(U).reshape(-1, 2)
+            hit = pair[:, 0] == keys
+            miss = np.flatnonzero(~hit)
+            if open_ is None:
+                out, there, open_ = np.ascontiguousarray(pair[:, 1]).view(np.float64), hit, miss
+                out[miss] = 0.0
+            else:
+                found = open_[hit]
+                out[found], there[found], open_ = pair[hit, 1].view(np.float64), True, open_[miss]
+            keys, h = keys[miss], W.mix(h[miss])
+        at, more = W.find(self.more, keys)
+        out[open_[more]], there[open_[more]] = self.more_values[at[more]], True
         return out, there
 
 
@@ -378,7 +397,7 @@ def _asked(block: int, kind: int, idx: list, keys: list, buckets: int):
         return
     idx, keys = np.concatenate(idx), np.concatenate(keys)
     at = _bucket(keys, buckets)
-    order = np.argsort(at, kind="stable")
+    order = _by_bucket(at)
     at, idx, keys = at[order], idx[order], keys[order].view(np.int64)
     cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
     if len(cuts):
@@ -501,7 +520,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sizes = windows.groupBy(F.least("n", F.lit(MOST_TIMES)).alias("n")).agg(F.count(F.lit(1)).alias("k")).toArrow().sort_by([("n", "descending")])
     fit = np.cumsum(sizes.column("k").to_numpy()) <= LIKELY
     often = F.col("n") >= int(sizes.column("n").to_numpy()[fit].min(initial=1 << 62))
-    frequent = windows.filter(often).select("key", "logp").toArrow()
+    frequent = windows.filter(often).select("key", "logp", "n").toArrow().sort_by([("n", "ascending"), ("key", "ascending")])
     likely = share(spark, (frequent.column("key").to_numpy().view(U), frequent.column("logp").to_numpy()))
 
     def pack(t: pa.Table) -> pa.Table:
