@@ -2,10 +2,12 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF_MID
 from tetrad.llm import suffixlm
@@ -135,3 +137,40 @@ def test_buckets_keep_the_order_of_keys():
     b = np.array([65535, 0, 3, 0, 65535, 3])
     assert suffixlm._by_bucket(b).tolist() == [1, 3, 2, 5, 0, 4]
     assert suffixlm.MAX_BUCKETS <= 1 << 16
+
+
+def test_windows_are_counted_in_packed_form(monkeypatch):
+    """Counts around and far above a byte, over several merges and flushes."""
+    monkeypatch.setattr(suffixlm, "NEW_WINDOWS", 1000)
+    rng = np.random.default_rng(5)
+    often = [(np.uint64(255 << 48 | k), k) for k in (1, 254, 255, 256, 509, 510, 511, 70_000)]
+    keys = np.concatenate([np.full(n, k, np.uint64) for k, n in often] + [rng.integers(0, 1 << 56, 5000).astype(np.uint64)])
+    want = Counter(keys.tolist())
+    rng.shuffle(keys)
+    for flush in (10, 2000, 1 << 30):
+        monkeypatch.setattr(suffixlm, "FLUSH_WORDS", flush)
+        counts, got, rows = suffixlm._WindowCounts(), Counter(), []
+        for piece in np.array_split(keys, 100):
+            counts.see(piece)
+            rows += counts.rows(1, 7)
+        assert bool(rows) == (flush < 1 << 30)
+        for b in [*rows, *counts.rows(1, 7, last=True)]:
+            for k, n in zip(b.column("keys"), b.column("counts")):
+                k = suffixlm._unpack_keys(k.as_py())
+                assert (k[1:] > k[:-1]).all()
+                got.update(dict(zip(k.tolist(), suffixlm._unpack(n.as_py(), np.int64).tolist())))
+        assert got == want and not [*counts.rows(1, 7, last=True)]
+    monkeypatch.setattr(suffixlm, "FLUSH_WORDS", 100)
+    counts.see(np.full(100_000, 7, np.uint64))          # one window far more often than may be held
+    assert len([*counts.rows(1, 7)]) == 1 and counts.size == 0
+
+
+def test_lists_are_copied_as_a_whole():
+    values = [np.arange(1_500_000), np.zeros(0, np.int64), np.arange(5)]
+    start = time.process_time()
+    got = suffixlm._lists(values, pa.int64())
+    assert time.process_time() - start < 0.25            # one value at a time: more than a second
+    assert got.type == pa.list_(pa.int64()) and [len(x.values) for x in got] == [1_500_000, 0, 5]
+    assert got[2].as_py() == [0, 1, 2, 3, 4] and np.array_equal(got[0].values.to_numpy(), values[0])
+    assert suffixlm._lists([pa.array([7, None, 8, 9])[1:3]], pa.int64()).to_pylist() == [[None, 8]]
+    assert suffixlm._lists([], pa.bool_()).type == pa.list_(pa.bool_())

@@ -57,8 +57,10 @@ MOST_TIMES = 1 << 16
 #: documents per hash bucket of the token counts
 BUCKET_DOCS = 4096
 MAX_BUCKETS = 1 << 16
-#: words or windows held by a task before they go out
-FLUSH_WORDS = 500_000
+#: distinct words or windows held by a task before they go out; up to twice as many wait for a merge
+FLUSH_WORDS = 2_000_000
+#: occurrences of windows that a task counts at once
+NEW_WINDOWS = 1 << 21
 SLICE = (1 << 19) - 64
 #: windows made at once, and occurrences that a task holds before they go to their buckets
 PIECE, FLUSH_ASKED = 1 << 18, 1 << 19
@@ -141,20 +143,65 @@ class _Counts:
     def add(self, keys, counts):
         self.held.append((keys, counts))
         self.size += len(keys)
-        if self.size > 2 * FLUSH_WORDS:
-            self.merge()
-
-    def merge(self):
-        keys, counts = (np.concatenate(x) for x in zip(*self.held))
-        self.held = [_sum_by_key(keys, counts)]
-        self.size = len(self.held[0][0])
-
-    def row(self, kind: int, buckets: int) -> pa.RecordBatch:
-        """Rows of a partial table, one per bucket."""
-        self.merge()
-        out = _blobs(kind, *self.held[0], buckets)
-        self.__init__()
-        return out
+
+    def sums(self):
+        return _sum_by_key(*(np.concatenate(x) for x in zip(*self.held)))
+
+    def rows(self, kind: int, buckets: int, last: bool = False):
+        """Rows of a partial table, one per bucket, once more than FLUSH_WORDS
+        stay after a merge, or at the end. Keys are merged only when as
+        many came as may be held, so that each is sorted a few times."""
+        if self.size > (0 if last else 2 * FLUSH_WORDS):
+            keys, counts = self.sums()
+            self.held, self.size = [], 0
+            if not last:
+                self.add(keys, counts)
+                if self.size <= FLUSH_WORDS:
+                    return
+                self.held, self.size = [], 0
+            yield _blobs(kind, keys, counts, buckets)
+
+
+class _WindowCounts(_Counts):
+    """Distinct windows: the seven bytes of a key and a byte of its count are
+    one number, so the merge sorts one array. Counts above 255 take several."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.n_new = [], 0
+
+    def see(self, keys):
+        """Counts each occurrence of keys."""
+        self.new.append(keys)
+        self.n_new += len(keys)
+        if self.n_new > NEW_WINDOWS:
+            self.settle()
+
+    def settle(self):
+        if self.n_new:
+            keys = np.concatenate(self.new)
+            self.new, self.n_new = [], 0
+            self.add(*np.unique(keys, return_counts=True))
+
+    def rows(self, kind: int, buckets: int, last: bool = False):
+        if last:
+            self.settle()
+        yield from super().rows(kind, buckets, last)
+
+    def add(self, keys, counts):
+        packed = keys << U(8) | (counts % 255).astype(U)
+        many = np.flatnonzero(counts >= 255)
+        whole = np.repeat(keys[many] << U(8) | U(255), counts[many] // 255)
+        self.held += [packed, whole] if len(many) else [packed]
+        self.size += len(packed) + len(whole)
+
+    def sums(self):
+        packed = np.concatenate(self.held)
+        self.held = []
+        packed.sort()
+        keys = packed >> U(8)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(packed & U(255), first).astype(np.int64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -197,7 +244,7 @@ def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """Merged counts by bucket: of all words (kind 0) and windows (kind 1) of
     the training rows, and of the windows of the rows ``held`` out (kind 2)."""
     def part(batches):
-        counts = [_Counts(), _Counts(), _Counts()]
+        counts = [_Counts(), _WindowCounts(), _WindowCounts()]
         for b in batches:
             for held in (False, True):
                 own = b.filter(pa.compute.equal(b.column("held"), held))
@@ -206,16 +253,12 @@ def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
                     starts, ends, doc = W.spans(data, offsets, W.SPACE)
                     if not held:
                         counts[0].add(*np.unique(W.hashes(data, starts, ends), return_counts=True))
+                        yield from counts[0].rows(0, buckets)
                     for key, _ in document_windows(data, starts, ends, doc, j - i):
-                        counts[1 + held].add(*np.unique(key, return_counts=True))
-                    for kind, c in enumerate(counts):
-                        if c.size > FLUSH_WORDS:
-                            c.merge()
-                            if c.size > FLUSH_WORDS:
-                                yield c.row(kind, buckets)
+                        counts[1 + held].see(key)
+                        yield from counts[1 + held].rows(1 + held, buckets)
         for kind, c in enumerate(counts):
-            if c.held:
-                yield c.row(kind, buckets)
+            yield from c.rows(kind, buckets, last=True)
 
     def merge(t: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpack_keys(x) for x in t.column("keys").to_pylist()])
@@ -377,8 +420,12 @@ _OUT = ("block long, kind int, bucket long, doc_id array<long>, held array<boole
 
 
 def _lists(arrays, kind) -> pa.Array:
-    return pa.array([None if a is None else pa.array(a) for a in arrays], pa.list_(kind)) \
-        if arrays else pa.array([], pa.list_(kind))
+    """Lists over the arrays' values, which are copied as a whole, not one by one."""
+    if not arrays:
+        return pa.array([], pa.list_(kind))
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int64)
+    values = pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, kind) for a in arrays])
+    return pa.ListArray.from_arrays(pa.array(offsets).cast(pa.int32()), values)
 
 
 def _batch(block, kind, bucket, **lists):
